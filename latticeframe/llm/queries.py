@@ -14,6 +14,7 @@ from .ngram_join import ngram_components
 from .ogg import ogg_media
 from .packing import pack_documents
 from .quality import judge
+from .secrets import fit_models, ordinary_samples, random_samples, secret_report
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secret_report(docs, fit_models(ordinary_samples(docs).union(random_samples(spark))))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = identify(docs, fit_profiles(learnable(docs)))
@@ -48,7 +54,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_ogg_media, op5_ngram_jaccard_join, op8_language_id, op9_quality, op10_bpe)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_ogg_media, op5_ngram_jaccard_join, op6_secrets, op8_language_id, op9_quality, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
