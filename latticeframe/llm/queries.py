@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .lang_id import fit_profiles, identify, learnable
+from .merkle import document_fingerprints
 from .ngram_join import ngram_components
 from .ogg import ogg_media
 from .packing import pack_documents
@@ -38,6 +39,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(docs, fit_models(ordinary_samples(docs).union(random_samples(spark))))
 
 
+def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = identify(docs, fit_profiles(learnable(docs)))
@@ -54,7 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_ogg_media, op5_ngram_jaccard_join, op6_secrets, op8_language_id, op9_quality, op10_bpe)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_ogg_media, op5_ngram_jaccard_join, op6_secrets, op7_merkle_fingerprints, op8_language_id, op9_quality, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
