@@ -16,6 +16,7 @@ from .ogg import ogg_media
 from .packing import pack_documents
 from .quality import judge
 from .secrets import fit_models, ordinary_samples, random_samples, secret_report
+from .warc import archive_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archive_pages(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_media(_table(spark, sf_dir, "documents"), keep=False)
 
@@ -59,7 +65,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_ogg_media, op5_ngram_jaccard_join, op6_secrets, op7_merkle_fingerprints, op8_language_id, op9_quality, op10_bpe)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op4_ogg_media, op5_ngram_jaccard_join, op6_secrets, op7_merkle_fingerprints, op8_language_id, op9_quality, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
