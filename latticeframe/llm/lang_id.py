@@ -19,8 +19,12 @@ from pyspark.sql.window import Window
 from .shared import written
 
 U64 = np.uint64
+#: Code of what stands between words; an n-gram's unused places are 0.
+BLANK = U64(1)
 #: Longest list of n-grams, of a language and of a document.
 PROFILE = 400
+#: Least score of a text that counts as being in its predicted language.
+LEAST_SCORE = 0.15
 #: More distinct language values than this are refused, as profiles are sent to every task.
 MAX_LANGUAGES = 5000
 #: Letters of text whose n-grams a task holds at a time while it counts; a longer text is held alone.
@@ -40,19 +44,14 @@ def grams(text: str) -> np.ndarray:
     codes = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
     if not codes.any():
         return np.zeros(0, U64)
-    c = np.zeros(len(codes) + 4, U64)
-    c[1:-3] = codes  # blanks around, and two more for the last windows
+    c = np.full(len(codes) + 3, BLANK, U64)  # blanks around, and one more for the last windows
+    c[1:-2] = np.where(codes == 0, BLANK, codes)
     keep = np.ones(len(c), bool)
-    keep[1:-2] = (c[1:-2] != 0) | (c[:-3] != 0)  # a run of other characters is one blank
+    keep[1:-1] = (c[1:-1] != BLANK) | (c[:-2] != BLANK)  # a run of other characters is one blank
     c = c[keep]
     a, b, d = c[:-2], c[1:-1], c[2:]
-    out = np.concatenate(
-        (
-            (a << U64(42))[a != 0],
-            (a << U64(42) | b << U64(21))[(a != 0) | (b != 0)],
-            (a << U64(42) | b << U64(21) | d)[b != 0],
-        )
-    )
+    la, lb = a != BLANK, b != BLANK
+    out = np.concatenate(((a << U64(42))[la], (a << U64(42) | b << U64(21))[la | lb], (a << U64(42) | b << U64(21) | d)[lb]))
     out.sort()
     return out
 
@@ -163,6 +162,19 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def kept_languages(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text is in a learned language: not ``und``, and with a score of ``least`` or more."""
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [profiles.predict(t) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learnable(docs: DataFrame) -> DataFrame:
     """The rows to learn from: those with crc32(doc_id as text) mod 4 other than 2."""
     return docs.filter(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 4 != 2)

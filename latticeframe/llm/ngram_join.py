@@ -405,3 +405,12 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Data
         members.join(comps, members.rep == comps.node, "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
     )
+
+
+def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose doc_id is the smallest of its component.
+
+    See ``ngram_components``. Rows that share such an id stay together, rows without an id all stay.
+    """
+    gone = ngram_components(docs, width, percent).filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(written(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)

@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .shared import written
 
@@ -99,7 +100,7 @@ class Classifier:
         places = np.stack([np.digitize(rows[:, j], e, right=True) + self.starts[j] for j, e in enumerate(self.edges)], axis=1)
         hot[np.arange(len(rows))[:, None], places] = 1
         self.weights = np.zeros(hot.shape[1])
-        share = min(max(bad.mean(), 1e-4), 1 - 1e-4) if len(bad) else 0.5
+        share = min(max(bad.mean(), 1e-4), 1 - 1e-4) if len(bad) else 0.01  # without labels nothing is suspect
         self.base = math.log(share / (1 - share))
         self.share = float(share)
         for _ in range(25 if len(rows) else 0):
@@ -173,21 +174,28 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     return Classifier(lexicon, rows[order], got["bad"].to_numpy(bool)[order].astype(float))
 
 
-def document_evidence(docs: DataFrame, host: Column, path: Column, model: Classifier) -> DataFrame:
-    """(doc_id, host, path, evidence) for each row; a null host or path counts as the empty name."""
+def document_evidence(docs: DataFrame, model: Classifier, host: Column | None = None, path: Column | None = None, kept: list[str] | None = None) -> DataFrame:
+    """The ``kept`` columns of each row (default doc_id) and a struct ``site`` of host, path and evidence.
+
+    A null host or path counts as the empty name.
+    """
+    kept = ["doc_id"] if kept is None else kept
+    named = docs.select(
+        *(F.col(c) for c in kept),
+        F.coalesce((F.col("source") if host is None else host).cast("string"), F.lit("")).alias("_host"),
+        F.coalesce((F.col("lang") if path is None else path).cast("string"), F.lit("")).alias("_path"),
+        F.col("text").alias("_text"),
+    )
+    n = len(kept)
+    schema = StructType([*named.schema.fields[: n + 2], StructField("_evidence", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.evidence(t) for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.float64())], ["doc_id", "host", "path", "evidence"])
+            found = [model.evidence(t) for t in batch.column(n + 2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 2], pa.array(found, pa.float64())], [f.name for f in schema.fields])
 
-    named = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(host.cast("string"), F.lit("")).alias("host"),
-        F.coalesce(path.cast("string"), F.lit("")).alias("path"),
-        F.col("text"),
-    )
-    return named.mapInArrow(run, "doc_id long, host string, path string, evidence double")
+    site = F.struct(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_evidence").alias("evidence")).alias("site")
+    return named.mapInArrow(run, schema).select(*(F.col(c) for c in kept), site)
 
 
 def _strength(groups: DataFrame, n: str, rate: Column, center: Column) -> float:
@@ -204,16 +212,16 @@ def _strength(groups: DataFrame, n: str, rate: Column, center: Column) -> float:
     return STRENGTH[1] if between <= 0 else min(max(row.whole / row.n / between - 1, STRENGTH[0]), STRENGTH[1])
 
 
-def site_posteriors(evidence: DataFrame, share: float) -> DataFrame:
-    """Adds (path_rate, bad) to (doc_id, host, path, evidence): the path's rate without the document, and the posterior.
+def site_posteriors(rows: DataFrame, share: float) -> DataFrame:
+    """Adds ``path_rate`` and ``bad`` to a table's struct ``site``: the path's rate without the document, and the posterior.
 
     ``share`` is the classifier's share of bad documents. Tasks add up their rows before each
     shuffle, so a frequent host costs no more than others; the tables of hosts and paths join back
     by their names.
     """
-    own = 1 / (1 + F.exp(-(F.col("evidence") + math.log(share / (1 - share)))))
-    rows = evidence.withColumn("own", own)
-    paths = written(rows.groupBy("host", "path").agg(F.count("*").alias("path_n"), F.sum("own").alias("path_bad")), "paths")
+    own = 1 / (1 + F.exp(-(F.col("site.evidence") + math.log(share / (1 - share)))))
+    named = rows.select(F.col("site.host").alias("host"), F.col("site.path").alias("path"), own.alias("own"))
+    paths = written(named.groupBy("host", "path").agg(F.count("*").alias("path_n"), F.sum("own").alias("path_bad")), "paths")
     hosts = written(paths.groupBy("host").agg(F.sum("path_n").alias("host_n"), F.sum("path_bad").alias("host_bad")), "hosts")
     total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_bad").alias("bad")).first()
     overall = (total.bad + share) / (total.n + 1) if total.n else share
@@ -221,11 +229,14 @@ def site_posteriors(evidence: DataFrame, share: float) -> DataFrame:
     shrunk = (F.lit(k_host * overall) + F.col("host_bad")) / (k_host + F.col("host_n"))
     sites = paths.join(hosts, "host")
     k_path = _strength(sites, "path_n", F.col("path_bad") / F.col("path_n"), shrunk)
-    host_rate = (F.lit(k_host * overall) + F.col("host_bad") - F.col("own")) / (k_host + F.col("host_n") - 1)
-    path_rate = (k_path * host_rate + F.col("path_bad") - F.col("own")) / (k_path + F.col("path_n") - 1)
-    joined = rows.join(sites, ["host", "path"]).withColumn("path_rate", F.least(F.greatest(path_rate, F.lit(1e-4)), F.lit(1 - 1e-4)))
-    logit = F.col("evidence") + F.log(F.col("path_rate") / (1 - F.col("path_rate")))
-    return joined.select("doc_id", "host", "path", "evidence", "path_rate", (1 / (1 + F.exp(-logit))).alias("bad"))
+    sites = written(sites.select(F.struct("host", "path").alias("at"), F.struct("host_n", "host_bad", "path_n", "path_bad").alias("sums")), "sites")
+    host_rate = (F.lit(k_host * overall) + F.col("sums.host_bad") - own) / (k_host + F.col("sums.host_n") - 1)
+    path_rate = (k_path * host_rate + F.col("sums.path_bad") - own) / (k_path + F.col("sums.path_n") - 1)
+    path_rate = F.least(F.greatest(path_rate, F.lit(1e-4)), F.lit(1 - 1e-4))
+    joined = rows.join(sites, (F.col("site.host") == F.col("at.host")) & (F.col("site.path") == F.col("at.path")))
+    bad = lambda rate: 1 / (1 + F.exp(-(F.col("site.evidence") + F.log(rate / (1 - rate)))))
+    with_rate = joined.withColumn("site", F.col("site").withField("path_rate", path_rate)).drop("at", "sums")
+    return with_rate.withColumn("site", F.col("site").withField("bad", bad(F.col("site.path_rate"))))
 
 
 def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -239,7 +250,12 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     Other columns, whatever their names, are ignored.
     """
     model = fit_classifier(docs, labels, fit_rows)
-    if not model.weights.any():
-        model.share = 0.01
-    evidence = document_evidence(docs, F.col("source") if host is None else host, F.col("lang") if path is None else path, model)
-    return site_posteriors(written(evidence, "evidence"), model.share).withColumn("keep", F.col("bad") < 0.5)
+    rows = written(document_evidence(docs, model, host, path), "evidence")
+    return site_posteriors(rows, model.share).select(F.col("doc_id").cast("long").alias("doc_id"), "site.*", (F.col("site.bad") < 0.5).alias("keep"))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+    model = fit_classifier(docs, labels, fit_rows)
+    rows = written(document_evidence(docs, model, host, path, docs.columns), "evidence")
+    return site_posteriors(rows, model.share).filter("site.bad < 0.5").select(*docs.columns)

@@ -16,6 +16,7 @@ from .ogg import ogg_media
 from .packing import pack_documents
 from .quality import judge
 from .secrets import fit_models, ordinary_samples, random_samples, secret_report
+from .suffix_tree import score_texts
 from .warc import archive_pages
 
 
@@ -32,6 +33,13 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    scored = score_texts(docs, docs.filter(~held_out))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_media(_table(spark, sf_dir, "documents"), keep=False)
 
@@ -65,7 +73,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op4_ogg_media, op5_ngram_jaccard_join, op6_secrets, op7_merkle_fingerprints, op8_language_id, op9_quality, op10_bpe)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_suffix_tree_scores, op4_ogg_media, op5_ngram_jaccard_join, op6_secrets, op7_merkle_fingerprints, op8_language_id, op9_quality, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
