@@ -2,14 +2,53 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from latticeframe.llm.lang_id import fit_profiles, kept_languages, learnable
+from latticeframe.llm.ngram_join import without_near_copies
+from latticeframe.llm.packing import pack_documents
+from latticeframe.llm.quality import kept_documents
+from latticeframe.llm.secrets import find_secrets, fit_models, masked, ordinary_samples, random_samples
+from latticeframe.llm.shared import written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that are more likely bad than good, by text and site."""
+    return kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in none of the languages learned from what is left."""
+    return kept_languages(docs, fit_profiles(learnable(docs)))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near copies the document with the smallest id."""
+    return without_near_copies(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets in texts."""
+    found = find_secrets(docs, fit_models(ordinary_samples(docs).union(random_samples(spark))))
+    text = F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("spans")))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the tokens of documents into sequences."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list = [("quality", quality), ("language", language), ("near_copies", near_copies), ("secrets", secrets), ("packing", packing)]
+#: Learned models and packing can't be said in SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
     return docs
