@@ -174,14 +174,20 @@ def isbinary_digits(s: Column, prefix: str, digits: str) -> Column:
     return s.rlike(f"\\A({prefix})?[{digits}]+\\z")
 
 
-def tobinary(x: Column, width: int = 0) -> Column:
-    digits = F.conv(x.cast("decimal(20,0)").cast("string"), 10, 2)
+def _digits(x: Column, f, half: int, width: int) -> Column:
+    """Digits of a whole number up to 2**64, by its upper and lower 32 bits, as doubles of that size don't fit a long."""
+    high = F.floor(x / 2.0**32)
+    low = (x - high * F.lit(2.0**32)).cast("long")
+    digits = F.when(high > 0, F.concat(f(high.cast("long")), F.lpad(f(low), half, "0"))).otherwise(f(low))
     return F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(width) - F.length(digits))), digits)
 
 
+def tobinary(x: Column, width: int = 0) -> Column:
+    return _digits(x, F.bin, 32, width)
+
+
 def tohex(x: Column, width: int = 0) -> Column:
-    digits = F.conv(x.cast("decimal(20,0)").cast("string"), 10, 16)
-    return F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(width) - F.length(digits))), digits)
+    return _digits(x, F.hex, 8, width)
 
 
 def _parsed(s: Column, prefix: str, digits: str, base: int) -> Column:

@@ -474,10 +474,10 @@ ONE_OF_X = {
     "nmtoacn": (lambda x, y, z: (windows.nmtoacn(z, y),), "z * z + z + y"),
     "legendre": (lambda x, y, z: (windows.legendre(x / 4, 2, 0),), "(3 * x * x / 16 - 1) / 2"),
     "sphharm": (lambda x, y, z: (windows.sphharm(1, 1, y, x / 3),), "cos(x / 3) * cos(y)"),
-    "samptosec": (lambda x, y, z: (reals.samples_to_seconds(x, 48_000),), "x / 48000"),
-    "samptomillis": (lambda x, y, z: (reals.samples_to_millis(x, 48_000),), "x * 1000 / 48000"),
-    "sectosamp": (lambda x, y, z: (reals.seconds_to_samples(x, 48_000),), "x * 48000"),
-    "millistosamp": (lambda x, y, z: (reals.millis_to_samples(x, 48_000),), "x * 48000 / 1000"),
+    "samptosec": (lambda x, y, z: (reals.samples_to_seconds(x, 44_100),), "x / 44100"),
+    "samptomillis": (lambda x, y, z: (reals.samples_to_millis(x, 44_100),), "x * 1000 / 44100"),
+    "sectosamp": (lambda x, y, z: (reals.seconds_to_samples(x, 44_100),), "x * 44100"),
+    "millistosamp": (lambda x, y, z: (reals.millis_to_samples(x, 44_100),), "x * 44100 / 1000"),
     "t60sab": (lambda x, y, z: (windows.t60sab(x + 10, z),), "0.161 * (x + 10) / z"),
     "t60eyr": (lambda x, y, z: (windows.t60eyr(x + 10, z + 9, z),), "0.161 * (x + 10) / (-(z + 9) * ln(1 - z / (z + 9)))"),
     "rt60absp": (lambda x, y, z: (windows.rt60absp(x + 10, z),), "0.161 * (x + 10) / z"),
