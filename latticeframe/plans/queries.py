@@ -208,11 +208,12 @@ add("cumprod", lambda s, d: shown(lanes.cumprod(views.lanes(s, d).map(lambda v:
 add("diff", lambda s, d: shown(lanes.diff(views.lanes(s, d))), with_views(f"SELECT user_id, i0, {r('w - v')} AS v FROM (SELECT *, lead(v) {_over}) AS w FROM lanes) WHERE w IS NOT NULL", "lanes"))
 add("grad", lambda s, d: shown(lanes.grad(views.lanes(s, d))), with_views(f"SELECT user_id, i0, {r('CASE WHEN a IS NULL AND b IS NULL THEN 0 WHEN a IS NULL THEN b - v WHEN b IS NULL THEN v - a ELSE (b - a) / 2 END')} AS v FROM (SELECT *, lag(v) {_over}) AS a, lead(v) {_over}) AS b FROM lanes)", "lanes"))
 for _name, _f in {"movmean": "avg", "movmedian": "median", "movmin": "min", "movmax": "max", "movstd": "stddev_pop", "movvar": "var_pop"}.items():
-    add(_name, lambda s, d, n=_name: shown(getattr(lanes, n)(views.lanes(s, d), 5), 4), _lane(f"{_f}(v) {_five}"))
+    add(_name, lambda s, d, n=_name: shown(getattr(lanes, n)(views.lanes(s, d).map(lambda v: v / 97), 5), 7), _lane(f"{_f}(v / 97) {_five}", 7))
 _padded = f"list(v) {_five}"
 add("medfilt1d", lambda s, d: shown(lanes.medfilt1d(views.lanes(s, d), 5)), with_views(f"SELECT user_id, i0, {r('list_sort(list_concat(w, list_resize([]::DOUBLE[], 5 - len(w), 0.0::DOUBLE)))[3]')} AS v FROM (SELECT *, {_padded} AS w FROM lanes)", "lanes"))
-add("unwrap", lambda s, d: shown(lanes.unwrap(views.lanes(s, d).map(lambda v: v % 6.0), 6.0)), with_views(
-    f"SELECT user_id, i0, {r(f'v + sum(c) {_over})')} AS v FROM (SELECT *, CASE WHEN s IS NULL OR abs(s) < 3 THEN 0 ELSE (s - 6 * floor((s + 3) / 6)) - s END AS c FROM (SELECT *, v - lag(v) {_over}) AS s FROM (SELECT user_id, i0, v % 6 AS v FROM lanes)))",
+_tau = "(2 * pi())"
+add("unwrap", lambda s, d: shown(lanes.unwrap(views.lanes(s, d).map(lambda v: v % F.lit(2 * math.pi)), 2 * math.pi), 4), with_views(
+    f"SELECT user_id, i0, {r(f'v + sum(c) {_over})', 4)} AS v FROM (SELECT *, CASE WHEN s IS NULL OR abs(s) < pi() THEN 0 ELSE (s - {_tau} * floor((s + pi()) / {_tau})) - s END AS c FROM (SELECT *, v - lag(v) {_over}) AS s FROM (SELECT user_id, i0, v % {_tau} AS v FROM lanes)))",
     "lanes",
 ))
 add("zcr", lambda s, d: shown(lanes.zcr(views.embeddings(s, d), 1)), with_views(f"SELECT i0, {r('avg(c)')} AS v FROM (SELECT i0, CASE WHEN (v < -1e-10) <> (lag(v) OVER (PARTITION BY i0 ORDER BY i1) < -1e-10) THEN 1.0 ELSE 0.0 END AS c FROM emb) GROUP BY i0", "emb"))
