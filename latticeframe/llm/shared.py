@@ -26,10 +26,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
-
-def row_batches(frame_or_schema, rows: int = 1 << 16):
-    """Arrow record batches of at most ``rows`` rows."""
-    return frame_or_schema.to_batches(max_chunksize=rows)
