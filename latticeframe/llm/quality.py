@@ -101,7 +101,7 @@ class Classifier:
         hot[np.arange(len(rows))[:, None], places] = 1
         self.weights = np.zeros(hot.shape[1])
         share = min(max(bad.mean(), 1e-4), 1 - 1e-4) if len(bad) else 0.01  # without labels nothing is suspect
-        self.base = math.log(share / (1 - share))
+        self.base = math.log(share / (1 - share)) if len(bad) else 0.0
         self.share = float(share)
         for _ in range(25 if len(rows) else 0):
             p = 1 / (1 + np.exp(-np.clip(hot @ self.weights, -30, 30)))
