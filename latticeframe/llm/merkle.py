@@ -150,5 +150,5 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-        F.size(edits(F.col("fingerprint"), F.col("edited_fingerprint"))).alias("edited_leaves"),
+        F.size(edits(F.col("fingerprint"), F.col("edited_fingerprint"))).cast("long").alias("edited_leaves"),
     )

@@ -77,4 +77,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": WARC_SQL, "op7_merkle_fingerprints": MERKLE_SQL}
+
+
+#: Base32 of a digest: of each 5 hex digits 4 letters.
+WARC_SQL = """
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS x FROM pages),
+m AS (SELECT x, n, min(page_id) AS first FROM d GROUP BY x, n)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d JOIN m USING (x, n)
+"""
+
+#: Lines and sentences are cut at marks put after their ends.
+MERKLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), (SELECT arg_min(t, doc_id) FROM d)) AS nx FROM d),
+e AS (SELECT doc_id, t, nx, left(t, length(t) - length(t) // 2) || left(nx, length(t) // 2) AS ed FROM n),
+k AS (SELECT doc_id, 'a' AS kind, t AS s FROM e UNION ALL SELECT doc_id, 'b', ed FROM e UNION ALL SELECT doc_id, 'c', nx FROM e),
+l AS (SELECT doc_id, kind, list_transform(string_split(replace(s, chr(10), chr(10) || chr(2)), chr(2)),
+    lambda x: list_transform(string_split(regexp_replace(x, '([.!?] )', '\1' || chr(1), 'g'), chr(1)), lambda y: sha256(y))) AS q FROM k),
+t AS (SELECT doc_id, kind, list_transform(q, lambda x: {'d': sha256(array_to_string(x, ',')), 'l': list_transform(x, lambda z: z[1:12])}) AS q FROM l),
+f AS (SELECT doc_id, kind, q, sha256(array_to_string(list_transform(q, lambda x: x.d), ',')) AS root,
+    array_to_string(list_transform(q, lambda x: x.d[1:12] || ':' || array_to_string(x.l, ',')), '|') AS body,
+    list_distinct(flatten(list_transform(q, lambda x: x.l))) AS leaves FROM t),
+p AS (SELECT a.doc_id, a.root || '|' || a.body AS fingerprint, b.root || '|' || b.body AS edited_fingerprint,
+    CASE WHEN a.root = b.root THEN 1.0 ELSE len(list_intersect(a.leaves, b.leaves)) / (len(a.leaves) + len(b.leaves) - len(list_intersect(a.leaves, b.leaves))) END AS near_edited,
+    CASE WHEN a.root = c.root THEN 1.0 ELSE len(list_intersect(a.leaves, c.leaves)) / (len(a.leaves) + len(c.leaves) - len(list_intersect(a.leaves, c.leaves))) END AS near_next,
+    len(flatten(list_transform(list_filter(b.q, lambda x: NOT list_contains(list_transform(a.q, lambda z: z.d[1:12]), x.d[1:12])), lambda x: list_filter(x.l, lambda y: NOT list_contains(a.leaves, y))))) AS edited_leaves
+  FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.kind = 'b' JOIN f c ON a.doc_id = c.doc_id AND c.kind = 'c' WHERE a.kind = 'a')
+SELECT doc_id, length(t) AS n_chars, sha256(ed) AS edited_sha256, fingerprint, edited_fingerprint,
+  CAST(near_edited AS DOUBLE) AS near_edited, CAST(near_next AS DOUBLE) AS near_next, edited_leaves
+FROM e JOIN p USING (doc_id)
+"""
