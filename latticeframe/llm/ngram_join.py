@@ -7,20 +7,23 @@ How it works:
    ``n - ceil(t n) + 1`` shingles of each (the prefix principle). Rare shingles come first: a
    count sketch of fixed size ranks shingles that stand out as frequent last. A shingle that
    two or more prefixes hold makes a block.
-3. *Stars.* In each block every document is compared with a hub of like size. Pairs first have to
-   pass the count-vector bound, then exact verification. This joins dense groups of near copies
-   with a number of pairs that grows with their rows, not with its square.
-4. *Count-vector R-tree.* Blocks that still hold several components are searched with an R-tree:
+3. *Stars.* In each block every document has a hub of like size, one that shares many blocks. A
+   document is compared with the hub that it shares most blocks with, by exact verification. This
+   joins dense groups of near copies with one pair for each document.
+4. *Count-vector R-tree.* Blocks that still hold several components are searched with an R-tree,
+   those with the same leading document (of most shared blocks) as one:
    shingles are hashed into groups, a document is the point of its group counts, boxes keep the
    largest count of each group, and the sum of coordinate minima bounds the overlap. Only pairs of
    different components are followed; large blocks are cut into chunks and searched chunk by
-   chunk. Surviving pairs are verified exactly.
+   chunk. Surviving pairs are verified exactly, the likeliest between two components first, the
+   others if that one fails.
 5. *Components* over the verified links.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +38,14 @@ from .shingles import shingle_sets
 
 #: log2 of the sketch's counters: 1 MB of 32-bit counts, whatever the input's size.
 SKETCH_BITS = 18
-#: A document has one group for about so many shingles, and 16 groups at least.
-PER_GROUP = 4
+#: A document has so many groups for a shingle, and 16 groups at least; the tree's points have an eighth of them.
+GROUPS = 2
+COARSER = 8
 #: Documents of a block that meet in one task of the R-tree search.
 CHUNK_DOCS = 1024
 FAN_OUT = 16
+#: Pairs of one document that a task verifies.
+HUB_PAIRS = 256
 
 
 def _as_bytes(column: pa.Array) -> list[bytes]:
@@ -83,29 +89,28 @@ def _classes_of_slots(total: np.ndarray) -> np.ndarray:
 
 
 def _groups(n: int) -> int:
-    return max(16, 1 << max(0, (n // PER_GROUP - 1).bit_length()))
+    return max(16, 1 << max(0, (GROUPS * n - 1).bit_length()))
 
 
 def count_vector(s: np.ndarray) -> bytes:
-    """Counts of a set's members by group, one byte each; the number of groups is a power of two."""
+    """Counts of a set's members by group, 3 at most, in two bits each; the number of groups is a power of two."""
     g = _groups(len(s))
-    while True:
-        bits = g.bit_length() - 1
-        counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=g)
-        if counts.max(initial=0) < 256:
-            return counts.astype(np.uint8).tobytes()
-        g *= 2
+    counts = np.bincount((s >> np.uint64(64 - (g.bit_length() - 1))).astype(np.int64), minlength=g)
+    four = np.minimum(counts, 3).astype(np.uint8).reshape(-1, 4)
+    return (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).astype(np.uint8).tobytes()
 
 
-def fold(v: np.ndarray, g: int) -> np.ndarray:
-    """A count vector with ``g`` groups, by adding neighbouring ones."""
-    return v if len(v) == g else v.reshape(g, -1).sum(axis=1, dtype=np.int32)
+def counts_of(vector: bytes) -> np.ndarray:
+    """The counts of a vector. Members beyond 3 of a group aren't in it; a set has as many as its size
+    exceeds their sum, and an overlap may exceed its bound by those of both."""
+    packed = np.frombuffer(vector, np.uint8)
+    return (packed[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).reshape(-1)
 
 
-def _bound(x: bytes, y: bytes) -> int:
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    g = min(len(a), len(b))
-    return int(np.minimum(fold(a, g), fold(b, g)).sum(dtype=np.int64))
+def fold(v: np.ndarray, g: int) -> np.ndarray:
+    """Count vectors (in rows) with ``g`` groups, by adding neighbouring ones."""
+    n = v.shape[-1]
+    return v if n == g else v.reshape(*v.shape[:-1], g, n // g).sum(axis=-1, dtype=np.int32)
 
 
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -147,20 +152,19 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, sig binary, prefix array<long>, vec binary")
 
 
-def _shared_rows(routed: DataFrame, percent: int) -> DataFrame:
-    """(token, doc, n, hub): the rows of blocks of two documents or more.
+def _shared_rows(routed: DataFrame) -> DataFrame:
+    """(token, doc, n): the rows of blocks of two documents or more.
 
-    A streaming pass over each partition, sorted by shingle and size. ``hub`` is the first
-    document of the current run of like sizes. Only a block's first rows are looked at together,
-    never the block.
+    A streaming pass over each partition, sorted by shingle. Only neighbouring rows are looked at
+    together, never the block.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row, which may begin the next batch's block
-        hub = (None, 0, 0)  # token, doc, n
+        carried = False  # whether that row has been handed on
         for batch in batches:
             table = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks()
-            token, doc, n = (table.column(i).to_numpy() for i in range(3))
+            token = table.column(0).to_numpy()
             same = token[1:] == token[:-1]
             keep = np.zeros(len(token), bool)
             keep[1:] |= same
@@ -169,81 +173,82 @@ def _shared_rows(routed: DataFrame, percent: int) -> DataFrame:
                 keep[0] = bool(len(same) and same[0]) and not carried
             last = len(token) - 1
             carried = bool(keep[last])
-            held = pa.RecordBatch.from_arrays([pa.array(token[last:]), pa.array(doc[last:]), pa.array(n[last:])], ["token", "doc", "n"])
-            at = np.flatnonzero(keep)
-            if not len(at):
-                continue
-            t, d, m = token[at].tolist(), doc[at].tolist(), n[at].tolist()
-            hubs = []
-            for tt, dd, mm in zip(t, d, m, strict=True):
-                if tt != hub[0] or hub[2] * 100 < mm * percent:
-                    hub = (tt, dd, mm)
-                hubs.append(hub[1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(t, pa.int64()), pa.array(d, pa.int64()), pa.array(m, pa.int64()), pa.array(hubs, pa.int64())],
-                ["token", "doc", "n", "hub"],
-            )
+            rows = table.to_batches()
+            held = rows[-1].slice(len(rows[-1]) - 1) if rows else held
+            for part in table.filter(pa.array(keep)).to_batches():
+                yield part
 
-    return routed.mapInArrow(scan, "token long, doc long, n long, hub long")
+    return routed.select("token", "doc", "n").mapInArrow(scan, "token long, doc long, n long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose sets reach the likeness, by their whole sets."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # a table of 2**20 rows at most; it keeps other texts out of the shuffle
-    slot = F.expr("pmod(xxhash64(doc_id), 1048576)")
-    marks = nodes.select(slot.cast("int").alias("slot")).distinct()
-    texts = (
-        docs.select("doc_id", "text")
-        .withColumn("slot", slot.cast("int"))
-        .join(F.broadcast(marks), "slot", "left_semi")
-        .drop("slot")
-        .join(nodes, "doc_id", "left_semi")
-    )
+def _stars(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each document b the hub a that it shares most blocks with. ``degree`` is the number of a document's blocks.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [s.tobytes() for s in shingle_sets(_as_bytes(batch.column(1)), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "s"])
-
-    # repeated ids: rows that share an id count as one node; one of them stands for it
-    known = written(texts.mapInArrow(sets, "doc_id long, s binary"), "sets")
-    joined = (
-        pairs.join(known.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-        .join(known.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
-        .select("a", "b", "sa", "sb")
-    )
+    A block's hubs are its documents with the most shared blocks, one for each range of like sizes:
+    a text that many are edited from has all their common shingles. A task keeps only the hubs of
+    the block at hand.
+    """
+    ordered = rows.select("token", "doc", "n", "degree").repartition("token").sortWithinPartitions("token", F.desc("degree"), "doc")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, hubs = None, []  # the hubs' ids and sizes
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.concatenate((u, v))
-                both.sort(kind="stable")
-                o = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * o >= percent * (len(u) + len(v) - o))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            left, right, sizes = [], [], []
+            for t, d, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if t != token:
+                    token, hubs = t, []
+                for hub, size in hubs:
+                    if 100 * size >= percent * n and 100 * n >= percent * size:
+                        left.append(hub)
+                        right.append(d)
+                        sizes.append(n)
+                        break
+                else:
+                    hubs.append((d, n))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (left, right, sizes)], ["a", "b", "n"])
 
-    return joined.mapInArrow(verify, "a long, b long").distinct()
+    # a pair that shares few blocks for its size is left to the search
+    tried = ordered.mapInArrow(assign, "a long, b long, n long").groupBy("a", "b").agg(F.count("*").alias("m"), F.max("n").alias("n")).filter(F.col("m") * 500 >= F.col("n") * (100 - percent))
+    return tried.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a")).select("a", "b")
 
 
-def _bounded(pairs: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose summed coordinate minima allow the likeness."""
-    side = lambda c: vecs.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("vec").alias(f"v{c}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "va", "vb")
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose sets reach the likeness, by their whole sets.
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            least = np.minimum(na, nb) * 100 >= percent * np.maximum(na, nb)
-            need = -(-percent * (na + nb) // (100 + percent))
-            va, vb = batch.column(4), batch.column(5)
-            mask = pa.array([bool(ok) and _bound(va[i].as_py(), vb[i].as_py()) >= need[i] for i, ok in enumerate(least)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+    Texts are shuffled, which are smaller than their sets, once by document and once to the pair's
+    ``a``. A task reads the pairs of one ``a`` after that document itself and holds one set at a time;
+    an ``a`` with many pairs is dealt to several tasks.
+    """
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # a table of 2**20 rows at most; it keeps other texts out of the shuffle
+    slot = F.expr("pmod(xxhash64(doc_id), 1048576)")
+    marks = nodes.select(slot.cast("int").alias("slot")).distinct()
+    texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").withColumn("slot", slot.cast("int")).join(F.broadcast(marks), "slot", "left_semi").drop("slot")
+    hubs = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts")), "hubs")
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")
+    asked = pairs.join(hubs, "a").select("a", part, "b", F.col("b").alias("doc_id"))
+    # repeated ids: rows that share an id count as one node; each of them is compared
+    asked = asked.union(hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id")))
+    rows = asked.join(texts, "doc_id").select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
-    return joined.mapInArrow(keep, "a long, b long")
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, hub = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            left, right = [], []
+            columns = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), shingle_sets(_as_bytes(batch.column(3)), width), strict=True)
+            for a, part, b, own in columns:
+                if b is None:
+                    if key != (a, part):
+                        key, hub = (a, part), own
+                elif key == (a, part):
+                    least = min(len(own), len(hub)) * 100 >= percent * max(len(own), len(hub))
+                    both = int((np.diff(np.sort(np.concatenate((own, hub)))) == 0).sum()) if least else 0
+                    if both and 100 * both >= percent * (len(own) + len(hub) - both):
+                        left.append(a)
+                        right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(verify, "a long, b long").distinct()
 
 
 class CountTree:
@@ -259,15 +264,15 @@ class CountTree:
             cut = np.arange(0, len(hi), FAN_OUT)
             self.levels.append((np.maximum.reduceat(hi, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
 
-    def search(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Positions of the points that may reach the likeness with ``point``."""
+    def search(self, point: np.ndarray, size: int, percent: int, slack: int = 0) -> np.ndarray:
+        """Positions of the points that may reach the likeness with ``point``, where ``slack`` members of the sets aren't counted."""
         at = np.zeros(min(1, len(self.levels[-1][0])), np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
             hi, low, high = self.levels[depth]
             at = at[(high[at] * 100 >= percent * size) & (low[at] * percent <= 100 * size)]
             if len(at):
                 sums = np.minimum(hi[at], point).sum(axis=1, dtype=np.int64)
-                at = at[sums * (100 + percent) >= percent * (size + low[at])]
+                at = at[(sums + slack) * (100 + percent) >= percent * (size + low[at])]
             if not len(at) or not depth:
                 return at
             at = (at[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
@@ -275,34 +280,49 @@ class CountTree:
         return at
 
 
-def tree_pairs(n: np.ndarray, comp: np.ndarray, vecs: list[bytes], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs (i, j), i in ``left`` (queries), j in ``right`` (indexed), of different components that pass the bound.
+def tree_pairs(n: np.ndarray, comp: np.ndarray, vecs: list[bytes], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int, int]]:
+    """(i, j, thousandths of the larger set that the bound allows), i in ``left`` (queries), j in ``right`` (indexed), of different components that pass the bound.
 
-    One tree for each octave of sizes; queries are folded to its number of groups.
+    One tree of coarse points for each octave of sizes; what it leaves is bounded by the fine counts.
     """
     out = []
+    counts = [counts_of(v) for v in vecs]
+    lost = n - np.array([c.sum(dtype=np.int64) for c in counts])
     octave = np.array([int(x).bit_length() for x in n])
     for k in np.unique(octave[right]):
         mine = right[octave[right] == k]
-        if len(np.unique(np.concatenate((comp[mine], comp[left])))) < 2:
+        asking = left[np.abs(octave[left] - k) <= 1]
+        if not len(asking) or len(np.unique(np.concatenate((comp[mine], comp[asking])))) < 2:
             continue
-        g = min(len(vecs[i]) for i in mine)
+        g = min(len(counts[i]) for i in mine)
+        coarse = max(2, min(g, min(len(counts[i]) for i in asking)) // COARSER)
         mine = mine[np.lexsort((comp[mine], n[mine]))]
-        points = np.stack([fold(np.frombuffer(vecs[i], np.uint8), g) for i in mine]).astype(np.int32)
-        tree = CountTree(points, n[mine])
-        for i in left[np.abs(octave[left] - k) <= 1]:
-            v = np.frombuffer(vecs[i], np.uint8)
-            if len(v) < g:  # a shorter vector: compare by the coarser grouping
-                j = mine[(n[mine] * 100 >= percent * n[i]) & (n[mine] * percent <= 100 * n[i])]
-                hits = [x for x in j if comp[x] != comp[i] and _bound(vecs[i], vecs[x]) * (100 + percent) >= percent * (n[i] + n[x])]
-            else:
-                hits = mine[tree.search(fold(v, g), int(n[i]), percent)]
-            out += [(int(i), int(j)) for j in hits if comp[j] != comp[i]]
+        fine = np.stack([fold(counts[i], g) for i in mine])
+        tree = CountTree(fold(fine, coarse).astype(np.int32), n[mine])
+        for i in asking:
+            at = tree.search(fold(counts[i], coarse), int(n[i]), percent, int(lost[i] + lost[mine].max()))
+            at = at[comp[mine[at]] != comp[i]]
+            if not len(at):
+                continue
+            m = min(g, len(counts[i]))
+            overlap = np.minimum(fold(fine[at], m), fold(counts[i], m)).sum(axis=1, dtype=np.int64)
+            overlap += lost[mine[at]] + lost[i]
+            size = n[mine[at]]
+            keep = overlap * (100 + percent) >= percent * (n[i] + size)
+            likely = 1000 * overlap // np.maximum(size, n[i])
+            out += [(int(i), int(mine[x]), int(q)) for x, q in zip(at[keep], likely[keep], strict=True)]
     return out
 
 
 def _searched(rows: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that pass the R-tree bound, from all rows (token, doc, n, comp)."""
+    """Pairs (a, b) of different components (ca, cb) that pass the R-tree bound, from all rows (token, doc, n, comp)."""
+    # documents go on that have one of another component and of like size; sizes are alike only within neighbouring steps
+    step = F.floor(F.log("n") / math.log(100 / percent)).alias("step")
+    rows = rows.withColumn("step", step)
+    spans = rows.groupBy("token", "step").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+    near = spans.select("token", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), "x", "y")
+    near = near.groupBy("token", "step").agg(F.min("x").alias("x"), F.max("y").alias("y")).filter("x <> y").select("token", "step")
+    rows = rows.join(near, ["token", "step"]).drop("step")
     place = F.row_number().over(Window.partitionBy("token").orderBy("n", "doc")) - 1
     chunked = written(rows.withColumn("chunk", F.floor(place / CHUNK_DOCS).cast("int")), "blocks")
     ranges = chunked.groupBy("token", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -312,26 +332,28 @@ def _searched(rows: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
         (F.col("i.token") == F.col("j.token")) & (F.col("i.chunk") <= F.col("j.chunk")) & (F.col("j.low") * percent <= F.col("i.high") * 100),
     ).select(F.col("i.token").alias("token"), F.col("i.chunk").alias("ci"), F.col("j.chunk").alias("cj"))
     sides = cells.select("token", "ci", "cj", F.explode(F.array_distinct(F.array("ci", "cj"))).alias("chunk"))
+    # vectors come last: they are shuffled once by document and once to their cells
     placed = (
-        chunked.join(vecs.select("doc", "vec"), "doc")
-        .join(sides, ["token", "chunk"])
+        chunked.join(sides, ["token", "chunk"])
+        .join(vecs.select("doc", "vec"), "doc")
         .select("token", "ci", "cj", "chunk", "doc", "n", "comp", "vec")
         .repartition("token", "ci", "cj")
         .sortWithinPartitions("token", "ci", "cj")
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def run(table: pa.Table) -> list[tuple[int, int]]:
+        def run(table: pa.Table) -> list[tuple]:
             ci, cj, chunk = (table.column(i).to_numpy() for i in (1, 2, 3))
             doc, n, comp = (table.column(i).to_numpy() for i in (4, 5, 6))
             vec = table.column(7).to_pylist()
             left = np.flatnonzero(chunk == ci[0])
             right = np.flatnonzero(chunk == cj[0])
-            return [(min(doc[i], doc[j]), max(doc[i], doc[j])) for i, j in tree_pairs(n, comp, vec, left, right, percent) if i != j]
+            hits = tree_pairs(n, comp, vec, left, right, percent)
+            return [(doc[i], doc[j], comp[i], comp[j], k) if doc[i] < doc[j] else (doc[j], doc[i], comp[j], comp[i], k) for i, j, k in hits]
 
         def out(pairs: set) -> pa.RecordBatch:
-            a, b = zip(*pairs, strict=True) if pairs else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            columns = list(zip(*pairs, strict=True)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "ca", "cb", "likely"])
 
         held: list[pa.Table] = []
         found: set = set()
@@ -352,7 +374,8 @@ def _searched(rows: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
             found.update(run(pa.concat_tables(held)))
         yield out(found)
 
-    return placed.mapInArrow(search, "a long, b long").distinct()
+    found = placed.mapInArrow(search, "a long, b long, ca long, cb long, likely long")
+    return found.groupBy("a", "b", "ca", "cb").agg(F.max("likely").alias("likely"))
 
 
 def ngram_links(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -365,24 +388,34 @@ def ngram_links(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[Dat
     members = sets.select("doc_id", "n", "sig").join(reps, "sig", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
     members = written(members, "members")
     copies = members.filter("doc_id <> rep").select("doc_id").distinct()
-    single = sets.filter("n > 0 AND doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
+    # a table of 2**20 rows at most tells most documents apart from copies, so their sets aren't shuffled for that
+    slot = F.expr("pmod(xxhash64(doc_id), 1048576)").cast("int")
+    marks = F.broadcast(copies.select(slot.alias("slot")).distinct())
+    known = sets.filter("n > 0 AND doc_id IS NOT NULL").withColumn("slot", slot)
+    single = known.join(marks, "slot", "left_anti").unionByName(known.join(marks, "slot", "left_semi").join(copies, "doc_id", "left_anti")).drop("slot")
     vecs = single.select(F.col("doc_id").alias("doc"), "n", "vec").dropDuplicates(["doc"])
-    routed = single.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"), "n").repartition("token").sortWithinPartitions("token", "n", "doc")
-    rows = written(_shared_rows(routed, percent), "rows")
-    stars = rows.filter("doc <> hub").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
-    stars = written(_bounded(stars, vecs, percent), "stars")
-    one = written(_verified(stars, docs, width, percent), "links")
-    comps = connected_components(one)
-    labelled = (
-        rows.select("token", "doc", "n")
-        .join(comps, rows.doc == comps.node, "left")
-        .select("token", "doc", "n", F.coalesce("component", "doc").alias("comp"))
-    )
-    # of a block of two, the star has already tried the only pair
-    open_blocks = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).filter("x <> y AND m > 2")
-    more = _searched(labelled.join(open_blocks.select("token"), "token"), vecs, percent)
-    two = written(_verified(written(more, "pairs"), docs, width, percent), "links")
-    return members, one.union(two)
+    routed = single.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"), "n").repartition("token").sortWithinPartitions("token")
+    shared = written(_shared_rows(routed), "shared")
+    rows = written(shared.join(shared.groupBy("doc").agg(F.count("*").alias("degree")), "doc").select("token", "doc", "n", "degree"), "rows")
+    one = written(_verified(written(_stars(rows, percent), "stars"), docs, width, percent), "links")
+    labelled = _labelled(rows, connected_components(one))
+    blocks = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min_by("doc", F.struct(-F.col("degree"), "doc")).alias("lead"))
+    # open blocks with the same leading document are searched as one, so a document is there once
+    around = labelled.join(blocks.filter("x <> y").select("token", "lead"), "token").select(F.col("lead").alias("token"), "doc", "n", "comp").distinct()
+    pairs = written(_searched(around, vecs, percent), "pairs")
+    # first one pair between two components, the likeliest; then those that are still apart
+    first = pairs.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max_by(F.struct("a", "b"), F.struct("likely", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b")
+    two = written(_verified(written(first, "pairs"), docs, width, percent), "links")
+    joined = connected_components(one.union(two))
+    ends = pairs.join(first, ["a", "b"], "left_anti").select("a", "b")
+    for c in ("a", "b"):
+        ends = ends.join(joined.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+    three = written(_verified(written(ends.filter("ca <> cb").select("a", "b"), "pairs"), docs, width, percent), "links")
+    return members, one.union(two).union(three)
+
+
+def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    return rows.join(comps, rows.doc == comps.node, "left").select("token", "doc", "n", "degree", F.coalesce("component", "doc").alias("comp"))
 
 
 def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
