@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 from ..functions import complexes
 from ..tensor import COMPLEX, REAL, Tensor
 from .creation import fromarray
-from .reductions import reduce
 from .shape import _reflat, flatten
 
 #: What of the result is returned: all of it, as much as the input, or where the kernel lies within.

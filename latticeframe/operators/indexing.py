@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import builtins
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -151,7 +149,3 @@ def searchsorted(source: Tensor, queries: Tensor, right: bool = False) -> Tensor
     from .sorting import ranked_among
 
     return queries.cells(ranked_among(source.df, queries.df, right), queries.ndim, queries.extents)
-
-
-def numbers(t: Tensor) -> builtins.list:
-    return [r.v for r in t.df.orderBy(*t.axes).collect()]

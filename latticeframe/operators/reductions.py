@@ -130,10 +130,6 @@ def norm(t: Tensor, order: float = 1.0, axis: int | None = None) -> Tensor:
     return _grouped(t, axis, total)
 
 
-def trace(t: Tensor) -> Tensor:
-    return reduce("sum", t.cells(t.df.filter(F.col("i0") == F.col("i1"))))
-
-
 def strjoin(t: Tensor, separator: str = "") -> Tensor:
     """All strings of an array in row-major order as one."""
     cells = F.array_sort(F.collect_list(F.struct(t.flat().alias("at"), "v")))
