@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import written
+from .shared import values, written
 
 U64 = np.uint64
 #: Code of what stands between words; an n-gram's unused places are 0.
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [profiles.predict(t) for t in batch.column(1).to_pylist()]
+            found = [profiles.predict(t) for t in values(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
                 ["doc_id", "lang_pred", "score"],
@@ -163,16 +163,21 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 
 def kept_languages(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose text is in a learned language: not ``und``, and with a score of ``least`` or more."""
-    names = docs.columns
-    at = names.index("text")
+    """The rows of ``docs``, with all columns, whose text is in a learned language: not ``und``, and with a score of ``least`` or more.
+
+    Texts go to Python but not back: a row is known by a 64-bit hash of its id and text, and only
+    hashes of rejected rows return, for an anti-join.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [profiles.predict(t) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+            found = [profiles.predict(t) for t in values(batch.column(1))]
+            gone = pa.array([lang == "und" or score < least for lang, score in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(gone)], ["_row"])
 
-    return docs.mapInArrow(run, docs.schema)
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    rejected = written(keyed.select("_row", "text").mapInArrow(run, "_row long").distinct(), "rejected")
+    return keyed.join(rejected, "_row", "left_anti").select(*docs.columns)
 
 
 def learnable(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import written
+from .shared import values, written
 
 #: Labelled rows the classifier is fitted on, at most (about; chosen by a hash of their ids).
 FIT_ROWS = 20_000
@@ -191,7 +191,7 @@ def document_evidence(docs: DataFrame, model: Classifier, host: Column | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.evidence(t) for t in batch.column(n + 2).to_pylist()]
+            found = [model.evidence(t) for t in values(batch.column(n + 2))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: n + 2], pa.array(found, pa.float64())], [f.name for f in schema.fields])
 
     site = F.struct(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_evidence").alias("evidence")).alias("site")
@@ -255,7 +255,13 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
+
+    Texts go to Python but not back: a row is known by a 64-bit hash of its id and text, and rows
+    whose hash was rejected are taken out by an anti-join.
+    """
     model = fit_classifier(docs, labels, fit_rows)
-    rows = written(document_evidence(docs, model, host, path, docs.columns), "evidence")
-    return site_posteriors(rows, model.share).filter("site.bad < 0.5").select(*docs.columns)
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    rows = written(document_evidence(keyed, model, host, path, ["_row"]), "evidence")
+    rejected = written(site_posteriors(rows, model.share).filter("site.bad >= 0.5").select("_row").distinct(), "rejected")
+    return keyed.join(rejected, "_row", "left_anti").select(*docs.columns)
