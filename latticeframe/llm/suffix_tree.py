@@ -26,7 +26,7 @@ from .shared import written
 from .shingles import mix, word_hashes
 
 U64 = np.uint64
-DEPTH = 4
+DEPTH = 5
 LEAST_SHARE = 1e-5
 #: A context stays if its count times its divergence from the shorter one (nats) is above this, plus its number of next symbols.
 LEAST_DIVERGENCE = 8.0

@@ -87,6 +87,13 @@ def test_window_counts_equal_brute_force(spark, texts):
     assert {r.key: r.n for r in rows} == want
 
 
+def test_the_fifth_symbol_back_decides(spark):
+    rows = corpus_counts(spark.createDataFrame([("amnopx bmnopy",)] * 200, "text string"))
+    tree = fit_tree(rows.filter("window").select("key", "n"))
+    right, wrong = tree.token_scores([b"amnopx bmnopy"])[:2].sum(), tree.token_scores([b"amnopy bmnopx"])[:2].sum()
+    assert right > wrong + 2
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
     rows = score_texts(docs, docs.limit(0)).collect()
