@@ -49,12 +49,18 @@ def irfft(t: Tensor, n: int | None = None, axis: int = -1) -> Tensor:
     return _lanes(t, axis, lambda x: np.fft.irfft(x, n), n, False)
 
 
-def fft2(t: Tensor) -> Tensor:
-    return fft(fft(t, axis=-1), axis=-2)
+def padded_length(n: int) -> int:
+    """The least power of two that isn't below n."""
+    return 1 << max(0, n - 1).bit_length()
 
 
-def rfft2(t: Tensor) -> Tensor:
-    return fft(rfft(t, axis=-1), axis=-2)
+def fft2(t: Tensor, rows: int | None = None) -> Tensor:
+    """``rows``: length to which zeros extend the first axis."""
+    return fft(fft(t, axis=-1), rows, -2)
+
+
+def rfft2(t: Tensor, rows: int | None = None) -> Tensor:
+    return fft(rfft(t, axis=-1), rows, -2)
 
 
 def ifft2(t: Tensor) -> Tensor:
@@ -156,10 +162,11 @@ def hilbert1dr(t: Tensor, axis: int = -1) -> Tensor:
     return _lanes(t, axis, lambda x: _analytic(x).imag, t.shape[t.axis(axis)], False)
 
 
-def hilbert2(t: Tensor) -> Tensor:
-    """The analytic signal in both directions: positive frequencies of either axis."""
+def hilbert2(t: Tensor, rows: int | None = None) -> Tensor:
+    """The analytic signal in both directions: positive frequencies of either axis. ``rows``: length to which zeros extend the first."""
     one = _lanes(t, -1, _analytic, t.shape[-1], True)
-    return _lanes(one, -2, _analytic, t.shape[-2], True)
+    n = t.shape[-2] if rows is None else rows
+    return _lanes(one, -2, lambda x: _analytic(np.concatenate((x, np.zeros(n - len(x))))), n, True)
 
 
 def stft(t: Tensor, n: int, hop: int, shape: str = "hanning", rate: float = 1.0) -> tuple[Tensor, Tensor, Tensor]:

@@ -371,7 +371,26 @@ add("fftshift", lambda s, d: shown(fourier.fftshift(views.embeddings(s, d))), _e
 add("ifftshift", lambda s, d: shown(fourier.ifftshift(views.embeddings(s, d))), _e(f"SELECT i0, (i1 + 32) % 64 AS i1, {_v} AS v FROM emb"))
 add("hilbert1d", lambda s, d: shown(elementwise.real(fourier.hilbert1d(views.embeddings(s, d)))), _e(f"SELECT i0, i1, {_v} AS v FROM emb"))
 add("hilbert1dr", lambda s, d: shown(fourier.hilbert1dr(views.embeddings(s, d))))
-add("hilbert2", lambda s, d: shown_complex(fourier.hilbert2(_square(s, d))))
+
+
+def _padded(f) -> Query:
+    """A transform in both directions of the whole matrix, whose columns zeros extend to a power of two."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        t = views.embeddings(s, d)
+        return shown_complex(f(t, fourier.padded_length(t.shape[0])), 5)
+
+    return query
+
+
+add("hilbert2", _padded(fourier.hilbert2))
+# the whole matrix, where the query above with SQL reads its first rows or turns its result back
+add("fft2_spectrum", _padded(fourier.fft2))
+add("rfft2_spectrum", _padded(fourier.rfft2))
+add("hilbert1d_signal", lambda s, d: shown_complex(fourier.hilbert1d(views.embeddings(s, d))))
+add("medfilt_whole", lambda s, d: shown(lanes.medfilt(views.embeddings(s, d), 3, 3)))
+add("matmul_whole", lambda s, d: shown(linalg.matmul(shape.transpose(views.embeddings(s, d)), views.embeddings(s, d))))
+add("inner_whole", lambda s, d: shown(linalg.inner(shape.transpose(views.embeddings(s, d)), shape.transpose(views.embeddings(s, d)))))
 add("stft", lambda s, d: shown_complex(fourier.stft(views.embeddings(s, d), 16, 8)[2]))
 add("istft", lambda s, d: shown(fourier.istft(fourier.stft(views.embeddings(s, d), 16, 8)[2], 16, 8)))
 add("mfbank", lambda s, d: shown(fourier.mfbank(s, 20, 512, 16_000)))
