@@ -1,15 +1,14 @@
 """Scoring texts by a probabilistic suffix tree over words, with one over characters beneath it.
 
 Of the lower tree the symbols are the UTF-8 bytes of words, the end of a word and the end of a text. A context of up to
-``DEPTH`` symbols stays in the tree if it is frequent enough and its next symbols differ enough
+``DEPTH`` symbols stays in the tree if it is seen ``LEAST_COUNT`` times and its next symbols differ enough
 from those of the context without its first symbol; next-symbol distributions are smoothed with
 the shorter context's. Each symbol is scored in the state of the longest suffix in the tree, and a
-word's symbols together smooth the word's own count. Of the upper tree the symbols are words: the
-word before is a context if it is frequent and what follows it differs enough from the rest, else
-the state is the root. Its distributions are smoothed with the root's.
+word's symbols together smooth the word's own count. Of the upper tree the symbols are words: up to ``WORD_DEPTH``
+words before are a context by the same two conditions, smoothed with the context without its first word, at last with the root.
 
-Contexts and words are counted over all training texts. The tree itself is bounded: a context has
-a share of ``LEAST_SHARE`` of all symbols at least, so there are no more than DEPTH / LEAST_SHARE.
+Contexts and words are counted over all training texts. No tree is on the driver: both stay in tables. The lower one
+is built and asked in parts, one for each pair of last symbols; the upper one is joined to blocks of texts.
 """
 
 from __future__ import annotations
@@ -27,7 +26,10 @@ from .shingles import mix, word_hashes
 
 U64 = np.uint64
 DEPTH = 5
-LEAST_SHARE = 1e-5
+#: Times that a context is seen at least.
+LEAST_COUNT = 2
+#: Words in a context of the upper tree at most.
+WORD_DEPTH = 3
 #: A context stays if its count times its divergence from the shorter one (nats) is above this, plus its number of next symbols.
 LEAST_DIVERGENCE = 8.0
 SYMBOLS = 64
@@ -36,11 +38,11 @@ _SPACE, _NEWLINE = 0x20, 0x0A
 #: Bytes of text that are counted or scored at a time; a longer text is handled alone, whole.
 CHUNK = 1 << 20
 #: Bytes of text in a block, whose documents look up word counts together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of text whose counts a task adds up before it hands them on.
 HELD_BYTES = 64 << 20
-#: Share of all tokens that a word needs to be a context, so there are at most 1 / WORD_SHARE.
-WORD_SHARE = 1e-3
+#: The same for grams of words, which hardly repeat.
+GRAM_BYTES = 8 << 20
 #: Share of unseen words in the base score.
 SMALL = 0.1
 
@@ -108,6 +110,14 @@ def _raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _windows(stream: np.ndarray) -> np.ndarray:
+    """At each place of a stream the last DEPTH + 1 bytes as a number."""
+    window = np.zeros(len(stream), U64)
+    for k in range(DEPTH, -1, -1):
+        window[k:] |= stream[: len(stream) - k].astype(U64) << U64(8 * k)
+    return window
+
+
 def corpus_counts(texts: DataFrame) -> DataFrame:
     """(window boolean, key, n) over all rows of (text): words by hash, and windows of DEPTH + 1 bytes.
 
@@ -131,10 +141,7 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
                 own = texts[a:b]
                 words.add(*_totals(word_hashes(own)[0]))
                 stream, starts = _stream(own)
-                window = np.zeros(len(stream), U64)
-                for k in range(DEPTH, -1, -1):
-                    window[k:] |= stream[: len(stream) - k].astype(U64) << U64(8 * k)
-                windows.add(*_totals(window[_scored(starts, len(stream))]))
+                windows.add(*_totals(_windows(stream)[_scored(starts, len(stream))]))
                 held, ends = held + len(stream), ends + b - a
                 if held >= HELD_BYTES:
                     yield from emit()
@@ -144,48 +151,56 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "window boolean, key long, n long").groupBy("window", "key").agg(F.sum("n").alias("n"))
 
 
-def pair_keys(words: np.ndarray, sizes: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text's tokens (words, then the end) those after a word in ``contexts`` (sorted): their places, the context's number, and a key of both.
+def grams(words: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For contexts of 1, 2, ... words: places of the tokens (each text's words, then its end) that have one, the context's
+    key, that of the context without its first word (0: the root), and that of the context with the token.
 
-    A key holds the context's number (10 bits), a group of the token (6 bits) and 48 bits of a hash.
+    A key is a hash whose first 6 bits are the last token's, its group.
     """
     ends = np.cumsum(sizes + 1) - 1
     tokens = np.zeros(len(words) + len(sizes), U64)
     is_word = np.ones(len(tokens), bool)
     is_word[ends] = False
     tokens[is_word] = words
-    if not len(contexts) or not len(tokens):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
-    at = np.searchsorted(contexts, tokens[:-1])
-    at[at == len(contexts)] = 0
-    place = np.flatnonzero(is_word[:-1] & (contexts[at] == tokens[:-1]))
-    following = tokens[place + 1]
-    key = at[place].astype(U64) << U64(54) | following >> U64(58) << U64(48) | mix(mix(tokens[place]) + following) >> U64(16)
-    return place + 1, at[place], key
+    position = np.arange(len(tokens)) - np.repeat(ends - sizes, sizes + 1)
+    before, shorter = tokens, np.zeros(len(tokens), U64)
+    for k in range(1, WORD_DEPTH + 1):
+        longer = np.zeros(len(tokens), U64)
+        longer[1:] = tokens[1:] >> U64(58) << U64(58) | mix(mix(before[:-1]) + tokens[1:]) >> U64(6)
+        place = np.flatnonzero(position >= k)
+        yield place, before[place - 1], shorter[place - 1], longer[place]
+        before, shorter = longer, before
 
 
-def pair_counts(texts: DataFrame, contexts: np.ndarray) -> DataFrame:
-    """(key, n): how often each token follows each context, over all rows of (text)."""
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """(depth, context, shorter, event, n): how often each token follows each context, over all rows of (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, size = Sums(), 0
+        held: list[list[tuple]] = [[] for _ in range(WORD_DEPTH)]
+        size = 0
 
         def emit() -> Iterator[pa.RecordBatch]:
-            keys, n = sums.total()
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+            for k, parts in enumerate(held):
+                if parts:
+                    context, shorter, event = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    event, first, n = np.unique(event, return_index=True, return_counts=True)
+                    keys = [pa.array(x.view(np.int64)) for x in (context[first], shorter[first], event)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k + 1, np.int32)), *keys, pa.array(n)], ["depth", "context", "shorter", "event", "n"])
+                    parts.clear()
 
         for batch in batches:
             texts = _raw(batch.column(0))
             for a, b in _pieces(texts):
-                words, sizes = word_hashes(texts[a:b])
-                sums.add(*_totals(pair_keys(words, sizes, contexts)[2]))
+                for k, (_, *keys) in enumerate(grams(*word_hashes(texts[a:b]))):
+                    held[k].append(tuple(keys))
                 size += sum(map(len, texts[a:b]))
-                if size >= HELD_BYTES:
+                if size >= GRAM_BYTES:
                     yield from emit()
-                    sums, size = Sums(), 0
+                    size = 0
         yield from emit()
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = texts.mapInArrow(run, "depth int, context long, shorter long, event long, n long")
+    return rows.groupBy("depth", "context", "shorter", "event").agg(F.sum("n").alias("n"))
 
 
 def _discount(once: int, twice: int) -> float:
@@ -193,36 +208,40 @@ def _discount(once: int, twice: int) -> float:
     return min(max((once + 0.5) / (once + 2 * twice + 1), 0.02), 0.98)
 
 
-class Contexts:
-    """The upper tree's states below the root: words, their counts, how many tokens follow each, and the discount."""
-
-    def __init__(self, words: DataFrame, texts: DataFrame, n: int) -> None:
-        """``words`` (word, c) are all words' counts, ``texts`` the training texts. ``pairs`` is a table of what follows the states kept."""
-        rows = words.filter((F.col("word") != 0) & (F.col("c") >= max(2.0, WORD_SHARE * n))).collect()
-        found = sorted((int(np.int64(r.word).view(U64)), int(r.c)) for r in rows)
-        self.words = np.array([w for w, _ in found], U64)
-        self.counts = np.array([c for _, c in found], float)
-        pairs = written(pair_counts(texts, self.words), "pairs")
-        context, group = F.shiftrightunsigned("key", 54).cast("int").alias("context"), F.shiftrightunsigned("key", 48).bitwiseAND(F.lit(63)).cast("int").alias("group")
-        root = np.full(64, 0.5)
-        for r in words.groupBy(F.shiftrightunsigned("word", 58).cast("int").alias("group")).agg(F.sum("c").alias("n")).collect():
-            root[r.group] += r.n
-        groups = np.zeros((len(found), 64))
-        self.kinds = np.zeros(len(found))
-        once = twice = 0
-        sums = [F.sum("n").alias("n"), F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")]
-        for r in pairs.groupBy(context, group).agg(*sums).collect():
-            groups[r.context, r.group] = r.n
-            self.kinds[r.context] += r.kinds
-            once, twice = once + r.once, twice + r.twice
-        self.discount = _discount(once, twice)
-        # the divergence of groups of tokens is a lower bound of that of tokens
-        share = groups / np.maximum(groups.sum(axis=1, keepdims=True), 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            test = np.where(groups > 0, groups * np.log(share / (root / root.sum())), 0).sum(axis=1)
-        self.kept = test > LEAST_DIVERGENCE + (groups > 0).sum(axis=1)
-        kept = np.flatnonzero(self.kept).tolist()
-        self.pairs = pairs.filter(context.isin(kept)) if kept else pairs.limit(0)
+def word_tree(words: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(context, n, kinds) of the upper tree's states below the root, (event, n) of what follows them, and the discount by depth.
+
+    ``words`` (word, c) are all words' counts, ``texts`` the training texts. A state's suffixes are states.
+    The divergence of 64 groups of tokens is a lower bound of that of tokens, and few counts don't make it large.
+    """
+    counted = written(gram_counts(texts), "grams")
+    root = np.full(64, 0.5)
+    for r in words.groupBy(F.shiftrightunsigned("word", 58).cast("int").alias("g")).agg(F.sum("c").alias("n")).collect():
+        root[r.g] += r.n
+    seen = {r.depth: (r.once, r.twice) for r in counted.groupBy("depth").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()}
+    discounts = [_discount(*seen.get(k, (0, 0))) for k in range(1, WORD_DEPTH + 1)]
+    groups = counted.groupBy("depth", "context", "shorter", F.shiftrightunsigned("event", 58).cast("int").alias("g")).agg(F.sum("n").alias("m"), F.count("*").alias("kinds"))
+    contexts = groups.groupBy("depth", "context", "shorter").agg(F.sum("m").alias("n"), F.sum("kinds").alias("kinds"), F.map_from_entries(F.collect_list(F.struct("g", "m"))).alias("own"))
+    contexts = written(contexts.filter(F.col("n") >= LEAST_COUNT), "contexts")
+    base = F.array(*(F.lit(float(x)) for x in root / root.sum()))
+    upper = contexts.select(F.col("context").alias("shorter"), F.col("n").alias("all"), F.col("own").alias("upper"))
+
+    def tested(rows: DataFrame, share) -> DataFrame:
+        terms = F.aggregate(F.map_entries("own"), F.lit(0.0), lambda a, e: a + e["value"] * F.log(e["value"] / F.col("n") / share(e["key"])))
+        return rows.filter(terms > LEAST_DIVERGENCE + F.size("own")).select("context", "shorter")
+
+    level = [tested(contexts.filter("depth = 1"), lambda g: F.get(base, g))]
+    for k in range(2, WORD_DEPTH + 1):
+        level.append(tested(contexts.filter(F.col("depth") == k).join(upper, "shorter"), lambda g: F.col("upper")[g] / F.col("all")))
+    kept = written(level[-1], "kept")
+    states = kept.select("context")
+    for k in range(WORD_DEPTH - 1, 0, -1):
+        longer = kept.select(F.col("shorter").alias("context")).distinct()
+        suffixes = contexts.filter(F.col("depth") == k).select("context", "shorter").join(longer, "context", "left_semi")
+        kept = written(level[k - 1].union(suffixes).distinct(), "kept")
+        states = states.union(kept.select("context"))
+    states = written(contexts.select("context", "n", "kinds").join(states, "context", "left_semi"), "states")
+    return states, counted.join(states.select("context"), "context", "left_semi").select("event", "n"), discounts
 
 
 class SuffixTree:
@@ -231,13 +250,16 @@ class SuffixTree:
     A state has a twin in which it stays, for when no longer context is in the tree.
     """
 
-    def __init__(self, alphabet: np.ndarray, contexts: dict[int, np.ndarray]) -> None:
-        """``alphabet``: the symbol of each byte; ``contexts``: counts of next symbols by context, symbols packed by 6 bits after a leading 1."""
+    def __init__(self, alphabet: np.ndarray, contexts: dict[int, np.ndarray], part: bool = False) -> None:
+        """``alphabet``: the symbol of each byte; ``contexts``: counts of next symbols by context, symbols packed by 6 bits after a leading 1.
+
+        In a part of the tree contexts of one symbol stay, as other parts may need them.
+        """
         self.symbol = alphabet
         depth_of = {key: (key.bit_length() - 1) // 6 for key in contexts}
         root = contexts.get(1, np.zeros(SYMBOLS))
         shares = {1: (root + 0.5) / (root.sum() + 0.5 * SYMBOLS)}
-        kept = {1}
+        kept = {1, *(k for k in contexts if part and depth_of[k] == 1)}
         for key in sorted((k for k in contexts if k != 1), key=lambda k: (depth_of[k], k)):
             shorter = self._shorter(key, depth_of[key])
             if shorter not in shares:
@@ -271,15 +293,24 @@ class SuffixTree:
     def token_scores(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each token: a text's words in order, then its end."""
         stream, starts = _stream(texts)
-        symbols = self.symbol[stream].astype(np.int32)
-        places = _scored(starts, len(stream))
-        state = np.zeros(len(places), np.int32)
-        for back in range(1, DEPTH + 1):
-            state = self.longer[state * SYMBOLS + symbols[places - back]]
-        last = symbols[places]
-        values = self.logs[state * SYMBOLS + last].astype(np.float64)
-        sums = np.cumsum(values)[(last == WORD_END) | (last == TEXT_END)]
-        return np.diff(sums, prepend=0.0)
+        windows = _windows(stream)[_scored(starts, len(stream))]
+        return _token_sums(windows, self.window_scores(windows))
+
+    def window_scores(self, windows: np.ndarray) -> np.ndarray:
+        """log10 probability of each window's last byte after those before."""
+        state = np.zeros(len(windows), np.int32)
+        for back in range(DEPTH + 1):
+            symbols = self.symbol[(windows >> U64(8 * back) & U64(255)).astype(np.int64)].astype(np.int32)
+            if back:
+                state = self.longer[state * SYMBOLS + symbols]
+            else:
+                last = symbols
+        return self.logs[state * SYMBOLS + last].astype(np.float64)
+
+
+def _token_sums(windows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    last = windows & U64(255)
+    return np.diff(np.cumsum(values)[(last == U64(_SPACE)) | (last == U64(_NEWLINE))], prepend=0.0)
 
 
 def _alphabet(counts: np.ndarray) -> np.ndarray:
@@ -291,8 +322,8 @@ def _alphabet(counts: np.ndarray) -> np.ndarray:
     return symbol
 
 
-def fit_tree(windows: DataFrame, least_share: float = LEAST_SHARE) -> SuffixTree:
-    """The tree of counted windows (key, n). The driver gets contexts above the least share, with their next symbols."""
+def context_counts(windows: DataFrame, least_share: float = 0.0) -> tuple[np.ndarray, DataFrame]:
+    """Symbols of bytes, and (context, next, n) of counted windows (key, n): contexts seen often enough, with their next symbols."""
     by_byte = np.zeros(256, np.int64)
     for r in windows.groupBy(F.expr("cast(key & 255 as int)").alias("b")).agg(F.sum("n").alias("n")).collect():
         by_byte[r.b] = r.n
@@ -311,13 +342,47 @@ def fit_tree(windows: DataFrame, least_share: float = LEAST_SHARE) -> SuffixTree
 
     rows = windows.select("key", "n").mapInArrow(contexts, "context long, next int, n long").groupBy("context", "next").agg(F.sum("n").alias("n"))
     rows = written(rows, "contexts")
-    least = max(2.0, least_share * float(by_byte.sum()))
+    least = max(float(LEAST_COUNT), least_share * float(by_byte.sum()))
     frequent = rows.groupBy("context").agg(F.sum("n").alias("m")).filter(F.col("m") >= least).select("context")
-    got = rows.join(frequent, "context").toPandas()
+    return symbol, rows.join(frequent, "context", "left_semi")
+
+
+def _by_context(context: list[int], following: list[int], n: list[int]) -> dict[int, np.ndarray]:
     found: dict[int, np.ndarray] = {}
-    for context, following, n in zip(got["context"].tolist(), got["next"].tolist(), got["n"].tolist(), strict=True):
-        found.setdefault(context, np.zeros(SYMBOLS))[following] += n
-    return SuffixTree(symbol, found)
+    for c, f, m in zip(context, following, n, strict=True):
+        found.setdefault(c, np.zeros(SYMBOLS))[f] += m
+    return found
+
+
+def fit_tree(windows: DataFrame, least_share: float = 0.0) -> SuffixTree:
+    """The whole tree of counted windows (key, n), for small tables."""
+    symbol, rows = context_counts(windows, least_share)
+    got = rows.toPandas()
+    return SuffixTree(symbol, _by_context(got["context"].tolist(), got["next"].tolist(), got["n"].tolist()))
+
+
+def byte_scores(windows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(word, logp) of all rows of ``asked`` (key): a mixed window, and its last byte's log10 probability by the tree of ``windows``.
+
+    Contexts and windows meet by their last two symbols, so a part of the tree is bounded by the alphabet.
+    """
+    symbol, rows = context_counts(windows)
+    first = [(r.context, r.next, r.n) for r in rows.filter("context < 4096").collect()]  # none, or one symbol
+    table = F.array(*(F.lit(int(x)) for x in symbol))
+    pair = lambda key: F.get(table, key(1)) + F.get(table, key(2)) * 64
+    own = rows.filter("context >= 4096").select(F.col("context").bitwiseAND(F.lit(4095)).cast("int").alias("pair"), "context", "next", "n")
+    questions = asked.select(pair(lambda k: F.shiftrightunsigned("key", 8 * k).bitwiseAND(F.lit(255)).cast("int")).cast("int").alias("pair"), "key")
+
+    def answer(contexts: pa.Table, windows: pa.Table) -> pa.Table:
+        keys = windows.column("key").to_numpy().view(U64)
+        if len(keys):
+            rows = [contexts.column(c).to_pylist() + [x[i] for x in first] for i, c in enumerate(("context", "next", "n"))]
+            values = SuffixTree(symbol, _by_context(*rows), True).window_scores(keys)
+        else:
+            values = np.zeros(0)
+        return pa.table({"word": pa.array(mix(keys).view(np.int64)), "logp": pa.array(values, pa.float64())})
+
+    return own.groupBy("pair").cogroup(questions.groupBy("pair")).applyInArrow(answer, "word long, logp double")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -361,20 +426,20 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     tokens are words between white space, then one end. ``base_score`` is the smoothed unigram
     score. ``score`` is the model's log10 probability of the whole text: a token's count in training
     less an absolute discount (Ney's estimate from words seen once and twice), whose sum goes to
-    words by the suffix tree's probability of their symbols; after a word that is a context, the same
-    with what was counted there, the rest going to this. Words are known by 64-bit hashes. To look up word counts, documents are dealt into blocks of about 16 MB by a
-    hash; a block's distinct words are joined with the counts and come back to it, so a word in
-    every document is one row for each block. Repeated rows and null ids are scored like any other;
+    words by the suffix tree's probability of their symbols; after words that are a context, the same
+    with what was counted there, the rest going to the shorter context's. Words are known by 64-bit hashes. To look up counts and states,
+    documents are dealt into blocks of about 4 MB by a hash; a block's distinct words, grams and windows are joined with the tables
+    and come back to it, so a word in every document is one row for each block. Repeated rows and null ids are scored like any other;
     with no training rows everything is unseen; an empty table gives an empty table.
     """
     counts = written(corpus_counts(train.select("text")), "counts")
     words = counts.filter("NOT window").select(F.col("key").alias("word"), F.col("n").alias("c"))
-    tree = fit_tree(counts.filter("window").select("key", "n"))
+    windows = corpus_counts(docs.select("text")).filter("window").select("key")
+    spelled = written(byte_scores(counts.filter("window").select("key", "n"), windows), "spelled")
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("word") == 0, F.col("c"))), F.lit(0)).alias("ends"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     n, v, ends = int(sums.n), int(sums.v), int(sums.ends)
     discount = _discount(int(sums.once), int(sums.twice))
-    upper = Contexts(words, train.select("text"), n)
-    context_words, context_counts, context_kinds, context_kept, context_discount = upper.words, upper.counts, upper.kinds, upper.kept, upper.discount
+    states, events, discounts = word_tree(words, train.select("text"))
     whole = np.log10(n + SMALL * (v + 1))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
@@ -396,24 +461,38 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
                 texts = _unpacked(data.as_py())
                 for a, b in _pieces(texts):
                     hashes, sizes = word_hashes(texts[a:b])
-                    _, context, pairs = pair_keys(hashes, sizes, context_words)
-                    held.setdefault(block, Sums()).add(*_totals(np.concatenate((hashes, pairs[context_kept[context]]))))
+                    stream, starts = _stream(texts[a:b])
+                    own = held.setdefault(block, Sums())
+                    for keys in (hashes, mix(_windows(stream)[_scored(starts, len(stream))]), *(x[3] for x in grams(hashes, sizes))):
+                        own.add(*_totals(keys))
                 size_now += sum(map(len, texts))
-                if size_now >= HELD_BYTES:
+                if size_now >= GRAM_BYTES:
                     yield from emit()
                     held, size_now = {}, 0
         yield from emit()
 
     asked = dealt.select("block", "data").mapInArrow(distinct, "block long, word long")
-    everything = words.union(upper.pairs.select(F.col("key").alias("word"), F.col("n").alias("c")))
-    known = asked.join(everything, "word").select("block", "word", "c")
+    columns = lambda part, c="0", total="0", kinds="0", logp="0.0": [f"{part} AS part", f"cast({c} as long) AS c", f"cast({total} as long) AS total", f"cast({kinds} as long) AS kinds", f"cast({logp} as double) AS logp"]
+    everything = words.selectExpr("word", *columns(0, "c")).unionAll(events.selectExpr("event AS word", *columns(0, "n")))
+    everything = everything.unionAll(states.selectExpr("context AS word", *columns(1, "0", "n", "kinds"))).unionAll(spelled.selectExpr("word", *columns(2, logp="logp")))
+    known = asked.join(everything, "word").select("block", "word", "part", "c", "total", "kinds", "logp")
+
+    def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return at, keys[at] == wanted
 
     def score(own: pa.Table, seen: pa.Table) -> pa.Table:
-        keys = seen.column("word").to_numpy().view(U64)
-        order = np.argsort(keys)
-        keys = np.append(keys[order], U64(2**64 - 1))
-        logs = np.append(np.log10(seen.column("c").to_numpy()[order] + SMALL), 0.0) - whole
-        found = np.append(seen.column("c").to_numpy()[order], 0)
+        part, keys = seen.column("part").to_numpy(), seen.column("word").to_numpy().view(U64)
+        order = np.lexsort((keys, part))
+        first, second = np.searchsorted(part[order], [1, 2])
+        of = lambda name, a, b: seen.column(name).to_numpy()[order[a:b]]
+        state, window = keys[order[first:second]], keys[order[second:]]
+        totals, kinds_of, spelling = of("total", first, second), of("kinds", first, second), of("logp", second, None)
+        keys = np.append(keys[order[:first]], U64(2**64 - 1))
+        logs = np.append(np.log10(of("c", 0, first) + SMALL), 0.0) - whole
+        found = np.append(of("c", 0, first), 0)
         unseen = np.log10(SMALL) - whole
         end = np.log10(ends + SMALL) - whole
         ids = [x for part in own.column("ids").to_pylist() for x in part]
@@ -433,16 +512,17 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
             is_word = np.ones(len(token_counts), bool)
             is_word[stop - 1] = False
             token_counts[is_word] = np.where(hit, found[at], 0)
-            own_scores = tree.token_scores(texts[a:b])
+            stream, starts = _stream(texts[a:b])
+            windows = _windows(stream)[_scored(starts, len(stream))]
+            own_scores = _token_sums(windows, spelling[find(window, mix(windows))[0]])
             if n:
                 share = (np.maximum(token_counts - discount, 0) + discount * v * 10.0**own_scores) / n
-                place, context, pairs = pair_keys(hashes, sizes, context_words)
-                kept = context_kept[context]
-                place, context, pairs = place[kept], context[kept], pairs[kept]
-                at = np.searchsorted(keys[:-1], pairs)
-                seen_pairs = np.where(keys[at] == pairs, found[at], 0)
-                spread = context_discount * context_kinds[context] * share[place]
-                share[place] = (np.maximum(seen_pairs - context_discount, 0) + spread) / context_counts[context]
+                for d, (place, context, _, event) in zip(discounts, grams(hashes, sizes), strict=True):
+                    at, hit = find(state, context)
+                    at, place, event = at[hit], place[hit], event[hit]
+                    where, hit = find(keys[:-1], event)
+                    count = np.where(hit, found[where], 0)
+                    share[place] = (np.maximum(count - d, 0) + d * kinds_of[at] * share[place]) / totals[at]
                 own_scores = np.log10(share)
             columns[3] += np.add.reduceat(own_scores, stop - sizes - 1).tolist()
         numbers = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([n] * len(ids), pa.int64())]

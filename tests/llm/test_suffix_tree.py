@@ -5,7 +5,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from latticeframe.llm.suffix_tree import DEPTH, SYMBOLS, SuffixTree, _stream, corpus_counts, fit_tree, score_texts
+from latticeframe.llm.suffix_tree import DEPTH, SYMBOLS, SuffixTree, _stream, byte_scores, corpus_counts, fit_tree, score_texts
+from latticeframe.llm.shingles import mix
 
 
 def tokens(text):
@@ -94,6 +95,22 @@ def test_the_fifth_symbol_back_decides(spark):
     assert right > wrong + 2
 
 
+def test_rare_words_two_back_decide(spark):
+    filler = [" ".join(f"w{i}v{j}" for j in range(200)) for i in range(600)]
+    train = spark.createDataFrame([(i, t) for i, t in enumerate(filler + ["left mid east", "right mid west"] * 40)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "left mid east"), (2, "left mid west"), (3, "right mid west"), (4, "right mid east")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in score_texts(docs, train).collect()}
+    assert score[1] > score[2] + 1 and score[3] > score[4] + 1
+
+
+def test_parts_of_the_tree_score_like_the_whole(spark, texts):
+    counts = corpus_counts(spark.createDataFrame([(t,) for t in texts], "text string")).filter("window").select("key", "n")
+    asked = corpus_counts(spark.createDataFrame([(t,) for t in make(9, 50)], "text string")).filter("window").select("key")
+    keys = np.array([r.key for r in asked.collect()], np.int64).view(np.uint64)
+    got = {r.word: r.logp for r in byte_scores(counts, asked).collect()}
+    assert [got[int(x)] for x in mix(keys).view(np.int64)] == pytest.approx(fit_tree(counts).window_scores(keys).tolist(), abs=1e-5)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
     rows = score_texts(docs, docs.limit(0)).collect()
