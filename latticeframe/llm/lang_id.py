@@ -165,14 +165,19 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
 def kept_languages(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs``, with all columns, whose text is in a learned language: not ``und``, and with a score of ``least`` or more.
 
+    If no language was learned, those whose text has a letter.
+
     Texts go to Python but not back: a row is known by a 64-bit hash of its id and text, and only
     hashes of rejected rows return, for an anti-join.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [profiles.predict(t) for t in values(batch.column(1))]
-            gone = pa.array([lang == "und" or score < least for lang, score in found], pa.bool_())
+            if profiles.langs:
+                found = [profiles.predict(t) for t in values(batch.column(1))]
+                gone = pa.array([lang == "und" or score < least for lang, score in found], pa.bool_())
+            else:
+                gone = pa.array([not (t and len(grams(t))) for t in values(batch.column(1))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(gone)], ["_row"])
 
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))

@@ -71,3 +71,9 @@ def test_nulls_and_empty_tables(spark):
     assert identify(docs.limit(0), nothing).count() == 0
     kept = kept_languages(docs, fit_profiles(docs))
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, 5, 6}
+
+
+def test_without_a_learned_language_texts_with_letters_stay(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 !", None), (3, "", None), (4, None, None), (5, "é", None)], "doc_id long, text string, lang string")
+    rows = kept_languages(docs, fit_profiles(docs)).collect()
+    assert sorted(r.doc_id for r in rows) == [1, 5]
