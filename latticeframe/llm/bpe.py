@@ -20,11 +20,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import values
+
 #: The split patterns of the two layouts.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words kept by a Python worker; when full, the cache is emptied.
-CACHE_WORDS = 500_000
+#: Words kept by a Python worker, and the longest of them; when full, the cache is emptied.
+CACHE_WORDS = 200_000
+KEPT_LENGTH = 64
 WHITE_SPACE = [chr(c) for c in range(0x3001) if regex.match(r"\s", chr(c))]
 #: Longer words are merged with a heap, which gives the same parts in less time.
 SHORT_WORD = 256
@@ -106,18 +109,20 @@ class Encoder(dict):
     def __missing__(self, unit: str) -> bytes:
         """Ids of a stretch of text that no piece crosses, kept for the next time."""
         out = b"".join([self._piece(p) for p in self._pieces(unit)])
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[unit] = out
+        if len(unit) <= KEPT_LENGTH:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[unit] = out
         return out
 
     def _piece(self, piece: str) -> bytes:
         out = self.pieces.get(piece)
         if out is None:
             out = np.array(self.merged(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-            if len(self.pieces) >= CACHE_WORDS:
-                self.pieces.clear()
-            self.pieces[piece] = out
+            if len(piece) <= KEPT_LENGTH:
+                if len(self.pieces) >= CACHE_WORDS:
+                    self.pieces.clear()
+                self.pieces[piece] = out
         return out
 
     def _pieces(self, text: str) -> list[str]:
@@ -178,7 +183,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep: bool = True) -> DataFra
         code = encoder(tokenizer)
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
-            for text in batch.column(1).to_pylist():
+            for text in values(batch.column(1)):
                 ids = code.encode(text or "")
                 decoded = code.decode(ids)
                 row = len(ids) // 4, sha256(ids).hexdigest(), sha256(decoded.encode()).hexdigest(), ids, decoded

@@ -15,13 +15,13 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import BYTE_PATTERN, CACHE_WORDS, WHITE_SPACE, Encoder
-from .shared import written
+from .bpe import BYTE_PATTERN, CACHE_WORDS, KEPT_LENGTH, WHITE_SPACE, Encoder
+from .shared import values, written
 
 #: Pieces that one task packs together.
 GROUP_PIECES = 8192
-#: Rounds in which pieces of bins that didn't get full are dealt out anew.
-ROUNDS = 6
+#: A round that leaves more than this share of its pieces in bins that aren't full is the last.
+LAST_SHARE = 0.9
 
 
 class FastEncoder(dict):
@@ -40,9 +40,10 @@ class FastEncoder(dict):
 
     def __missing__(self, unit: str) -> bytes:
         out = np.array(self.own.encode_ordinary(unit), "<u4").tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[unit] = out
+        if len(unit) <= KEPT_LENGTH:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[unit] = out
         return out
 
     def _plain(self, text: str) -> bytes:
@@ -76,7 +77,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_
         code, end = fast_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for at, text in enumerate(batch.column(1).to_pylist()):
+            for at, text in enumerate(values(batch.column(1))):
                 ids = code.encode(text or "") + end
                 n = len(ids) // 4
                 start, stop = 0, n - (n - 1) // capacity * capacity
@@ -188,9 +189,9 @@ class Bins:
         for out in ([], *([i] for i in items)):
             want = room + sum(self.sizes[i] for i in out)
             y = np.flatnonzero(self.count[1 : want // 2 + 1] * self.count[want - 1 : want - want // 2 - 1 : -1]) + 1 if want > 1 else []
-            for size in list(y)[:64]:
-                first = self._elsewhere(int(size), b)
-                second = None if first is None else self._elsewhere(want - int(size), b, first)
+            for size in np.asarray(y).tolist():
+                first = self._elsewhere(size, b)
+                second = None if first is None else self._elsewhere(want - size, b, first)
                 if second is not None and self._exchange(b, out, [first, second]):
                     return True
         for k, i in enumerate(items):
@@ -204,7 +205,7 @@ class Bins:
         for out in ([], *([i] for i in items)):
             most = room + sum(self.sizes[i] for i in out)
             low = sum(self.sizes[i] for i in out) + 1
-            for size in (np.flatnonzero(self.count[low : most + 1])[::-1] + low).tolist()[:64]:
+            for size in (np.flatnonzero(self.count[low : most + 1])[::-1] + low).tolist():
                 if (j := self._elsewhere(size, b)) is not None and self._exchange(b, out, [j]):
                     return True
         return False
@@ -239,7 +240,7 @@ def _packer(capacity: int, level: int, last: bool):
             first[1:] = number[1:] != number[:-1]
         base = np.maximum.accumulate(np.where(first, starts, 0))
         full = np.array(bins.fill, np.int64)[number] == capacity if len(order) else np.zeros(0, bool)
-        seq = (level << 58) + (int(frame["g"].iloc[0]) << 20) + number
+        seq = (level << 50) + (int(frame["g"].iloc[0]) << 16) + number
         return pd.DataFrame({"uid": frame["uid"].to_numpy()[order], "length": length, "sequence_id": seq, "offset": starts - base, "done": full | last})
 
     return pack
@@ -252,31 +253,34 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
     than ``capacity`` are cut. Returns for each piece doc_id, piece, start, length, ids_crc32,
     sequence_id, offset (and ids with ``keep_ids``). Full pieces are sequences of their own. The
     others are dealt at random into groups of some 8192; each task packs its group by best fit,
-    then by exchanges between underfull bins that raise the sum of squared fills. Bins that are
-    full are done; the pieces of the others are dealt anew, round after round, until one group is
-    left or a round settles less than a tenth. Repeated rows and null ids are packed like any
-    other; an empty table gives an empty table.
+    then by exchanges between underfull bins that fill one of them. Bins that are full are done;
+    the pieces of the others are dealt anew, round after round, until one group is left or a round
+    settles less than a tenth. In that last round all groups go on with exchanges that raise the
+    sum of squared fills until none is left, and their bins stay. Repeated rows and null ids are
+    packed like any other; an empty table gives an empty table.
     """
-    pieces = written(tokenized_pieces(docs, tokenizer, capacity, end_id, keep_ids), "pieces").withColumn("uid", F.monotonically_increasing_id())
+    # numbers are written with their pieces: read again by other executors, a table may be split otherwise
+    pieces = written(tokenized_pieces(docs, tokenizer, capacity, end_id, keep_ids).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     names = [c for c in pieces.columns if c != "uid"]
     whole = pieces.filter(F.col("length") == capacity).select(*names, (F.lit(1 << 62) + F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     placed = None
     left = pieces.filter(F.col("length") < capacity).select("uid", "length")
     n = left.count()
-    for level in range(ROUNDS):
-        if not n:
-            break
+    level = 0
+    while n:
         groups = -(-n // GROUP_PIECES)
-        last = groups == 1 or level == ROUNDS - 1
-
         dealt = left.withColumn("g", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(groups)))
-        result = written(dealt.groupBy("g").applyInPandas(_packer(capacity, level, last), "uid long, length long, sequence_id long, offset long, done boolean"), "packed")
+
+        def packed(last: bool, dealt: DataFrame = dealt, level: int = level) -> DataFrame:
+            return written(dealt.groupBy("g").applyInPandas(_packer(capacity, level, last), "uid long, length long, sequence_id long, offset long, done boolean"), "packed")
+
+        result = packed(groups == 1)
         waiting = result.filter("NOT done").count()
-        # what hardly shrinks won't get full: then all bins stay as they are
-        close = last or waiting > 0.9 * n
-        mine = (result if close else result.filter("done")).select("uid", "sequence_id", "offset")
+        if groups > 1 and waiting > LAST_SHARE * n:
+            result, waiting = packed(True), 0
+        mine = result.filter("done").select("uid", "sequence_id", "offset")
         placed = mine if placed is None else placed.union(mine)
-        left, n = result.filter("NOT done").select("uid", "length"), 0 if close else waiting
+        left, n, level = result.filter("NOT done").select("uid", "length"), waiting, level + 1
     if placed is None:
         return whole
     return whole.union(pieces.filter(F.col("length") < capacity).join(placed, "uid").select(*names, "sequence_id", "offset"))
