@@ -30,10 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .components import connected_components
-from .shared import written
+from .shared import bounded, quoted, written
 from .shingles import shingle_sets
 
 #: log2 of the sketch's counters: 1 MB of 32-bit counts, whatever the input's size.
@@ -73,8 +72,11 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
                 total += np.frombuffer(c, np.int64)
         yield pa.RecordBatch.from_pydict({"c": [total.tobytes()]})
 
-    # two levels, so that neither one task nor the driver reads a sketch from each partition
-    parts = docs.select("text").mapInArrow(count, "c binary").repartition(32).mapInArrow(add, "c binary")
+    # three levels, so that neither one task nor the driver reads a sketch from each partition
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = docs.select("text").mapInArrow(bounded(count), "c binary")
+    for k in (n, math.isqrt(n) + 1):
+        parts = parts.repartition(k).mapInArrow(bounded(add), "c binary")
     total = np.zeros(1 << SKETCH_BITS, np.int64)
     for row in parts.toLocalIterator():
         total += np.frombuffer(row.c, np.int64)
@@ -149,7 +151,7 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 ["doc_id", "n", "sig", "prefix", "vec"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, sig binary, prefix array<long>, vec binary")
+    return docs.select("doc_id", "text").mapInArrow(bounded(make), "doc_id long, n long, sig binary, prefix array<long>, vec binary")
 
 
 def _shared_rows(routed: DataFrame) -> DataFrame:
@@ -178,7 +180,7 @@ def _shared_rows(routed: DataFrame) -> DataFrame:
             for part in table.filter(pa.array(keep)).to_batches():
                 yield part
 
-    return routed.select("token", "doc", "n").mapInArrow(scan, "token long, doc long, n long")
+    return routed.select("token", "doc", "n").mapInArrow(bounded(scan), "token long, doc long, n long")
 
 
 def _stars(rows: DataFrame, percent: int) -> DataFrame:
@@ -208,7 +210,7 @@ def _stars(rows: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (left, right, sizes)], ["a", "b", "n"])
 
     # a pair that shares few blocks for its size is left to the search
-    tried = ordered.mapInArrow(assign, "a long, b long, n long").groupBy("a", "b").agg(F.count("*").alias("m"), F.max("n").alias("n")).filter(F.col("m") * 500 >= F.col("n") * (100 - percent))
+    tried = ordered.mapInArrow(bounded(assign), "a long, b long, n long").groupBy("a", "b").agg(F.count("*").alias("m"), F.max("n").alias("n")).filter(F.col("m") * 500 >= F.col("n") * (100 - percent))
     return tried.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a")).select("a", "b")
 
 
@@ -231,24 +233,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     asked = asked.union(hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id")))
     rows = asked.join(texts, "doc_id").select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
+    def linked(own: np.ndarray, hub: np.ndarray) -> bool:
+        if min(len(own), len(hub)) * 100 < percent * max(len(own), len(hub)):
+            return False
+        both = int((np.diff(np.sort(np.concatenate((own, hub)))) == 0).sum())
+        return both > 0 and 100 * both >= percent * (len(own) + len(hub) - both)
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, hub = None, np.zeros(0, np.uint64)
+        key, hubs = None, []  # one set, or several where an id is repeated with other texts
         for batch in batches:
             left, right = [], []
             columns = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), shingle_sets(_as_bytes(batch.column(3)), width), strict=True)
             for a, part, b, own in columns:
                 if b is None:
                     if key != (a, part):
-                        key, hub = (a, part), own
-                elif key == (a, part):
-                    least = min(len(own), len(hub)) * 100 >= percent * max(len(own), len(hub))
-                    both = int((np.diff(np.sort(np.concatenate((own, hub)))) == 0).sum()) if least else 0
-                    if both and 100 * both >= percent * (len(own) + len(hub) - both):
-                        left.append(a)
-                        right.append(b)
+                        key, hubs = (a, part), []
+                    if not any(np.array_equal(own, hub) for hub in hubs):
+                        hubs.append(own)
+                elif key == (a, part) and any(linked(own, hub) for hub in hubs):
+                    left.append(a)
+                    right.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(verify, "a long, b long").distinct()
+    return rows.mapInArrow(bounded(verify), "a long, b long").distinct()
 
 
 class CountTree:
@@ -317,25 +324,25 @@ def tree_pairs(n: np.ndarray, comp: np.ndarray, vecs: list[bytes], left: np.ndar
 def _searched(rows: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components (ca, cb) that pass the R-tree bound, from all rows (token, doc, n, comp)."""
     # documents go on that have one of another component and of like size; sizes are alike only within neighbouring steps
-    step = F.floor(F.log("n") / math.log(100 / percent)).alias("step")
+    step = F.floor(F.log("n") / math.log(100 / percent)).cast("int").alias("step")
     rows = rows.withColumn("step", step)
-    spans = rows.groupBy("token", "step").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-    near = spans.select("token", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), "x", "y")
-    near = near.groupBy("token", "step").agg(F.min("x").alias("x"), F.max("y").alias("y")).filter("x <> y").select("token", "step")
-    rows = rows.join(near, ["token", "step"]).drop("step")
-    place = F.row_number().over(Window.partitionBy("token").orderBy("n", "doc")) - 1
-    chunked = written(rows.withColumn("chunk", F.floor(place / CHUNK_DOCS).cast("int")), "blocks")
-    ranges = chunked.groupBy("token", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    first, second = ranges.alias("i"), ranges.alias("j")
-    cells = first.join(
-        second,
-        (F.col("i.token") == F.col("j.token")) & (F.col("i.chunk") <= F.col("j.chunk")) & (F.col("j.low") * percent <= F.col("i.high") * 100),
-    ).select(F.col("i.token").alias("token"), F.col("i.chunk").alias("ci"), F.col("j.chunk").alias("cj"))
+    spans = rows.groupBy("token", "step").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"))
+    apart = (F.lit(-1), F.lit(0), F.lit(1))
+    near = spans.select("token", F.explode(F.array(*(F.struct((F.col("step") + k).alias("step"), "x", "y", F.when(k == 0, F.col("m")).alias("m")) for k in apart))).alias("s"))
+    near = near.groupBy("token", "s.step").agg(F.min("s.x").alias("x"), F.max("s.y").alias("y"), F.max("s.m").alias("m")).filter("x <> y AND m IS NOT NULL")
+    # a step's documents are dealt into chunks by a hash: no task ranks or holds a whole block
+    near = written(near.select("token", "step", F.ceil(F.col("m") / CHUNK_DOCS).cast("int").alias("chunks")), "steps")
+    chunk = lambda step, k: (step.cast("long") * (1 << 32) + k).alias("chunk")
+    chunked = rows.join(near, ["token", "step"]).withColumn("chunk", chunk(F.col("step"), F.pmod(F.xxhash64("doc"), F.col("chunks")))).drop("step", "chunks")
+    chunked = written(chunked, "blocks")
+    each = near.select("token", "step", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k"))
+    first, second = (each.select("token", F.col("step").alias(f"step_{c}"), chunk(F.col("step"), F.col("k")).alias(c)) for c in ("ci", "cj"))
+    cells = first.join(second, "token").filter("ci <= cj AND step_cj <= step_ci + 1").select("token", "ci", "cj")
     sides = cells.select("token", "ci", "cj", F.explode(F.array_distinct(F.array("ci", "cj"))).alias("chunk"))
     # vectors come last: they are shuffled once by document and once to their cells
     placed = (
         chunked.join(sides, ["token", "chunk"])
-        .join(vecs.select("doc", "vec"), "doc")
+        .join(vecs, ["doc", "n"])
         .select("token", "ci", "cj", "chunk", "doc", "n", "comp", "vec")
         .repartition("token", "ci", "cj")
         .sortWithinPartitions("token", "ci", "cj")
@@ -374,26 +381,29 @@ def _searched(rows: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
             found.update(run(pa.concat_tables(held)))
         yield out(found)
 
-    found = placed.mapInArrow(search, "a long, b long, ca long, cb long, likely long")
+    found = placed.mapInArrow(bounded(search), "a long, b long, ca long, cb long, likely long")
     return found.groupBy("a", "b", "ca", "cb").agg(F.max("likely").alias("likely"))
 
 
 def ngram_links(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """(members, links): ``members`` (doc_id, n, rep) with each document's class, ``links`` (a, b) between classes.
+    """(members, links): ``members`` (doc_id, n, rep, sig) with each document's class, ``links`` (a, b) between classes.
 
     ``links`` connects the same classes as the set of all links with J >= percent / 100 does.
     """
     sets = written(_sets(docs, width, percent), "sets")
-    reps = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    members = sets.select("doc_id", "n", "sig").join(reps, "sig", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
+    # most documents are alone in their class; the others' classes are a table, so that a large class is a skewed join and no more
+    alike = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    alike = written(alike.filter("rep <> last").select("sig", "rep"), "classes")
+    members = sets.select("doc_id", "n", "sig").join(alike, "sig", "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"), "sig")
     members = written(members, "members")
-    copies = members.filter("doc_id <> rep").select("doc_id").distinct()
+    copies = members.filter("doc_id <> rep").select("doc_id", "sig").distinct()
     # a table of 2**20 rows at most tells most documents apart from copies, so their sets aren't shuffled for that
     slot = F.expr("pmod(xxhash64(doc_id), 1048576)").cast("int")
     marks = F.broadcast(copies.select(slot.alias("slot")).distinct())
     known = sets.filter("n > 0 AND doc_id IS NOT NULL").withColumn("slot", slot)
-    single = known.join(marks, "slot", "left_anti").unionByName(known.join(marks, "slot", "left_semi").join(copies, "doc_id", "left_anti")).drop("slot")
-    vecs = single.select(F.col("doc_id").alias("doc"), "n", "vec").dropDuplicates(["doc"])
+    single = known.join(marks, "slot", "left_anti").unionByName(known.join(marks, "slot", "left_semi").join(copies, ["doc_id", "sig"], "left_anti")).drop("slot")
+    # an id that is repeated with several texts has several vectors
+    vecs = single.select(F.col("doc_id").alias("doc"), "n", "vec").dropDuplicates()
     routed = single.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"), "n").repartition("token").sortWithinPartitions("token")
     shared = written(_shared_rows(routed), "shared")
     rows = written(shared.join(shared.groupBy("doc").agg(F.count("*").alias("degree")), "doc").select("token", "doc", "n", "degree"), "rows")
@@ -431,9 +441,9 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Data
     """
     members, links = ngram_links(docs, width, percent)
     # rows of one id in several classes join those classes
-    same = members.filter("rep IS NOT NULL AND doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    again = same.join(links.select(F.explode(F.array("a", "b")).alias("a")).distinct(), "a", "left_semi")
-    comps = connected_components(links.union(again))
+    split = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("doc_id", "a")
+    same = members.join(split, "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b")
+    comps = connected_components(links.union(same))
     return (
         members.join(comps, members.rep == comps.node, "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
@@ -443,7 +453,8 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Data
 def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``docs``, with all columns, whose doc_id is the smallest of its component.
 
-    See ``ngram_components``. Rows that share such an id stay together, rows without an id all stay.
+    See ``ngram_components``. Rows that share such an id stay together, rows without an id and texts
+    without words all stay.
     """
     gone = ngram_components(docs, width, percent).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(written(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(written(gone, "gone"), "doc_id", "left_anti").select(*quoted(docs.columns))

@@ -98,3 +98,13 @@ def test_small_cases(spark):
     assert ngram_components(docs.limit(0)).count() == 0
     members, links = ngram_links(docs.limit(0))
     assert members.count() == links.count() == 0
+
+
+def test_an_id_repeated_with_other_texts_is_one_node(spark):
+    x = [f"x{i}" for i in range(40)]
+    y, z = [f"y{i}" for i in range(40)], [f"z{i}" for i in range(40)]
+    near = lambda words: " ".join([*words[:38], "other", "end"])
+    rows = [(7, " ".join(x)), (7, " ".join(y)), (3, " ".join(y)), (9, near(x)), (8, " ".join(x)), (7, " ".join(z)), (11, near(z)), (20, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_components(docs).collect()}
+    assert got == {7: 3, 3: 3, 9: 3, 8: 3, 11: 3, 20: 20}
