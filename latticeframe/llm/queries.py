@@ -15,7 +15,7 @@ from .ngram_join import ngram_components
 from .ogg import ogg_media
 from .packing import pack_documents
 from .quality import judge
-from .secrets import fit_models, ordinary_samples, random_samples, secret_report
+from .secrets import secret_report, train
 from .suffix_tree import score_texts
 from .warc import archive_pages
 
@@ -50,7 +50,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return secret_report(docs, fit_models(ordinary_samples(docs).union(random_samples(spark))))
+    return secret_report(docs, train(docs))
 
 
 def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

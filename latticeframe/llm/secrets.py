@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import free_name, written
+
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ["assign", "access", "hex", "markov"]
 #: Fixed patterns. Of ``assign`` the last group is the value.
@@ -95,36 +97,37 @@ def base_spans(text: Column) -> Column:
 
 
 def random_samples(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
-    """(text, random): strings without order, from digests of numbers, in the usual spellings."""
+    """(text, random, weight): strings without order, from digests of numbers, in the usual spellings."""
     digest = F.sha2(F.col("id").cast("string").cast("binary"), 256)
     plain = F.base64(F.unhex(digest))
     sorts = [plain, F.regexp_replace(plain, "[^A-Za-z0-9]", ""), F.substring(digest, 1, 40), F.upper(F.regexp_replace(plain, "[^A-Za-z0-9]", ""))]
-    return spark.range(n).select(F.explode(F.array(*sorts)).alias("text"), F.lit(True).alias("random"))
+    return spark.range(n).select(F.explode(F.array(*sorts)).alias("text"), F.lit(True).alias("random"), F.lit(1).cast("long").alias("weight"))
 
 
 def ordinary_samples(docs: DataFrame) -> DataFrame:
-    """(text, random): the distinct strings of all documents that no fixed pattern takes, each once."""
-    words = F.regexp_extract_all("text", F.lit(f"{STRING}{{{ORDINARY_LENGTH},}}"), F.lit(0))
-    strings = docs.select(F.explode(F.array_distinct(words)).alias("text")).distinct()
-    return strings.filter(~F.col("text").rlike(f"{HEX}|{ACCESS}")).select("text", F.lit(False).alias("random"))
+    """(text, random, weight): the strings of all documents that are in no span of a fixed pattern, with the number of documents that hold each."""
+    taken = f"{ASSIGN[:-2]}{{{ASSIGN_VALUE},}})|{ACCESS}|{HEX}"
+    words = F.regexp_extract_all(F.regexp_replace("text", taken, " "), F.lit(f"{STRING}{{{ORDINARY_LENGTH},}}"), F.lit(0))
+    strings = docs.select(F.explode(F.array_distinct(words)).alias("text"))
+    return strings.groupBy("text").agg(F.count("*").alias("weight")).select("text", F.lit(False).alias("random"), "weight")
 
 
 def fit_models(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratios of random against ordinary for each pair of characters, from (text, random).
+    """Log-likelihood ratios of random against ordinary for each pair of characters, from (text, random, weight).
 
     The table is indexed by 128 * code of the first + code of the second; code 0 stands before a
     string. What is gathered are counts of pairs, one row for each pair and label at most.
     """
     chars = F.split("text", "")
     pairs = F.zip_with(F.concat(F.array(F.lit("")), F.slice(chars, F.lit(1), F.size(chars) - 1)), chars, lambda a, b: F.ascii(a) * _CODES + F.ascii(b))
-    rows = samples.filter(F.col("text") != "").select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").count().collect()
+    rows = samples.filter(F.col("text") != "").select("random", "weight", F.explode(pairs).alias("pair")).groupBy("random", "pair").agg(F.sum("weight").alias("n")).collect()
     pair_n: Counter = Counter()
     first_n: Counter = Counter()
     second_n: Counter = Counter()
     all_n: Counter = Counter()
     for r in rows:
         for counts, key in ((pair_n, r.pair), (first_n, r.pair // _CODES), (second_n, r.pair % _CODES), (all_n, 0)):
-            counts[r.random, key] += r["count"]
+            counts[r.random, key] += r.n
 
     def share(random: bool, pair: int) -> float:
         alone = (second_n[random, pair % _CODES] + SMOOTHING) / (all_n[random, 0] + SMOOTHING * _LETTERS)
@@ -133,6 +136,22 @@ def fit_models(samples: DataFrame) -> list[float]:
     return [math.log(share(True, p) / share(False, p)) for p in range(_CODES * _CODES)]
 
 
+def train(docs: DataFrame, least: float = LEAST_RATIO) -> list[float]:
+    """The models of a corpus, see ``fit_models``, in two steps.
+
+    A string that two or more documents hold is labelled ordinary. The first step learns those; the second
+    adds the strings of one document, but for those that the first takes for random: so the many
+    distinct secrets of a large corpus aren't learned as ordinary, however many they are. Each string counts once. Null
+    and empty texts and empty tables give no strings; then only the random strings are learned.
+    """
+    ordinary = written(ordinary_samples(docs), "strings")
+    random = random_samples(docs.sparkSession)
+    several = F.col("weight") > 1
+    learn = lambda kept: fit_models(kept.withColumn("weight", F.lit(1).cast("long")).unionByName(random))
+    first = learn(ordinary.filter(several))
+    return learn(ordinary.filter(several | ~F.coalesce(_likely(F.col("text"), first, least), F.lit(False))))
+
+
 def markov_ratio(string: Column, table: list[float]) -> Column:
     """Log-likelihood ratio of a string of known letters, random against ordinary."""
     ratios = F.expr(f"cast(split('{','.join(f'{x:.5f}' for x in table)}', ',') as array<double>)")
@@ -141,24 +160,56 @@ def markov_ratio(string: Column, table: list[float]) -> Column:
     return F.aggregate(F.split(string, ""), start, step)["sum"]
 
 
-def find_secrets(docs: DataFrame, table: list[float], least: float = LEAST_RATIO) -> DataFrame:
-    """``docs`` with ``spans``: array of (start, kind, end) by start and kind, kinds as places in ``KINDS``.
+def _likely(string: Column, table: list[float], least: float) -> Column:
+    """Whether a string is long enough to judge, not all digits, and likelier random."""
+    return (F.length(string) >= STRING_LENGTH) & string.rlike("[A-Za-z]") & (markov_ratio(string, table) >= least)
+
+
+def _apart(spans: Column, base: Column) -> Column:
+    """Those of ``spans`` that overlap none of ``base``, which are looked through in runs."""
+
+    def kept(step: Column) -> Column:
+        def run(r: Column) -> Column:
+            part = F.slice(base, r * step + 1, step)
+            ends = F.transform(part, lambda b: b["end"])
+            return F.struct(part.alias("part"), F.get(part, F.lit(0))["start"].alias("low"), F.array_max(ends).alias("high"))
 
-    Offsets are code points, ends exclusive. Whole texts are searched; a null or empty text has no
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(base) - 1) / step).cast("int")), run)
+        meets = lambda s, b: (b["start"] < s["end"]) & (s["start"] < b["end"])
+        near = lambda s, r: (r["low"] < s["end"]) & (s["start"] < r["high"])
+        return let(runs, lambda found: F.filter(spans, lambda s: ~F.exists(found, lambda r: near(s, r) & F.exists(r["part"], lambda b: meets(s, b)))))
+
+    return F.when(F.size(base) == 0, spans).otherwise(let(F.ceil(F.sqrt(F.size(base))).cast("int"), kept))
+
+
+def find_secrets(docs: DataFrame, table: list[float], least: float = LEAST_RATIO, into: str = "spans") -> DataFrame:
+    """``docs`` with a column ``into``: array of (start, kind, end) by start and kind, kinds as places in ``KINDS``.
+
+    Offsets are code points, ends exclusive. Whole texts of any length are searched; a null or empty text has no
     spans. Besides the fixed patterns, strings of at least ``STRING_LENGTH`` characters, not all digits,
     count whose log-likelihood ratio is ``least`` or more and which touch no other span. Rows are handled alone,
     without a shuffle, so repeated rows, null ids and empty tables come back as they are. Columns
-    besides ``text`` are kept; one named ``spans`` is replaced.
+    besides ``text`` are kept; one named like ``into`` is replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     pattern = f"{STRING}{{{STRING_LENGTH},}}"
 
     def whole(base: Column) -> Column:
-        likely = F.filter(match_starts(text, pattern), lambda m: m["text"].rlike("[A-Za-z]") & (markov_ratio(m["text"], table) >= least))
-        alone = F.filter(_spans(likely, 3), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        return F.when(text.rlike(pattern), F.array_sort(F.concat(base, alone))).otherwise(base)
+        likely = _spans(F.filter(match_starts(text, pattern), lambda m: _likely(m["text"], table, least)), 3)
+        return F.when(text.rlike(pattern), F.array_sort(F.concat(base, _apart(likely, base)))).otherwise(base)
 
-    return docs.withColumn("spans", let(base_spans(text), whole))
+    return docs.withColumn(into, let(base_spans(text), whole))
+
+
+def without_secrets(docs: DataFrame, table: list[float], least: float = LEAST_RATIO) -> DataFrame:
+    """``docs`` with the spans of ``find_secrets`` masked in ``text`` and, where there is one, ``n_chars`` counted anew.
+
+    All columns stay, whatever their names; a null text stays null. For other cases see ``find_secrets``.
+    """
+    into = free_name(docs.columns, "spans")
+    text = F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col(into)))
+    found = find_secrets(docs, table, least, into).withColumn("text", text).drop(into)
+    return found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found
 
 
 def listed(spans: Column) -> Column:
