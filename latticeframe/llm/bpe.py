@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import values
+from .shared import bounded, values
 
 #: The split patterns of the two layouts.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -195,5 +195,5 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep: bool = True) -> DataFra
             yield pa.RecordBatch.from_arrays(arrays[:n], names[:n])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + kept
+        bounded(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + kept
     )

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import values, written
+from .shared import bounded, row_digest, values, without, written
 
 U64 = np.uint64
 #: Code of what stands between words; an n-gram's unused places are 0.
@@ -101,7 +101,7 @@ def language_profiles(labelled: DataFrame, size: int = PROFILE) -> DataFrame:
         yield from emit(held)
 
     rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
-    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(bounded(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = [F.desc("n"), F.asc("gram")]
     part = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
     first = counts.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(64))).withColumn("p", part).filter(F.col("p") <= size)
@@ -110,29 +110,33 @@ def language_profiles(labelled: DataFrame, size: int = PROFILE) -> DataFrame:
 
 
 class Profiles:
-    """The ranks of all profiles' n-grams as one table, languages in alphabetical order."""
+    """The ranks of all profiles' n-grams, by n-gram; languages are in alphabetical order."""
 
     def __init__(self, rows: list[tuple[str, int, int]], size: int) -> None:
         self.size = size
         self.langs = sorted({r[0] for r in rows})
-        self.grams = np.unique(np.array([r[1] for r in rows], np.int64).view(U64))
-        self.ranks = np.full((len(self.grams) + 1, len(self.langs)), -1, np.int32)
         column = {lang: k for k, lang in enumerate(self.langs)}
-        for lang, gram, place in rows:
-            self.ranks[np.searchsorted(self.grams, np.int64(gram).view(U64)), column[lang]] = place
+        codes = np.array([r[1] for r in rows], np.int64).view(U64)
+        order = np.argsort(codes, kind="stable")
+        self.grams, counts = counted(codes[order])
+        self.starts = np.concatenate(([0], np.cumsum(counts)))
+        self.lang = np.array([column[r[0]] for r in rows], np.int64)[order]
+        self.place = np.array([r[2] for r in rows], np.int64)[order]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language at the least distance (ties: the first by name), and 1 less the distance's share of the largest possible."""
         own = top_grams(grams(text), self.size) if text else ()
         if not len(own) or not self.langs:
             return "und", 0.0
-        at = np.searchsorted(self.grams, own)
-        at[self.grams[np.minimum(at, len(self.grams) - 1)] != own] = len(self.grams)
-        ranks = self.ranks[at]
-        places = np.arange(len(own), dtype=np.int32)[:, None]
-        distance = np.where(ranks < 0, self.size, np.abs(ranks - places)).sum(axis=0)
-        best = int(distance.argmin())
-        return self.langs[best], 1.0 - float(distance[best]) / (self.size * len(own))
+        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        places = np.flatnonzero(self.grams[at] == own)
+        first = self.starts[at[places]]
+        n = self.starts[at[places] + 1] - first
+        rows = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        # a missing n-gram is the profile's length away, so what counts is how much nearer the others are
+        nearer = np.bincount(self.lang[rows], self.size - np.abs(self.place[rows] - np.repeat(places, n)), len(self.langs))
+        best = int(nearer.argmax())
+        return self.langs[best], float(nearer[best]) / (self.size * len(own))
 
 
 def fit_profiles(labelled: DataFrame, size: int = PROFILE) -> Profiles:
@@ -159,7 +163,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
                 ["doc_id", "lang_pred", "score"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(bounded(run), "doc_id long, lang_pred string, score double")
 
 
 def kept_languages(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE) -> DataFrame:
@@ -167,8 +171,9 @@ def kept_languages(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCO
 
     If no language was learned, those whose text has a letter.
 
-    Texts go to Python but not back: a row is known by a 64-bit hash of its id and text, and only
-    hashes of rejected rows return, for an anti-join.
+    Texts go to Python but not back: a row is known by 128 bits of its id and text, and only those
+    of rejected rows return, for an anti-join. Null and empty texts go; very long ones are judged
+    whole; repeated rows are judged alike, each kept or not; an empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,11 +183,11 @@ def kept_languages(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCO
                 gone = pa.array([lang == "und" or score < least for lang, score in found], pa.bool_())
             else:
                 gone = pa.array([not (t and len(grams(t))) for t in values(batch.column(1))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(gone)], ["_row"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(gone)], ["row"])
 
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    rejected = written(keyed.select("_row", "text").mapInArrow(run, "_row long").distinct(), "rejected")
-    return keyed.join(rejected, "_row", "left_anti").select(*docs.columns)
+    own = row_digest(F.col("doc_id"), F.col("text"))
+    rejected = written(docs.select(own.alias("row"), "text").mapInArrow(bounded(run), "row string").distinct(), "rejected")
+    return without(docs, own, rejected)
 
 
 def learnable(docs: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded
+
 SAMPLE_RATE = 8000
 PACKET_SAMPLES = 8192
 PAD = 64
@@ -173,16 +175,15 @@ def ogg_media(docs: DataFrame, keep: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                rows = list(zip(*map(media_row, texts[at : at + 256]), strict=True))
+            for at in range(0, batch.num_rows, 256):
+                rows = list(zip(*map(media_row, batch.column(1).slice(at, 256).to_pylist()), strict=True))
                 kinds = pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()
                 arrays = [pa.array(c, t) for c, t in zip(rows, kinds, strict=True)]
                 ids = batch.column(0).slice(at, 256)
                 yield pa.RecordBatch.from_arrays([ids, *arrays[1:], *arrays[: int(keep)]], NAMES[: 8 + keep])
 
     kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kinds + ", media binary" * keep)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(bounded(run), kinds + ", media binary" * keep)
 
 
 NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import BYTE_PATTERN, CACHE_WORDS, KEPT_LENGTH, WHITE_SPACE, Encoder
-from .shared import values, written
+from .shared import bounded, values, written
 
 #: Pieces that one task packs together.
 GROUP_PIECES = 8192
@@ -95,7 +95,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+        bounded(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
     )
 
 

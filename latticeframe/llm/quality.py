@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import values, written
+from .shared import bounded, row_digest, values, without, written
 
 #: Labelled rows the classifier is fitted on, at most (about; chosen by a hash of their ids).
 FIT_ROWS = 20_000
@@ -158,7 +158,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
 
     totals = texts.agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b")).first()
     support = max(3.0, LEXICON_SHARE * totals.a)
-    counts = texts.select("text", "toxic").mapInArrow(count, "unit string, a long, b long").groupBy("unit").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = texts.select("text", "toxic").mapInArrow(bounded(count), "unit string, a long, b long").groupBy("unit").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     odds = F.log((F.col("a") + 0.5) / (totals.a + 1)) - F.log((F.col("b") + 0.5) / (totals.b + 1))
     kept = counts.filter(F.col("a") >= support).select("unit", odds.alias("odds")).filter("odds >= 1").orderBy(F.desc("odds"), "unit").limit(LEXICON_UNITS)
     lexicon = {r.unit: r.odds for r in kept.collect()}
@@ -168,7 +168,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
             rows = [[*surface(t), lexical(t, lexicon)] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(2)], ["x", "bad"])
 
-    got = texts.filter("trim(text) <> ''").mapInArrow(measure, "x array<double>, bad boolean").toPandas()
+    got = texts.filter("trim(text) <> ''").mapInArrow(bounded(measure), "x array<double>, bad boolean").toPandas()
     rows = np.array(got["x"].tolist(), float).reshape(len(got), 13)
     order = np.lexsort(rows.T)  # the same fit whatever the order of rows
     return Classifier(lexicon, rows[order], got["bad"].to_numpy(bool)[order].astype(float))
@@ -195,7 +195,7 @@ def document_evidence(docs: DataFrame, model: Classifier, host: Column | None =
             yield pa.RecordBatch.from_arrays([*batch.columns[: n + 2], pa.array(found, pa.float64())], [f.name for f in schema.fields])
 
     site = F.struct(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_evidence").alias("evidence")).alias("site")
-    return named.mapInArrow(run, schema).select(*(F.col(c) for c in kept), site)
+    return named.mapInArrow(bounded(run), schema).select(*(F.col(c) for c in kept), site)
 
 
 def _strength(groups: DataFrame, n: str, rate: Column, center: Column) -> float:
@@ -255,13 +255,16 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns, whatever their names.
 
-    Texts go to Python but not back: a row is known by a 64-bit hash of its id and text, and rows
-    whose hash was rejected are taken out by an anti-join.
+    Texts go to Python but not back: a row is known by 128 bits of its id, host, path and text, and
+    rows that were rejected are taken out by an anti-join on these. Rows that are equal in all four
+    are judged alike. Null, empty and very long texts, ties, repeated rows and empty tables: see ``judge``.
     """
     model = fit_classifier(docs, labels, fit_rows)
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    rows = written(document_evidence(keyed, model, host, path, ["_row"]), "evidence")
-    rejected = written(site_posteriors(rows, model.share).filter("site.bad >= 0.5").select("_row").distinct(), "rejected")
-    return keyed.join(rejected, "_row", "left_anti").select(*docs.columns)
+    host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
+    own = row_digest(F.col("doc_id"), host, path, F.col("text"))
+    keyed = docs.select(own.alias("row"), F.col("text"), host.alias("host"), path.alias("path"))
+    rows = written(document_evidence(keyed, model, F.col("host"), F.col("path"), ["row"]), "evidence")
+    rejected = written(site_posteriors(rows, model.share).filter("site.bad >= 0.5").select("row").distinct(), "rejected")
+    return without(docs, own, rejected)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import bounded, written
 from .shingles import mix, word_hashes
 
 U64 = np.uint64
@@ -148,7 +148,7 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
                     words, windows, held, ends = Sums(), Sums(), 0, 0
         yield from emit()
 
-    return texts.mapInArrow(run, "window boolean, key long, n long").groupBy("window", "key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(bounded(run), "window boolean, key long, n long").groupBy("window", "key").agg(F.sum("n").alias("n"))
 
 
 def grams(words: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -199,7 +199,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
                     size = 0
         yield from emit()
 
-    rows = texts.mapInArrow(run, "depth int, context long, shorter long, event long, n long")
+    rows = texts.mapInArrow(bounded(run), "depth int, context long, shorter long, event long, n long")
     return rows.groupBy("depth", "context", "shorter", "event").agg(F.sum("n").alias("n"))
 
 
@@ -340,7 +340,7 @@ def context_counts(windows: DataFrame, least_share: float = 0.0) -> tuple[np.nda
                 keys, sums = _totals((packed | 1 << 6 * k) << 6 | last, n)
                 yield pa.RecordBatch.from_arrays([pa.array(keys >> 6), pa.array((keys & 63).astype(np.int32)), pa.array(sums)], ["context", "next", "n"])
 
-    rows = windows.select("key", "n").mapInArrow(contexts, "context long, next int, n long").groupBy("context", "next").agg(F.sum("n").alias("n"))
+    rows = windows.select("key", "n").mapInArrow(bounded(contexts), "context long, next int, n long").groupBy("context", "next").agg(F.sum("n").alias("n"))
     rows = written(rows, "contexts")
     least = max(float(LEAST_COUNT), least_share * float(by_byte.sum()))
     frequent = rows.groupBy("context").agg(F.sum("n").alias("m")).filter(F.col("m") >= least).select("context")
@@ -409,7 +409,7 @@ def _packed(docs: DataFrame) -> DataFrame:
                     held, size = {}, 0
         yield from emit()
 
-    return docs.mapInArrow(run, "block long, ids array<long>, data binary")
+    return docs.mapInArrow(bounded(run), "block long, ids array<long>, data binary")
 
 
 def _unpacked(data: bytes) -> list[bytes]:
@@ -471,7 +471,7 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
                     held, size_now = {}, 0
         yield from emit()
 
-    asked = dealt.select("block", "data").mapInArrow(distinct, "block long, word long")
+    asked = dealt.select("block", "data").mapInArrow(bounded(distinct), "block long, word long")
     columns = lambda part, c="0", total="0", kinds="0", logp="0.0": [f"{part} AS part", f"cast({c} as long) AS c", f"cast({total} as long) AS total", f"cast({kinds} as long) AS kinds", f"cast({logp} as double) AS logp"]
     everything = words.selectExpr("word", *columns(0, "c")).unionAll(events.selectExpr("event AS word", *columns(0, "n")))
     everything = everything.unionAll(states.selectExpr("context AS word", *columns(1, "0", "n", "kinds"))).unionAll(spelled.selectExpr("word", *columns(2, logp="logp")))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder
+from .shared import bounded, shared_folder
 
 #: Fixed values of the WARC 1.1 format.
 VERSION = b"WARC/1.1"
@@ -99,7 +99,7 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
 
     firsts = pages.sparkSession.read.parquet(f"{folder}/payloads").select("digest", "first")
     named = rows.select("page_id", "url", "digest", "sha1", "size").join(firsts, "digest")
-    named.select("page_id", "url", "digest", "sha1", "size", "first").mapInArrow(heads, HEADS).write.parquet(f"{folder}/heads")
+    named.select("page_id", "url", "digest", "sha1", "size", "first").mapInArrow(bounded(heads), HEADS).write.parquet(f"{folder}/heads")
 
 
 def checked_payloads(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,7 +140,7 @@ def describe(records: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], PARSED)
 
     kinds = "page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, record_id string, url string, digest string"
-    return records.select("digest", "record").mapInArrow(run, kinds)
+    return records.select("digest", "record").mapInArrow(bounded(run), kinds)
 
 
 PARSED = ["page_id", "record_type", "payload_digest", "payload_bytes", "refers_to", "record_id", "url", "digest"]

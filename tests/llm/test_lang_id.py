@@ -77,3 +77,25 @@ def test_without_a_learned_language_texts_with_letters_stay(spark):
     docs = spark.createDataFrame([(1, "some words", None), (2, "12 !", None), (3, "", None), (4, None, None), (5, "é", None)], "doc_id long, text string, lang string")
     rows = kept_languages(docs, fit_profiles(docs)).collect()
     assert sorted(r.doc_id for r in rows) == [1, 5]
+
+
+def test_predictions_equal_brute_force(spark):
+    rows = list(texts(3, 60)) + [(60, "ko", "aa"), (61, "zzz qqq", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    size = 40
+    lists = {}
+    for r in language_profiles(docs, size).collect():
+        lists.setdefault(r.lang, {})[r.gram] = r.place
+    for r in identify(docs, fit_profiles(docs, size)).collect():
+        count = Counter(grams(rows[r.doc_id][1]).tolist())
+        own = sorted(count, key=lambda g: (-count[g], g))[:size]
+        distance = {lang: sum(abs(known[g] - i) if g in known else size for i, g in enumerate(own)) for lang, known in lists.items()}
+        best = min(distance, key=lambda lang: (distance[lang], lang))
+        assert r.lang_pred == best and abs(r.score - (1 - distance[best] / size / len(own))) < 1e-12
+
+
+def test_kept_rows_keep_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "ko ta ri", "aa", 1, "r", 2.0), (2, "12", "aa", 2, "s", None), (None, "ko ta ri", "aa", 3, None, None)], "doc_id long, text string, lang string, `_row` int, `row` string, `a.b` double")
+    kept = kept_languages(docs, fit_profiles(docs))
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r)[3:] for r in kept.collect()) == [(1, "r", 2.0), (3, None, None)]

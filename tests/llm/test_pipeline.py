@@ -104,3 +104,38 @@ def test_empty_documents(spark, outputs):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF), "empty")
     assert docs.count() == 0
+
+
+def test_odd_rows_and_names_that_clash(spark, outputs):
+    """Nulls in any column, empty and very long texts, repeated rows, and columns named like helpers."""
+    some = outputs[0].limit(40).selectExpr("*", "'a' AS row", "2 AS spans", "3 AS site", "4 AS _row", "5 AS `a.b`")
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (900, "", "en", "web", 0), (901, " \n", None, None, None), (902, "word and more text of no kind " * 20_000, None, "web", 1), (903, None, "en", None, 0)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    ).selectExpr("*", "'a' AS row", "2 AS spans", "3 AS site", "4 AS _row", "5 AS `a.b`")
+    docs = written(some.union(some.limit(3)).union(odd), "odd")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs.count(), written(stage(spark, docs, SF), name)
+        assert docs.columns == odd.columns and docs.count() <= before
+        assert docs.filter("row <> 'a' OR spans <> 2 OR site <> 3 OR _row <> 4 OR `a.b` <> 5").count() == 0
+    assert docs.filter("doc_id = 902").count() == 1
+    packed = corpus_pipeline.packing(spark, docs, SF)
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_quality_and_language_equal_brute_force(spark, outputs):
+    """The stages' decisions, made again from the fitted models in plain Python."""
+    from latticeframe.llm.lang_id import LEAST_SCORE, fit_profiles, learnable
+    from latticeframe.llm.quality import fit_classifier
+
+    from test_quality import posteriors
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = fit_classifier(outputs[0], labels)
+    docs = outputs[0].collect()
+    found = posteriors([(r.source or "", r.lang or "", model.evidence(r.text)) for r in docs], model.share)
+    want = sorted(r.doc_id for r, (_, bad) in zip(docs, found, strict=True) if bad < 0.5)
+    assert sorted(rows(outputs[1])) == want
+    profiles = fit_profiles(learnable(outputs[1]))
+    kept = [i for i, r in rows(outputs[1]).items() if profiles.predict(r.text)[0] != "und" and profiles.predict(r.text)[1] >= LEAST_SCORE]
+    assert sorted(rows(outputs[2])) == sorted(kept)
