@@ -1,16 +1,25 @@
-"""From raw documents to packed sequences: a chain of corpus operators."""
+"""From raw documents to packed sequences: a chain of corpus operators.
+
+A stage takes ``documents`` (doc_id, text, lang, source, n_chars; more columns, whatever their
+names, stay until packing). Nulls may stand in any column. What becomes of odd rows:
+
+* null, empty or blank text: judged by its site alone, then dropped by ``language``, as it has no letter;
+* very long text: handled whole; null doc_id: kept by ``near_copies``, otherwise like any row;
+* repeated rows: judged alike, all kept or all dropped; ``near_copies`` keeps rows that share the smallest id;
+* ties: a posterior of one half is bad, a tie of languages goes to the first name, of copies the smallest id stays;
+* empty table: an empty table.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from latticeframe.llm.lang_id import fit_profiles, kept_languages, learnable
 from latticeframe.llm.ngram_join import without_near_copies
 from latticeframe.llm.packing import pack_documents
 from latticeframe.llm.quality import kept_documents
-from latticeframe.llm.secrets import find_secrets, fit_models, masked, ordinary_samples, random_samples
+from latticeframe.llm.secrets import train, without_secrets
 from latticeframe.llm.shared import written
 
 
@@ -30,10 +39,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets in texts."""
-    found = find_secrets(docs, fit_models(ordinary_samples(docs).union(random_samples(spark))))
-    text = F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("spans")))
-    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Masks secrets in texts; ``n_chars`` counts what is left."""
+    return without_secrets(docs, train(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +49,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list = [("quality", quality), ("language", language), ("near_copies", near_copies), ("secrets", secrets), ("packing", packing)]
-#: Learned models and packing can't be said in SQL; tests compare with a brute-force version.
+#: Learned models and packing can't be said in SQL; tests/llm/test_pipeline.py compares each stage with a brute-force version.
 ORACLE_SQL = None
 
 
