@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import complexes
-from ..tensor import COMPLEX, REAL, Tensor
+from ..tensor import COMPLEX, REAL, Tensor, matched
 from .creation import fromarray
-from .shape import _reflat, flatten
+from .shape import _reflat, flatten, with_sizes
 
 #: What of the result is returned: all of it, as much as the input, or where the kernel lies within.
 FULL, SAME, VALID = "full", "same", "valid"
@@ -30,6 +33,15 @@ def _bounds(n: int, m: int, mode: str) -> tuple[int, int]:
     raise ValueError(f"mode {mode}")
 
 
+def _span(n: Column, m: int, mode: str) -> tuple[Column, Column]:
+    """The same of an extent that is a column."""
+    if mode == FULL:
+        return F.lit(0), n + (m - 1)
+    if mode == SAME:
+        return F.lit((m - 1) // 2), n
+    return F.least(n, F.lit(m)) - 1, F.greatest(n, F.lit(m)) - F.least(n, F.lit(m)) + 1
+
+
 def _product(t: Tensor, kernel: Tensor) -> tuple[Column, bool]:
     x, h = F.col("v"), F.col("h")
     if COMPLEX not in (t.kind, kernel.kind):
@@ -46,16 +58,18 @@ def convolve(t: Tensor, kernel: Tensor, mode: str = FULL, _axes: list[int] | Non
     axes = list(range(t.ndim)) if _axes is None else _axes
     if kernel.ndim != len(axes):
         raise ValueError(f"ranks {t.ndim} and {kernel.ndim}")
-    spans = {k: _bounds(t.shape[k], m, mode) for k, m in zip(axes, kernel.shape, strict=True)}
+    _bounds(0, 0, mode)
+    df, own = with_sizes(t)
+    spans = {k: _span(own[k], m, mode) for k, m in zip(axes, kernel.shape, strict=True)}
     taps = kernel.df.select(*(F.col(f"i{j}").alias(f"k{k}") for j, k in enumerate(axes)), F.col("v").alias("h"))
-    rows = t.df.select(*t.places, "v").crossJoin(taps)
+    index = [(F.col(f"i{k}") + F.col(f"k{k}") - spans[k][0]).alias(f"i{k}") if k in spans else F.col(f"i{k}") for k in range(t.ndim)]
     value, is_complex = _product(t, kernel)
-    index = [(F.col(f"i{k}") + F.col(f"k{k}") - spans[k][0] if k in spans else F.col(f"i{k}")).alias(f"i{k}") for k in range(t.ndim)]
-    placed = rows.select(*t.keys, *index, value.alias("v"))
-    for k, (_, n) in spans.items():
-        placed = placed.filter((F.col(f"i{k}") >= 0) & (F.col(f"i{k}") < n))
+    placed = df.crossJoin(taps).select(*t.keys, *index, value.alias("v"), *(n.alias(f"_n{k}") for k, (_, n) in spans.items()))
+    for k in spans:
+        placed = placed.filter((F.col(f"i{k}") >= 0) & (F.col(f"i{k}") < F.col(f"_n{k}")))
     total = complexes.make(F.sum("v.re"), F.sum("v.im")) if is_complex else F.sum("v")
-    shape = tuple(spans[k][1] if k in spans else n for k, n in enumerate(t.shape))
+    sizes = dict(zip(axes, kernel.shape, strict=True))
+    shape = None if t.keys else tuple(_bounds(n, sizes[k], mode)[1] if k in sizes else n for k, n in enumerate(t.shape))
     return t.cells(placed.groupBy(*t.places).agg(total.alias("v")), extents=shape)
 
 
@@ -81,36 +95,165 @@ def correlate1d(t: Tensor, kernel: Tensor, mode: str = FULL, axis: int | None =
     return convolve1d(t, _turned(kernel), mode, axis)
 
 
-# the same results; Spark's join makes no difference between short and long kernels
-fftconvolve, fftcorrelate, fftconvolve1d, fftcorrelate1d = convolve, correlate, convolve1d, correlate1d
+#: Cells of a block that is convolved by one transform, and of a kernel for that at most.
+FFT_BLOCK = 1 << 13
+FFT_KERNEL = 1 << 20
+
+
+def _by_blocks(t: Tensor, h: np.ndarray, axes: list[int], is_complex: bool) -> DataFrame:
+    """Cells of the full convolution along some axes: blocks are convolved by transforms, what they overlap in is added."""
+    side = 1 << round(math.log2(FFT_BLOCK) / len(axes))
+    sides = [min(side, 1 << max(0, t.shape[k] - 1).bit_length()) for k in axes]
+    others = [*t.keys, *(a for k, a in enumerate(t.axes) if k not in axes)]
+    blocks = [F.floor(F.col(f"i{k}") / b).cast("long").alias(f"b{k}") for k, b in zip(axes, sides, strict=True)]
+    local = F.lit(0).cast("long")
+    for k, b in zip(axes, sides, strict=True):
+        local = local * b + F.pmod(F.col(f"i{k}"), F.lit(b))
+    names = [f"b{k}" for k in axes]
+    held = [f"_k{a}" for a in others]  # other axes are keys here
+    cut = Tensor(t.df.select(*(F.col(a).alias(b) for a, b in zip(others, held, strict=True)), *blocks, local.alias("i0"), "v"), 1, (*held, *names), (math.prod(sides),))
+    out = [b + m - 1 for b, m in zip(sides, h.shape, strict=True)]
+    fast = [1 << (n - 1).bit_length() for n in out]
+    over = tuple(range(1, len(axes) + 1))
+    every = tuple(range(h.ndim))
+    spectrum = np.fft.fftn(h, fast, every) if is_complex else np.fft.rfftn(h, fast, every)
+
+    def product(x: np.ndarray) -> np.ndarray:
+        x = np.pad(x, ((0, 0), (0, math.prod(sides) - x.shape[1]))).reshape(-1, *sides)
+        y = np.fft.ifftn(np.fft.fftn(x, fast, over) * spectrum, fast, over) if is_complex else np.fft.irfftn(np.fft.rfftn(x, fast, over) * spectrum, fast, over)
+        return y[(slice(None), *(slice(0, n) for n in out))].reshape(len(x), -1)
+
+    done = _lanes(cut, 0, product, is_complex, math.prod(out)).df
+    at, place = F.col("i0"), {}
+    for k, n, b in reversed(list(zip(axes, out, sides, strict=True))):
+        place[k] = (F.pmod(at, F.lit(n)) + F.col(f"b{k}") * b).alias(f"i{k}")
+        at = F.floor(at / n)
+    rows = done.select(*(F.col(b).alias(a) for a, b in zip(others, held, strict=True)), *place.values(), "v").select(*t.places, "v")
+    if all(t.shape[k] <= b for k, b in zip(axes, sides, strict=True)):
+        return rows
+    total = complexes.make(F.sum("v.re"), F.sum("v.im")) if is_complex else F.sum("v")
+    return rows.groupBy(*t.places).agg(total.alias("v"))
+
+
+def fftconvolve(t: Tensor, kernel: Tensor, mode: str = FULL, _axes: list[int] | None = None) -> Tensor:
+    """``convolve`` by transforms of blocks, which pays from a dozen taps on; the kernel's spectrum goes to every task."""
+    axes = list(range(t.ndim)) if _axes is None else _axes
+    if kernel.ndim != len(axes):
+        raise ValueError(f"ranks {t.ndim} and {kernel.ndim}")
+    if math.prod(kernel.shape) > FFT_KERNEL:
+        raise ValueError(f"a kernel of shape {kernel.shape}; at most {FFT_KERNEL} cells")
+    full = _by_blocks(t, _taps(kernel), axes, COMPLEX in (t.kind, kernel.kind))
+    if t.keys:
+        own = t.df.groupBy(*t.keys).agg(*((F.max(f"i{k}") + 1).alias(f"_n{k}") for k in axes))
+        full = matched(full, own, list(t.keys))
+    shape, index = list(t.shape), []
+    for k, m in zip(axes, kernel.shape, strict=True):
+        first, n = _span(F.col(f"_n{k}") if t.keys else F.lit(t.shape[k]), m, mode)
+        full = full.withColumn(f"i{k}", F.col(f"i{k}") - first).filter((F.col(f"i{k}") >= 0) & (F.col(f"i{k}") < n))
+        shape[k] = _bounds(t.shape[k], m, mode)[1]
+    return t.cells(full, extents=None if t.keys else tuple(shape))
+
 
+def fftcorrelate(t: Tensor, kernel: Tensor, mode: str = FULL) -> Tensor:
+    return fftconvolve(t, _turned(kernel), mode)
 
-def _lanes(t: Tensor, axis: int, f, n: int, is_complex: bool) -> Tensor:
-    """``f`` of each lane's NumPy array, in one task each; ``n`` is the result's length."""
+
+def fftconvolve1d(t: Tensor, kernel: Tensor, mode: str = FULL, axis: int | None = None) -> Tensor:
+    if axis is None:
+        t, axis = flatten(t) if t.ndim > 1 else t, 0
+    return fftconvolve(t, kernel, mode, [t.axis(axis)])
+
+
+def fftcorrelate1d(t: Tensor, kernel: Tensor, mode: str = FULL, axis: int | None = None) -> Tensor:
+    return fftconvolve1d(t, _turned(kernel), mode, axis)
+
+
+#: Cells that a task gathers before it hands whole lanes on.
+GATHERED = 1 << 16
+
+
+def _changes(table: pa.Table, columns: list[str]) -> np.ndarray:
+    """Rows of a sorted table that begin a lane, but the first one."""
+    out = np.zeros(max(0, len(table) - 1), bool)
+    for c in columns:
+        column = table.column(c).combine_chunks()
+        a, b = column.slice(1), column.slice(0, len(column) - 1)
+        missing = pc.xor(pc.is_null(a), pc.is_null(b))
+        out |= pc.or_(missing, pc.fill_null(pc.not_equal(a, b), False)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(out) + 1
+
+
+def _lanes(t: Tensor, axis: int, f, is_complex: bool, n: int | None = None) -> Tensor:
+    """``f`` of all lanes at once: a matrix with a lane in each row gives one with a result in each row.
+
+    A lane's length is its own last place plus 1, missing places are 0; lanes of equal length go to
+    ``f`` together. Rows are dealt by lane and sorted, and a task reads them as a stream: it holds some
+    ``GATHERED`` cells, or one lane that is longer. ``n`` is the results' length, where all have the same.
+    """
     k = t.axis(axis)
     others = [*t.keys, *(a for j, a in enumerate(t.axes) if j != k)]
-    here, kind = t.axes[k], complexes.TYPE if is_complex else "double"
+    here = t.axes[k]
     had_complex = t.kind == COMPLEX
-    size = t.shape[k]
-    df = t.df.select(*t.places, *((F.col("v.re").alias("re"), F.col("v.im").alias("im")) if had_complex else (F.col("v").alias("re"),)))
-    if not others:
-        df = df.withColumn("_one", F.lit(1))
-    groups = others or ["_one"]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros(size, complex if had_complex else float)
-        x[frame[here].to_numpy()] = frame["re"].to_numpy() + 1j * frame["im"].to_numpy() if had_complex else frame["re"].to_numpy()
-        y = f(x)
-        out = pd.DataFrame({c: np.repeat(frame[c].iloc[:1].to_numpy(), len(y)) for c in others})
-        out[here] = np.arange(len(y))
-        out["re"], out["im"] = np.real(y).astype(float), np.imag(y).astype(float)
-        return out
-
-    fields = {x.name: x.dataType.simpleString() for x in df.schema.fields}
-    schema = ", ".join([*(f"`{c}` {fields[c]}" for c in others), f"{here} long", "re double", "im double"])
-    out = df.groupBy(*groups).applyInPandas(run, schema)
-    value = F.struct("re", "im") if kind != "double" else F.col("re")
-    return t.cells(out.withColumn("v", value), extents=tuple(n if j == k else m for j, m in enumerate(t.shape)))
+    df = t.df.select(*t.places, *((F.col("v.re").alias("re"), F.col("v.im").alias("im")) if had_complex else (F.col("v").cast("double").alias("re"),)))
+    dealt = df.repartition(*others) if others else df.repartition(1)
+    fields = [x for x in df.schema.fields if x.name in others]
+    schema = StructType([*fields, StructField(here, LongType()), StructField("re", DoubleType()), *([StructField("im", DoubleType())] if is_complex else [])])
+
+    def results(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ends = np.append(starts[1:], len(table))
+        at, x = table.column(here).to_numpy(), table.column("re").to_numpy()
+        if had_complex:
+            x = x + 1j * table.column("im").to_numpy()
+        sizes = at[ends - 1] + 1
+        for size in np.unique(sizes):
+            mine = np.flatnonzero(sizes == size)
+            cells = np.repeat(starts[mine], ends[mine] - starts[mine])
+            within = np.arange(len(cells)) - np.repeat(np.cumsum(ends[mine] - starts[mine]) - (ends[mine] - starts[mine]), ends[mine] - starts[mine])
+            rows = np.repeat(np.arange(len(mine)), ends[mine] - starts[mine])
+            matrix = np.zeros((len(mine), size), x.dtype)
+            matrix[rows, at[cells + within]] = x[cells + within]
+            y = f(matrix)
+            m = y.shape[1]
+            first = pa.array(np.repeat(starts[mine], m))
+            columns = [table.column(c).take(first).combine_chunks() for c in others]
+            parts = [np.real(y).astype(float).ravel()] + ([np.imag(y).astype(float).ravel()] if is_complex else [])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.tile(np.arange(m), len(mine))), *map(pa.array, parts)], [x.name for x in schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # the rows so far of the last lane
+        fresh: list[pa.Table] = []
+
+        def whole_lanes() -> Iterator[pa.RecordBatch]:
+            edge = [held[-1].slice(len(held[-1]) - 1)] if held else []
+            cuts = _changes(pa.concat_tables(edge + fresh), others)
+            if not len(cuts):
+                held.extend(fresh)
+                return
+            table = pa.concat_tables(held + fresh).combine_chunks()
+            cuts += sum(map(len, held)) - len(edge)
+            yield from results(table.slice(0, int(cuts[-1])), np.append(0, cuts[:-1]))
+            held[:] = [table.slice(int(cuts[-1]))]
+
+        for batch in batches:
+            if len(batch):
+                fresh.append(pa.Table.from_batches([batch]))
+            if sum(map(len, fresh)) >= GATHERED:
+                yield from whole_lanes()
+                fresh = []
+        if fresh:
+            yield from whole_lanes()
+        if held:
+            yield from results(pa.concat_tables(held).combine_chunks(), np.zeros(1, np.int64))
+
+    out = dealt.sortWithinPartitions(*others, here).mapInArrow(run, schema)
+    value = F.struct("re", "im") if is_complex else F.col("re")
+    known = None if n is None or t.keys and t.ndim > 1 else (n,) if t.ndim == 1 else tuple(n if j == k else m for j, m in enumerate(t.shape))
+    return t.cells(out.withColumn("v", value), extents=known)
+
+
+def _each(f):
+    """A function of one lane's array as one of a matrix with a lane in each row."""
+    return lambda x: np.stack([f(row) for row in x])
 
 
 def _taps(kernel: Tensor) -> np.ndarray:
@@ -137,7 +280,7 @@ def deconvolve1d(t: Tensor, kernel: Tensor, axis: int | None = None) -> Tensor:
     if axis is None:
         t, axis = flatten(t) if t.ndim > 1 else t, 0
     h = _taps(kernel)
-    return _lanes(t, axis, lambda y: _divided(y, h), t.shape[t.axis(axis)] - len(h) + 1, COMPLEX in (t.kind, kernel.kind))
+    return _lanes(t, axis, _each(lambda y: _divided(y, h)), COMPLEX in (t.kind, kernel.kind))
 
 
 def decorrelate1d(t: Tensor, kernel: Tensor, axis: int | None = None) -> Tensor:
@@ -158,7 +301,7 @@ def fftdeconvolve1d(t: Tensor, kernel: Tensor, axis: int | None = None) -> Tenso
     if axis is None:
         t, axis = flatten(t) if t.ndim > 1 else t, 0
     h = _taps(kernel)
-    return _lanes(t, axis, lambda y: _spectral(y, h), t.shape[t.axis(axis)] - len(h) + 1, COMPLEX in (t.kind, kernel.kind))
+    return _lanes(t, axis, _each(lambda y: _spectral(y, h)), COMPLEX in (t.kind, kernel.kind))
 
 
 def fftdecorrelate1d(t: Tensor, kernel: Tensor, axis: int | None = None) -> Tensor:
@@ -169,7 +312,7 @@ def _whole(t: Tensor, kernel: Tensor, f) -> Tensor:
     """An N-D inverse, each array (one for each key) in one task as a flat lane."""
     h, shape = _taps(kernel), t.shape
     out = tuple(n - m + 1 for n, m in zip(shape, h.shape, strict=True))
-    flat = _lanes(flatten(t), 0, lambda y: f(y.reshape(shape), h).ravel(), math.prod(out), COMPLEX in (t.kind, kernel.kind))
+    flat = _lanes(flatten(t), 0, _each(lambda y: f(y.reshape(shape), h).ravel()), COMPLEX in (t.kind, kernel.kind))
     return _reflat(flat, F.col("i0"), out)
 
 
@@ -196,7 +339,29 @@ def decorrelate(t: Tensor, kernel: Tensor) -> Tensor:
 
 
 def fftdeconvolve(t: Tensor, kernel: Tensor) -> Tensor:
-    return _whole(t, kernel, _spectral)
+    """The inverse of a full ``convolve`` by transforms along one axis after the other; the kernel's spectrum is a sum over its taps."""
+    h, shape = _taps(kernel), t.shape
+    if t.ndim != h.ndim or math.prod(h.shape) > 512:
+        raise ValueError(f"a kernel of shape {h.shape}")
+    spectrum, every = t, range(t.ndim)
+    for k in every:
+        spectrum = _lanes(spectrum, k, lambda x, n=shape[k]: np.fft.fft(x, n), True, shape[k])
+    re, im = F.lit(0.0), F.lit(0.0)
+    for at in np.argwhere(h != 0):
+        turn = sum((F.pmod(F.col(f"i{k}") * int(at[k]), F.lit(shape[k])) * F.lit(-2 * math.pi / shape[k]) for k in every), F.lit(0.0))
+        x, y = float(np.real(h[tuple(at)])), float(np.imag(h[tuple(at)]))
+        re, im = re + x * F.cos(turn) - y * F.sin(turn), im + x * F.sin(turn) + y * F.cos(turn)
+    least = float(np.finfo(float).eps * np.abs(h).sum())
+    own = complexes.make(F.when(F.hypot(re, im) <= least, F.raise_error(F.lit("the kernel's spectrum has a zero")).cast("double")).otherwise(re), im)
+    back = spectrum.cells(spectrum.df.withColumn("v", complexes.div(F.col("v"), own)), extents=shape)
+    for k in every:
+        back = _lanes(back, k, lambda x, n=shape[k]: np.fft.ifft(x, n), True, shape[k])
+    out = tuple(n - m + 1 for n, m in zip(shape, h.shape, strict=True))
+    inside = F.lit(True)
+    for k in every:
+        inside = inside & (F.col(f"i{k}") < out[k])
+    cells = t.cells(back.df.filter(inside), extents=out)
+    return cells if COMPLEX in (t.kind, kernel.kind) else cells.map(lambda v: v["re"])
 
 
 def fftdecorrelate(t: Tensor, kernel: Tensor) -> Tensor:
@@ -269,7 +434,7 @@ def interp(t: Tensor, x: Tensor, y: Tensor, mode: str = "linear", bounds: str =
     starts = pairs.filter("x1 IS NOT NULL").select(F.col("x").alias("at"), F.struct("x", "y", "s", "x1", "y1", "s1").alias("p"))
     inside = F.greatest(F.lit(ends.low), F.least(F.col("v"), F.lit(ends.high)))
     asked = t.df.select(*t.places, "v", F.when(F.isnan("v"), F.lit(ends.low)).otherwise(inside).alias("at"))
-    merged = asked.withColumn("_q", F.lit(1)).unionByName(starts.withColumn("_q", F.lit(0)), allowMissingColumns=True).withColumn("_p", _range(limits, "at"))
+    merged = asked.withColumn("_q", F.lit(1)).unionByName(starts.withColumn("_q", F.lit(0)), allowMissingColumns=True).withColumn("_p", _range(limits, F.col("at")))
     # a range's first values may need the breakpoint before it: the last of each range goes to the next ones
     last = merged.groupBy("_p").agg(F.max_by("p", F.when(F.col("p").isNotNull(), F.col("at"))).alias("p0"))
     carried = last.select("_p", F.last("p0", ignorenulls=True).over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("p0"))
@@ -321,6 +486,6 @@ def roots(t: Tensor, axis: int | None = None) -> Tensor:
 
     if axis is None:
         t, axis = flatten(t) if t.ndim > 1 else t, 0
-    return _lanes(t, axis, found, t.shape[t.axis(axis)] - 1, True)
+    return _lanes(t, axis, _each(found), True)
 
 

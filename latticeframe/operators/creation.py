@@ -127,15 +127,12 @@ def fromcolumn(df: DataFrame, column: str, keys: Sequence[str] = ()) -> Tensor:
 
 
 def ordered(df: DataFrame, value: Column, order: Sequence[str], keys: Sequence[str] = ()) -> Tensor:
-    """Rows as lanes: for each value of ``keys`` its rows in order. Without keys rows are ranked by ranges."""
-    from pyspark.sql.window import Window
+    """Rows as lanes: for each value of ``keys`` its rows in order, ranked by ranges of the first column of ``order``, a number or time."""
+    from .sorting import numbered
 
-    if not keys:
-        from .sorting import numbered
-
-        return Tensor(numbered(df.select(*order, value.alias("v")), list(order)).select(F.col("rank").alias("i0"), "v"), 1)
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return Tensor(df.select(*keys, at.cast("long").alias("i0"), value.alias("v")), 1, tuple(keys))
+    columns = [c for c in order if c not in keys]
+    ranked = numbered(df.select(*keys, *columns, value.alias("v")), list(order), keys=keys)
+    return Tensor(ranked.select(*keys, F.col("rank").cast("long").alias("i0"), "v"), 1, tuple(keys))
 
 
 def toarray(t: Tensor) -> np.ndarray:

@@ -240,42 +240,65 @@ def design_sos(name: str, *args, **kwargs) -> np.ndarray:
 # filtering
 
 
+#: Longer lanes are filtered in pieces of about the root of their length, all at once.
+PIECED = 4096
+
+
+def _recursed(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Direct form II transposed over a lane in each row, from a state in each row: the output and the final states."""
+    y = np.empty(x.shape, z.dtype)
+    z = np.concatenate((z, np.zeros((len(z), 1), z.dtype)), axis=1)
+    for i in range(x.shape[1]):
+        v = x[:, i]
+        y[:, i] = out = b[0] * v + z[:, 0]
+        z[:, :-1] = z[:, 1:] + np.outer(v, b[1:]) - np.outer(out, a[1:])
+    return y, z[:, :-1]
+
+
 def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray, zi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Direct form II transposed: the output and the final state."""
+    """The output and the final state of one lane, or of a lane in each row.
+
+    A long lane is cut into pieces that are filtered together from rest. Then states go from piece to
+    piece, each by a matrix, and add their response.
+    """
     n = max(len(a), len(b))
     b, a = np.pad(np.asarray(b, float) / a[0], (0, n - len(b))), np.pad(np.asarray(a, float) / a[0], (0, n - len(a)))
-    z = np.zeros(n - 1, np.result_type(x, float)) if zi is None else np.array(zi, np.result_type(x, zi, float))
-    y = np.empty(len(x), z.dtype)
-    for i, v in enumerate(x):
-        y[i] = out = b[0] * v + (z[0] if n > 1 else 0)
-        if n > 1:
-            z[:-1] = z[1:]
-            z[-1] = 0
-            z += b[1:] * v - a[1:] * out
-    return y, z
+    lanes = np.atleast_2d(x)
+    kind = np.result_type(x, float) if zi is None else np.result_type(x, zi, float)
+    z = np.zeros((len(lanes), n - 1), kind) if zi is None else np.array(np.broadcast_to(zi, (len(lanes), n - 1)), kind)
+    length = lanes.shape[1]
+    if length > PIECED:
+        size = math.isqrt(length)
+        count = length // size
+        y, own = _recursed(b, a, lanes[:, : count * size].reshape(-1, size), np.zeros((len(lanes) * count, n - 1), kind))
+        y, own = y.reshape(len(lanes), count, size), own.reshape(len(lanes), count, n - 1)
+        response, step = _recursed(b, a, np.zeros((n - 1, size)), np.eye(n - 1))
+        for k in range(count):
+            y[:, k] += z @ response
+            z = z @ step + own[:, k]
+        rest, z = _recursed(b, a, lanes[:, count * size :], z)
+        y = np.concatenate((y.reshape(len(lanes), -1), rest), axis=1)
+    else:
+        y, z = _recursed(b, a, lanes, z)
+    return (y, z) if np.ndim(x) == 2 else (y[0], z[0])
 
 
 def filtered_sos(sos: np.ndarray, x: np.ndarray, zi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sections one after the other: the output and their final states (section x 2)."""
+    """Sections one after the other: the output and their final states (section x 2, for each lane if there are several)."""
     states = []
     for k, s in enumerate(sos):
         x, z = filtered(s[:3], s[3:], x, None if zi is None else zi[k])
         states.append(z)
-    return x, np.array(states)
+    return x, np.stack(states, axis=-2)
 
 
 def _along(t: Tensor, f: Callable, axis: int, states: int) -> tuple[Tensor, Tensor]:
-    """``f`` (output and flat state) of each lane, which one task reads in order; the last ``states`` cells are the state."""
+    """``f`` (output and state) of lanes, each with its own length, as two arrays."""
     from .convolution import _lanes
 
-    k = t.axis(axis)
-    n = t.shape[k]
     is_complex = t.kind == COMPLEX
-    both = _lanes(t, axis, lambda x: np.concatenate([np.ravel(v) for v in f(x)]), n + states, is_complex)
-    here = F.col(f"i{k}")
-    y = t.cells(both.df.filter(here < n), extents=t.shape)
-    state = both.df.filter(here >= n).withColumn(f"i{k}", here - n)
-    return y, t.cells(state, extents=tuple(states if j == k else m for j, m in enumerate(t.shape)))
+    y = _lanes(t, axis, lambda x: f(x)[0], is_complex, None if t.keys else t.shape[t.axis(axis)])
+    return y, _lanes(t, axis, lambda x: f(x)[1].reshape(len(x), -1), is_complex, states)
 
 
 def zlfilter(t: Tensor, b, a, zi: np.ndarray | None = None, axis: int = -1) -> tuple[Tensor, Tensor]:

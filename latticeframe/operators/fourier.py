@@ -1,7 +1,7 @@
 """Fourier, cosine and sine transforms along lanes, spectra of frames, mel features.
 
-Lanes are transformed by NumPy inside tasks, many lanes in parallel; a ``dft`` by a join with a
-table of factors gives the same results in SQL.
+Lanes are transformed by NumPy inside tasks, many at once; a long lane is a matrix whose columns and rows
+are such lanes. A ``dft`` by a join with a table of factors gives the same results in SQL.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import complexes, reals
@@ -18,7 +18,7 @@ from .convolution import _lanes
 from .creation import fromarray, generated
 from .elementwise import zipped
 from .linalg import matmul
-from .shape import frame, roll, transpose
+from .shape import frame, roll, transpose, truncate
 from .windows import window
 
 
@@ -28,25 +28,64 @@ def _power(n: int) -> int:
     return n
 
 
+#: Longer lanes are transformed in two steps of shorter lanes, so that no task holds one.
+LONG = 1 << 16
+
+
+def _turned(v: Column, angle: Column) -> Column:
+    return complexes.mul(v, complexes.make(F.cos(angle), F.sin(angle)))
+
+
+def _in_two_steps(t: Tensor, n: int, axis: int, sign: int) -> Tensor:
+    """Sums over a lane times exp(sign 2 pi i j k / n), of the first ``n`` cells, zeros beyond: over rows of the lane as
+    a matrix, turned, then over its columns."""
+    k = t.axis(axis)
+    here, others = t.axes[k], [*t.keys, *(a for j, a in enumerate(t.axes) if j != k)]
+    width = 1 << (n.bit_length() - 1) // 2
+    height = n // width
+    names = [f"_k{a}" for a in others]
+    rows = t.df.filter(F.col(here) < n).select(*(F.col(a).alias(b) for a, b in zip(others, names, strict=True)), F.floor(F.col(here) / width).cast("long").alias("i0"), F.pmod(F.col(here), F.lit(width)).alias("i1"), "v")
+    transform = np.fft.fft if sign < 0 else lambda x, m, axis: np.fft.ifft(x, m, axis) * m
+    first = _lanes(Tensor(rows, 2, tuple(names), (height, width)), 0, lambda x: transform(x, height, 1), True, height)
+    angle = F.lit(sign * 2 * math.pi / n) * F.pmod(F.col("i0") * F.col("i1"), F.lit(n))
+    turned = Tensor(first.df.withColumn("v", _turned(F.col("v"), angle)), 2, tuple(names), (height, width))
+    second = _lanes(turned, 1, lambda x: transform(x, width, 1), True, width)
+    back = second.df.select(*(F.col(b).alias(a) for a, b in zip(others, names, strict=True)), (F.col("i0") + F.col("i1") * height).alias(here), "v")
+    return t.cells(back, extents=None if t.keys else tuple(n if j == k else m for j, m in enumerate(t.shape)))
+
+
 def fft(t: Tensor, n: int | None = None, axis: int = -1) -> Tensor:
+    """Of the first ``n`` cells of each lane, zeros beyond its end; by default the (longest) lane's length, a power of two."""
     n = _power(t.shape[t.axis(axis)] if n is None else n)
-    return _lanes(t, axis, lambda x: np.fft.fft(x, n), n, True)
+    if n > LONG:
+        return _in_two_steps(t, n, axis, -1)
+    return _lanes(t, axis, lambda x: np.fft.fft(x, n), True, n)
 
 
 def rfft(t: Tensor, n: int | None = None, axis: int = -1) -> Tensor:
     t.need(REAL)
-    n = _power(t.shape[t.axis(axis)] if n is None else n)
-    return _lanes(t, axis, lambda x: np.fft.rfft(x, n), n // 2 + 1, True)
+    k = t.axis(axis)
+    n = _power(t.shape[k] if n is None else n)
+    if n > LONG:
+        return truncate(_in_two_steps(t, n, axis, -1), n // 2 + 1, axis)
+    return _lanes(t, axis, lambda x: np.fft.rfft(x, n), True, n // 2 + 1)
 
 
 def ifft(t: Tensor, n: int | None = None, axis: int = -1) -> Tensor:
     n = _power(t.shape[t.axis(axis)] if n is None else n)
-    return _lanes(t, axis, lambda x: np.fft.ifft(x, n), n, True)
+    if n > LONG:
+        return _in_two_steps(t, n, axis, 1).map(lambda v: complexes.scale(v, F.lit(1 / n)))
+    return _lanes(t, axis, lambda x: np.fft.ifft(x, n), True, n)
 
 
 def irfft(t: Tensor, n: int | None = None, axis: int = -1) -> Tensor:
     n = _power(2 * (t.shape[t.axis(axis)] - 1) if n is None else n)
-    return _lanes(t, axis, lambda x: np.fft.irfft(x, n), n, False)
+    if n > LONG:  # the other half of the spectrum mirrors this one
+        here = t.axes[t.axis(axis)]
+        half = t.df.filter(F.col(here) <= n // 2).select(*t.places, "v")
+        mirrored = half.filter((F.col(here) > 0) & (F.col(here) < n // 2)).withColumn(here, n - F.col(here)).withColumn("v", complexes.conj(F.col("v")))
+        return ifft(t.cells(half.unionByName(mirrored)), n, axis).map(lambda v: v["re"])
+    return _lanes(t, axis, lambda x: np.fft.irfft(x, n), False, n)
 
 
 def padded_length(n: int) -> int:
@@ -113,60 +152,73 @@ def _kernel(name: str, n: int) -> np.ndarray:
     return 2 * np.sin(np.pi * (k + 1) * (2 * i + 1) / (2 * n))
 
 
-def _trigonometric(name: str, t: Tensor, axis: int) -> Tensor:
+def _trigonometric(name: str, x: np.ndarray) -> np.ndarray:
+    """The transforms of ``_kernel`` for a lane in each row, by the transform of the lanes mirrored."""
+    n = x.shape[1]
+    none = np.zeros((len(x), 1))
+    if name == "dctone":
+        if n < 2:
+            raise ValueError("DCT-I needs two points")
+        return np.fft.rfft(np.concatenate((x, x[:, -2:0:-1]), axis=1)).real
+    if name == "dstone":
+        return -np.fft.rfft(np.concatenate((none, x, none, -x[:, ::-1]), axis=1)).imag[:, 1 : n + 1]
+    turn = lambda k: np.exp(-0.5j * np.pi * k / n)
+    if name == "dcttwo":
+        return (np.fft.fft(np.concatenate((x, x[:, ::-1]), axis=1))[:, :n] * turn(np.arange(n))).real
+    return -(np.fft.fft(np.concatenate((x, -x[:, ::-1]), axis=1))[:, 1 : n + 1] * turn(np.arange(1, n + 1))).imag
+
+
+def _cosines(name: str, t: Tensor, axis: int) -> Tensor:
     t.need(REAL)
-    k = t.axis(axis)
-    n = t.shape[k]
-    if name == "dctone" and n < 2:
-        raise ValueError("DCT-I needs two points")
-    table = F.broadcast(fromarray(t.df.sparkSession, _kernel(name, n)).df.select(F.col("i0").alias("bin"), F.col("i1").alias(f"i{k}"), F.col("v").alias("w")))
-    others = [*t.keys, *(a for j, a in enumerate(t.axes) if j != k)]
-    out = t.df.join(table, f"i{k}").groupBy(*others, "bin").agg(F.sum(F.col("v") * F.col("w")).alias("v")).withColumn(f"i{k}", F.col("bin"))
-    return t.cells(out, extents=t.shape)
+    return _lanes(t, axis, lambda x: _trigonometric(name, x), False, None if t.keys else t.shape[t.axis(axis)])
 
 
 def dctone1d(t: Tensor, axis: int = -1) -> Tensor:
-    return _trigonometric("dctone", t, axis)
+    return _cosines("dctone", t, axis)
 
 
 def dcttwo1d(t: Tensor, axis: int = -1) -> Tensor:
-    return _trigonometric("dcttwo", t, axis)
+    return _cosines("dcttwo", t, axis)
 
 
 def dstone1d(t: Tensor, axis: int = -1) -> Tensor:
-    return _trigonometric("dstone", t, axis)
+    return _cosines("dstone", t, axis)
 
 
 def dsttwo1d(t: Tensor, axis: int = -1) -> Tensor:
-    return _trigonometric("dsttwo", t, axis)
+    return _cosines("dsttwo", t, axis)
 
 
-def _analytic(x: np.ndarray) -> np.ndarray:
-    n = len(x)
+def _analytic(x: np.ndarray, length: int | None = None) -> np.ndarray:
+    n = x.shape[1] if length is None else length
     if n % 2:
         raise ValueError("an odd length")
     keep = np.zeros(n)
     keep[0] = keep[n // 2] = 1
     keep[1 : n // 2] = 2
-    return np.fft.ifft(np.fft.fft(x) * keep)
+    return np.fft.ifft(np.fft.fft(x, n) * keep)
+
+
+def _own(t: Tensor, axis: int) -> int | None:
+    return None if t.keys else t.shape[t.axis(axis)]
 
 
 def hilbert1d(t: Tensor, axis: int = -1) -> Tensor:
     """The analytic signal."""
     t.need(REAL)
-    return _lanes(t, axis, _analytic, t.shape[t.axis(axis)], True)
+    return _lanes(t, axis, _analytic, True, _own(t, axis))
 
 
 def hilbert1dr(t: Tensor, axis: int = -1) -> Tensor:
     t.need(REAL)
-    return _lanes(t, axis, lambda x: _analytic(x).imag, t.shape[t.axis(axis)], False)
+    return _lanes(t, axis, lambda x: _analytic(x).imag, False, _own(t, axis))
 
 
 def hilbert2(t: Tensor, rows: int | None = None) -> Tensor:
     """The analytic signal in both directions: positive frequencies of either axis. ``rows``: length to which zeros extend the first."""
-    one = _lanes(t, -1, _analytic, t.shape[-1], True)
+    one = _lanes(t, -1, _analytic, True, _own(t, -1))
     n = t.shape[-2] if rows is None else rows
-    return _lanes(one, -2, lambda x: _analytic(np.concatenate((x, np.zeros(n - len(x))))), n, True)
+    return _lanes(one, -2, lambda x: _analytic(x, n), True, n)
 
 
 def stft(t: Tensor, n: int, hop: int, shape: str = "hanning", rate: float = 1.0) -> tuple[Tensor, Tensor, Tensor]:

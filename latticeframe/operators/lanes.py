@@ -1,8 +1,8 @@
 """Running and moving operators along a lane.
 
-A lane is what shares the keys and the other axes. Lanes of keyed or higher-rank arrays are windows
-of their own. A single long lane is cut into blocks: running sums add the totals of the blocks
-before, moving windows see the edges of the neighbouring blocks, so no task holds the lane.
+A lane is what shares the keys and the other axes. Lanes are cut into blocks, unless they are known
+to be short: running sums add the totals of the blocks before, moving windows see the edges of the
+neighbouring blocks, so no task holds a long lane.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import complexes, reals
-from ..tensor import COMPLEX, REAL, Tensor
+from ..tensor import COMPLEX, REAL, Tensor, matched
 from .shape import _reflat, flatten
 
-#: Cells of a block of a single lane.
+#: Cells of a block of a lane.
 BLOCK = 65_536
 
 
@@ -38,6 +38,10 @@ def _restored(t: Tensor, df: DataFrame, shape: tuple[int, ...] | None) -> Tensor
     return out if shape is None else _reflat(out, F.col("i0"), shape)
 
 
+def _short(t: Tensor, here: str) -> bool:
+    return not t.keys and t.ndim > 1 and t.shape[t.axes.index(here)] <= BLOCK
+
+
 def moving(t: Tensor, left: int, right: int, value: Callable[[Callable, Callable], Column], axis: int | None = None, keep: Column | None = None) -> Tensor:
     """``value(over, at)`` of each cell: ``over`` applies an aggregate to the ``left`` cells before to the ``right`` after, ``at(k)`` is the cell k places on.
 
@@ -45,14 +49,16 @@ def moving(t: Tensor, left: int, right: int, value: Callable[[Callable, Callable
     """
     t, others, here, shape = _lane(t, axis)
     rows = t.df.select(*t.places, "v")
-    if others:
+    if _short(t, here):
         order = Window.partitionBy(*others).orderBy(here)
         own = F.lit(True)
     else:
-        block = F.floor(F.col(here) / BLOCK)
-        near = F.array_distinct(F.array(block, F.floor((F.col(here) - right) / BLOCK), F.floor((F.col(here) + left) / BLOCK)))
+        block, place = F.floor(F.col(here) / BLOCK), F.pmod(F.col(here), F.lit(BLOCK))
+        first, last = F.floor((F.col(here) - right) / BLOCK), F.floor((F.col(here) + left) / BLOCK)
+        # most cells are in no other block's windows and need no list of blocks
+        near = F.when((place >= right) & (place < BLOCK - left), F.array(block)).otherwise(F.sequence(first, last))
         rows = rows.withColumn("_b", F.explode(near)).withColumn("_own", F.col("_b") == block)
-        order, own = Window.partitionBy("_b").orderBy(here), F.col("_own")
+        order, own = Window.partitionBy(*others, "_b").orderBy(here), F.col("_own")
     frame = order.rowsBetween(-left, right)
     out = rows.withColumn("_v", value(lambda x: x.over(frame), lambda k: (F.lead(F.col("v"), k) if k > 0 else F.lag(F.col("v"), -k)).over(order) if k else F.col("v")))
     out = out.filter(own).filter(F.col("_v").isNotNull()).select(*t.places, F.col("_v").alias("v"))
@@ -64,13 +70,15 @@ def running(t: Tensor, total: Callable[[Column], Column], both: Callable[[Column
     t, others, here, shape = _lane(t, axis)
     rows = t.df.select(*t.places, "v")
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    if others:
+    if _short(t, here):
         return _restored(t, rows.withColumn("v", total(F.col("v")).over(upto(Window.partitionBy(*others).orderBy(here)))), shape)
+    lane = [*others, "_b"]
     rows = rows.withColumn("_b", F.floor(F.col(here) / BLOCK))
-    blocks = rows.groupBy("_b").agg(total(F.col("v")).alias("v"))  # a row for each block
-    before = blocks.select("_b", total(F.col("v")).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    within = rows.withColumn("v", total(F.col("v")).over(upto(Window.partitionBy("_b").orderBy(here))))
-    joined = within.join(before, "_b").withColumn("v", F.when(F.col("_before").isNull(), F.col("v")).otherwise(both(F.col("_before"), F.col("v"))))
+    blocks = rows.groupBy(*lane).agg(total(F.col("v")).alias("v"))  # a row for each block
+    before = blocks.select(*lane, total(F.col("v")).over(Window.partitionBy(*others).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    before = before.filter(F.col("_before").isNotNull())  # short lanes have none
+    within = rows.withColumn("v", total(F.col("v")).over(upto(Window.partitionBy(*lane).orderBy(here))))
+    joined = matched(within, before, lane, "left").withColumn("v", F.when(F.col("_before").isNull(), F.col("v")).otherwise(both(F.col("_before"), F.col("v"))))
     return _restored(t, joined, shape)
 
 
@@ -88,7 +96,11 @@ def cumsum(t: Tensor, axis: int | None = None) -> Tensor:
 
 
 def cumprod(t: Tensor, axis: int | None = None) -> Tensor:
-    t.need(REAL)
+    if t.kind == COMPLEX:  # magnitudes multiply, angles add
+        size = cumprod(t.map(complexes.magnitude), axis)
+        angle = cumsum(t.map(lambda v: F.atan2(v["im"], v["re"])), axis)
+        joined = size.df.join(angle.df.withColumnRenamed("v", "_a"), list(size.places))
+        return replace(size, df=joined.select(*size.places, complexes.make(F.col("v") * F.cos("_a"), F.col("v") * F.sin("_a")).alias("v")))
     return running(t, F.product, lambda a, b: a * b, axis)
 
 

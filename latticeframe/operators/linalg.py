@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,29 +166,24 @@ def hilbertmat(spark: SparkSession, n: int) -> Tensor:
     return generated(spark, (n, n), lambda i, j: 1 / (i + j + 1).cast("double"))
 
 
-# dense systems: each matrix, one for each key, is solved in one task
+# dense systems: each matrix, one for each key, is a lane of its cells; a task takes many at once
 
 
-def _matrix(frame: pd.DataFrame, rows: int, columns: int) -> np.ndarray:
-    out = np.zeros((rows, columns))
-    out[frame["i0"], frame["i1"]] = frame["v"]
-    return out
-
-
-def _eliminated(a: np.ndarray) -> tuple[float, bool]:
-    """Determinant, and whether a pivot falls below the rounding of the largest entry."""
-    a, n, det = a.copy(), len(a), 1.0
-    least = n * np.finfo(float).eps * np.abs(a).max(initial=0.0)
+def _eliminated(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Determinants of matrices, and whether a pivot falls below the rounding of the largest entry."""
+    a, n, every = a.copy(), a.shape[1], np.arange(len(a))
+    det, singular = np.ones(len(a)), np.zeros(len(a), bool)
+    least = n * np.finfo(float).eps * np.abs(a).max(axis=(1, 2), initial=0.0)
     for k in range(n):
-        p = k + int(np.abs(a[k:, k]).argmax())
-        if abs(a[p, k]) <= least:
-            return 0.0, True
-        if p != k:
-            a[[k, p]] = a[[p, k]]
-            det = -det
-        det *= a[k, k]
-        a[k + 1 :] -= np.outer(a[k + 1 :, k] / a[k, k], a[k])
-    return det, False
+        p = k + np.abs(a[:, k:, k]).argmax(axis=1)
+        row = a[every, p].copy()
+        a[every, p] = a[:, k]
+        a[:, k] = row
+        singular |= np.abs(a[:, k, k]) <= least
+        det *= np.where(p == k, 1.0, -1.0) * a[:, k, k]
+        pivot = np.where(singular, 1.0, a[:, k, k])
+        a[:, k + 1 :] -= (a[:, k + 1 :, k] / pivot[:, None])[:, :, None] * a[:, k][:, None]
+    return np.where(singular, 0.0, det), singular
 
 
 def _square(t: Tensor) -> int:
@@ -198,45 +192,42 @@ def _square(t: Tensor) -> int:
     return t.shape[0]
 
 
-def _grouped(t: Tensor):
-    df = t.df if t.keys else t.df.withColumn("_one", F.lit(1))
-    return df.groupBy(*(t.keys or ("_one",)))
+def _matrices(t: Tensor, rows: int, columns: int, f, out: int) -> Tensor:
+    """``f`` of all matrices (matrix x row x column), whose results have ``out`` cells, as lanes."""
+    from .convolution import _lanes
 
+    at = (F.col("i0") * columns + F.col("i1")).alias("i0")
+    lanes = Tensor(t.df.select(*t.keys, at, "v"), 1, t.keys, (rows * columns,))
 
-def _per_matrix(t: Tensor, f, cells: str) -> DataFrame:
-    keys = list(t.keys)
+    def run(x: np.ndarray) -> np.ndarray:
+        whole = np.pad(x, ((0, 0), (0, rows * columns - x.shape[1])))
+        return f(whole.reshape(-1, rows, columns)).reshape(len(x), -1)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = f(frame)
-        for k in reversed(keys):
-            out.insert(0, k, frame[k].iloc[0])
-        return out
+    return _lanes(lanes, 0, run, False, out)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in t.df.schema.fields if f.name in keys), cells])
-    return _grouped(t).applyInPandas(run, schema)
+
+def _regular(a: np.ndarray) -> np.ndarray:
+    if _eliminated(a)[1].any():
+        raise ValueError("a matrix is singular")
+    return a
 
 
 def det(t: Tensor) -> Tensor:
     """Exactly 0 of a singular matrix."""
     n = _square(t)
-    f = lambda frame: pd.DataFrame({"v": [_eliminated(_matrix(frame, n, n))[0]]})
-    return Tensor(_per_matrix(t, f, "v double"), 0, t.keys, ())
-
-
-def _long(a: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"i0": np.repeat(np.arange(a.shape[0]), a.shape[1]), "i1": np.tile(np.arange(a.shape[1]), a.shape[0]), "v": a.ravel()})
+    found = _matrices(t, n, n, lambda a: _eliminated(a)[0], 1)
+    return Tensor(found.df.select(*t.keys, "v"), 0, t.keys, ())
 
 
 def inv(t: Tensor) -> Tensor:
     n = _square(t)
+    found = _matrices(t, n, n, lambda a: np.linalg.inv(_regular(a)), n * n)
+    return t.cells(_indexed(found, (n, n)), 2, (n, n))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        a = _matrix(frame, n, n)
-        if _eliminated(a)[1]:
-            raise ValueError("the matrix is singular")
-        return _long(np.linalg.inv(a))
 
-    return t.cells(_per_matrix(t, run, "i0 long, i1 long, v double"), 2, (n, n))
+def _indexed(lanes: Tensor, shape: tuple[int, int]) -> DataFrame:
+    columns = max(1, shape[1])
+    return lanes.df.select(*lanes.keys, F.floor(F.col("i0") / columns).alias("i0"), F.pmod(F.col("i0"), F.lit(columns)).alias("i1"), "v")
 
 
 def solve(a: Tensor, b: Tensor) -> Tensor:
@@ -246,15 +237,8 @@ def solve(a: Tensor, b: Tensor) -> Tensor:
     columns = 1 if b.ndim == 1 else b.shape[1]
     right = b.df.select(*b.keys, "i0", ((F.col("i1") if b.ndim == 2 else F.lit(0)) + n).cast("long").alias("i1"), "v")
     both = Tensor(a.df.select(*a.keys, "i0", "i1", "v").unionByName(right), 2, a.keys, (n, n + columns))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        m = _matrix(frame, n, n + columns)
-        if _eliminated(m[:, :n])[1]:
-            raise ValueError("the matrix is singular")
-        return _long(np.linalg.solve(m[:, :n], m[:, n:]))
-
-    out = _per_matrix(both, run, "i0 long, i1 long, v double")
-    return a.cells(out if b.ndim == 2 else out.drop("i1"), b.ndim, b.shape)
+    found = _matrices(both, n, n + columns, lambda m: np.linalg.solve(_regular(m[:, :, :n]), m[:, :, n:]), n * columns)
+    return a.cells(_indexed(found, (n, columns)) if b.ndim == 2 else found.df, b.ndim, b.shape)
 
 
 def savgol(spark: SparkSession, width: int, degree: int, spacing: float = 1.0) -> Tensor:

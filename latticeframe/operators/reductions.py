@@ -68,6 +68,8 @@ def reduce(name: str, t: Tensor, axis: int | None = None) -> Tensor:
     modes = COMPLEX_MODES if t.kind == COMPLEX else REAL_MODES
     if name not in modes:
         raise TypeError(f"{name} is for real arrays")
+    if name == "median":
+        return quantile(t, 0.5, axis)
     return _grouped(t, axis, modes[name]())
 
 
@@ -80,6 +82,9 @@ def reduce_many(names: list[str], t: Tensor, axis: int | None = None):
 
 def sub(t: Tensor, axis: int | None = None) -> Tensor:
     """The first element less all others."""
+    if t.kind == COMPLEX:
+        at = t.flat() if axis is None else F.col(t.axes[t.axis(axis)])
+        return _grouped(t, axis, complexes.make(*(2 * F.min_by(f"v.{c}", at) - F.sum(f"v.{c}") for c in ("re", "im"))))
     t.need(REAL)
     at = t.flat() if axis is None else F.col(t.axes[t.axis(axis)])
     return _grouped(t, axis, 2 * F.min_by(_v(), at) - F.sum(_v()))
@@ -93,6 +98,11 @@ def quantile(t: Tensor, q: float, axis: int | None = None) -> Tensor:
     """Exact, linear between neighbours."""
     if not 0 <= q <= 1:
         raise ValueError(f"quantile {q}")
+    t.need(REAL)
+    if axis is None:
+        from .sorting import selected
+
+        return Tensor(selected(t.df.select(*t.keys, F.col("v").cast("double").alias("v")), q, t.keys), 0, t.keys, ())
     return _grouped(t, axis, _refuse_empty(_with_nan(F.percentile(_v(), F.lit(float(q))))))
 
 

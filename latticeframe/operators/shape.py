@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import complexes
-from ..tensor import COMPLEX, REAL, STRING, Tensor
+from ..tensor import COMPLEX, REAL, STRING, Tensor, matched
 from .creation import indexed
 from .elementwise import literal
 
@@ -28,6 +28,37 @@ def _reflat(t: Tensor, flat: Column, shape: Sequence[int]) -> Tensor:
     return t.cells(df, len(shape), tuple(shape))
 
 
+def with_sizes(t: Tensor) -> tuple[DataFrame, list[Column]]:
+    """Cells, and each axis's extent: a number, or with keys that of the cell's own array, by a join with grouped maxima."""
+    if not t.keys:
+        return t.df, [F.lit(n) for n in t.shape]
+    names = [f"_n{k}" for k in range(t.ndim)]
+    own = t.df.groupBy(*t.keys).agg(*((F.max(a) + 1).alias(n) for a, n in zip(t.axes, names, strict=True)))
+    return matched(t.df.select(*t.places, "v"), own, list(t.keys)), [F.col(n) for n in names]
+
+
+def _flat(t: Tensor, own: list[Column]) -> Column:
+    """A cell's place in row-major order of its own array."""
+    at = F.lit(0).cast("long")
+    for a, n in zip(t.axes, own, strict=True):
+        at = at * n + F.col(a)
+    return at
+
+
+def _unflat(flat: Column, own: list[Column]) -> list[Column]:
+    out = []
+    for k in reversed(range(len(own))):
+        out.append((F.pmod(flat, F.greatest(own[k], F.lit(1))) if k else flat).cast("long").alias(f"i{k}"))
+        flat = F.floor(flat / F.greatest(own[k], F.lit(1)))
+    return out[::-1]
+
+
+def _moved(t: Tensor, index) -> Tensor:
+    """The array with new places: ``index`` of the own extents gives a column for each axis."""
+    df, own = with_sizes(t)
+    return t.cells(df.select(*t.keys, *index(own), "v"), extents=None if t.keys else t.shape)
+
+
 def reshape(t: Tensor, *shape: int) -> Tensor:
     if math.prod(shape) != math.prod(t.shape):
         raise ValueError(f"{t.shape} can't be {shape}")
@@ -35,6 +66,9 @@ def reshape(t: Tensor, *shape: int) -> Tensor:
 
 
 def flatten(t: Tensor) -> Tensor:
+    if t.keys:
+        df, own = with_sizes(t)
+        return t.cells(df.select(*t.keys, _flat(t, own).alias("i0"), "v"), 1)
     return _reflat(t, t.flat(), (math.prod(t.shape),))
 
 
@@ -48,35 +82,42 @@ def transpose(t: Tensor, *axes: int) -> Tensor:
 
 
 def flip(t: Tensor, axis: int | None = None) -> Tensor:
-    """Reverses one axis, or every axis."""
+    """Reverses one axis, or every axis. Like all that follows, it uses the extents of each key's own array."""
     which = range(t.ndim) if axis is None else [t.axis(axis)]
-    return _index(t, **{f"i{k}": t.shape[k] - 1 - F.col(f"i{k}") for k in which})
+    return _moved(t, lambda own: [(own[k] - 1 - F.col(a) if k in which else F.col(a)).alias(a) for k, a in enumerate(t.axes)])
 
 
 def roll(t: Tensor, shift: int, axis: int | None = None) -> Tensor:
     if axis is None:
-        n = math.prod(t.shape)
-        return _reflat(t, F.pmod(t.flat() + shift, F.lit(n)), t.shape)
+        return _moved(t, lambda own: _unflat(F.pmod(_flat(t, own) + shift, math.prod(own[1:], start=own[0])), own))
     k = t.axis(axis)
-    return _index(t, **{f"i{k}": F.pmod(F.col(f"i{k}") + shift, F.lit(t.shape[k]))})
+    return _moved(t, lambda own: [(F.pmod(F.col(a) + shift, own[k]) if j == k else F.col(a)).alias(a) for j, a in enumerate(t.axes)])
 
 
 def reverse(t: Tensor) -> Tensor:
-    return _reflat(t, math.prod(t.shape) - 1 - t.flat(), t.shape)
+    return _moved(t, lambda own: _unflat(math.prod(own[1:], start=own[0]) - 1 - _flat(t, own), own))
 
 
 def pad(t: Tensor, before: int, after: int, value=0.0, axis: int | None = None) -> Tensor:
     """Cells of ``value`` before and after along one axis, or every axis. The new cells are generated, none is copied."""
     which = list(range(t.ndim)) if axis is None else [t.axis(axis)]
-    shape = tuple(n + (before + after if k in which else 0) for k, n in enumerate(t.shape))
     moved = t.df.select(*t.keys, *((F.col(a) + (before if k in which else 0)).alias(a) for k, a in enumerate(t.axes)), "v")
+    grown = lambda own: [n + (before + after if k in which else 0) for k, n in enumerate(own)]
+    if t.keys:
+        arrays = t.df.groupBy(*t.keys).agg(*((F.max(a) + 1).alias(f"_n{k}") for k, a in enumerate(t.axes)))
+        own = [F.col(f"_n{k}") for k in range(t.ndim)]
+        count = math.prod(grown(own)[1:], start=grown(own)[0])
+        spread = arrays.select("*", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("id"))
+        new = spread.select(*t.keys, *_unflat(F.col("id"), grown(own)), *(n.alias(f"_n{k}") for k, n in enumerate(own)))
+        shape = None
+    else:
+        own, shape = [F.lit(n) for n in t.shape], tuple(grown(t.shape))
+        new = indexed(t.df.sparkSession.range(math.prod(shape)), F.col("id"), shape)
     border = F.lit(False)
     for k in which:
-        border = border | (F.col(f"i{k}") < before) | (F.col(f"i{k}") >= before + t.shape[k])
-    new = indexed(t.df.sparkSession.range(math.prod(shape)), F.col("id"), shape).filter(border)
-    if t.keys:
-        new = t.df.select(*t.keys).distinct().crossJoin(new)
-    return t.cells(moved.unionByName(new.withColumn("v", literal(complex(value) if t.kind == COMPLEX else value))), extents=shape)
+        border = border | (F.col(f"i{k}") < before) | (F.col(f"i{k}") >= before + own[k])
+    new = new.filter(border).select(*t.places, literal(complex(value) if t.kind == COMPLEX else value).alias("v"))
+    return t.cells(moved.unionByName(new), extents=shape)
 
 
 def truncate(t: Tensor, n: int, axis: int | None = None) -> Tensor:
@@ -112,11 +153,17 @@ def concat(a: Tensor, b: Tensor, axis: int | None = None) -> Tensor:
     if axis is None:
         a, b, axis = flatten(a), flatten(b), 0
     k = a.axis(axis)
-    if a.ndim != b.ndim or any(x != y for j, (x, y) in enumerate(zip(a.shape, b.shape, strict=True)) if j != k):
-        raise ValueError(f"shapes {a.shape} and {b.shape} along axis {k}")
-    moved = _index(b, **{f"i{k}": F.col(f"i{k}") + a.shape[k]})
-    shape = tuple(x + (b.shape[j] if j == k else 0) for j, x in enumerate(a.shape))
-    return a.cells(a.df.select(*a.places, "v").unionByName(moved.df), extents=shape)
+    if a.ndim != b.ndim or not a.keys and any(x != y for j, (x, y) in enumerate(zip(a.shape, b.shape, strict=True)) if j != k):
+        raise ValueError(f"ranks {a.ndim} and {b.ndim}, or shapes along axis {k}")
+    if not a.keys:
+        moved = _index(b, **{f"i{k}": F.col(f"i{k}") + a.shape[k]}).df
+        shape = tuple(x + (b.shape[j] if j == k else 0) for j, x in enumerate(a.shape))
+    else:
+        own = a.df.groupBy(*a.keys).agg((F.max(f"i{k}") + 1).alias("_n"))
+        placed = matched(b.df.select(*b.places, "v"), own, list(a.keys), "left")
+        index = (F.col(f"i{k}") + F.coalesce("_n", F.lit(0))).alias(f"i{k}")
+        moved, shape = placed.select(*a.keys, *(index if j == k else F.col(x) for j, x in enumerate(a.axes)), "v"), None
+    return a.cells(a.df.select(*a.places, "v").unionByName(moved), extents=shape)
 
 
 def stack(*arrays: Tensor, axis: int = 0) -> Tensor:
@@ -154,9 +201,9 @@ def insert(t: Tensor, at: int, new, axis: int = 0) -> Tensor:
         raise ValueError(f"position {at}")
     if not isinstance(new, Tensor):
         block = t.df.sparkSession.range(1).select(F.lit(0).cast("long").alias("i0"), literal(complex(new) if t.kind == COMPLEX else new).alias("v"))
-        if t.ndim != 1 or t.keys:
+        if t.ndim != 1:
             raise ValueError("a single value goes into an array of rank 1")
-        new = Tensor(block, 1, (), (1,))
+        new = Tensor(t.df.select(*t.keys).distinct().crossJoin(block) if t.keys else block, 1, t.keys, (1,))
     size = new.shape[k] if new.ndim == t.ndim else 1
     if new.ndim == t.ndim - 1:
         index = [F.col(f"i{j}").alias(f"i{j + (j >= k)}") for j in range(new.ndim)]
@@ -164,7 +211,7 @@ def insert(t: Tensor, at: int, new, axis: int = 0) -> Tensor:
     here = F.col(f"i{k}")
     moved = _index(t, **{f"i{k}": F.when(here >= at, here + size).otherwise(here)})
     put = _index(new, **{f"i{k}": here + at})
-    return t.cells(moved.df.unionByName(put.df), extents=tuple(n + (size if j == k else 0) for j, n in enumerate(t.shape)))
+    return t.cells(moved.df.unionByName(put.df), extents=None if t.keys else tuple(n + (size if j == k else 0) for j, n in enumerate(t.shape)))
 
 
 def remove(t: Tensor, at: int, n: int = 1, axis: int = 0) -> tuple[Tensor, Tensor]:
@@ -182,9 +229,18 @@ def remove(t: Tensor, at: int, n: int = 1, axis: int = 0) -> tuple[Tensor, Tenso
 
 
 def push(t: Tensor, value) -> Tensor:
-    return insert(t, t.shape[0], value)
+    """One more element at the end, of each key's own array."""
+    if not t.keys:
+        return insert(t, t.shape[0], value)
+    last = t.df.groupBy(*t.keys).agg((F.max("i0") + 1).alias("i0")).withColumn("v", literal(complex(value) if t.kind == COMPLEX else value))
+    return t.cells(t.df.select(*t.places, "v").unionByName(last))
 
 
 def pop(t: Tensor) -> tuple[Tensor, Tensor]:
-    """The array without its last element, and that element."""
-    return remove(t, t.shape[0] - 1)
+    """The array without its last element, and that element, of each key's own array."""
+    if not t.keys:
+        return remove(t, t.shape[0] - 1)
+    df, (n, *_) = with_sizes(t)
+    gone = F.col("i0") == n - 1
+    taken = df.filter(gone).withColumn("i0", F.lit(0).cast("long"))
+    return t.cells(df.filter(~gone)), t.cells(taken)

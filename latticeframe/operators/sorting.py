@@ -7,48 +7,94 @@ from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, TimestampNTZType
 from pyspark.sql.window import Window
 
-from ..tensor import REAL, Tensor
+from ..tensor import REAL, Tensor, matched
 
 #: Ranges of values in a global ranking, for each shuffle partition.
 RANGES = 2
 
 
+def _number(df: DataFrame, column: str) -> Column:
+    """A column as a double in the same order; all strings are one."""
+    kind, x = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), x).cast("double")
+    if isinstance(kind, DateType):
+        return F.unix_date(x).cast("double")
+    return F.lit(0.0) if isinstance(kind, StringType) else x.cast("double")
+
+
 def _limits(df: DataFrame, column: str) -> Column:
     """Limits of ranges of about equal size, as a constant array; their number is that of shuffle partitions."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * RANGES
     marks = [k / n for k in range(1, n)]
-    found = df.agg(F.percentile_approx(F.col(column).cast("double"), marks).alias("q")).first().q or []
+    found = df.agg(F.percentile_approx(_number(df, column), marks).alias("q")).first().q or []
     limits = sorted({x for x in found if x == x})
     return F.expr(f"cast(split('{','.join(map(repr, limits))}', ',') as array<double>)") if limits else F.array().cast("array<double>")
 
 
-def _range(limits: Column, column: str) -> Column:
-    x = F.col(column).cast("double")
+def _range(limits: Column, x: Column) -> Column:
     return F.size(F.filter(limits, lambda q: q <= x))
 
 
-def numbered(df: DataFrame, order: Sequence[str], descending: bool = False) -> DataFrame:
-    """``df`` with ``rank``: each row's place from 0 by ``order``, whose first column is a number.
+def numbered(df: DataFrame, order: Sequence[str], descending: bool = False, keys: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``rank``: each row's place from 0 by ``order``, whose first column is a number, for each value of ``keys``.
 
     Rows are dealt by ranges of that column, ranked within them, and the sizes of the ranges
-    before are added: no task orders all rows. Equal first columns stay in one range.
+    before are added: no task orders all rows, nor all of a key. Equal first columns stay in one range.
     """
+    keys = list(keys)
     limits = _limits(df, order[0])
-    dealt = df.withColumn("_p", _range(limits, order[0]))
-    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))  # a row for each range
-    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy(F.desc("_p") if descending else F.asc("_p"))) - F.col("_n")).alias("_before"))
+    dealt = df.withColumn("_p", _range(limits, _number(df, order[0])))
+    sizes = dealt.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.select(*keys, "_p", (F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.desc("_p") if descending else F.asc("_p"))) - F.col("_n")).alias("_before"))
     direction = F.desc if descending else F.asc
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(direction(order[0]), *order[1:])) - 1
-    return dealt.withColumn("_r", within).join(F.broadcast(before), "_p").withColumn("rank", F.col("_r") + F.col("_before")).drop("_p", "_r", "_before")
+    within = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(direction(order[0]), *order[1:])) - 1
+    ranked = dealt.withColumn("_r", within)
+    if keys:
+        joined = matched(ranked, before, [*keys, "_p"])
+    else:
+        joined = ranked.join(F.broadcast(before), "_p")
+    return joined.withColumn("rank", F.col("_r") + F.col("_before")).drop("_p", "_r", "_before")
+
+
+def selected(df: DataFrame, q: float, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., v): the ``q``-quantile of ``v`` (keys..., v), linear between neighbours; NaN if one is, an error without keys if none is there.
+
+    Ranges of values are counted, and only those that hold the wanted ranks are read again, as
+    distinct values with their counts.
+    """
+    keys = list(keys)
+    limits = _limits(df, "v")
+    dealt = df.select(*keys, "v", _range(limits, F.col("v")).alias("_p"))
+    sizes = dealt.groupBy(*keys, "_p").agg(F.count("*").alias("n"), F.count_if(F.isnan("v")).alias("nan"))
+    each = Window.partitionBy(*keys)
+    total = F.sum("n").over(each)
+    at = F.lit(float(q)) * (total - 1)
+    upto = F.sum("n").over(each.orderBy("_p"))
+    marks = sizes.select(*keys, "_p", (upto - F.col("n")).alias("_before"), upto.alias("_upto"), at.alias("_at"), F.sum("nan").over(each).alias("_nan"))
+    has = lambda k, low, high: (F.col(low) <= k) & (k < F.col(high))
+    low, high = F.floor("_at"), F.ceil("_at")
+    marks = marks.filter(has(low, "_before", "_upto") | has(high, "_before", "_upto")).drop("_upto")
+    own = matched(dealt, marks, [*keys, "_p"]) if keys else dealt.join(F.broadcast(marks), "_p")
+    values = own.groupBy(*keys, "_p", "_before", "_at", "_nan", "v").agg(F.count("*").alias("n"))
+    through = F.col("_before") + F.sum("n").over(Window.partitionBy(*keys, "_p").orderBy("v"))
+    placed = values.withColumn("_to", through).withColumn("_from", F.col("_to") - F.col("n"))
+    pick = lambda k: F.max(F.when(has(k, "_from", "_to"), F.col("v")))
+    x, y, part = pick(low), pick(high), F.max(F.col("_at") - low)
+    value = F.when(F.max("_nan") > 0, float("nan")).when(part == 0, x).otherwise(x + (y - x) * part)
+    if not keys:
+        value = F.when(F.count("*") == 0, F.raise_error(F.lit("an empty array has none")).cast("double")).otherwise(value)
+    return placed.groupBy(*keys).agg(value.alias("v"))
 
 
 def ranked_among(source: DataFrame, queries: DataFrame, right: bool) -> DataFrame:
     """``queries`` with ``v`` replaced by the number of source cells before it."""
     both = source.select("v").withColumn("_q", F.lit(False)).unionByName(queries.withColumn("_q", F.lit(True)), allowMissingColumns=True)
     limits = _limits(source, "v")
-    dealt = both.withColumn("_p", _range(limits, "v"))
+    dealt = both.withColumn("_p", _range(limits, F.col("v")))
     sizes = dealt.filter("NOT _q").groupBy("_p").agg(F.count("*").alias("_n"))
     parts = dealt.select("_p").distinct().join(sizes, "_p", "left")
     before = parts.select("_p", (F.sum(F.coalesce("_n", F.lit(0))).over(Window.orderBy("_p")) - F.coalesce("_n", F.lit(0))).alias("_before"))

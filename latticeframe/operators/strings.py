@@ -243,11 +243,9 @@ def decode(data: Column) -> Column:
 
 
 def fromcodepoints(data: Column) -> Column:
-    @F.pandas_udf("string")
-    def text(points: pd.Series) -> pd.Series:
-        return points.map(lambda p: "".join(chr(int(x)) for x in p))
-
-    return text(data)
+    """One string of code points."""
+    units = F.transform(data, lambda p: F.lpad(F.hex(p.cast("long")), 8, "0"))
+    return F.decode(F.unhex(F.array_join(units, "")), "UTF-32")
 
 
 def listasstr(data: Column, separator: str = ",") -> Column:

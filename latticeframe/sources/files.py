@@ -121,6 +121,25 @@ def audio_bytes(t: Tensor, rate: int) -> bytes:
     return wav_bytes(toarray(t), rate)
 
 
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """One file, at any path that Spark can write."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(content)
+    finally:
+        out.close()
+
+
+def save_npy(t: Tensor, path: str) -> None:
+    write_bytes(t.df.sparkSession, path, npy_bytes(t))
+
+
+def save_audio(t: Tensor, path: str, rate: int) -> None:
+    """A WAV file (channel x frame), for signals that fit the driver."""
+    write_bytes(t.df.sparkSession, path, audio_bytes(t, rate))
+
+
 def save(t: Tensor, path: str) -> None:
     """An array of any size: cells as Parquet, and its shape beside them."""
     spark = t.df.sparkSession

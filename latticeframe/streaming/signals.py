@@ -1,7 +1,9 @@
 """Samples (key, i, ts, v) as streams: frames, overlap-add, filters with state, cursors and accumulators.
 
 ``i`` is a signal's sample number, gapless from 0. Signals are independent, so state is kept for
-each key; samples that arrive early wait in the state until those before them are there.
+each key; samples that arrive early wait in the state until those before them are there. A sample that
+never comes keeps all later ones of its signal waiting, as nothing says which value it had: fill gaps
+upstream where a source may lose samples.
 """
 
 from __future__ import annotations

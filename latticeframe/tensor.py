@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType, StructType
 
@@ -32,6 +32,13 @@ class Tensor:
         if not 0 <= self.ndim <= MAX_RANK:
             raise ValueError(f"rank {self.ndim} is not within 0 to {MAX_RANK}")
 
+    @staticmethod
+    def of(spark: SparkSession, values) -> Tensor:
+        """An array of given values: ``[1, 2, 3]`` and nested lists."""
+        from .operators.creation import fromarray
+
+        return fromarray(spark, values)
+
     @property
     def axes(self) -> tuple[str, ...]:
         return tuple(f"i{k}" for k in range(self.ndim))
@@ -147,3 +154,9 @@ def _operator(name: str, a: Tensor, b, swapped: bool = False) -> Tensor:
     if a.kind == STRING:
         return strings.concat(b, a) if swapped and name == "add" else strings.concat(a, b) if name == "add" else strings.repeat(a, b)
     return elementwise.binary(name, b, a) if swapped else elementwise.binary(name, a, b)
+
+
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join by equal ``keys``, nulls among them, with each key once; other columns have different names."""
+    renamed = right.select(*(F.col(c).alias(f"_of_{c}") for c in keys), *(c for c in right.columns if c not in keys))
+    return left.join(renamed, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys], how).drop(*(f"_of_{c}" for c in keys))
