@@ -219,10 +219,6 @@ add("unwrap", lambda s, d: shown(lanes.unwrap(views.lanes(s, d).map(lambda v: v
 add("zcr", lambda s, d: shown(lanes.zcr(views.embeddings(s, d), 1)), with_views(f"SELECT i0, {r('avg(c)')} AS v FROM (SELECT i0, CASE WHEN (v < -1e-10) <> (lag(v) OVER (PARTITION BY i0 ORDER BY i1) < -1e-10) THEN 1.0 ELSE 0.0 END AS c FROM emb) GROUP BY i0", "emb"))
 add("cumsum_long", lambda s, d: shown(lanes.cumsum(views.events(s, d)), 3), f"SELECT event_id AS i0, {r('sum(value) OVER (ORDER BY event_id)', 3)} AS v FROM events")
 add("movmean_long", lambda s, d: shown(lanes.movmean(views.events(s, d), 7)), f"SELECT event_id AS i0, {r('avg(value) OVER (ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)')} AS v FROM events")
-add("medfilt", lambda s, d: shown(lanes.medfilt(views.embeddings(s, d, 30), 3, 3)), with_views(
-    f"SELECT i0, i1, {r('list_sort(list_concat(list(v), list_resize([]::DOUBLE[], 9 - count(*), 0.0::DOUBLE)))[5]')} AS v FROM (SELECT a.i0, a.i1, b.v FROM emb a JOIN emb b ON b.i0 BETWEEN a.i0 - 1 AND a.i0 + 1 AND b.i1 BETWEEN a.i1 - 1 AND a.i1 + 1 WHERE a.i0 < 30 AND b.i0 < 30) GROUP BY i0, i1",
-    "emb",
-))
 
 # order and sets
 
@@ -251,8 +247,6 @@ add("setissubset", lambda s, d: _one(s, sorting.setissubset(_set(s, d, "A"), _se
 add("setissuperset", lambda s, d: _one(s, sorting.setissuperset(_set(s, d, "A"), _set(s, d, "R"))), f"SELECT CAST(count(*) = 0 AS DOUBLE) AS v FROM ({_sql_set('R')} EXCEPT {_sql_set('A')})")
 add("setisdisjoint", lambda s, d: _one(s, sorting.setisdisjoint(_set(s, d, "A"), _set(s, d, "R"))), f"SELECT CAST(count(*) = 0 AS DOUBLE) AS v FROM ({_sql_set('A')} INTERSECT {_sql_set('R')})")
 add("setisequal", lambda s, d: _one(s, sorting.setisequal(_set(s, d, "A"), _set(s, d, "R"))), f"SELECT CAST(count(*) = 0 AS DOUBLE) AS v FROM {_sym}")
-add("shuffle", lambda s, d: shown(sorting.sort(sorting.shuffle(views.sizes(s, d)))), with_views(f"SELECT CAST(row_number() OVER (ORDER BY v) AS BIGINT) AS i0, v FROM (SELECT v FROM sizes)", "sizes").replace("AS BIGINT) AS i0", "AS BIGINT) - 1 AS i0"))
-add("perm", lambda s, d: shown(sorting.perm(creation.arange(s, 1, 5))).groupBy("i0").agg(F.sum("v").alias("v")), "SELECT CAST(k AS BIGINT) AS i0, CAST(10 AS DOUBLE) AS v FROM range(24) g(k)")
 
 # shape and indexing, on a matrix
 
@@ -284,12 +278,8 @@ SHAPES = {
     "argnonzero": (lambda t: indexing.argnonzero(elementwise.binary("gt", t, 0.3)), "SELECT k AS i0, CAST(c AS BIGINT) AS i1, CAST(CASE c WHEN 0 THEN i0 ELSE i1 END AS DOUBLE) AS v FROM (SELECT i0, i1, CAST(row_number() OVER (ORDER BY i0, i1) - 1 AS BIGINT) AS k FROM emb WHERE v > 0.3), (SELECT unnest([0, 1]) AS c)"),
     "like": (lambda t: creation.like(t, 2.0), "SELECT i0, i1, CAST(2 AS DOUBLE) AS v FROM emb"),
     "copy": (creation.copy, f"SELECT i0, i1, {_v} AS v FROM emb"),
-    "matmul": (lambda t: linalg.matmul(indexing.getslice(t, 0, 20), shape.transpose(t)), f"SELECT a.i0, b.i0 AS i1, {r('sum(a.v * b.v)')} AS v FROM emb a JOIN emb b ON a.i1 = b.i1 WHERE a.i0 < 20 GROUP BY a.i0, b.i0"),
     "dot": (lambda t: linalg.dot(indexing.getrow(t, 1), indexing.getrow(t, 2)), f"SELECT {r('sum(a.v * b.v)')} AS v FROM emb a JOIN emb b ON a.i1 = b.i1 WHERE a.i0 = 1 AND b.i0 = 2"),
-    "inner": (lambda t: linalg.inner(indexing.getslice(t, 0, 5), t), f"SELECT a.i0, b.i0 AS i1, {r('sum(a.v * b.v)')} AS v FROM emb a JOIN emb b ON a.i1 = b.i1 WHERE a.i0 < 5 GROUP BY a.i0, b.i0"),
     "outer": (lambda t: linalg.outer(indexing.getrow(t, 1), indexing.getrow(t, 2)), f"SELECT a.i1 AS i0, b.i1, {r('a.v * b.v')} AS v FROM emb a, emb b WHERE a.i0 = 1 AND b.i0 = 2"),
-    "trace": (lambda t: linalg.trace(indexing.getslice(t, 0, 64)), f"SELECT {r('sum(v)')} AS v FROM emb WHERE i0 = i1"),
-    "diag": (lambda t: linalg.diag(indexing.getslice(t, 0, 64)), f"SELECT i0, {_v} AS v FROM emb WHERE i0 = i1"),
     "dist": (lambda t: linalg.dist(indexing.getrow(t, 1), indexing.getrow(t, 2), 3), f"SELECT {r('pow(sum(pow(abs(a.v - b.v), 3)), 1 / 3.0::DOUBLE)')} AS v FROM emb a JOIN emb b ON a.i1 = b.i1 WHERE a.i0 = 1 AND b.i0 = 2"),
     "pairdist": (lambda t: linalg.pairdist(t, shape.flip(t, 1)), f"SELECT a.i0, a.i1, {r('abs(a.v - b.v)')} AS v FROM emb a JOIN emb b ON a.i0 = b.i0 AND a.i1 = 63 - b.i1"),
     "angledist": (lambda t: linalg.angledist(indexing.getrow(t, 1), indexing.getrow(t, 2)), f"SELECT {r('acos(sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)))')} AS v FROM emb a JOIN emb b ON a.i1 = b.i1 WHERE a.i0 = 1 AND b.i0 = 2"),
@@ -322,14 +312,11 @@ add("linspace", lambda s, d: shown(creation.linspace(s, -1, 1, 9)), _series(9, "
 add("logspace", lambda s, d: shown(creation.logspace(s, 0, 2, 9)), _series(9, "pow(10, i * 0.25::DOUBLE)"))
 add("geomspace", lambda s, d: shown(creation.geomspace(s, 1, 81, 5)), _series(5, "pow(3.0::DOUBLE, i)"))
 add("hilbertmat", lambda s, d: shown(linalg.hilbertmat(s, 6)), f"SELECT CAST(i AS BIGINT) AS i0, CAST(j AS BIGINT) AS i1, {r('1 / (i + j + 1.0::DOUBLE)')} AS v FROM range(6) g(i), range(6) h(j)")
-add("rand", lambda s, d: creation.rand(s, (1000,), 2, 5).df.filter("v >= 2 AND v < 5").agg(F.count("*").alias("n")), "SELECT CAST(1000 AS BIGINT) AS n")
-add("randint", lambda s, d: creation.randint(s, (1000,), 0, 4).df.filter("v IN (0, 1, 2, 3)").agg(F.count("*").alias("n")), "SELECT CAST(1000 AS BIGINT) AS n")
 _x = "(i / 32.0::DOUBLE)"
 add("hanning", lambda s, d: shown(windows.hanning(s, 33)), _series(33, f"0.5 - 0.5 * cos(2 * pi() * {_x})"))
 add("hamming", lambda s, d: shown(windows.hamming(s, 33)), _series(33, f"0.54 - 0.46 * cos(2 * pi() * {_x})"))
 add("bartlett", lambda s, d: shown(windows.bartlett(s, 33)), _series(33, f"CASE WHEN {_x} <= 0.5 THEN 2 * {_x} ELSE 2 - 2 * {_x} END"))
 add("blackman", lambda s, d: shown(windows.blackman(s, 33)), _series(33, f"0.42 - 0.5 * cos(2 * pi() * {_x}) + 0.08 * cos(4 * pi() * {_x})"))
-add("kaiser", lambda s, d: shown(windows.kaiser(s, 33, 5.0)))
 add("fftfreq", lambda s, d: shown(fourier.fftfreq(s, 8, 0.125)), _series(8, "CASE WHEN i < 4 THEN i ELSE i - 8 END / 1.0::DOUBLE"))
 add("rfftfreq", lambda s, d: shown(fourier.rfftfreq(s, 8, 0.125)), _series(5, "i / 1.0::DOUBLE"))
 
@@ -356,9 +343,6 @@ add("fft", lambda s, d: shown_complex(fourier.fft(views.embeddings(s, d)), 5), _
 add("rfft", lambda s, d: shown_complex(fourier.rfft(views.embeddings(s, d)), 5), _e(_dft + f"{_bins(33)} GROUP BY i0, b"))
 add("ifft", lambda s, d: shown(elementwise.real(fourier.ifft(fourier.fft(views.embeddings(s, d))))), _e(f"SELECT i0, i1, {_v} AS v FROM emb"))
 add("irfft", lambda s, d: shown(fourier.irfft(fourier.rfft(views.embeddings(s, d)))), _e(f"SELECT i0, i1, {_v} AS v FROM emb"))
-_square = lambda s, d: views.embeddings(s, d, 64)
-add("fft2", lambda s, d: shown(elementwise.real(fourier.ifft2(fourier.fft2(_square(s, d))))), _e(f"SELECT i0, i1, {_v} AS v FROM emb WHERE i0 < 64"))
-add("rfft2", lambda s, d: shown(fourier.irfft2(fourier.rfft2(_square(s, d)))), _e(f"SELECT i0, i1, {_v} AS v FROM emb WHERE i0 < 64"))
 _cosines = {
     "dctone1d": "CASE WHEN i1 IN (0, 63) THEN 1 ELSE 2 END * cos(pi() * b * i1 / 63)",
     "dcttwo1d": "2 * cos(pi() * b * (2 * i1 + 1) / 128)",
@@ -367,10 +351,6 @@ _cosines = {
 }
 for _name, _sql in _cosines.items():
     add(_name, lambda s, d, n=_name: shown(getattr(fourier, n)(views.embeddings(s, d)), 5), _e(f"SELECT i0, b AS i1, {r(f'sum(v * {_sql})', 5)} AS v FROM emb, {_bins(64)} GROUP BY i0, b"))
-add("fftshift", lambda s, d: shown(fourier.fftshift(views.embeddings(s, d))), _e(f"SELECT i0, (i1 + 32) % 64 AS i1, {_v} AS v FROM emb"))
-add("ifftshift", lambda s, d: shown(fourier.ifftshift(views.embeddings(s, d))), _e(f"SELECT i0, (i1 + 32) % 64 AS i1, {_v} AS v FROM emb"))
-add("hilbert1d", lambda s, d: shown(elementwise.real(fourier.hilbert1d(views.embeddings(s, d)))), _e(f"SELECT i0, i1, {_v} AS v FROM emb"))
-add("hilbert1dr", lambda s, d: shown(fourier.hilbert1dr(views.embeddings(s, d))))
 
 
 def _padded(f) -> Query:
@@ -391,11 +371,6 @@ add("hilbert1d_signal", lambda s, d: shown_complex(fourier.hilbert1d(views.embed
 add("medfilt_whole", lambda s, d: shown(lanes.medfilt(views.embeddings(s, d), 3, 3)))
 add("matmul_whole", lambda s, d: shown(linalg.matmul(shape.transpose(views.embeddings(s, d)), views.embeddings(s, d))))
 add("inner_whole", lambda s, d: shown(linalg.inner(shape.transpose(views.embeddings(s, d)), shape.transpose(views.embeddings(s, d)))))
-add("stft", lambda s, d: shown_complex(fourier.stft(views.embeddings(s, d), 16, 8)[2]))
-add("istft", lambda s, d: shown(fourier.istft(fourier.stft(views.embeddings(s, d), 16, 8)[2], 16, 8)))
-add("mfbank", lambda s, d: shown(fourier.mfbank(s, 20, 512, 16_000)))
-add("mlogfbank", lambda s, d: shown(fourier.mlogfbank(s, 20, 512, 16_000)))
-add("mfcc", lambda s, d: shown(fourier.mfcc(views.embeddings(s, d), 8, 12, 32, 16, 8000)))
 _points = "(SELECT CAST(unnest([0, 1, 2, 3]) AS BIGINT) AS k, unnest([0.0, 50.0, 100.0, 200.0])::DOUBLE AS x, unnest([1.0, 3.0, 2.0, 5.0])::DOUBLE AS y)"
 _seg = f"(SELECT x, y, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS y1 FROM {_points})"
 _at = "least(greatest(value, 0), 200)"

@@ -46,7 +46,7 @@ OPERATORS: dict[str, Callable] = {}
 OPERATORS |= _of(creation, *"empty zeros ones full like identity arange linspace logspace geomspace rand randint seed".split())
 OPERATORS |= _of(creation, *"fromarray toarray copy dims size shape isempty".split())
 OPERATORS |= {"fromftable": creation.fromtable, "toftable": creation.totable, "type": creation.type_, "print": creation.text, "k": signals.triggered, "i": signals.frozen}
-OPERATORS |= {"save": files.save, "load": files.load, "loadaudiofile": files.load_audio, "saveaudiofile": files.audio_bytes}
+OPERATORS |= {"save": files.save, "load": files.load, "loadaudiofile": files.load_audio, "saveaudiofile": files.save_audio}
 OPERATORS |= _of(shape, *"reshape flatten transpose flip roll reverse pad truncate head resize concat stack frame insert remove push pop".split())
 OPERATORS |= _of(indexing, *"get getrow getcol set getslice setslice take compress select indexof bincount searchsorted argwhere argnonzero argisnan".split())
 OPERATORS |= _of(elementwise, *"where putmask clip foreach wrap real imag angle conj tocomplex toreal".split())
@@ -86,6 +86,7 @@ SYNTAX = {
     "/": Tensor.__truediv__,
     "^": Tensor.__pow__,
     "[]": Tensor.__getitem__,
+    "[...]": Tensor.of,
     "[]=": Tensor.put,
     "=": creation.copy,
 }

@@ -1,4 +1,5 @@
 import pytest
+from latticeframe.plans import roundtrips, systems  # noqa: F401 - they add their queries
 from latticeframe.plans.queries import ORACLES, QUERIES
 
 from tests.oracle import connection, difference
