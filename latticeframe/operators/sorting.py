@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import permutations
 
@@ -26,17 +27,28 @@ def _number(df: DataFrame, column: str) -> Column:
     return F.lit(0.0) if isinstance(kind, StringType) else x.cast("double")
 
 
-def _limits(df: DataFrame, column: str) -> Column:
-    """Limits of ranges of about equal size, as a constant array; their number is that of shuffle partitions."""
+def _limits(df: DataFrame, column: str) -> list[float]:
+    """Limits of ranges of about equal size; their number is that of shuffle partitions."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * RANGES
     marks = [k / n for k in range(1, n)]
     found = df.agg(F.percentile_approx(_number(df, column), marks).alias("q")).first().q or []
-    limits = sorted({x for x in found if x == x})
-    return F.expr(f"cast(split('{','.join(map(repr, limits))}', ',') as array<double>)") if limits else F.array().cast("array<double>")
+    return sorted({x for x in found if x == x})
 
 
-def _range(limits: Column, x: Column) -> Column:
-    return F.size(F.filter(limits, lambda q: q <= x))
+def _constants(values: list[float]) -> Column:
+    return F.expr(f"cast(split('{','.join(map(repr, values))}', ',') as array<double>)")
+
+
+def _range(limits: list[float], x: Column) -> Column:
+    """How many limits are not above a value: first among every n-th, then among the n that follow."""
+    if not limits:
+        return F.lit(0)
+    step = math.isqrt(len(limits)) + 1
+    fine = F.size(F.filter(_constants(limits[:step]), lambda q: q <= x)) if step >= len(limits) else None
+    if fine is not None:
+        return fine
+    runs = F.size(F.filter(_constants(limits[step::step]), lambda q: q <= x))
+    return F.size(F.filter(F.slice(_constants(limits), runs * step + 1, F.lit(step)), lambda q: q <= x)) + runs * step
 
 
 def numbered(df: DataFrame, order: Sequence[str], descending: bool = False, keys: Sequence[str] = ()) -> DataFrame:
