@@ -10,6 +10,8 @@ A fingerprint is a string: the root in hex, then for each section its digest and
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -109,10 +111,14 @@ def followed(docs: DataFrame) -> DataFrame:
     if found.low is None:
         return alone
     starts = sorted({found.low, *found.q})
-    known = F.expr(f"cast(split('{','.join(map(str, starts))}', ',') as array<long>)")
-    own = F.size(F.filter(known, lambda x: x <= F.col("doc_id"))) - 1
+    constants = lambda ids: F.expr(f"cast(split('{','.join(map(str, ids))}', ',') as array<long>)")
+    # the last start that isn't above an id: first among every n-th, then among the n that follow
+    step = math.isqrt(len(starts)) + 1
+    runs = F.size(F.filter(constants(starts[::step]), lambda x: x <= F.col("doc_id"))) - 1
+    near = F.slice(constants(starts), runs * step + 1, F.lit(step))
+    own = runs * step + F.size(F.filter(near, lambda x: x <= F.col("doc_id"))) - 1
     before = F.pmod(own - 1, F.lit(len(starts)))
-    places = F.when(F.array_contains(known, F.col("doc_id")), F.array(F.struct(own.alias("part"), F.lit(False).alias("guest")), F.struct(before.alias("part"), F.lit(True).alias("guest"))))
+    places = F.when(F.array_contains(near, F.col("doc_id")), F.array(F.struct(own.alias("part"), F.lit(False).alias("guest")), F.struct(before.alias("part"), F.lit(True).alias("guest"))))
     places = places.otherwise(F.array(F.struct(own.alias("part"), F.lit(False).alias("guest"))))
     dealt = texts.filter("doc_id IS NOT NULL").withColumn("place", F.explode(places)).select("place.part", "place.guest", "doc_id", "text")
     within = Window.partitionBy("part").orderBy("guest", "doc_id", "text")
