@@ -14,8 +14,8 @@ How it works:
    those with the same leading document (of most shared blocks) as one:
    shingles are hashed into groups, a document is the point of its group counts, boxes keep the
    largest count of each group, and the sum of coordinate minima bounds the overlap. Only pairs of
-   different components are followed; large blocks are cut into chunks and searched chunk by
-   chunk. Surviving pairs are verified exactly, the likeliest between two components first, the
+   different components are followed; large blocks are cut into chunks by size and component and
+   searched chunk by chunk. Surviving pairs are verified exactly, the likeliest between two components first, the
    others if that one fails.
 5. *Components* over the verified links.
 """
@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import connected_components
 from .shared import bounded, quoted, written
@@ -326,18 +327,28 @@ def _searched(rows: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
     # documents go on that have one of another component and of like size; sizes are alike only within neighbouring steps
     step = F.floor(F.log("n") / math.log(100 / percent)).cast("int").alias("step")
     rows = rows.withColumn("step", step)
-    spans = rows.groupBy("token", "step").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"))
-    apart = (F.lit(-1), F.lit(0), F.lit(1))
-    near = spans.select("token", F.explode(F.array(*(F.struct((F.col("step") + k).alias("step"), "x", "y", F.when(k == 0, F.col("m")).alias("m")) for k in apart))).alias("s"))
-    near = near.groupBy("token", "s.step").agg(F.min("s.x").alias("x"), F.max("s.y").alias("y"), F.max("s.m").alias("m")).filter("x <> y AND m IS NOT NULL")
-    # a step's documents are dealt into chunks by a hash: no task ranks or holds a whole block
-    near = written(near.select("token", "step", F.ceil(F.col("m") / CHUNK_DOCS).cast("int").alias("chunks")), "steps")
-    chunk = lambda step, k: (step.cast("long") * (1 << 32) + k).alias("chunk")
-    chunked = rows.join(near, ["token", "step"]).withColumn("chunk", chunk(F.col("step"), F.pmod(F.xxhash64("doc"), F.col("chunks")))).drop("step", "chunks")
+    sizes = written(rows.groupBy("token", "step", "comp").agg(F.count("*").alias("m")), "sizes")
+    spans = sizes.groupBy("token", "step").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+    apart = [F.struct((F.col("step") + k).alias("step"), "x", "y", F.lit(k == 0).alias("own")) for k in (-1, 0, 1)]
+    near = spans.select("token", F.explode(F.array(*apart)).alias("s")).groupBy("token", "s.step").agg(F.min("s.x").alias("x"), F.max("s.y").alias("y"), F.bool_or("s.own").alias("own"))
+    parts = sizes.join(near.filter("x <> y AND own").select("token", "step"), ["token", "step"])
+    whole = parts.groupBy("token").agg(F.sum("m").alias("all"))
+    # a small block is one chunk; of a large one each step has its own, and a large component too, whose documents need no look at each other
+    large = F.col("all") > CHUNK_DOCS
+    alone = large & (F.col("m") * 2 >= CHUNK_DOCS)
+    group = [F.when(large, F.col("step")).otherwise(0).alias("at"), alone.alias("alone"), F.when(alone, F.col("comp")).otherwise(0).alias("who")]
+    parts = written(parts.join(whole, "token").select("token", "step", "comp", "m", *group), "parts")
+    groups = parts.groupBy("token", "at", "alone", "who").agg(F.ceil(F.sum("m") / CHUNK_DOCS).cast("int").alias("chunks"))
+    each = groups.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k"))
+    number = F.row_number().over(Window.partitionBy("token").orderBy("at", "alone", "who", "k"))
+    each = written(each.withColumn("chunk", number), "chunks")
+    placed_in = ["token", "at", "alone", "who"]
+    chunked = rows.join(parts.drop("m"), ["token", "step", "comp"]).join(each.filter("k = 0").select(*placed_in, "chunks", F.col("chunk").alias("first")), placed_in)
+    chunked = chunked.withColumn("chunk", (F.col("first") + F.pmod(F.xxhash64("doc"), F.col("chunks"))).cast("int")).select("token", "chunk", "doc", "n", "comp")
     chunked = written(chunked, "blocks")
-    each = near.select("token", "step", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k"))
-    first, second = (each.select("token", F.col("step").alias(f"step_{c}"), chunk(F.col("step"), F.col("k")).alias(c)) for c in ("ci", "cj"))
-    cells = first.join(second, "token").filter("ci <= cj AND step_cj <= step_ci + 1").select("token", "ci", "cj")
+    one, other = (each.select("token", F.col("chunk").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("at", "alone", "who"))) for c in ("ci", "cj"))
+    same = "alone_ci AND alone_cj AND who_ci = who_cj"
+    cells = one.join(other, "token").filter(f"ci <= cj AND at_cj <= at_ci + 1 AND NOT ({same})").select("token", "ci", "cj")
     sides = cells.select("token", "ci", "cj", F.explode(F.array_distinct(F.array("ci", "cj"))).alias("chunk"))
     # vectors come last: they are shuffled once by document and once to their cells
     placed = (

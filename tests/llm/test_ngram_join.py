@@ -63,6 +63,16 @@ def test_components_equal_brute_force(spark, seed):
     assert [got[i] for i in range(len(texts))] == brute_force(texts)
 
 
+def test_chunks_of_large_blocks_lose_no_link(spark, monkeypatch):
+    from latticeframe.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "CHUNK_DOCS", 6)
+    texts = make(3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_force(texts)
+
+
 def test_bound_never_loses_a_link():
     import numpy as np
 
