@@ -92,9 +92,17 @@ def quoted(columns: list[str]) -> list[str]:
 
 
 def without(docs: DataFrame, own: Column, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose digest ``own`` isn't in ``gone`` (row), with all columns, whatever their names."""
-    packed = docs.select(own.alias("row"), F.struct(*quoted(docs.columns)).alias("all"))
-    return packed.join(gone, "row", "left_anti").select("all.*")
+    """The rows of ``docs`` whose digest ``own`` isn't in ``gone`` (row), with all columns, whatever their names.
+
+    A table of 2**20 slots at most is what every task gets: rows in slots without a digest stay as
+    they are, only the others are shuffled.
+    """
+    slot = F.expr("cast(pmod(xxhash64(row), 1048576) as int)").alias("slot")
+    packed = docs.select(own.alias("row"), F.struct(*quoted(docs.columns)).alias("all")).withColumn("slot", slot)
+    marks = F.broadcast(gone.select(slot).distinct())
+    clear = packed.join(marks, "slot", "left_anti")
+    doubtful = packed.join(marks, "slot", "left_semi").join(gone.hint("merge"), "row", "left_anti")
+    return clear.select("all.*").unionAll(doubtful.select("all.*"))
 
 
 def free_name(taken: list[str], name: str) -> str:
