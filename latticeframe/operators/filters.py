@@ -12,8 +12,8 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import functions as F
 
-
-from ..tensor import COMPLEX, Tensor
+from ..functions import complexes
+from ..tensor import COMPLEX, Tensor, matched
 
 Zpk = tuple[np.ndarray, np.ndarray, float]
 BANDS = ("lowpass", "highpass", "bandpass", "bandstop")
@@ -287,18 +287,61 @@ def filtered_sos(sos: np.ndarray, x: np.ndarray, zi: np.ndarray | None = None) -
     """Sections one after the other: the output and their final states (section x 2, for each lane if there are several)."""
     states = []
     for k, s in enumerate(sos):
-        x, z = filtered(s[:3], s[3:], x, None if zi is None else zi[k])
+        x, z = filtered(s[:3], s[3:], x, None if zi is None else np.asarray(zi)[..., k, :])
         states.append(z)
     return x, np.stack(states, axis=-2)
 
 
-def _along(t: Tensor, f: Callable, axis: int, states: int) -> tuple[Tensor, Tensor]:
-    """``f`` (output and state) of lanes, each with its own length, as two arrays."""
+#: Cells of a block of a long lane; blocks are filtered by different tasks.
+BLOCK = 1 << 16
+
+
+def _along(t: Tensor, run: Callable, axis: int, start: np.ndarray) -> tuple[Tensor, Tensor]:
+    """Lanes filtered by ``run``, which takes lanes and states in rows and returns both, from one state: output and final states."""
     from .convolution import _lanes
 
-    is_complex = t.kind == COMPLEX
-    y = _lanes(t, axis, lambda x: f(x)[0], is_complex, None if t.keys else t.shape[t.axis(axis)])
-    return y, _lanes(t, axis, lambda x: f(x)[1].reshape(len(x), -1), is_complex, states)
+    k, states = t.axis(axis), len(start)
+    is_complex = t.kind == COMPLEX or np.iscomplexobj(start)
+    if states and t.shape[k] > BLOCK:
+        return _in_blocks(t, run, k, start, is_complex)
+    begun = lambda x: run(x, np.broadcast_to(start, (len(x), states)))
+    y = _lanes(t, axis, lambda x: begun(x)[0], is_complex, None if t.keys else t.shape[k])
+    return y, _lanes(t, axis, lambda x: begun(x)[1], is_complex, states)
+
+
+def _in_blocks(t: Tensor, run: Callable, k: int, start: np.ndarray, is_complex: bool) -> tuple[Tensor, Tensor]:
+    """Long lanes: blocks from rest give what each adds to the state, a lane's states go from block to block by a
+    matrix, and blocks are filtered again, each from its own state, which comes before its cells."""
+    from .convolution import _lanes
+
+    here, others, m = t.axes[k], [*t.keys, *(a for j, a in enumerate(t.axes) if j != k)], len(start)
+    held = tuple(f"_k{a}" for a in others)
+    names = [F.col(a).alias(b) for a, b in zip(others, held, strict=True)]
+    value = F.col("v") if t.kind == COMPLEX or not is_complex else complexes.make(F.col("v"))
+    cells = t.df.select(*names, F.floor(F.col(here) / BLOCK).cast("long").alias("_b"), F.pmod(F.col(here), F.lit(BLOCK)).alias("i0"), value.alias("v"))
+    rest = _lanes(Tensor(cells, 1, (*held, "_b"), (BLOCK,)), 0, lambda x: run(x, np.zeros((len(x), m)))[1], is_complex, m)
+    move = run(np.zeros((m, BLOCK)), np.eye(m))[1]
+
+    def carried(added: np.ndarray) -> np.ndarray:
+        added = added.reshape(len(added), -1, m)
+        z, out = np.broadcast_to(start, (len(added), m)), np.empty(added.shape, np.result_type(added, start))
+        for j in range(added.shape[1]):
+            out[:, j] = z
+            z = z @ move + added[:, j]
+        return out.reshape(len(out), -1)
+
+    states = _lanes(Tensor(rest.df.select(*held, (F.col("_b") * m + F.col("i0")).alias("i0"), "v"), 1, held), 0, carried, is_complex)
+    first = states.df.select(*held, F.floor(F.col("i0") / m).cast("long").alias("_b"), F.pmod(F.col("i0"), F.lit(m)).alias("i0"), "v")
+    both = first.unionByName(cells.withColumn("i0", F.col("i0") + m))
+    back = [F.col(b).alias(a) for a, b in zip(others, held, strict=True)]
+    keyed = lambda df: Tensor(df, 1, (*held, "_b"), (BLOCK + m,))
+    y = _lanes(keyed(both), 0, lambda x: run(x[:, m:], x[:, :m])[0], is_complex)
+    out = t.cells(y.df.select(*back, (F.col("_b") * BLOCK + F.col("i0")).alias(here), "v"), extents=None if t.keys else t.shape)
+    last = cells.groupBy(*held).agg(F.max("_b").alias("_last"))
+    ends = matched(both, last, list(held)) if held else both.crossJoin(F.broadcast(last))
+    z = _lanes(keyed(ends.filter("_b = _last").drop("_last")), 0, lambda x: run(x[:, m:], x[:, :m])[1], is_complex, m)
+    shape = None if t.keys else tuple(m if j == k else n for j, n in enumerate(t.shape))
+    return out, t.cells(z.df.select(*back, F.col("i0").alias(here), "v"), extents=shape)
 
 
 def zlfilter(t: Tensor, b, a, zi: np.ndarray | None = None, axis: int = -1) -> tuple[Tensor, Tensor]:
@@ -306,7 +349,8 @@ def zlfilter(t: Tensor, b, a, zi: np.ndarray | None = None, axis: int = -1) -> t
     b, a = np.atleast_1d(b).astype(float), np.atleast_1d(a).astype(float)
     if a[0] == 0:
         raise ValueError("a begins with 0")
-    return _along(t, lambda x: filtered(b, a, x, zi), axis, max(len(a), len(b)) - 1)
+    start = np.zeros(max(len(a), len(b)) - 1) if zi is None else np.ravel(zi)
+    return _along(t, lambda x, z: filtered(b, a, x, z), axis, start)
 
 
 def lfilter(t: Tensor, b, a, axis: int = -1) -> Tensor:
@@ -315,10 +359,13 @@ def lfilter(t: Tensor, b, a, axis: int = -1) -> Tensor:
 
 def zsosfilter(t: Tensor, sos, zi: np.ndarray | None = None, axis: int = -1) -> tuple[Tensor, Tensor]:
     sos = np.atleast_2d(sos)
-    return _along(t, lambda x: filtered_sos(sos, x, zi), axis, 2 * len(sos))
 
+    def run(x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        y, end = filtered_sos(sos, x, z.reshape(len(z), len(sos), 2))
+        return y, end.reshape(len(z), -1)
 
-def sosfilter(t: Tensor, sos, axis: int = -1) -> Tensor:
-    return zsosfilter(t, sos, None, axis)[0]
+    return _along(t, run, axis, np.zeros(2 * len(sos)) if zi is None else np.ravel(zi))
 
 
+def sosfilter(t: Tensor, sos, axis: int = -1) -> Tensor:
+    return zsosfilter(t, sos, None, axis)[0]

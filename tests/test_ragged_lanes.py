@@ -125,6 +125,25 @@ def test_quantile_of_ties_and_nan(spark):
         reductions.quantile(Tensor(one.df.limit(0), 1), 0.5).df.collect()
 
 
+def test_filters_of_lanes_in_blocks(t, arrays, spark, monkeypatch):
+    monkeypatch.setattr(filters, "BLOCK", 3)
+    b, a = [0.5, 0.25, -0.1], [1.0, -0.4, 0.2]
+    check(filters.lfilter(t, b, a), arrays, lambda x: recursion(b, a, x))
+    zi = np.array([0.3, -0.2])
+    y, z = (got(x) for x in filters.zlfilter(t, b, a, zi))
+    for k, x in arrays.items():
+        want, end = filters.filtered(b, a, x, zi)
+        assert np.allclose(y[k], want) and np.allclose(z[k], end)
+    sos = np.array([[0.5, 0.25, -0.1, 1.0, -0.4, 0.2], [1.0, 0.0, 0.5, 1.0, 0.1, 0.0]])
+    y, z = (got(x) for x in filters.zsosfilter(t, sos))
+    for k, x in arrays.items():
+        want, end = filters.filtered_sos(sos, x)
+        assert np.allclose(y[k], want) and np.allclose(z[k], end.ravel())
+    one = creation.fromarray(spark, arrays["c"])
+    assert np.allclose(creation.toarray(filters.lfilter(one, b, a)), recursion(b, a, arrays["c"]))
+    assert np.allclose(creation.toarray(filters.zlfilter(one, b, a)[1]), filters.filtered(b, a, arrays["c"])[1])
+
+
 def test_long_lanes(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.normal(size=20_000)
