@@ -25,15 +25,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens, see ``pack_documents``."""
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived as WARC records and read back, see ``archive_pages``."""
     found = archive_pages(_table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of those whose crc32 isn't divisible by 10, see ``score_texts``. A null id is neither learned from nor held out."""
     docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
     scored = score_texts(docs, docs.filter(~held_out))
@@ -41,23 +44,28 @@ def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as Ogg media and read back, see ``ogg_media``."""
     return ogg_media(_table(spark, sf_dir, "documents"), keep=False)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the components of their near copies, see ``ngram_components``."""
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the spans of their secrets, see ``find_secrets``; the models learn from all documents."""
     docs = _table(spark, sf_dir, "documents")
     return secret_report(docs, train(docs))
 
 
 def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with fingerprints of their texts and edited texts, see ``document_fingerprints``."""
     return document_fingerprints(_table(spark, sf_dir, "documents"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with predicted languages, see ``identify``. A null id is neither learned from nor held out."""
     docs = _table(spark, sf_dir, "documents")
     found = identify(docs, fit_profiles(learnable(docs)))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -65,10 +73,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents judged by text and site, see ``judge``."""
     return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded, see ``encode_decode``."""
     return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=False)
 
 

@@ -3,7 +3,8 @@
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. These separators are ASCII, so the
 work is done on UTF-8 bytes. A word's hash is a polynomial over a fixed table of random byte
 values modulo 2**64, then mixed; a shingle's hash combines the hashes of its words. Two different
-shingles share a hash with a chance of about 2**-60, which is the only inexactness here.
+shingles of text that isn't made to collide share a hash with a chance of about 2**-60, which is
+the only inexactness here.
 """
 
 from __future__ import annotations

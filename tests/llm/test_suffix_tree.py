@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from latticeframe.llm.suffix_tree import DEPTH, SYMBOLS, SuffixTree, _stream, byte_scores, corpus_counts, fit_tree, score_texts
-from latticeframe.llm.shingles import mix
+from latticeframe.llm.shingles import mix, word_hashes
 
 
 def tokens(text):
@@ -47,6 +47,67 @@ def test_base_scores_equal_brute_force_and_the_model_beats_them(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def brute_force(train, texts, spelled):
+    """Scores of whole texts by dictionaries; ``spelled`` gives log10 of each token's spelling."""
+    count = Counter(w for t in train for w in tokens(t))
+    n, v = sum(count.values()), len(count)
+    group = {w: int(word_hashes([w.encode()])[0][0]) >> 58 if w else 0 for w in count}
+    discount = lambda counts: min(max((sum(c == 1 for c in counts) + 0.5) / (sum(c == 1 for c in counts) + 2 * sum(c == 2 for c in counts) + 1), 0.02), 0.98)
+    follows = [None, {}, {}, {}]
+    for t in train:
+        own = tokens(t)
+        for i in range(len(own)):
+            for k in range(1, min(i, 3) + 1):
+                follows[k].setdefault(tuple(own[i - k : i]), Counter())[own[i]] += 1
+    root = np.full(64, 0.5)
+    for w, c in count.items():
+        root[group[w]] += c
+
+    def groups(events):
+        out = Counter()
+        for w, c in events.items():
+            out[group[w]] += c
+        return out
+
+    states = set()
+    for k in (1, 2, 3):
+        for context, events in follows[k].items():
+            total, own = sum(events.values()), groups(events)
+            if total < 2:
+                continue
+            upper = dict(enumerate(root)) if k == 1 else groups(follows[k - 1][context[1:]])
+            whole = sum(upper.values())
+            if sum(m * math.log(m / total / (upper[g] / whole)) for g, m in own.items()) > 8 + len(own):
+                states |= {context[i:] for i in range(k)}
+    base = discount(count.values())
+    off = [None] + [discount([c for events in follows[k].values() for c in events.values()]) for k in (1, 2, 3)]
+    out = []
+    for t in texts:
+        own, total = tokens(t), 0.0
+        for i, (w, s) in enumerate(zip(own, spelled(t), strict=True)):
+            p = (max(count[w] - base, 0) + base * v * 10.0**s) / n
+            for k in range(1, min(i, 3) + 1):
+                context = tuple(own[i - k : i])
+                if context in states:
+                    events = follows[k][context]
+                    p = (max(events[w] - off[k], 0) + off[k] * len(events) * p) / sum(events.values())
+            total += math.log10(p)
+        out.append(total)
+    return out, states
+
+
+def test_scores_equal_brute_force(spark):
+    texts = [*make(5, 150), "", "one word", "seldom found phrase that occurs twice here", "seldom found phrase that occurs twice here too", "of the seldom found phrase"]
+    texts += ["first dull grey morning", "last dull grey evening"] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = docs.filter("doc_id % 10 <> 6")
+    tree = fit_tree(corpus_counts(train.select("text")).filter("window").select("key", "n"))
+    want, states = brute_force([t for i, t in enumerate(texts) if i % 10 != 6], texts, lambda t: tree.token_scores([t.encode()]))
+    assert len({len(x) for x in states}) == 3
+    got = {r.doc_id: r.score for r in score_texts(docs, train).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-5)
+
+
 def test_states_are_longest_suffixes(spark):
     texts = [t.encode() for t in make(2, 60)]
     rows = corpus_counts(spark.createDataFrame([(t.decode(),) for t in texts], "text string"))
