@@ -53,8 +53,11 @@ def _product(t: Tensor, kernel: Tensor) -> tuple[Column, bool]:
 def convolve(t: Tensor, kernel: Tensor, mode: str = FULL, _axes: list[int] | None = None) -> Tensor:
     """Convolution with a kernel of the same rank: each product goes to the sum of the two places.
 
-    The kernel is joined to every cell; sums begin within tasks, so a shuffle moves sums.
+    The kernel is joined to every cell; sums begin within tasks, so a shuffle moves sums. Kernels of more
+    than ``DIRECT_TAPS`` cells go by transforms of blocks.
     """
+    if math.prod(kernel.shape) > DIRECT_TAPS:
+        return fftconvolve(t, kernel, mode, _axes)
     axes = list(range(t.ndim)) if _axes is None else _axes
     if kernel.ndim != len(axes):
         raise ValueError(f"ranks {t.ndim} and {kernel.ndim}")
@@ -95,6 +98,8 @@ def correlate1d(t: Tensor, kernel: Tensor, mode: str = FULL, axis: int | None =
     return convolve1d(t, _turned(kernel), mode, axis)
 
 
+#: Cells of a kernel that is joined to every cell, at most.
+DIRECT_TAPS = 1 << 12
 #: Cells of a block that is convolved by one transform, and of a kernel for that at most.
 FFT_BLOCK = 1 << 13
 FFT_KERNEL = 1 << 20

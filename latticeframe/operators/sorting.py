@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import cached_property
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
@@ -202,10 +203,23 @@ def perm(t: Tensor, count: int | None = None) -> Tensor:
 # sets: ascending arrays of rank 1 without repeats
 
 
+class SortedSet(Tensor):
+    """A set by its distinct values, which are ranked only when its cells are asked for."""
+
+    def __init__(self, values: DataFrame | None = None, **fields) -> None:
+        if values is None:
+            super().__init__(**fields)
+        else:
+            self.__dict__.update(values=values, ndim=1, keys=(), extents=None, is_set=True, realtime=False)
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return numbered(self.values, ["v"]).select(F.col("rank").alias("i0"), "v")
+
+
 def likeset(t: Tensor) -> Tensor:
     t.need(REAL)
-    out = unique(t)
-    return Tensor(out.df, 1, (), None, True)
+    return SortedSet(t.df.select((F.col("v") + 0.0).alias("v")).distinct())
 
 
 def unlikeset(t: Tensor) -> Tensor:
@@ -215,11 +229,11 @@ def unlikeset(t: Tensor) -> Tensor:
 def _values(t: Tensor) -> DataFrame:
     if not t.is_set:
         raise ValueError("the operand isn't a set")
-    return t.df.select("v")
+    return t.__dict__["values"] if "values" in t.__dict__ else t.df.select("v")
 
 
 def _made(df: DataFrame) -> Tensor:
-    return likeset(Tensor(df.select(F.lit(0).cast("long").alias("i0"), "v"), 1))
+    return SortedSet(df.distinct())
 
 
 def setinsert(t: Tensor, value: float) -> Tensor:
@@ -227,7 +241,7 @@ def setinsert(t: Tensor, value: float) -> Tensor:
 
 
 def setremove(t: Tensor, value: float) -> Tensor:
-    return _made(_values(t).filter(F.col("v") != float(value)))
+    return SortedSet(_values(t).filter(F.col("v") != float(value)))
 
 
 def setcontains(t: Tensor, value: float) -> float:
@@ -239,16 +253,16 @@ def setunion(a: Tensor, b: Tensor) -> Tensor:
 
 
 def setintersect(a: Tensor, b: Tensor) -> Tensor:
-    return _made(_values(a).intersect(_values(b)))
+    return SortedSet(_values(a).intersect(_values(b)))
 
 
 def setdiff(a: Tensor, b: Tensor) -> Tensor:
-    return _made(_values(a).subtract(_values(b)))
+    return SortedSet(_values(a).subtract(_values(b)))
 
 
 def setsymdiff(a: Tensor, b: Tensor) -> Tensor:
     x, y = _values(a), _values(b)
-    return _made(x.subtract(y).unionByName(y.subtract(x)))
+    return SortedSet(x.subtract(y).unionByName(y.subtract(x)))
 
 
 def setissubset(a: Tensor, b: Tensor) -> float:
