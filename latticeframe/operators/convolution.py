@@ -420,7 +420,7 @@ def interp(t: Tensor, x: Tensor, y: Tensor, mode: str = "linear", bounds: str =
     Each value meets the last breakpoint at or before it: both are merged by value within ranges,
     and the breakpoint is carried forward, so no value is compared with every breakpoint.
     """
-    from .sorting import _limits, _range
+    from .sorting import _dealt, _limits
 
     t.need(REAL)
     if mode not in MODES or bounds not in BOUNDS:
@@ -439,12 +439,12 @@ def interp(t: Tensor, x: Tensor, y: Tensor, mode: str = "linear", bounds: str =
     starts = pairs.filter("x1 IS NOT NULL").select(F.col("x").alias("at"), F.struct("x", "y", "s", "x1", "y1", "s1").alias("p"))
     inside = F.greatest(F.lit(ends.low), F.least(F.col("v"), F.lit(ends.high)))
     asked = t.df.select(*t.places, "v", F.when(F.isnan("v"), F.lit(ends.low)).otherwise(inside).alias("at"))
-    merged = asked.withColumn("_q", F.lit(1)).unionByName(starts.withColumn("_q", F.lit(0)), allowMissingColumns=True).withColumn("_p", _range(limits, F.col("at")))
+    merged = _dealt(asked.withColumn("_q", F.lit(1)).unionByName(starts.withColumn("_q", F.lit(0)), allowMissingColumns=True), limits, F.col("at"))
     # a range's first values may need the breakpoint before it: the last of each range goes to the next ones
     last = merged.groupBy("_p").agg(F.max_by("p", F.when(F.col("p").isNotNull(), F.col("at"))).alias("p0"))
     carried = last.select("_p", F.last("p0", ignorenulls=True).over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("p0"))
     own = F.last("p", ignorenulls=True).over(Window.partitionBy("_p").orderBy("at", "_q").rowsBetween(Window.unboundedPreceding, 0))
-    found = merged.withColumn("p1", own).join(F.broadcast(carried), "_p").filter("_q = 1").withColumn("p", F.coalesce("p1", "p0"))
+    found = matched(merged.withColumn("p1", own), F.broadcast(carried), ["_p"]).filter("_q = 1").withColumn("p", F.coalesce("p1", "p0"))
     p, at = F.col("p"), F.col("v") if bounds == "extrapolate" else F.col("at")
     width = p["x1"] - p["x"]
     u = (at - p["x"]) / width

@@ -36,20 +36,22 @@ def _limits(df: DataFrame, column: str) -> list[float]:
     return sorted({x for x in found if x == x})
 
 
+#: So many limits are looked through one by one.
+FEW_LIMITS = 64
+
+
 def _constants(values: list[float]) -> Column:
     return F.expr(f"cast(split('{','.join(map(repr, values))}', ',') as array<double>)")
 
 
-def _range(limits: list[float], x: Column) -> Column:
-    """How many limits are not above a value: first among every n-th, then among the n that follow."""
-    if not limits:
-        return F.lit(0)
+def _dealt(df: DataFrame, limits: list[float], x: Column) -> DataFrame:
+    """``df`` with ``_p``: how many limits are not above ``x``, first among every n-th, then among the n that follow."""
+    below = lambda values: F.size(F.filter(values, lambda q: q <= x))
     step = math.isqrt(len(limits)) + 1
-    fine = F.size(F.filter(_constants(limits[:step]), lambda q: q <= x)) if step >= len(limits) else None
-    if fine is not None:
-        return fine
-    runs = F.size(F.filter(_constants(limits[step::step]), lambda q: q <= x))
-    return F.size(F.filter(F.slice(_constants(limits), runs * step + 1, F.lit(step)), lambda q: q <= x)) + runs * step
+    if len(limits) <= FEW_LIMITS:
+        return df.withColumn("_p", below(_constants(limits)) if limits else F.lit(0))
+    runs = df.withColumn("_c", below(_constants(limits[step::step])) * step)
+    return runs.withColumn("_p", F.col("_c") + below(F.slice(_constants(limits), F.col("_c") + 1, F.lit(step)))).drop("_c")
 
 
 def numbered(df: DataFrame, order: Sequence[str], descending: bool = False, keys: Sequence[str] = ()) -> DataFrame:
@@ -60,16 +62,13 @@ def numbered(df: DataFrame, order: Sequence[str], descending: bool = False, keys
     """
     keys = list(keys)
     limits = _limits(df, order[0])
-    dealt = df.withColumn("_p", _range(limits, _number(df, order[0])))
+    dealt = _dealt(df, limits, _number(df, order[0]))
     sizes = dealt.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))  # a row for each range
     before = sizes.select(*keys, "_p", (F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.desc("_p") if descending else F.asc("_p"))) - F.col("_n")).alias("_before"))
     direction = F.desc if descending else F.asc
     within = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(direction(order[0]), *order[1:])) - 1
     ranked = dealt.withColumn("_r", within)
-    if keys:
-        joined = matched(ranked, before, [*keys, "_p"])
-    else:
-        joined = ranked.join(F.broadcast(before), "_p")
+    joined = matched(ranked, before if keys else F.broadcast(before), [*keys, "_p"])
     return joined.withColumn("rank", F.col("_r") + F.col("_before")).drop("_p", "_r", "_before")
 
 
@@ -81,7 +80,7 @@ def selected(df: DataFrame, q: float, keys: Sequence[str] = ()) -> DataFrame:
     """
     keys = list(keys)
     limits = _limits(df, "v")
-    dealt = df.select(*keys, "v", _range(limits, F.col("v")).alias("_p"))
+    dealt = _dealt(df.select(*keys, "v"), limits, F.col("v"))
     sizes = dealt.groupBy(*keys, "_p").agg(F.count("*").alias("n"), F.count_if(F.isnan("v")).alias("nan"))
     each = Window.partitionBy(*keys)
     total = F.sum("n").over(each)
@@ -91,7 +90,7 @@ def selected(df: DataFrame, q: float, keys: Sequence[str] = ()) -> DataFrame:
     has = lambda k, low, high: (F.col(low) <= k) & (k < F.col(high))
     low, high = F.floor("_at"), F.ceil("_at")
     marks = marks.filter(has(low, "_before", "_upto") | has(high, "_before", "_upto")).drop("_upto")
-    own = matched(dealt, marks, [*keys, "_p"]) if keys else dealt.join(F.broadcast(marks), "_p")
+    own = matched(dealt, marks if keys else F.broadcast(marks), [*keys, "_p"])
     values = own.groupBy(*keys, "_p", "_before", "_at", "_nan", "v").agg(F.count("*").alias("n"))
     through = F.col("_before") + F.sum("n").over(Window.partitionBy(*keys, "_p").orderBy("v"))
     placed = values.withColumn("_to", through).withColumn("_from", F.col("_to") - F.col("n"))
@@ -107,13 +106,13 @@ def ranked_among(source: DataFrame, queries: DataFrame, right: bool) -> DataFram
     """``queries`` with ``v`` replaced by the number of source cells before it."""
     both = source.select("v").withColumn("_q", F.lit(False)).unionByName(queries.withColumn("_q", F.lit(True)), allowMissingColumns=True)
     limits = _limits(source, "v")
-    dealt = both.withColumn("_p", _range(limits, F.col("v")))
+    dealt = _dealt(both, limits, F.col("v"))
     sizes = dealt.filter("NOT _q").groupBy("_p").agg(F.count("*").alias("_n"))
-    parts = dealt.select("_p").distinct().join(sizes, "_p", "left")
+    parts = matched(dealt.select("_p").distinct(), sizes, ["_p"], "left")
     before = parts.select("_p", (F.sum(F.coalesce("_n", F.lit(0))).over(Window.orderBy("_p")) - F.coalesce("_n", F.lit(0))).alias("_before"))
     first = F.col("_q").cast("int") if right else -F.col("_q").cast("int")
     running = F.count_if(~F.col("_q")).over(Window.partitionBy("_p").orderBy("v", first).rowsBetween(Window.unboundedPreceding, 0))
-    placed = dealt.withColumn("_c", running).join(F.broadcast(before), "_p").filter("_q")
+    placed = matched(dealt.withColumn("_c", running), F.broadcast(before), ["_p"]).filter("_q")
     return placed.withColumn("v", (F.col("_c") + F.col("_before")).cast("double")).drop("_q", "_p", "_c", "_before")
 
 

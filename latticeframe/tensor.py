@@ -157,6 +157,10 @@ def _operator(name: str, a: Tensor, b, swapped: bool = False) -> Tensor:
 
 
 def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """A join by equal ``keys``, nulls among them, with each key once; other columns have different names."""
+    """A join by equal ``keys``, nulls among them, with each key once; other columns have different names.
+
+    Both sides often come from one table. Of a null-safe equality Spark infers no filter from one
+    side's computed keys for the other, where their sources are other columns.
+    """
     renamed = right.select(*(F.col(c).alias(f"_of_{c}") for c in keys), *(c for c in right.columns if c not in keys))
     return left.join(renamed, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys], how).drop(*(f"_of_{c}" for c in keys))

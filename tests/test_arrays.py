@@ -189,6 +189,17 @@ def test_order_and_sets(spark):
         sorting.setunion(a + 1, b)
 
 
+@pytest.mark.parametrize("few", [0, 64])
+def test_ranks_by_ranges(spark, monkeypatch, few):
+    monkeypatch.setattr(sorting, "FEW_LIMITS", few)
+    x = np.random.default_rng(5).integers(0, 40, 300) / 4
+    t = fromarray(spark, x)
+    close(sorting.sort(t), np.sort(x))
+    close(sorting.sort(t, descending=True), np.sort(x)[::-1])
+    close(reductions.quantile(t, 0.37), np.quantile(x, 0.37))
+    close(sorting.unique(t), np.unique(x))
+
+
 def test_linear_algebra(spark):
     m = RNG.normal(size=(4, 4))
     t = fromarray(spark, m)
