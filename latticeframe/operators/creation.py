@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import complexes
 from ..tensor import COMPLEX, MAX_RANK, REAL, STRING, Tensor
@@ -127,8 +128,15 @@ def fromcolumn(df: DataFrame, column: str, keys: Sequence[str] = ()) -> Tensor:
 
 
 def ordered(df: DataFrame, value: Column, order: Sequence[str], keys: Sequence[str] = ()) -> Tensor:
-    """Rows as lanes: for each value of ``keys`` its rows in order, ranked by ranges of the first column of ``order``, a number or time."""
-    from .sorting import numbered
+    """Rows as lanes: for each value of ``keys`` its rows in order.
+
+    One lane, or lanes of which one is large, are ranked by ranges of the first column of ``order``, a number or time.
+    """
+    from .sorting import has_large_key, numbered
+
+    if keys and not has_large_key(df, keys):
+        at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+        return Tensor(df.select(*keys, at.cast("long").alias("i0"), value.alias("v")), 1, tuple(keys))
 
     columns = [c for c in order if c not in keys]
     ranked = numbered(df.select(*keys, *columns, value.alias("v")), list(order), keys=keys)

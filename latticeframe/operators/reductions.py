@@ -100,8 +100,10 @@ def quantile(t: Tensor, q: float, axis: int | None = None) -> Tensor:
         raise ValueError(f"quantile {q}")
     t.need(REAL)
     if axis is None:
-        from .sorting import selected
+        from .sorting import has_large_key, selected
 
+        if t.keys and not has_large_key(t.df, t.keys):
+            return _grouped(t, axis, _refuse_empty(_with_nan(F.percentile(_v(), F.lit(float(q))))))
         return Tensor(selected(t.df.select(*t.keys, F.col("v").cast("double").alias("v")), q, t.keys), 0, t.keys, ())
     return _grouped(t, axis, _refuse_empty(_with_nan(F.percentile(_v(), F.lit(float(q))))))
 

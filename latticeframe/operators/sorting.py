@@ -72,6 +72,15 @@ def numbered(df: DataFrame, order: Sequence[str], descending: bool = False, keys
     return joined.withColumn("rank", F.col("_r") + F.col("_before")).drop("_p", "_r", "_before")
 
 
+#: Rows of a key that one task may order; where a key has more, its rows are dealt by ranges.
+LARGE_KEY = 1 << 20
+
+
+def has_large_key(df: DataFrame, keys: Sequence[str]) -> bool:
+    most = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n
+    return (most or 0) > LARGE_KEY
+
+
 def selected(df: DataFrame, q: float, keys: Sequence[str] = ()) -> DataFrame:
     """(keys..., v): the ``q``-quantile of ``v`` (keys..., v), linear between neighbours; NaN if one is, an error without keys if none is there.
 

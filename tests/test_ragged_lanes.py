@@ -105,8 +105,12 @@ def test_inverses(spark, t, arrays):
             assert np.allclose(np.sort_complex(found[k]), np.sort_complex(np.roots(a)))
 
 
-def test_lanes_and_quantiles(t, arrays, monkeypatch):
+@pytest.mark.parametrize("large", [0, 1 << 20])
+def test_lanes_and_quantiles(t, arrays, monkeypatch, large):
     monkeypatch.setattr(lanes, "BLOCK", 4)
+    monkeypatch.setattr(sorting, "LARGE_KEY", large)
+    backwards = creation.ordered(t.df.withColumn("at", -t.df.i0), t.df.v, ["at"], ["key"])
+    check(backwards, arrays, lambda a: a[::-1])
     check(lanes.cumsum(t), arrays, np.cumsum)
     check(lanes.movmax(t, 3), arrays, lambda a: np.array([a[max(0, i - 1) : i + 2].max() for i in range(len(a))]))
     check(sorting.sort(t), arrays, np.sort)
