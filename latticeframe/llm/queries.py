@@ -14,6 +14,7 @@ from .merkle import document_fingerprints
 from .ngram_join import ngram_components
 from .ogg import ogg_media
 from .packing import pack_documents
+from .periodic_runs import periodic_runs
 from .quality import judge
 from .secrets import secret_report, train
 from .suffix_tree import score_texts
@@ -82,8 +83,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=False)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, a tenth of them made to repeat, with their runs, see ``periodic_runs``."""
+    return periodic_runs(_table(spark, sf_dir, "documents"), keep=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_suffix_tree_scores, op4_ogg_media, op5_ngram_jaccard_join, op6_secrets, op7_merkle_fingerprints, op8_language_id, op9_quality, op10_bpe)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_suffix_tree_scores, op4_ogg_media, op5_ngram_jaccard_join, op6_secrets, op7_merkle_fingerprints, op8_language_id, op9_quality, op10_bpe, op11_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
