@@ -12,12 +12,14 @@ from .bpe import encode_decode
 from .lang_id import fit_profiles, identify, learnable
 from .merkle import document_fingerprints
 from .ngram_join import ngram_components
+from .norm_search import top_products
 from .ogg import ogg_media
 from .packing import pack_documents
 from .periodic_runs import periodic_runs
 from .quality import judge
 from .secrets import secret_report, train
 from .suffix_tree import score_texts
+from .vector_codes import vector_codes
 from .warc import archive_pages
 
 
@@ -88,12 +90,23 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(_table(spark, sf_dir, "documents"), keep=False)
 
 
+def op12_norm_bucket_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five greatest products of every 50th vector with all others, see ``top_products``."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_products(vectors.filter(F.col("vec_id") % 50 == 0), vectors, 5, 256)
+
+
+def op13_va_file_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors coded by codebooks fitted on all of them, see ``vector_codes``."""
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_suffix_tree_scores, op4_ogg_media, op5_ngram_jaccard_join, op6_secrets, op7_merkle_fingerprints, op8_language_id, op9_quality, op10_bpe, op11_periodic_runs)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_suffix_tree_scores, op4_ogg_media, op5_ngram_jaccard_join, op6_secrets, op7_merkle_fingerprints, op8_language_id, op9_quality, op10_bpe, op11_periodic_runs, op12_norm_bucket_search, op13_va_file_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": WARC_SQL, "op7_merkle_fingerprints": MERKLE_SQL}
+    return {"op2_warc": WARC_SQL, "op7_merkle_fingerprints": MERKLE_SQL, "op12_norm_bucket_search": SEARCH_SQL, "op13_va_file_codes": codes_sql()}
 
 
 #: Base32 of a digest: of each 5 hex digits 4 letters.
@@ -129,3 +142,30 @@ SELECT doc_id, length(t) AS n_chars, sha256(ed) AS edited_sha256, fingerprint, e
   CAST(near_edited AS DOUBLE) AS near_edited, CAST(near_next AS DOUBLE) AS near_next, edited_leaves
 FROM e JOIN p USING (doc_id)
 """
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+SEARCH_SQL = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings WHERE vec_id IS NOT NULL AND {_FINITE}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
+def codes_sql() -> str:
+    """SQL of the codes: every round compares all parts with all entries."""
+    nearest = "SELECT vec_id, k, y, min({{'d': list_sum(list_transform(list_zip(y, z), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), 'e': e}}) AS b FROM p JOIN c{0} USING (k) GROUP BY vec_id, k, y"
+    mean = """SELECT k, e, coalesce(m, z) AS z FROM c{0} LEFT JOIN (SELECT k, e, list(m ORDER BY i) AS m FROM
+  (SELECT k, b.e AS e, i, floor(sum(y[i]) / count(*)) AS m FROM a{0}, unnest(range(1, len(y) + 1)) AS u(i) GROUP BY k, b.e, i) GROUP BY k, e) USING (k, e)"""
+    rounds = "".join(f",\na{r} AS MATERIALIZED ({nearest.format(r)}),\nc{r + 1} AS MATERIALIZED ({mean.format(r)})" for r in range(4))
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings WHERE {_FINITE}),
+p AS MATERIALIZED (SELECT vec_id, k, x[k * len(x) // 4 + 1 : (k + 1) * len(x) // 4] AS y FROM v, range(4) AS u(k)),
+c0 AS MATERIALIZED (SELECT k, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS e, y AS z FROM p QUALIFY e < 256){rounds},
+a4 AS MATERIALIZED ({nearest.format(4)}),
+r AS (SELECT vec_id, string_agg(printf('%02x', b.e), '' ORDER BY k) AS code, CAST(sum(b.d) AS BIGINT) AS error FROM a4 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(z, lambda x: CAST(x AS BIGINT)), ','), ',' ORDER BY k, e)) AS codebooks_sha256 FROM c4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN v USING (vec_id), h
+"""

@@ -12,4 +12,4 @@ def test_equals_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert [n.split("_")[0] for n in queries()] == [f"op{k}" for k in range(1, 12)]
+    assert [n.split("_")[0] for n in queries()] == [f"op{k}" for k in range(1, 14)]
