@@ -13,7 +13,7 @@ from ..sources import files
 from ..streaming import signals
 from ..tensor import Tensor
 from . import views
-from .queries import ORACLES, QUERIES, add, r, shown
+from .queries import ORACLES, QUERIES, add, r, shown, shown_complex
 from .views import with_views
 
 
@@ -131,10 +131,15 @@ for _name in ("save", "load"):
     add(_name, lambda s, d: shown(_saved(s, d)), with_views(f"SELECT i0, i1, {r('v')} AS v FROM emb", "emb"))
 
 
-def _npy(s: SparkSession, d: str) -> DataFrame:
-    path = scratch(s)
-    files.save_npy(views.sizes(s, d), f"{path}/sizes.npy")
-    return shown(files.load_npy(s, path, 1)).drop("path")
+def _through(make, name: str):
+    """An array written as one file by many tasks, and read back by ranges of its bytes."""
+
+    def query(s: SparkSession, d: str) -> Tensor:
+        path = f"{scratch(s)}/{name}"
+        files.save(make(s, d), path)
+        return files.load(s, path)
+
+    return query
 
 
 def _audio(s: SparkSession, d: str) -> DataFrame:
@@ -145,7 +150,20 @@ def _audio(s: SparkSession, d: str) -> DataFrame:
     return shown(sound).join(rates, "path").drop("path")
 
 
-add("npy", _npy, with_views("SELECT i0, v FROM sizes", "sizes"))
+def _audio_ranges(s: SparkSession, d: str) -> DataFrame:
+    """The matrix as sound, a channel for each dimension."""
+    path = f"{scratch(s)}/emb.wav"
+    files.save_audio(shape.transpose(views.embeddings(s, d)), path, 8000)
+    return shown(files.load_arrays(s, path)).drop("path")
+
+
+_names = with_views("SELECT i0, coalesce(v, '') AS v FROM (SELECT CAST(unnest(range(n)) AS BIGINT) AS i0 FROM (SELECT max(i0) + 1 AS n FROM names)) LEFT JOIN names USING (i0)", "names")
+add("npy", lambda s, d: shown(_through(views.embeddings, "emb.npy")(s, d)), with_views(f"SELECT i0, i1, {r('v')} AS v FROM emb", "emb"))
+add("npy_names", lambda s, d: _through(views.part_names, "names.npy")(s, d).df, _names)
+add("csn", lambda s, d: shown(_through(views.embeddings, "emb.csn")(s, d)), with_views(f"SELECT i0, i1, {r('v')} AS v FROM emb", "emb"))
+add("csn_names", lambda s, d: _through(views.part_names, "names.csn")(s, d).df, _names)
+add("csn_complex", lambda s, d: shown_complex(_through(views.complex_embeddings, "emb.csn")(s, d)), with_views(f"SELECT i0, i1, {r('re')} AS re, {r('im')} AS im FROM cplx", "emb", "cplx"))
+add("audio_ranges", _audio_ranges, with_views(f"SELECT i1 AS i0, i0 AS i1, {r('v')} AS v FROM emb", "emb"))
 for _name in ("saveaudiofile", "loadaudiofile"):
     add(_name, _audio, with_views(f"SELECT CAST(c AS BIGINT) AS i0, i0 AS i1, {r('v / 64 * CASE c WHEN 0 THEN 1 ELSE -0.5 END')} AS v, CAST(8000 AS BIGINT) AS rate FROM sizes, range(2) g(c)", "sizes"))
 

@@ -1,14 +1,15 @@
-"""NumPy and WAV files as arrays, and Parquet as the form for large ones.
+"""Array files (.csn, NumPy, WAV) and Parquet, written and read by many tasks.
 
-Small files are parsed where they are read, one file in a task; cells come out as rows keyed by
-the file's path. Arrays are written in Parquet by tasks; the two file formats are for arrays that
-fit one file.
+One file is read and written by ranges of bytes (``ranges.py``); the array doesn't pass through the
+driver. ``load_npy`` and ``load_audio`` are for many small files on any file system that Spark
+reads: a file is parsed in one task, and cells come out as rows keyed by the file's path.
 """
 
 from __future__ import annotations
 
 import io
 import json
+import math
 import struct
 
 import numpy as np
@@ -17,8 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import complexes
-from ..tensor import COMPLEX, REAL, STRING, Tensor
 from ..operators.creation import toarray
+from ..tensor import COMPLEX, REAL, STRING, Tensor
+from .layouts import CSN_HEADER, CSN_LENGTH, csn_header, npy_header, wav_header
+from .ranges import read_arrays, write_ranges
 
 
 def parse_npy(content: bytes) -> np.ndarray:
@@ -66,10 +69,7 @@ def parse_wav(content: bytes) -> tuple[np.ndarray, int]:
 def wav_bytes(samples: np.ndarray, rate: int) -> bytes:
     """A WAV file of 32-bit floats, one channel for each row."""
     samples = np.atleast_2d(samples).astype("<f4")
-    channels, body = len(samples), samples.T.tobytes()
-    form = struct.pack("<HHIIHH", 3, channels, rate, rate * channels * 4, channels * 4, 32)
-    head = b"WAVE" + b"fmt " + struct.pack("<I", len(form)) + form + b"fact" + struct.pack("<II", 4, samples.shape[1]) + b"data" + struct.pack("<I", len(body))
-    return b"RIFF" + struct.pack("<I", len(head) + len(body)) + head + body
+    return wav_header(*samples.shape, rate) + samples.T.tobytes()
 
 
 def _cells(spark: SparkSession, path: str, rank: int, parse, kind: int) -> DataFrame:
@@ -121,27 +121,85 @@ def audio_bytes(t: Tensor, rate: int) -> bytes:
     return wav_bytes(toarray(t), rate)
 
 
-def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
-    """One file, at any path that Spark can write."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
-    try:
-        out.write(content)
-    finally:
-        out.close()
+def _single(t: Tensor) -> tuple[int, ...]:
+    if t.keys:
+        raise ValueError("one array a file, not one for each key")
+    return t.shape
+
+
+#: Strings whose lengths are summed together; their number is one for each so many cells.
+SEGMENT_CELLS = 1 << 16
+
+
+def _dense(t: Tensor) -> DataFrame:
+    """(flat, v) of strings, with empty ones in cells that have no row."""
+    cells = t.df.select(t.flat().alias("flat"), "v")
+    if t.df.count() == math.prod(t.shape):
+        return cells
+    every = t.df.sparkSession.range(math.prod(t.shape)).withColumnRenamed("id", "flat")
+    return every.join(cells, "flat", "left").select("flat", F.coalesce("v", F.lit("")).alias("v"))
+
+
+def save_csn(t: Tensor, path: str) -> None:
+    """One .csn file; cells that have no row are 0, or empty strings.
+
+    Numbers have fixed places. Strings begin where those before them end: lengths are summed by
+    segments of the flat order, and running sums within a segment begin at its first byte.
+    """
+    shape = _single(t)
+    if t.kind != STRING:
+        cell, width = ("<f8", 8) if t.kind == REAL else ("<c16", 16)
+        payload = math.prod(shape) * width
+        rows = t.df.select((t.flat() * width + CSN_HEADER.size).alias("at"), "v")
+        write_ranges(rows, path, csn_header(t.kind, shape, payload), CSN_HEADER.size + payload, cell)
+        return
+    from pyspark.sql.window import Window
+
+    spark = t.df.sparkSession
+    cells = _dense(t).select(F.floor(F.col("flat") / SEGMENT_CELLS).alias("segment"), "flat", F.encode("v", "UTF-8").alias("body"))
+    cells = cells.withColumn("bytes", F.octet_length("body") + F.lit(CSN_LENGTH.size))
+    totals = sorted(cells.groupBy("segment").agg(F.sum("bytes").alias("bytes")).collect())
+    ends = np.cumsum([0, *(r.bytes for r in totals)]).tolist()
+    first = spark.createDataFrame([(r.segment, CSN_HEADER.size + at) for r, at in zip(totals, ends, strict=False)], "segment long, first long")
+    before = F.sum("bytes").over(Window.partitionBy("segment").orderBy("flat").rowsBetween(Window.unboundedPreceding, -1))
+    placed = cells.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(first), "segment")
+    digits = F.lpad(F.hex(F.octet_length("body").cast("long")), 8, "0")
+    length = F.unhex(F.concat(*(F.substring(digits, k, 2) for k in (7, 5, 3, 1))))  # little-endian
+    rows = placed.select((F.col("first") + F.col("before")).alias("at"), F.concat(length, "body").alias("v"))
+    write_ranges(rows, path, csn_header(STRING, shape, ends[-1]), CSN_HEADER.size + ends[-1])
 
 
 def save_npy(t: Tensor, path: str) -> None:
-    write_bytes(t.df.sparkSession, path, npy_bytes(t))
+    """One .npy file of doubles, complex numbers or strings as wide as the longest."""
+    shape = _single(t)
+    longest = (t.df.agg(F.max(F.length("v"))).first()[0] or 1) if t.kind == STRING else 0
+    cell = {REAL: "<f8", COMPLEX: "<c16", STRING: f"<U{max(1, longest)}"}[t.kind]
+    header, width = npy_header(cell, shape), np.dtype(cell).itemsize
+    write_ranges(t.df.select((t.flat() * width + len(header)).alias("at"), "v"), path, header, len(header) + math.prod(shape) * width, cell)
 
 
 def save_audio(t: Tensor, path: str, rate: int) -> None:
-    """A WAV file (channel x frame), for signals that fit the driver."""
-    write_bytes(t.df.sparkSession, path, audio_bytes(t, rate))
+    """A WAV file (channel x frame) of 32-bit floats."""
+    t.need(REAL)
+    if t.ndim > 2:
+        raise ValueError(f"rank {t.ndim}")
+    shape = _single(t) if t.ndim == 2 else (1, *_single(t))
+    header = wav_header(*shape, rate)
+    channel, frame = (F.col("i0"), F.col("i1")) if t.ndim == 2 else (F.lit(0), F.col("i0"))
+    rows = t.df.select(((frame * shape[0] + channel) * 4 + len(header)).alias("at"), "v")
+    write_ranges(rows, path, header, len(header) + math.prod(shape) * 4, "<f4")
+
+
+def load_arrays(spark: SparkSession, path: str) -> Tensor:
+    """The .csn, .npy and WAV files of a path, arrays keyed by ``path``, whose rank and type are read from their headers."""
+    df = read_arrays(spark, path)
+    return Tensor(df, len(df.columns) - 2, ("path",))
 
 
 def save(t: Tensor, path: str) -> None:
-    """An array of any size: cells as Parquet, and its shape beside them."""
+    """An array of any size: a .csn or .npy file if the path ends so, else cells as Parquet, and its shape beside them."""
+    if path.endswith(".csn") or path.endswith(".npy"):
+        return save_csn(t, path) if path.endswith(".csn") else save_npy(t, path)
     spark = t.df.sparkSession
     t.df.write.mode("overwrite").parquet(f"{path}/cells")
     about = json.dumps({"rank": t.ndim, "keys": t.keys, "extents": None if t.extents is None else list(t.extents), "set": t.is_set})
@@ -149,6 +207,10 @@ def save(t: Tensor, path: str) -> None:
 
 
 def load(spark: SparkSession, path: str) -> Tensor:
+    """What ``save`` wrote."""
+    if path.endswith(".csn") or path.endswith(".npy"):
+        found = load_arrays(spark, path)
+        return Tensor(found.df.drop("path"), found.ndim)
     about = json.loads(spark.read.text(f"{path}/about").first()[0])
     extents = about["extents"]
     return Tensor(spark.read.parquet(f"{path}/cells"), about["rank"], tuple(about["keys"]), None if extents is None else tuple(extents), about["set"])
