@@ -157,6 +157,16 @@ def _audio_ranges(s: SparkSession, d: str) -> DataFrame:
     return shown(files.load_arrays(s, path)).drop("path")
 
 
+def _flac(s: SparkSession, d: str) -> DataFrame:
+    """Values of events as the two channels of a sound of 24 bits."""
+    t = views.events(s, d, "value / 512")
+    path = f"{scratch(s)}/events.flac"
+    files.save_flac(shape.stack(t, t * -0.5), path, 8000, 24)
+    return shown(files.load_arrays(s, path)).drop("path")
+
+
+_whole = "round(greatest(-8388608, least(8388607, v * [1, -0.5][c + 1] * 16384))) / 8388608"
+add("flac", _flac, f"SELECT CAST(c AS BIGINT) AS i0, event_id AS i1, {r(_whole)} AS v FROM (SELECT event_id, value AS v FROM events), range(2) g(c)")
 _names = with_views("SELECT i0, coalesce(v, '') AS v FROM (SELECT CAST(unnest(range(n)) AS BIGINT) AS i0 FROM (SELECT max(i0) + 1 AS n FROM names)) LEFT JOIN names USING (i0)", "names")
 add("npy", lambda s, d: shown(_through(views.embeddings, "emb.npy")(s, d)), with_views(f"SELECT i0, i1, {r('v')} AS v FROM emb", "emb"))
 add("npy_names", lambda s, d: _through(views.part_names, "names.npy")(s, d).df, _names)

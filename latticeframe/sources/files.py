@@ -1,4 +1,4 @@
-"""Array files (.csn, NumPy, WAV) and Parquet, written and read by many tasks.
+"""Array files (.csn, NumPy, WAV, FLAC) and Parquet, written and read by many tasks.
 
 One file is read and written by ranges of bytes (``ranges.py``); the array doesn't pass through the
 driver. ``load_npy`` and ``load_audio`` are for many small files on any file system that Spark
@@ -14,12 +14,15 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import complexes
 from ..operators.creation import toarray
 from ..tensor import COMPLEX, REAL, STRING, Tensor
+from . import flac
 from .layouts import CSN_HEADER, CSN_LENGTH, csn_header, npy_header, wav_header
 from .ranges import read_arrays, write_ranges
 
@@ -66,6 +69,16 @@ def parse_wav(content: bytes) -> tuple[np.ndarray, int]:
     return x[: len(x) // channels * channels].reshape(-1, channels).T, rate
 
 
+def parse_sound(content: bytes) -> tuple[np.ndarray, int]:
+    """Samples (channel x frame) from -1 to 1, and the rate, of WAV or FLAC bytes."""
+    if content[:4] != flac.SIGNATURE:
+        return parse_wav(content)
+    f = io.BytesIO(content)
+    info, at = flac.read_info(f)
+    parts = [x for _, x in flac.read_frames(f, len(content), info, at, len(content))]
+    return np.concatenate([np.zeros((info.channels, 0)), *parts], axis=1) / 2.0 ** (info.bits - 1), info.rate
+
+
 def wav_bytes(samples: np.ndarray, rate: int) -> bytes:
     """A WAV file of 32-bit floats, one channel for each row."""
     samples = np.atleast_2d(samples).astype("<f4")
@@ -99,14 +112,14 @@ def load_npy(spark: SparkSession, path: str, rank: int, kind: int = REAL) -> Ten
 
 
 def load_audio(spark: SparkSession, path: str) -> tuple[Tensor, DataFrame]:
-    """All WAV files of a path (channel x frame, keyed by ``path``), and their rates (path, rate)."""
+    """All WAV and FLAC files of a path (channel x frame, keyed by ``path``), and their rates (path, rate)."""
 
     def rates(batches):
         for frame in batches:
-            yield pd.DataFrame({"path": frame["path"], "rate": [parse_wav(bytes(c))[1] for c in frame["content"]]})
+            yield pd.DataFrame({"path": frame["path"], "rate": [parse_sound(bytes(c))[1] for c in frame["content"]]})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return Tensor(_cells(spark, path, 2, lambda c: parse_wav(c)[0], REAL), 2, ("path",)), files.mapInPandas(rates, "path string, rate long")
+    return Tensor(_cells(spark, path, 2, lambda c: parse_sound(c)[0], REAL), 2, ("path",)), files.mapInPandas(rates, "path string, rate long")
 
 
 def npy_bytes(t: Tensor) -> bytes:
@@ -153,20 +166,62 @@ def save_csn(t: Tensor, path: str) -> None:
         rows = t.df.select((t.flat() * width + CSN_HEADER.size).alias("at"), "v")
         write_ranges(rows, path, csn_header(t.kind, shape, payload), CSN_HEADER.size + payload, cell)
         return
-    from pyspark.sql.window import Window
-
-    spark = t.df.sparkSession
-    cells = _dense(t).select(F.floor(F.col("flat") / SEGMENT_CELLS).alias("segment"), "flat", F.encode("v", "UTF-8").alias("body"))
-    cells = cells.withColumn("bytes", F.octet_length("body") + F.lit(CSN_LENGTH.size))
-    totals = sorted(cells.groupBy("segment").agg(F.sum("bytes").alias("bytes")).collect())
-    ends = np.cumsum([0, *(r.bytes for r in totals)]).tolist()
-    first = spark.createDataFrame([(r.segment, CSN_HEADER.size + at) for r, at in zip(totals, ends, strict=False)], "segment long, first long")
-    before = F.sum("bytes").over(Window.partitionBy("segment").orderBy("flat").rowsBetween(Window.unboundedPreceding, -1))
-    placed = cells.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(first), "segment")
     digits = F.lpad(F.hex(F.octet_length("body").cast("long")), 8, "0")
     length = F.unhex(F.concat(*(F.substring(digits, k, 2) for k in (7, 5, 3, 1))))  # little-endian
-    rows = placed.select((F.col("first") + F.col("before")).alias("at"), F.concat(length, "body").alias("v"))
-    write_ranges(rows, path, csn_header(STRING, shape, ends[-1]), CSN_HEADER.size + ends[-1])
+    cells = _dense(t).select("flat", F.encode("v", "UTF-8").alias("body")).select("flat", F.concat(length, "body").alias("v"))
+    rows, end = _one_after_another(cells, "flat", CSN_HEADER.size)
+    write_ranges(rows, path, csn_header(STRING, shape, end - CSN_HEADER.size), end)
+
+
+def _one_after_another(df: DataFrame, order: str, first: int) -> tuple[DataFrame, int]:
+    """(at, v) of rows (order, v) of bytes that follow each other from place ``first`` on, and where they end.
+
+    Lengths are summed by segments of the order, whose sums (one for each ``SEGMENT_CELLS`` rows) the
+    driver adds up; running sums within a segment go from its first byte.
+    """
+    sized = df.select(F.floor(F.col(order) / SEGMENT_CELLS).alias("segment"), order, "v", F.octet_length("v").cast("long").alias("bytes"))
+    totals = sorted(sized.groupBy("segment").agg(F.sum("bytes").alias("bytes")).collect())
+    ends = np.cumsum([first, *(r.bytes for r in totals)]).tolist()
+    starts = df.sparkSession.createDataFrame([(r.segment, at) for r, at in zip(totals, ends, strict=False)], "segment long, first long")
+    before = F.sum("bytes").over(Window.partitionBy("segment").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    placed = sized.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(starts), "segment")
+    return placed.select((F.col("first") + F.col("before")).alias("at"), "v"), ends[-1]
+
+
+#: Samples of each channel in a FLAC frame.
+BLOCK = 4096
+
+
+def save_flac(t: Tensor, path: str, rate: int, bits: int = 16) -> None:
+    """A FLAC file of samples (channel x frame) from -1 to 1, rounded to ``bits`` (8, 12, 16, 20, 24); cells without a row are 0.
+
+    Frames are encoded where their blocks of samples are, and written to their places.
+    """
+    t.need(REAL)
+    channels, samples = _single(t)
+    if not 1 <= channels <= 8:
+        raise ValueError(f"{channels} channels")
+    top = 2 ** (bits - 1)
+    whole = F.greatest(F.lit(-top), F.least(F.lit(top - 1), F.round(F.col("v") * top))).cast("long")
+    cells = t.df.select(F.floor(F.col("i1") / BLOCK).alias("block"), "i0", F.pmod("i1", F.lit(BLOCK)).alias("i1"), whole.alias("v"))
+
+    def encode(key: tuple, table: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        x = np.zeros((channels, min(BLOCK, samples - block * BLOCK)), np.int64)
+        x[table["i0"].to_numpy(), table["i1"].to_numpy()] = table["v"].to_numpy()
+        return pa.table({"block": [block], "v": pa.array([flac.write_frame(x, block, bits)], pa.binary())})
+
+    # every block has a frame, with or without rows
+    every = t.df.sparkSession.range(-(-samples // BLOCK)).select(F.col("id").alias("block"), F.lit(0).cast("long").alias("i0"), F.lit(0).cast("long").alias("i1"), F.lit(None).cast("long").alias("v"))
+    filled = cells.unionByName(every.join(cells.select("block").distinct(), "block", "left_anti").withColumn("v", F.lit(0).cast("long")))
+    frames = filled.groupBy("block").applyInArrow(encode, "block long, v binary").persist()
+    try:
+        sizes = frames.agg(F.min(F.octet_length("v")).alias("least"), F.max(F.octet_length("v")).alias("most")).first()
+        header = flac.StreamInfo(BLOCK, rate, channels, bits, samples).pack((sizes.least or 0, sizes.most or 0))
+        rows, end = _one_after_another(frames, "block", len(header))
+        write_ranges(rows, path, header, end)
+    finally:
+        frames.unpersist()
 
 
 def save_npy(t: Tensor, path: str) -> None:
@@ -191,7 +246,7 @@ def save_audio(t: Tensor, path: str, rate: int) -> None:
 
 
 def load_arrays(spark: SparkSession, path: str) -> Tensor:
-    """The .csn, .npy and WAV files of a path, arrays keyed by ``path``, whose rank and type are read from their headers."""
+    """The .csn, .npy, WAV and FLAC files of a path, arrays keyed by ``path``, whose rank and type are read from their headers."""
     df = read_arrays(spark, path)
     return Tensor(df, len(df.columns) - 2, ("path",))
 

@@ -1,4 +1,4 @@
-"""Where the cells of an array file lie: headers of .csn, .npy and WAV files, read without their payload."""
+"""Where the cells of an array file lie: headers of .csn, .npy, WAV and FLAC files, read without their payload."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from typing import BinaryIO
 import numpy as np
 
 from ..tensor import COMPLEX, MAX_RANK, REAL, STRING
+from .flac import StreamInfo, read_info
 
 # Fixed values of the .csn format, little-endian: signature, version, codes of element types, and the header
 # (signature, major, minor, type, rank, cells, eight extents, payload bytes). A string is its length and its bytes.
@@ -25,7 +26,7 @@ INT24 = "int24"
 
 @dataclass(frozen=True)
 class Layout:
-    """A payload of equally wide cells from byte ``at`` on, or of strings with their lengths before them."""
+    """A payload of equally wide cells from byte ``at`` on, or of strings with their lengths before them, or of FLAC frames."""
 
     kind: int
     shape: tuple[int, ...]
@@ -36,6 +37,7 @@ class Layout:
     zero: float = 0.0  # a real cell is (number - zero) / scale
     scale: float = 1.0
     rate: int | None = None
+    frames: StreamInfo | None = None
 
     @property
     def size(self) -> int:
@@ -150,4 +152,10 @@ def wav_layout(f: BinaryIO, size: int) -> Layout:
     return Layout(REAL, (channels, frames), cell, at, frames * channels * bits // 8, "F", zero, scale, rate)
 
 
-LAYOUTS = {".csn": csn_layout, ".npy": npy_layout, ".wav": wav_layout}
+def flac_layout(f: BinaryIO, size: int) -> Layout:
+    """Samples (channel x frame); an unknown number of samples counts as 0."""
+    info, at = read_info(f)
+    return Layout(REAL, (info.channels, info.samples), "", at, size - at, scale=2.0 ** (info.bits - 1), rate=info.rate, frames=info)
+
+
+LAYOUTS = {".csn": csn_layout, ".npy": npy_layout, ".wav": wav_layout, ".flac": flac_layout}

@@ -21,6 +21,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import complexes
 from ..tensor import COMPLEX, REAL, STRING
+from .flac import read_frames
 from .layouts import CSN_LENGTH, LAYOUTS, Layout
 
 #: Payload bytes of one task when a file is read, and cells of a batch.
@@ -79,8 +80,8 @@ def value_array(kind: int, x) -> pa.Array:
 class ArrayFiles(DataSource):
     """``spark.read.format("array_files").load(path)``: rows (path, i0, i1, ..., v) of a file or a folder's files, all of one rank and element type.
 
-    A range of bytes is a task; strings that follow their lengths have no places to begin at, so such a
-    file is one task.
+    A range of bytes is a task; of FLAC, the frames that begin there. Strings that follow their lengths
+    have no places to begin at, so such a file is one task.
     """
 
     @classmethod
@@ -112,6 +113,10 @@ class RangeReader(DataSourceReader):
     def partitions(self) -> list[Range]:
         out = []
         for name, x in self.files:
+            if x.frames:
+                end = x.at + x.bytes
+                out += [Range(name, x, start, min(start + SPLIT_BYTES, end)) for start in range(x.at, end, SPLIT_BYTES)]
+                continue
             step = max(1, SPLIT_BYTES // x.width) if x.width else max(1, x.size)
             out += [Range(name, x, start, min(start + step, x.size)) for start in range(0, x.size, step)]
         return out
@@ -119,6 +124,11 @@ class RangeReader(DataSourceReader):
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         where, _ = opened(self.path)
         x = part.layout
+        if x.frames:
+            with where.open_input_file(part.path) as f:
+                for first, samples in read_frames(f, x.at + x.bytes, x.frames, part.start, part.stop):
+                    yield self._sound(part.path, first, samples / x.scale)
+            return
         with where.open_input_file(part.path) as f:
             f.seek(x.at + part.start * x.width)
             for start in range(part.start, part.stop, BATCH_CELLS):
@@ -135,6 +145,12 @@ class RangeReader(DataSourceReader):
             if not x.cell and f.tell() != x.at + x.bytes:
                 raise ValueError(f"{part.path}: strings end at byte {f.tell()} instead of {x.at + x.bytes}")
 
+    @staticmethod
+    def _sound(path: str, first: int, x: np.ndarray) -> pa.RecordBatch:
+        channels, n = x.shape
+        columns = [path] * x.size, np.repeat(np.arange(channels), n), np.tile(np.arange(first, first + n), channels), x.ravel()
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["path", "i0", "i1", "v"])
+
     @staticmethod
     def _string(f, name: str) -> str:
         head = f.read(CSN_LENGTH.size)
