@@ -11,8 +11,7 @@ from ..tensor import COMPLEX, Tensor
 from .creation import generated
 from .elementwise import zipped
 from .reductions import norm, reduce
-
-
+from .tiles import Elimination, products
 
 def _side(t: Tensor, name: str, axes: list[str]) -> DataFrame:
     return t.df.select(*t.keys, *(F.col(f"i{k}").alias(a) for k, a in enumerate(axes)), F.col("v").alias(name))
@@ -28,14 +27,25 @@ def _sum(a: Tensor, b: Tensor) -> Column:
 
 
 def contract(a: Tensor, b: Tensor, first: list[str], second: list[str], out: list[str]) -> Tensor:
-    """Sum of products over the axis names that both have and the result hasn't.
+    """Sum of products over ``k``, the axis name that both have and the result hasn't.
 
-    An equi-join on the shared axes, then a grouped sum that tasks begin before the shuffle.
+    Two matrices are multiplied by tiles. With a vector, where a cell has one partner for each of the
+    other's rows, an equi-join on the shared axes is followed by a grouped sum that tasks begin before
+    the shuffle.
     """
+    sizes = dict(zip(second, b.shape, strict=True)) | dict(zip(first, a.shape, strict=True))
+    rows, columns = [n for n in first if n not in second], [n for n in second if n not in first]
+    if rows and columns and set(b.keys) <= set(a.keys):
+        batch = [n for n in first if n in second and n != "k"]
+        left = _side(a, "v", first).withColumnRenamed(rows[-1], "r") if rows[-1] != "r" else _side(a, "v", first)
+        right = _side(b, "v", second).withColumnRenamed(columns[-1], "c") if columns[-1] != "c" else _side(b, "v", second)
+        own = [k for k in a.keys if k not in b.keys]
+        found = products(left, right, [*b.keys, *batch], [*own, *rows[:-1]], columns[:-1], (sizes[rows[-1]], sizes["k"], sizes[columns[-1]]), COMPLEX in (a.kind, b.kind))
+        name = {rows[-1]: "r", columns[-1]: "c"}
+        return Tensor(found.select(*a.keys, *(F.col(name.get(n, n)).alias(f"i{k}") for k, n in enumerate(out)), "v"), len(out), a.keys, tuple(sizes[n] for n in out))
     shared = [*(k for k in a.keys if k in b.keys), *(n for n in first if n in second)]
     joined = _side(a, "x", first).join(_side(b, "y", second), shared)
     cells = joined.groupBy(*a.keys, *out).agg(_sum(a, b).alias("v"))
-    sizes = dict(zip(second, b.shape, strict=True)) | dict(zip(first, a.shape, strict=True))
     return Tensor(cells.select(*a.keys, *(F.col(n).alias(f"i{k}") for k, n in enumerate(out)), "v"), len(out), a.keys, tuple(sizes[n] for n in out))
 
 
@@ -166,7 +176,7 @@ def hilbertmat(spark: SparkSession, n: int) -> Tensor:
     return generated(spark, (n, n), lambda i, j: 1 / (i + j + 1).cast("double"))
 
 
-# dense systems: each matrix, one for each key, is a lane of its cells; a task takes many at once
+# dense systems: one matrix is eliminated by tiles; of many, one for each key, each is a lane of its cells, and a task takes many at once
 
 
 def _eliminated(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,12 +225,24 @@ def _regular(a: np.ndarray) -> np.ndarray:
 def det(t: Tensor) -> Tensor:
     """Exactly 0 of a singular matrix."""
     n = _square(t)
+    if not t.keys:
+        own = Elimination(t)
+        return Tensor(t.df.sparkSession.createDataFrame([(own.determinant() if own.run() else 0.0,)], "v double"), 0, (), ())
     found = _matrices(t, n, n, lambda a: _eliminated(a)[0], 1)
     return Tensor(found.df.select(*t.keys, "v"), 0, t.keys, ())
 
 
+def _solved(a: Tensor, right: DataFrame, columns: int) -> DataFrame:
+    own = Elimination(a, right, columns)
+    if not own.run():
+        raise ValueError("a matrix is singular")
+    return own.solution()
+
+
 def inv(t: Tensor) -> Tensor:
     n = _square(t)
+    if not t.keys:
+        return t.cells(_solved(t, t.df.sparkSession.range(n).select(F.col("id").alias("i0"), F.col("id").alias("i1"), F.lit(1.0).alias("v")), n), 2, (n, n))
     found = _matrices(t, n, n, lambda a: np.linalg.inv(_regular(a)), n * n)
     return t.cells(_indexed(found, (n, n)), 2, (n, n))
 
@@ -235,6 +257,9 @@ def solve(a: Tensor, b: Tensor) -> Tensor:
     n = _square(a)
     _same(n, b.shape[0])
     columns = 1 if b.ndim == 1 else b.shape[1]
+    if not a.keys and not b.keys:
+        cells = _solved(a, b.df.select("i0", (F.col("i1") if b.ndim == 2 else F.lit(0).cast("long")).alias("i1"), "v"), columns)
+        return a.cells(cells if b.ndim == 2 else cells.select("i0", "v"), b.ndim, b.shape)
     right = b.df.select(*b.keys, "i0", ((F.col("i1") if b.ndim == 2 else F.lit(0)) + n).cast("long").alias("i1"), "v")
     both = Tensor(a.df.select(*a.keys, "i0", "i1", "v").unionByName(right), 2, a.keys, (n, n + columns))
     found = _matrices(both, n, n + columns, lambda m: np.linalg.solve(_regular(m[:, :, :n]), m[:, :, n:]), n * columns)

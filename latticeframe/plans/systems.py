@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import convolution, creation, filters, fourier, linalg, shape
+from ..operators import convolution, creation, filters, fourier, linalg, shape, tiles
 from ..tensor import Tensor
 from . import views
 from .queries import ORACLES, QUERIES, add, r, shown, shown_complex
@@ -246,6 +246,45 @@ add("matmul", lambda s, d: shown(_own_gram(s, d)), with_views(_gram, "emb"))
 add("inner", lambda s, d: shown(linalg.inner(shape.transpose(views.embeddings(s, d)), shape.transpose(views.embeddings(s, d)))), with_views(_gram, "emb"))
 add("trace", lambda s, d: shown(linalg.trace(_own_gram(s, d))), with_views(f"SELECT {r('sum(v * v)')} AS v FROM emb", "emb"))
 add("diag", lambda s, d: shown(linalg.diag(_own_gram(s, d))), with_views(f"SELECT i1 AS i0, {r('sum(v * v)')} AS v FROM emb GROUP BY i1", "emb"))
+_cross = lambda s, d: shape.transpose(views.embeddings(s, d))
+
+
+def _normal(s: SparkSession, d: str) -> tuple[Tensor, Tensor]:
+    """Normal equations of labels by embeddings, with 1 added to the diagonal: a matrix of 64 x 64, and the right side."""
+    a = linalg.matmul(_cross(s, d), views.embeddings(s, d))
+    a = a.cells(a.df.withColumn("v", F.col("v") + F.when(F.col("i0") == F.col("i1"), 1.0).otherwise(0.0)), extents=a.shape)
+    label = Tensor(views.table(s, d, "embeddings").select(F.col("vec_id").alias("i0"), F.lit(0).cast("long").alias("i1"), F.col("label").cast("double").alias("v")), 2)
+    return a, linalg.matmul(_cross(s, d), label)
+
+
+def _fitted(s: SparkSession, d: str, side: int, invert: bool) -> Tensor:
+    """The matrix times the solution, which is the right side again."""
+    a, b = _normal(s, d)
+    with tiles.of_side(side):
+        x = linalg.matmul(linalg.inv(a), b) if invert else linalg.solve(a, b)
+    return linalg.matmul(a, x)
+
+
+_again = with_views(f"SELECT i1 AS i0, CAST(0 AS BIGINT) AS i1, {r('sum(v * label)', 4)} AS v FROM emb JOIN embeddings ON vec_id = i0 GROUP BY emb.i1", "emb")
+add("solve_normal", lambda s, d: shown(_fitted(s, d, 16, False), 4), _again)
+add("inv_normal", lambda s, d: shown(_fitted(s, d, 16, True), 4), _again)
+
+
+def _triangular(s: SparkSession, d: str) -> Tensor:
+    """The part of the first 64 rows below the diagonal, with 1 + v * v on it, times its transpose, rows in reverse order."""
+    t = views.embeddings(s, d)
+    cells = t.df.filter("i0 < 64 AND i1 <= i0").withColumn("v", F.when(F.col("i0") == F.col("i1"), 1 + F.col("v") * F.col("v")).otherwise(F.col("v")))
+    low = Tensor(cells, 2, (), (64, 64))
+    return shape.flip(linalg.matmul(low, shape.transpose(low)), 0)
+
+
+def _determinant(s: SparkSession, d: str) -> Tensor:
+    with tiles.of_side(16):
+        return linalg.det(_triangular(s, d))
+
+
+# of 64 rows in reverse order, an even permutation
+add("det_product", lambda s, d: shown(_determinant(s, d), 4), with_views(f"SELECT {r('exp(2 * sum(ln(1 + v * v)))', 4)} AS v FROM emb WHERE i0 < 64 AND i1 = i0", "emb"))
 _bessel = "(SELECT sum(pow(pow({} / 2, k) / gamma(k + 1), 2)) FROM range(40) g6(k))"
 _side = "(5.0 * sqrt(1 - pow(2 * i / 32.0 - 1, 2)))"
 add("kaiser", lambda s, d: shown(_kaiser(s)), f"SELECT CAST(i AS BIGINT) AS i0, {r('sum(pow(pow(x / 2, k) / gamma(k + 1), 2)) / max(one)')} AS v FROM (SELECT i, {_side} AS x, {_bessel.format('5.0')} AS one FROM range(33) g(i)), range(40) h(k) GROUP BY i")
