@@ -268,24 +268,11 @@ def _taps(kernel: Tensor) -> np.ndarray:
     return toarray(kernel)
 
 
-def _divided(y: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """x with y = h * x in full, by recursion."""
-    if not len(h) or h[0] == 0:
-        raise ValueError("the kernel begins with 0")
-    n = len(y) - len(h) + 1
-    x = np.zeros(max(0, n), np.result_type(y, h, float))
-    for i in range(len(x)):
-        m = min(i, len(h) - 1)
-        x[i] = (y[i] - (h[1 : m + 1] @ x[i - m : i][::-1] if m else 0)) / h[0]
-    return x
-
-
 def deconvolve1d(t: Tensor, kernel: Tensor, axis: int | None = None) -> Tensor:
     """The inverse of a full ``convolve1d``."""
-    if axis is None:
-        t, axis = flatten(t) if t.ndim > 1 else t, 0
-    h = _taps(kernel)
-    return _lanes(t, axis, _each(lambda y: _divided(y, h)), COMPLEX in (t.kind, kernel.kind))
+    from .division import divided1d
+
+    return divided1d(t, _taps(kernel), axis)
 
 
 def decorrelate1d(t: Tensor, kernel: Tensor, axis: int | None = None) -> Tensor:
@@ -313,30 +300,11 @@ def fftdecorrelate1d(t: Tensor, kernel: Tensor, axis: int | None = None) -> Tens
     return fftdeconvolve1d(t, _turned(kernel), axis)
 
 
-def _whole(t: Tensor, kernel: Tensor, f) -> Tensor:
-    """An N-D inverse, each array (one for each key) in one task as a flat lane."""
-    h, shape = _taps(kernel), t.shape
-    out = tuple(n - m + 1 for n, m in zip(shape, h.shape, strict=True))
-    flat = _lanes(flatten(t), 0, _each(lambda y: f(y.reshape(shape), h).ravel()), COMPLEX in (t.kind, kernel.kind))
-    return _reflat(flat, F.col("i0"), out)
-
-
-def _divided_nd(y: np.ndarray, h: np.ndarray) -> np.ndarray:
-    first = h[(0,) * h.ndim]
-    if first == 0:
-        raise ValueError("the kernel begins with 0")
-    x = np.zeros([n - m + 1 for n, m in zip(y.shape, h.shape, strict=True)], np.result_type(y, h, float))
-    for at in np.ndindex(*x.shape):
-        span = [min(i, m - 1) + 1 for i, m in zip(at, h.shape, strict=True)]
-        own = h[tuple(slice(0, s) for s in span)]
-        back = x[tuple(slice(i - s + 1, i + 1) for i, s in zip(at, span, strict=True))]
-        x[at] = (y[at] - (own * back[(slice(None, None, -1),) * h.ndim]).sum()) / first
-    return x
-
-
 def deconvolve(t: Tensor, kernel: Tensor) -> Tensor:
     """The inverse of a full ``convolve``."""
-    return _whole(t, kernel, _divided_nd)
+    from .division import divided
+
+    return divided(t, _taps(kernel))
 
 
 def decorrelate(t: Tensor, kernel: Tensor) -> Tensor:

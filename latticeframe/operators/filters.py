@@ -320,7 +320,7 @@ def _in_blocks(t: Tensor, run: Callable, k: int, start: np.ndarray, is_complex:
     value = F.col("v") if t.kind == COMPLEX or not is_complex else complexes.make(F.col("v"))
     cells = t.df.select(*names, F.floor(F.col(here) / BLOCK).cast("long").alias("_b"), F.pmod(F.col(here), F.lit(BLOCK)).alias("i0"), value.alias("v"))
     rest = _lanes(Tensor(cells, 1, (*held, "_b"), (BLOCK,)), 0, lambda x: run(x, np.zeros((len(x), m)))[1], is_complex, m)
-    move = run(np.zeros((m, BLOCK)), np.eye(m))[1]
+    move = np.concatenate([run(np.zeros((len(e), BLOCK)), e)[1] for e in np.array_split(np.eye(m), -(-m // 16))])
 
     def carried(added: np.ndarray) -> np.ndarray:
         added = added.reshape(len(added), -1, m)

@@ -141,10 +141,10 @@ def scratch(spark: SparkSession) -> str:
     return f"{folder}/tiles-{uuid.uuid4().hex}"
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """In the shared folder, so that the next step doesn't depend on what executors hold."""
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """In the shared folder, in a part for each value of ``by``, so that the next step doesn't depend on what executors hold."""
     path, schema = scratch(df.sparkSession), df.schema
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -245,7 +245,7 @@ class Elimination:
             own = own.unionByName(more.select(F.col("bi").alias("g"), (F.col("bj") + grid.blocks).alias("j"), "x"))
         across = grid.blocks + grid.beside
         every = spark.range(grid.blocks * across).select(F.floor(F.col("id") / across).alias("g"), F.pmod("id", F.lit(across)).alias("j"))
-        self.tiles = _written(self._filled(every.join(own, ["g", "j"], "left")))
+        self.tiles = written(self._filled(every.join(own, ["g", "j"], "left")))
         self.order: list[np.ndarray] = []
         self.pivots: list[np.ndarray] = []
         largest = a.df.agg(F.max(F.abs("v"))).first()[0] or 0.0
@@ -276,7 +276,7 @@ class Elimination:
             self.order.append(ids)
             self.pivots.append(pivots)
             if k + 1 < grid.blocks + grid.beside:
-                self.tiles = _written(self._step(k, ids, np.linalg.inv(cells)))
+                self.tiles = written(self._step(k, ids, np.linalg.inv(cells)))
         return True
 
     def _step(self, k: int, ids: np.ndarray, inverse: np.ndarray) -> DataFrame:
