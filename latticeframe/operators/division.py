@@ -16,8 +16,10 @@ from ..tensor import COMPLEX, Tensor, matched
 from .shape import flatten
 from .tiles import written
 
-#: Cells of a series at most, and growth of its terms up to which it is used: beyond, rounding spreads through transforms.
+#: Cells of a series, and growth of its terms up to which it is used: beyond, rounding spreads through transforms, and cells are divided one by one.
 SERIES, GROWTH = 1 << 12, 1e4
+#: Taps of a kernel up to which products are summed tap by tap.
+FEW_TAPS = 32
 #: Cells of a tile's side in one, two, three and more dimensions.
 SIDES = (1 << 14, 1 << 8, 1 << 5, 1 << 3)
 
@@ -62,25 +64,30 @@ def _begun(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _side(h: np.ndarray, most: int) -> int:
-    """The longest side, a power of two, over which the terms of 1 / h don't grow too much; 1 at least."""
-    size = most
-    while size > 1:
-        g = series(h, (size,) * h.ndim)
-        if np.abs(g).max() * np.abs(h[(0,) * h.ndim]) <= GROWTH:
-            break
-        size //= 2
-    return size
+def _times(x: np.ndarray, h: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """``_convolved``, tap by tap if there are few."""
+    if h.size > FEW_TAPS:
+        return _convolved(x, h, shape)
+    lead = x.shape[: x.ndim - h.ndim]
+    out = np.zeros((*lead, *shape), np.result_type(x, h))
+    for at in np.argwhere(h != 0).tolist():
+        ends = [min(n - i, m) for i, n, m in zip(at, shape, x.shape[len(lead) :], strict=True)]
+        out[(..., *(slice(i, i + e) for i, e in zip(at, ends, strict=True)))] += h[tuple(at)] * x[(..., *(slice(0, e) for e in ends))]
+    return out
+
+
+def _steady(h: np.ndarray, g: np.ndarray) -> bool:
+    return bool(np.abs(g).max() * np.abs(h[(0,) * h.ndim]) <= GROWTH)
 
 
 def divider(h: np.ndarray) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """A function of lanes in rows, and of what x before them adds to their first cells (len(h) - 1), that returns x and what it adds beyond.
 
-    Stretches of ``SERIES`` cells at most, one after the other, are multiplied by the series; a lane's
-    beginning is what earlier ones leave.
+    Stretches of ``SERIES`` cells, one after the other, are multiplied by the series; a lane's beginning
+    is what earlier ones leave. If the series grows, stretches are single cells.
     """
-    size, m = _side(h, SERIES), len(h) - 1
-    g = series(h, (size,))
+    g, m = series(h, (SERIES,)), len(h) - 1
+    size = SERIES if _steady(h, g) else 1
 
     def run(y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = y.shape[1]
@@ -91,16 +98,26 @@ def divider(h: np.ndarray) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarra
             w = part.shape[1]
             k = min(w, m)
             part[:, :k] -= z[:, :k]
-            x = part * g[0] if size == 1 else _convolved(part, g[:w], (w,))
+            x = part / h[0] if size == 1 else _convolved(part, g[:w], (w,))
             out[:, at : at + w] = x
-            z = np.concatenate([z[:, k:], np.zeros((len(z), k), z.dtype)], axis=1)
             if m:
-                z += x * h[1:] if w == 1 else _convolved(x, h, (w + m,))[:, w:]
+                z = np.concatenate([z[:, k:], np.zeros((len(z), k), z.dtype)], axis=1)
+                z += _times(x, h, (w + m,))[:, w:]
         return out, z
 
     return run
 
 
+def _one_by_one(y: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The first cells of y / h, as many as y has."""
+    x = np.zeros(y.shape, np.result_type(y, h, float))
+    for at in np.ndindex(*y.shape):
+        span = [min(i, m - 1) + 1 for i, m in zip(at, h.shape, strict=True)]
+        back = x[tuple(slice(i - s + 1, i + 1) for i, s in zip(at, span, strict=True))]
+        x[at] = (y[at] - (h[tuple(slice(0, s) for s in span)] * back[(slice(None, None, -1),) * h.ndim]).sum()) / h[(0,) * h.ndim]
+    return x
+
+
 def divided1d(t: Tensor, h: np.ndarray, axis: int | None = None) -> Tensor:
     """x of y = h * x in full along an axis (flat without one).
 
@@ -140,9 +157,10 @@ def divided(t: Tensor, h: np.ndarray) -> Tensor:
         return divided1d(t, h, 0)
     is_complex = t.kind == COMPLEX or np.iscomplexobj(h)
     dtype, n, keys = complex if is_complex else float, t.ndim, t.keys
-    side = _side(h, SIDES[min(n, len(SIDES)) - 1])
+    side = SIDES[min(n, len(SIDES)) - 1]
     counts = [-(-a // side) for a in shape]
     g = series(h, (side,) * n)
+    steady = _steady(h, g)
     reach = [range(-(-(m - 1) // side) + 1) for m in h.shape]  # tiles from one's own on that it adds to
     cells = _cells_of_tiles(t, shape, counts, side)
     places = [f"b{k}" for k in range(n)]
@@ -164,10 +182,10 @@ def divided(t: Tensor, h: np.ndarray) -> Tensor:
         """A tile of y, and what earlier tiles of x take from it, divided; then what that takes from later tiles."""
         at = tuple(k.as_py() for k in key[-n:])
         left = np.sum([np.frombuffer(x, dtype) for x in sorted(table["x"].to_pylist())], axis=0).reshape((side,) * n)
-        x = _convolved(left, g, (side,) * n)
+        x = _convolved(left, g, (side,) * n) if steady else _one_by_one(left, h).astype(dtype)
         for k in range(n):  # nothing beyond the array's end
             x[(slice(None),) * k + (slice(max(0, shape[k] - at[k] * side), None),)] = 0
-        found, adds = [(at, True, x)], _convolved(x, h, tuple(side * len(r) for r in reach))
+        found, adds = [(at, True, x)], _times(x, h, tuple(side * len(r) for r in reach))
         for step in product(*reach):
             to = tuple(a + b for a, b in zip(at, step, strict=True))
             if any(step) and all(a < c for a, c in zip(to, counts, strict=True)):

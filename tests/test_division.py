@@ -66,6 +66,12 @@ def test_lanes_go_on_where_they_were_cut(h, size, monkeypatch):
     np.testing.assert_allclose(np.concatenate(parts, 1), x, atol=1e-7)
 
 
+def test_growing_series_of_few_bits_are_exact():
+    h, x = np.array([0.5, 1.0, -0.25]), np.round(1024 * random(2, 64)) / 1024
+    y = np.stack([full(r, h) for r in x])
+    np.testing.assert_array_equal(divider(h)(y, np.zeros((2, 2)))[0][:, :64], x)
+
+
 @pytest.mark.parametrize("block", [7, 64])
 def test_long_lanes_in_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(filters, "BLOCK", block)
@@ -97,6 +103,9 @@ def test_arrays_in_waves(spark, monkeypatch, side):
         h[(0,) * h.ndim] = 3
         x = random(*shape)
         np.testing.assert_allclose(toarray(convolution.deconvolve(fromarray(spark, full(x, h)), fromarray(spark, h))), x, atol=1e-9)
+    grows = np.array([[0.5, 1.0], [1.0, -0.25]])  # cells of few bits stay exact all the same
+    few = np.round(64 * random(8, 7)) / 64
+    np.testing.assert_allclose(toarray(convolution.deconvolve(fromarray(spark, full(few, grows)), fromarray(spark, grows))), few, atol=1e-12)
     z = random(6, 5) + 1j * random(6, 5, seed=2)
     h = np.array([[4.0, 1j], [0.5, -0.5]])
     np.testing.assert_allclose(toarray(convolution.deconvolve(fromarray(spark, full(z, h)), fromarray(spark, h))), z, atol=1e-9)
