@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -188,6 +188,38 @@ def _changes(table: pa.Table, columns: list[str]) -> np.ndarray:
     return np.flatnonzero(out) + 1
 
 
+def lane_stream(others: list[str], results: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]) -> Callable:
+    """A task over rows sorted by lane (``others``): hands on whole lanes, many at once, with the rows where they begin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # the rows so far of the last lane
+        fresh: list[pa.Table] = []
+
+        def whole_lanes() -> Iterator[pa.RecordBatch]:
+            edge = [held[-1].slice(len(held[-1]) - 1)] if held else []
+            cuts = _changes(pa.concat_tables(edge + fresh), others)
+            if not len(cuts):
+                held.extend(fresh)
+                return
+            table = pa.concat_tables(held + fresh).combine_chunks()
+            cuts += sum(map(len, held)) - len(edge)
+            yield from results(table.slice(0, int(cuts[-1])), np.append(0, cuts[:-1]))
+            held[:] = [table.slice(int(cuts[-1]))]
+
+        for batch in batches:
+            if len(batch):
+                fresh.append(pa.Table.from_batches([batch]))
+            if sum(map(len, fresh)) >= GATHERED:
+                yield from whole_lanes()
+                fresh = []
+        if fresh:
+            yield from whole_lanes()
+        if held:
+            yield from results(pa.concat_tables(held).combine_chunks(), np.zeros(1, np.int64))
+
+    return run
+
+
 def _lanes(t: Tensor, axis: int, f, is_complex: bool, n: int | None = None) -> Tensor:
     """``f`` of all lanes at once: a matrix with a lane in each row gives one with a result in each row.
 
@@ -224,33 +256,7 @@ def _lanes(t: Tensor, axis: int, f, is_complex: bool, n: int | None = None) -> T
             parts = [np.real(y).astype(float).ravel()] + ([np.imag(y).astype(float).ravel()] if is_complex else [])
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.tile(np.arange(m), len(mine))), *map(pa.array, parts)], [x.name for x in schema.fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []  # the rows so far of the last lane
-        fresh: list[pa.Table] = []
-
-        def whole_lanes() -> Iterator[pa.RecordBatch]:
-            edge = [held[-1].slice(len(held[-1]) - 1)] if held else []
-            cuts = _changes(pa.concat_tables(edge + fresh), others)
-            if not len(cuts):
-                held.extend(fresh)
-                return
-            table = pa.concat_tables(held + fresh).combine_chunks()
-            cuts += sum(map(len, held)) - len(edge)
-            yield from results(table.slice(0, int(cuts[-1])), np.append(0, cuts[:-1]))
-            held[:] = [table.slice(int(cuts[-1]))]
-
-        for batch in batches:
-            if len(batch):
-                fresh.append(pa.Table.from_batches([batch]))
-            if sum(map(len, fresh)) >= GATHERED:
-                yield from whole_lanes()
-                fresh = []
-        if fresh:
-            yield from whole_lanes()
-        if held:
-            yield from results(pa.concat_tables(held).combine_chunks(), np.zeros(1, np.int64))
-
-    out = dealt.sortWithinPartitions(*others, here).mapInArrow(run, schema)
+    out = dealt.sortWithinPartitions(*others, here).mapInArrow(lane_stream(others, results), schema)
     value = F.struct("re", "im") if is_complex else F.col("re")
     known = None if n is None or t.keys and t.ndim > 1 else (n,) if t.ndim == 1 else tuple(n if j == k else m for j, m in enumerate(t.shape))
     return t.cells(out.withColumn("v", value), extents=known)
@@ -451,14 +457,10 @@ def lagrange(x: Tensor, y: Tensor) -> Tensor:
 
 def roots(t: Tensor, axis: int | None = None) -> Tensor:
     """The roots of each lane's polynomial, the highest degree first, as complex numbers in no order."""
-
-    def found(c: np.ndarray) -> np.ndarray:
-        if c[0] == 0:
-            raise ValueError("the leading coefficient is 0")
-        return np.roots(c)
+    from .polynomials import all_roots
 
     if axis is None:
         t, axis = flatten(t) if t.ndim > 1 else t, 0
-    return _lanes(t, axis, _each(found), True)
+    return _lanes(t, axis, all_roots, True)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import complexes, reals
 from ..tensor import COMPLEX, REAL, Tensor, matched
+from . import medians
 from .shape import _reflat, flatten
 
 #: Cells of a block of a lane.
@@ -138,8 +139,7 @@ def movmean(t: Tensor, width: int, axis: int | None = None) -> Tensor:
 
 def movmedian(t: Tensor, width: int, axis: int | None = None) -> Tensor:
     t.need(REAL)
-    nan = F.max(F.isnan(F.col("v")).cast("int"))
-    return moving(t, *_window(width), lambda over, at: F.when(over(nan) == 1, reals.NAN).otherwise(over(F.percentile(F.col("v"), F.lit(0.5)))), axis)
+    return medians.sliding(t, *_window(width), medians.window_medians, axis)
 
 
 def movmin(t: Tensor, width: int, axis: int | None = None) -> Tensor:
@@ -174,30 +174,15 @@ def medfilt1d(t: Tensor, width: int, axis: int | None = None) -> Tensor:
     if width % 2 == 0:
         raise ValueError("an even width")
     half = width // 2
-
-    def value(over: Callable, at: Callable) -> Column:
-        seen = over(F.collect_list(F.col("v")))
-        padded = F.array_sort(F.concat(seen, F.array_repeat(F.lit(0.0), F.lit(width) - F.size(seen))))
-        return F.get(padded, F.lit(half))
-
-    return moving(t, half, half, value, axis)
+    return medians.sliding(t, half, half, lambda x, start, stop: medians.padded_medians(x, start, stop, width), axis)
 
 
 def medfilt(t: Tensor, *widths: int) -> Tensor:
-    """Median over a box, zeros beyond the edges. Each cell goes to the boxes that hold it."""
+    """Median over a box of odd widths, zeros beyond the edges."""
     t.need(REAL)
     if len(widths) != t.ndim or any(w % 2 == 0 for w in widths):
         raise ValueError(f"box {widths}")
-    shape, size, rows = t.shape, 1, t.df
-    for k, w in enumerate(widths):
-        size *= w
-        rows = rows.withColumn(f"i{k}", F.explode(F.sequence(F.col(f"i{k}") - w // 2, F.col(f"i{k}") + w // 2)))
-    inside = F.lit(True)
-    for k, n in enumerate(shape):
-        inside = inside & (F.col(f"i{k}") >= 0) & (F.col(f"i{k}") < n)
-    seen = rows.filter(inside).groupBy(*t.places).agg(F.collect_list("v").alias("s"))
-    padded = F.array_sort(F.concat("s", F.array_repeat(F.lit(0.0), F.lit(size) - F.size("s"))))
-    return t.cells(seen.select(*t.places, F.get(padded, F.lit(size // 2)).alias("v")), extents=t.extents)
+    return medians.boxes(t, widths)
 
 
 def unwrap(t: Tensor, period: float, discontinuity: float | None = None, axis: int | None = None) -> Tensor:

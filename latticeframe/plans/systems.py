@@ -150,6 +150,21 @@ def _roots(s: SparkSession, d: str) -> DataFrame:
 
 
 add("roots", _roots, with_views(f"SELECT vec, part, {r('-b / a')} AS re, CAST(0 AS DOUBLE) AS im, {r('(b * b - 2 * a * c) / (a * a)')} AS squares FROM {_three}", "emb"))
+
+
+def _cubics(s: SparkSession, d: str) -> DataFrame:
+    """Sums of powers of the roots of the cubics that each four dimensions make."""
+    t = views.embeddings(s, d)
+    first = F.pmod("i1", F.lit(4)) == 0
+    cells = t.df.select(F.col("i0").alias("vec"), F.floor(F.col("i1") / 4).alias("part"), F.pmod("i1", F.lit(4)).alias("i0"), (F.col("v") + F.when(first, 2.0).otherwise(0.0)).alias("v"))
+    found = convolution.roots(Tensor(cells, 1, ("vec", "part"), (4,)), 0).df
+    re, im = F.col("v.re"), F.col("v.im")
+    sums = {"one": F.sum(re), "two": F.sum(re * re - im * im), "three": F.sum(re * re * re - 3 * re * im * im)}
+    return found.groupBy("vec", "part").agg(*((F.round(x, 6) + 0.0).alias(n) for n, x in sums.items()))
+
+
+_four = f"(SELECT i0 AS vec, i1 // 4 AS part, {_at(4, 0, ' + 2')} AS a, {_at(4, 1)} AS b, {_at(4, 2)} AS c, {_at(4, 3)} AS d FROM emb GROUP BY ALL)"
+add("roots_cubic", _cubics, with_views(f"SELECT vec, part, {r('-b / a')} AS one, {r('(b * b - 2 * a * c) / (a * a)')} AS two, {r('(3 * a * b * c - b * b * b - 3 * a * a * d) / (a * a * a)')} AS three FROM {_four}", "emb"))
 add("lagrange", lambda s, d: shown(convolution.lagrange(creation.fromarray(s, [0.0, 1.0, 2.0]), creation.fromarray(s, [1.0, 3.0, 2.0]))), f"SELECT CAST(k AS BIGINT) AS i0, {r('CAST([-1.5, 3.5, 1][k + 1] AS DOUBLE)')} AS v FROM range(3) g(k)")
 _fit = "[[-3 / 35.0, 12 / 35.0, 17 / 35.0, 12 / 35.0, -3 / 35.0], [-0.2, -0.1, 0, 0.1, 0.2], [2 / 7.0, -1 / 7.0, -2 / 7.0, -1 / 7.0, 2 / 7.0]]"
 add("savgol", lambda s, d: shown(linalg.savgol(s, 5, 2)), f"SELECT CAST(i AS BIGINT) AS i0, CAST(j AS BIGINT) AS i1, {r(f'CAST({_fit}[i + 1][j + 1] AS DOUBLE)')} AS v FROM range(3) g(i), range(5) h(j)")
@@ -233,11 +248,23 @@ add("medfilt", lambda s, d: shown(_medfilt(s, d)), with_views(
     "emb",
 ))
 
+add("medfilt_15", lambda s, d: shown(_medfilt(s, d, 15)), with_views(
+    f"SELECT i0, i1, {r('list_sort(list_concat(list(v), list_resize([]::DOUBLE[], 225 - count(*), 0.0::DOUBLE)))[113]')} AS v FROM (SELECT i0 + p - 7 AS i0, i1 + q - 7 AS i1, v FROM emb, range(15) g(p), range(15) h(q)) WHERE i0 BETWEEN 0 AND (SELECT max(i0) FROM emb) AND i1 BETWEEN 0 AND 63 GROUP BY i0, i1",
+    "emb",
+))
+add("movmedian_1001", lambda s, d: shown(_wide_median(s, d)), f"SELECT event_id AS i0, {r('median(value) OVER (ORDER BY event_id ROWS BETWEEN 500 PRECEDING AND 500 FOLLOWING)')} AS v FROM events")
+
+
+def _wide_median(s: SparkSession, d: str) -> Tensor:
+    from ..operators import lanes
+
+    return lanes.movmedian(views.events(s, d), 1001)
+
 
-def _medfilt(s: SparkSession, d: str) -> Tensor:
+def _medfilt(s: SparkSession, d: str, width: int = 3) -> Tensor:
     from ..operators import lanes
 
-    return lanes.medfilt(views.embeddings(s, d), 3, 3)
+    return lanes.medfilt(views.embeddings(s, d), width, width)
 
 
 _gram = f"SELECT a.i1 AS i0, b.i1 AS i1, {r('sum(a.v * b.v)')} AS v FROM emb a JOIN emb b ON a.i0 = b.i0 GROUP BY a.i1, b.i1"
