@@ -67,20 +67,36 @@ def moving(t: Tensor, left: int, right: int, value: Callable[[Callable, Callable
 
 
 def running(t: Tensor, total: Callable[[Column], Column], both: Callable[[Column, Column], Column], axis: int | None = None) -> Tensor:
-    """A running aggregate; ``both`` combines that of the blocks before with one within the block."""
+    """A running aggregate; ``both`` combines that of what comes before a block with one within the block.
+
+    Totals of blocks are scanned by blocks in their turn, as often as a lane's length asks for, so that
+    no window holds more than ``BLOCK`` rows.
+    """
     t, others, here, shape = _lane(t, axis)
     rows = t.df.select(*t.places, "v")
-    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
     if _short(t, here):
-        return _restored(t, rows.withColumn("v", total(F.col("v")).over(upto(Window.partitionBy(*others).orderBy(here)))), shape)
-    lane = [*others, "_b"]
-    rows = rows.withColumn("_b", F.floor(F.col(here) / BLOCK))
-    blocks = rows.groupBy(*lane).agg(total(F.col("v")).alias("v"))  # a row for each block
-    before = blocks.select(*lane, total(F.col("v")).over(Window.partitionBy(*others).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+        levels = 1
+    else:
+        levels, reach = 1, BLOCK
+        while reach < t.shape[t.axes.index(here)]:
+            levels, reach = levels + 1, reach * BLOCK
+    return _restored(t, _scanned(rows, others, here, total, both, max(1, levels), 0), shape)
+
+
+def _scanned(rows: DataFrame, others: list[str], here: str, total: Callable, both: Callable, levels: int, last: int) -> DataFrame:
+    """Rows with the aggregate of v up to the row itself (``last`` 0) or the one before (-1, null at first) along ``here``."""
+    block = f"_b{levels}"
+    lane = [*others, block]
+    rows = rows.withColumn(block, F.floor(F.col(here) / BLOCK))
+    window = Window.partitionBy(*lane).orderBy(here).rowsBetween(Window.unboundedPreceding, last)
+    within = rows.withColumn("v", total(F.col("v")).over(window))
+    if levels == 1:
+        return within.drop(block)
+    sums = rows.groupBy(*lane).agg(total(F.col("v")).alias("v"))
+    before = _scanned(sums, others, block, total, both, levels - 1, -1).withColumnRenamed("v", "_before")
     before = before.filter(F.col("_before").isNotNull())  # short lanes have none
-    within = rows.withColumn("v", total(F.col("v")).over(upto(Window.partitionBy(*lane).orderBy(here))))
-    joined = matched(within, before, lane, "left").withColumn("v", F.when(F.col("_before").isNull(), F.col("v")).otherwise(both(F.col("_before"), F.col("v"))))
-    return _restored(t, joined, shape)
+    v = F.when(F.col("_before").isNull(), F.col("v")).when(F.col("v").isNull(), F.col("_before")).otherwise(both(F.col("_before"), F.col("v")))
+    return matched(within, before, lane, "left").withColumn("v", v).drop("_before", block)
 
 
 def _by_parts(t: Tensor, f: Callable[[Tensor], Tensor]) -> Tensor:
