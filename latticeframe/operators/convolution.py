@@ -366,59 +366,73 @@ MODES = ("linear", "nearest", "previous", "next", "cubic")
 BOUNDS = ("clamp", "nan", "extrapolate", "refuse")
 
 
-def _slopes(x: list[float], y: list[float]) -> list[float]:
-    """Slopes of the monotone cubic at each breakpoint (Fritsch and Butland's harmonic means)."""
-    n = len(x)
-    h, d = np.diff(x), np.diff(y) / np.diff(x)
-    if n == 2:
-        return [d[0], d[0]]
-    out = np.zeros(n)
-    for k in range(1, n - 1):
-        if d[k - 1] * d[k] > 0:
-            a, b = 2 * h[k] + h[k - 1], h[k] + 2 * h[k - 1]
-            out[k] = (a + b) / (a / d[k - 1] + b / d[k])
-
-    def end(h0: float, h1: float, d0: float, d1: float) -> float:
+def _slope(before2: Column, before: Column, own: Column, after: Column, after2: Column) -> Column:
+    """Slope of the monotone cubic at a breakpoint (Fritsch and Butland's harmonic mean), from two neighbours on each side, null where there are none."""
+    width = lambda p, q: q["x"] - p["x"]
+    rise = lambda p, q: (q["y"] - p["y"]) / width(p, q)
+
+    def end(h0: Column, h1: Column, d0: Column, d1: Column) -> Column:
         s = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
-        if s * d0 <= 0:
-            return 0.0
-        return 3 * d0 if d0 * d1 <= 0 and abs(s) > 3 * abs(d0) else s
+        return F.when(s * d0 <= 0, 0.0).when((d0 * d1 <= 0) & (F.abs(s) > 3 * F.abs(d0)), 3 * d0).otherwise(s)
+
+    h0, h1, d0, d1 = width(before, own), width(own, after), rise(before, own), rise(own, after)
+    a, b = 2 * h1 + h0, h1 + 2 * h0
+    return (
+        F.when(before.isNull() & after.isNull(), 0.0)
+        .when(before.isNull() & after2.isNull(), d1)
+        .when(before.isNull(), end(h1, width(after, after2), d1, rise(after, after2)))
+        .when(after.isNull() & before2.isNull(), d0)
+        .when(after.isNull(), end(h0, width(before2, before), d0, rise(before2, before)))
+        .when(d0 * d1 > 0, (a + b) / (a / d0 + b / d1))
+        .otherwise(0.0)
+    )
+
+
+def _pieces(points: DataFrame, cubic: bool) -> DataFrame:
+    """(x, x1, p) of breakpoints (i0, x, y): p has both ends of the piece that begins at x, and their slopes if they are asked for.
+
+    Neighbours come from windows along blocks of the table.
+    """
+    from .lanes import moving
+
+    table = Tensor(points.select("i0", F.struct("x", "y").alias("v")), 1)
+
+    def piece(over: Callable, at: Callable) -> Column:
+        own, after = F.col("v"), at(1)
+        near = [at(k) if k else own for k in range(-2, 4)]
+        slopes = (_slope(*near[:5]), _slope(*near[1:])) if cubic else (F.lit(0.0), F.lit(0.0))
+        rising = F.when(after["x"] > own["x"], after["x"]).otherwise(F.raise_error(F.lit("breakpoints don't increase")).cast("double"))
+        made = F.struct(own["x"].alias("x"), own["y"].alias("y"), slopes[0].alias("s"), rising.alias("x1"), after["y"].alias("y1"), slopes[1].alias("s1"))
+        return F.when(after.isNotNull(), made)
 
-    out[0], out[-1] = end(h[0], h[1], d[0], d[1]), end(h[-1], h[-2], d[-1], d[-2])
-    return out.tolist()
+    found = moving(table, 2 if cubic else 0, 3 if cubic else 1, piece).df
+    return found.select(F.col("v.x").alias("x"), F.col("v.x1").alias("x1"), F.col("v").alias("p"))
 
 
 def interp(t: Tensor, x: Tensor, y: Tensor, mode: str = "linear", bounds: str = "clamp") -> Tensor:
-    """Values mapped through a table of breakpoints.
+    """Values mapped through a table of breakpoints, which increase along the table.
 
-    Each value meets the last breakpoint at or before it: both are merged by value within ranges,
-    and the breakpoint is carried forward, so no value is compared with every breakpoint.
+    Values and the pieces between breakpoints are dealt by ranges of value; a piece goes to all ranges that
+    it reaches into. Within a range each value meets the last piece that begins at or before it, so no
+    value is compared with every breakpoint, and neither values nor breakpoints are in one task.
     """
-    from .sorting import _dealt, _limits
+    from .sorting import RANGES, _dealt
 
     t.need(REAL)
     if mode not in MODES or bounds not in BOUNDS:
         raise ValueError(f"{mode}, {bounds}")
     points = x.df.select("i0", F.col("v").alias("x")).join(y.df.select("i0", F.col("v").alias("y")), "i0")
-    if mode == "cubic":
-        known = sorted((r.x, r.y) for r in points.collect())  # slopes need neighbours only, but tables are short
-        slopes = _slopes([p[0] for p in known], [p[1] for p in known])
-        points = t.df.sparkSession.createDataFrame([(*p, s) for p, s in zip(known, slopes, strict=True)], "x double, y double, s double")
-    else:
-        points = points.select("x", "y", F.lit(0.0).alias("s"))
-    order = Window.orderBy("x")
-    ends = points.agg(F.min("x").alias("low"), F.max("x").alias("high")).first()
-    pairs = points.select("x", "y", "s", *(F.lead(c).over(order).alias(f"{c}1") for c in "xys"))
-    limits = _limits(pairs, "x")
-    starts = pairs.filter("x1 IS NOT NULL").select(F.col("x").alias("at"), F.struct("x", "y", "s", "x1", "y1", "s1").alias("p"))
+    n = int(t.df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * RANGES
+    ends = x.df.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.percentile_approx("v", [k / n for k in range(1, n)]).alias("q")).first()
+    limits = sorted(set(ends.q or []))
+    first = _dealt(_pieces(points, mode == "cubic"), limits, F.col("x")).withColumnRenamed("_p", "_from")
+    reached = _dealt(first, limits, F.col("x1")).withColumn("_p", F.explode(F.sequence("_from", "_p")))
+    starts = reached.select("_p", F.col("x").alias("at"), "p", F.lit(0).alias("_q"))
     inside = F.greatest(F.lit(ends.low), F.least(F.col("v"), F.lit(ends.high)))
-    asked = t.df.select(*t.places, "v", F.when(F.isnan("v"), F.lit(ends.low)).otherwise(inside).alias("at"))
-    merged = _dealt(asked.withColumn("_q", F.lit(1)).unionByName(starts.withColumn("_q", F.lit(0)), allowMissingColumns=True), limits, F.col("at"))
-    # a range's first values may need the breakpoint before it: the last of each range goes to the next ones
-    last = merged.groupBy("_p").agg(F.max_by("p", F.when(F.col("p").isNotNull(), F.col("at"))).alias("p0"))
-    carried = last.select("_p", F.last("p0", ignorenulls=True).over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("p0"))
+    asked = _dealt(t.df.select(*t.places, "v", F.when(F.isnan("v"), F.lit(ends.low)).otherwise(inside).alias("at")), limits, F.col("at"))
+    merged = asked.withColumn("_q", F.lit(1)).unionByName(starts, allowMissingColumns=True)
     own = F.last("p", ignorenulls=True).over(Window.partitionBy("_p").orderBy("at", "_q").rowsBetween(Window.unboundedPreceding, 0))
-    found = matched(merged.withColumn("p1", own), F.broadcast(carried), ["_p"]).filter("_q = 1").withColumn("p", F.coalesce("p1", "p0"))
+    found = merged.withColumn("p", own).filter("_q = 1")
     p, at = F.col("p"), F.col("v") if bounds == "extrapolate" else F.col("at")
     width = p["x1"] - p["x"]
     u = (at - p["x"]) / width

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import convolution, creation, filters, fourier, linalg, shape, tiles
 from ..tensor import Tensor
 from . import views
-from .queries import ORACLES, QUERIES, add, r, shown, shown_complex
+from .queries import INTERP, ORACLES, QUERIES, add, r, shown, shown_complex
 from .views import with_views
 
 # filters along lanes of unequal lengths: the SQL is the recursion, place by place
@@ -180,6 +180,50 @@ for _f, _back in ((convolution.convolve, convolution.deconvolve), (convolution.c
 for _f, _back in ((convolution.fftconvolve1d, convolution.fftdeconvolve1d), (convolution.fftcorrelate1d, convolution.fftdecorrelate1d)):
     add(_back.__name__, lambda s, d, f=_f, back=_back: shown(back(f(views.embeddings(s, d), creation.fromarray(s, [1.0, 3.0, 0.5]), axis=1), creation.fromarray(s, [1.0, 3.0, 0.5]), 1)), _whole)
 
+# interpolation through a table of breakpoints: quantities of orders by their keys
+
+
+def _through_orders(s: SparkSession, d: str, mode: str) -> DataFrame:
+    sums = views.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"))
+    points = creation.ordered(sums, F.struct(F.col("l_orderkey").cast("double").alias("x"), F.col("q").alias("y")), ["l_orderkey"])
+    x, y = points.map(lambda v: v["x"]), points.map(lambda v: v["y"])
+    return shown(convolution.interp(views.events(s, d, "value * 7 - 20"), x, y, mode))
+
+
+_h = lambda a, b: f"(x{b} - x{a})"
+_d = lambda a, b: f"((y{b} - y{a}) / (x{b} - x{a}))"
+
+
+def _end(h0: str, h1: str, d0: str, d1: str) -> str:
+    e = f"(((2 * {h0} + {h1}) * {d0} - {h0} * {d1}) / ({h0} + {h1}))"
+    return f"CASE WHEN {e} * {d0} <= 0 THEN 0 WHEN {d0} * {d1} <= 0 AND abs({e}) > 3 * abs({d0}) THEN 3 * {d0} ELSE {e} END"
+
+
+def _sloped(points: str) -> str:
+    """SQL of pieces (x, y, s, x1, y1, s1) between the points (x, y) of a table."""
+    near = ", ".join(f"{f}({c}, {k}) OVER (ORDER BY x) AS {c}{n}" for c in "xy" for f, k, n in (("lag", 2, "a"), ("lag", 1, "b"), ("lead", 1, "d"), ("lead", 2, "e")))
+    wide = f"(SELECT x AS xc, y AS yc, {near} FROM {points})"
+    first = f"CASE WHEN xe IS NULL THEN {_d('c', 'd')} ELSE {_end(_h('c', 'd'), _h('d', 'e'), _d('c', 'd'), _d('d', 'e'))} END"
+    last = f"CASE WHEN xa IS NULL THEN {_d('b', 'c')} ELSE {_end(_h('b', 'c'), _h('a', 'b'), _d('b', 'c'), _d('a', 'b'))} END"
+    a, b = f"(2 * {_h('c', 'd')} + {_h('b', 'c')})", f"({_h('c', 'd')} + 2 * {_h('b', 'c')})"
+    inner = f"CASE WHEN {_d('b', 'c')} * {_d('c', 'd')} > 0 THEN ({a} + {b}) / ({a} / {_d('b', 'c')} + {b} / {_d('c', 'd')}) ELSE 0 END"
+    slopes = f"(SELECT xc AS x, yc AS y, CASE WHEN xb IS NULL THEN {first} WHEN xd IS NULL THEN {last} ELSE {inner} END AS s FROM {wide})"
+    return f"(SELECT *, {', '.join(f'lead({c}) OVER (ORDER BY x) AS {c}1' for c in 'xys')} FROM {slopes})"
+
+
+_u, _w = "((a - x) / (x1 - x))", "(x1 - x)"
+_cubic = f"y * (1 - {_u}) * (1 - {_u}) * (1 + 2 * {_u}) + y1 * {_u} * {_u} * (3 - 2 * {_u}) + {_w} * (s * {_u} * (1 - {_u}) * (1 - {_u}) - s1 * {_u} * {_u} * (1 - {_u}))"
+_orders = "(SELECT CAST(l_orderkey AS DOUBLE) AS x, sum(l_quantity) AS y FROM lineitem GROUP BY l_orderkey)"
+_clamped = "(SELECT event_id AS i0, greatest(least(value * 7 - 20, (SELECT max(x) FROM o)), (SELECT min(x) FROM o)) AS a FROM events)"
+for _mode, _sql in {**INTERP, "cubic": _cubic}.items():
+    add(
+        f"interp_orders_{_mode}",
+        lambda s, d, m=_mode: _through_orders(s, d, m),
+        f"WITH o AS MATERIALIZED {_orders}, p AS MATERIALIZED (SELECT * FROM {_sloped('o')} WHERE x1 IS NOT NULL) SELECT i0, {r(_sql)} AS v FROM {_clamped} q ASOF JOIN p ON q.a >= p.x",
+    )
+_four_points = "(SELECT unnest([0.0, 50.0, 100.0, 200.0])::DOUBLE AS x, unnest([1.0, 3.0, 2.0, 5.0])::DOUBLE AS y)"
+add("interp_cubic", QUERIES["interp_cubic"], f"WITH p AS MATERIALIZED (SELECT * FROM {_sloped(_four_points)} WHERE x1 IS NOT NULL) SELECT i0, {r(_cubic)} AS v FROM (SELECT event_id AS i0, least(greatest(value, 0), 200) AS a FROM events) q ASOF JOIN p ON q.a >= p.x")
+
 # spectra of the whole matrix, whose columns zeros extend to a power of two
 
 _rows = "(SELECT CAST(pow(2, ceil(log2(max(i0) + 1))) AS BIGINT) AS n FROM emb)"

@@ -246,6 +246,41 @@ def test_convolution_and_inverses(spark):
     close(convolution.convolve1d(fromarray(spark, Z), fromarray(spark, [1j, 1.0]), axis=1), np.stack([np.convolve(r, [1j, 1]) for r in Z]))
 
 
+def pchip(x, y):
+    """Slopes of the monotone cubic, one by one."""
+    h, d = np.diff(x), np.diff(y) / np.diff(x)
+    if len(x) == 2:
+        return np.array([d[0], d[0]])
+
+    def end(h0, h1, d0, d1):
+        s = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
+        return 0.0 if s * d0 <= 0 else 3 * d0 if d0 * d1 <= 0 and abs(s) > 3 * abs(d0) else s
+
+    inner = [0.0 if d[k - 1] * d[k] <= 0 else 3 * (h[k] + h[k - 1]) / ((2 * h[k] + h[k - 1]) / d[k - 1] + (h[k] + 2 * h[k - 1]) / d[k]) for k in range(1, len(h))]
+    return np.array([end(h[0], h[1], d[0], d[1]), *inner, end(h[-1], h[-2], d[-1], d[-2])])
+
+
+@pytest.mark.parametrize("n", [2, 3, 40])
+@pytest.mark.parametrize("block", [3, 65_536])
+def test_cubics_through_long_tables(spark, monkeypatch, n, block):
+    """Breakpoints in several blocks, and pieces that reach over several ranges."""
+    from latticeframe.operators import lanes
+
+    monkeypatch.setattr(lanes, "BLOCK", block)
+    rng = np.random.default_rng(n)
+    x, y = np.cumsum(rng.exponential(size=n) ** 4 + 0.01), np.round(rng.normal(size=n), 1)
+    asked = np.concatenate([rng.uniform(x[0] - 1, x[-1] + 1, 60), x])
+    got = toarray(convolution.interp(fromarray(spark, asked), fromarray(spark, x), fromarray(spark, y), "cubic"))
+    a, s = np.clip(asked, x[0], x[-1]), pchip(x, y)
+    k = np.clip(np.searchsorted(x, a, "right") - 1, 0, n - 2)
+    w = x[k + 1] - x[k]
+    u = (a - x[k]) / w
+    want = y[k] * (1 - u) ** 2 * (1 + 2 * u) + y[k + 1] * u**2 * (3 - 2 * u) + w * (s[k] * u * (1 - u) ** 2 - s[k + 1] * u**2 * (1 - u))
+    np.testing.assert_allclose(got, want, atol=1e-9)
+    with pytest.raises(Exception, match="increase"):
+        toarray(convolution.interp(fromarray(spark, asked), fromarray(spark, x[::-1].copy()), fromarray(spark, y)))
+
+
 def test_interpolation(spark):
     x, y = fromarray(spark, [0.0, 1, 2, 3]), fromarray(spark, [0.0, 10, 20, 30])
     for mode, want in {"linear": 15, "nearest": 10, "previous": 10, "next": 20, "cubic": 15}.items():
