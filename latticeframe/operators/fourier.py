@@ -54,6 +54,32 @@ def _in_two_steps(t: Tensor, n: int, axis: int, sign: int) -> Tensor:
     return t.cells(back, extents=None if t.keys else tuple(n if j == k else m for j, m in enumerate(t.shape)))
 
 
+def _of_any_length(t: Tensor, n: int, axis: int, sign: int) -> Tensor:
+    """``_in_two_steps`` for any ``n``: turned by a chirp, a lane's transform is its convolution with the chirp turned back
+    (Bluestein), which transforms of a power of two make."""
+    if not n & (n - 1):
+        return _in_two_steps(t, n, axis, sign)
+    k, m = t.axis(axis), padded_length(2 * n - 1)
+    here = t.axes[k]
+    chirp = lambda at, way: F.lit(way * math.pi / n) * F.pmod(at * at, F.lit(2 * n))
+    value = F.col("v") if t.kind == COMPLEX else complexes.make(F.col("v"))
+    turned = t.df.filter(F.col(here) < n).withColumn("v", _turned(value, chirp(F.col(here), sign)))
+    extents = tuple(m if j == k else x for j, x in enumerate(t.shape))
+    spectrum = _in_two_steps(t.cells(turned, extents=extents), m, axis, -1)
+    back = t.df.sparkSession.range(1 - n, n).select(F.pmod("id", F.lit(m)).alias("i0"), chirp(F.col("id"), -sign).alias("angle"))
+    other = _in_two_steps(Tensor(back.select("i0", complexes.make(F.cos("angle"), F.sin("angle")).alias("v")), 1, (), (m,)), m, 0, -1)
+    both = spectrum.df.join(other.df.select(F.col("i0").alias(here), F.col("v").alias("_w")), here)
+    product = spectrum.cells(both.withColumn("v", complexes.mul(F.col("v"), F.col("_w"))), extents=extents)
+    found = _in_two_steps(product, m, axis, 1).df.filter(F.col(here) < n)
+    cells = found.withColumn("v", complexes.scale(_turned(F.col("v"), chirp(F.col(here), sign)), F.lit(1 / m)))
+    return t.cells(cells, extents=tuple(n if j == k else x for j, x in enumerate(t.shape)))
+
+
+def _is_long(t: Tensor, axis: int) -> bool:
+    """Whether a lane is more than a task should hold; arrays with keys, whose lanes have lengths of their own, aren't looked at."""
+    return not t.keys and t.shape[t.axis(axis)] > LONG
+
+
 def fft(t: Tensor, n: int | None = None, axis: int = -1) -> Tensor:
     """Of the first ``n`` cells of each lane, zeros beyond its end; by default the (longest) lane's length, a power of two."""
     n = _power(t.shape[t.axis(axis)] if n is None else n)
@@ -168,8 +194,33 @@ def _trigonometric(name: str, x: np.ndarray) -> np.ndarray:
     return -(np.fft.fft(np.concatenate((x, -x[:, ::-1]), axis=1))[:, 1 : n + 1] * turn(np.arange(1, n + 1))).imag
 
 
+def _long_cosines(name: str, t: Tensor, axis: int) -> Tensor:
+    """``_trigonometric`` of long lanes: of type two by the transform of a lane's even places and then its odd ones
+    backwards (a sine transform is the cosine transform of alternating signs, backwards), of type one of the lane mirrored."""
+    k = t.axis(axis)
+    here, n, extents = t.axes[k], t.shape[k], t.shape
+    at, v = F.col(here), F.col("v")
+    if name in ("dcttwo", "dsttwo"):
+        signed = v * F.when(F.pmod(at, F.lit(2)) == 1, -1.0).otherwise(1.0) if name == "dsttwo" else v
+        place = F.when(F.pmod(at, F.lit(2)) == 0, F.floor(at / 2)).otherwise(n - 1 - F.floor(at / 2)).cast("long")
+        dealt = t.df.select(*(place.alias(a) if a == here else F.col(a) for a in t.axes), signed.alias("v"))
+        found = _of_any_length(t.cells(dealt, extents=extents), n, axis, -1).df
+        value = 2 * _turned(v, F.lit(-math.pi / (2 * n)) * at)["re"]
+        return t.cells(found.select(*((n - 1 - at if name == "dsttwo" else at).alias(a) if a == here else F.col(a) for a in t.axes), value.alias("v")), extents=extents)
+    first = 0 if name == "dctone" else 1
+    size = 2 * n - 2 if name == "dctone" else 2 * n + 2
+    inner = t.df.filter((at > 0) & (at < n - 1)) if name == "dctone" else t.df
+    moved = lambda df, place, value: df.select(*(place.cast("long").alias(a) if a == here else F.col(a) for a in t.axes), value.alias("v"))
+    mirrored = moved(t.df, at + first, v).unionByName(moved(inner, F.lit(size - first) - at, v if name == "dctone" else -v))
+    found = _of_any_length(t.cells(mirrored, extents=tuple(size if j == k else m for j, m in enumerate(extents))), size, axis, -1).df
+    kept = found.filter((at >= first) & (at < n + first))
+    return t.cells(moved(kept, at - first, v["re"] if name == "dctone" else -v["im"]), extents=extents)
+
+
 def _cosines(name: str, t: Tensor, axis: int) -> Tensor:
     t.need(REAL)
+    if _is_long(t, axis):
+        return _long_cosines(name, t, axis)
     return _lanes(t, axis, lambda x: _trigonometric(name, x), False, None if t.keys else t.shape[t.axis(axis)])
 
 
@@ -199,6 +250,18 @@ def _analytic(x: np.ndarray, length: int | None = None) -> np.ndarray:
     return np.fft.ifft(np.fft.fft(x, n) * keep)
 
 
+def _long_analytic(t: Tensor, axis: int, length: int | None = None) -> Tensor:
+    """``_analytic`` of long lanes."""
+    k = t.axis(axis)
+    n = t.shape[k] if length is None else length
+    if n % 2:
+        raise ValueError("an odd length")
+    at = F.col(t.axes[k])
+    spectrum = _of_any_length(t, n, axis, -1)
+    kept = spectrum.df.filter(at <= n // 2).withColumn("v", complexes.scale(F.col("v"), F.when((at == 0) | (at == n // 2), 1 / n).otherwise(2 / n)))
+    return _of_any_length(spectrum.cells(kept, extents=spectrum.shape), n, axis, 1)
+
+
 def _own(t: Tensor, axis: int) -> int | None:
     return None if t.keys else t.shape[t.axis(axis)]
 
@@ -206,18 +269,24 @@ def _own(t: Tensor, axis: int) -> int | None:
 def hilbert1d(t: Tensor, axis: int = -1) -> Tensor:
     """The analytic signal."""
     t.need(REAL)
+    if _is_long(t, axis):
+        return _long_analytic(t, axis)
     return _lanes(t, axis, _analytic, True, _own(t, axis))
 
 
 def hilbert1dr(t: Tensor, axis: int = -1) -> Tensor:
     t.need(REAL)
+    if _is_long(t, axis):
+        return _long_analytic(t, axis).map(lambda v: v["im"])
     return _lanes(t, axis, lambda x: _analytic(x).imag, False, _own(t, axis))
 
 
 def hilbert2(t: Tensor, rows: int | None = None) -> Tensor:
     """The analytic signal in both directions: positive frequencies of either axis. ``rows``: length to which zeros extend the first."""
-    one = _lanes(t, -1, _analytic, True, _own(t, -1))
+    one = _long_analytic(t, -1) if _is_long(t, -1) else _lanes(t, -1, _analytic, True, _own(t, -1))
     n = t.shape[-2] if rows is None else rows
+    if not t.keys and n > LONG:
+        return _long_analytic(one, -2, n)
     return _lanes(one, -2, lambda x: _analytic(x, n), True, n)
 
 
