@@ -108,6 +108,46 @@ for _name in filters.PROTOTYPES:
     _sections = f"SELECT CAST(0 AS BIGINT) AS i0, CAST(k AS BIGINT) AS i1, {r('CAST([' + ', '.join(_six) + '][k + 1] AS DOUBLE)')} AS v FROM range(6) g(k)"
     add(f"{_name}sos", lambda s, d, n=_name, own=_own: shown(creation.fromarray(s, filters.design_sos(n, *own, rate=1.0))), _sections)
 
+# what designs of the fourth order let through, at frequencies that events give, against the closed forms
+
+
+def _passed(name: str, *args: float):
+    def query(s: SparkSession, d: str) -> DataFrame:
+        b, a = filters.design_ba(name, 4, "lowpass", 0.2, *args, rate=1.0)
+        t = views.events(s, d, "0.001 + value % 97 / 97 * 0.48")
+        power = lambda c: sum((float(x) * F.cos(2 * np.pi * k * F.col("v")) for k, x in enumerate(c)), F.lit(0.0)) ** 2 + sum((float(x) * F.sin(2 * np.pi * k * F.col("v")) for k, x in enumerate(c)), F.lit(0.0)) ** 2
+        return shown(t.map(lambda v: power(b) / power(a)))
+
+    return query
+
+
+_t4 = lambda x: f"(8 * pow({x}, 4) - 8 * pow({x}, 2) + 1)"
+for _name, _more, _sql in (
+    ("butter", (), "1 / (1 + pow(x, 8))"),
+    ("cheby1", (1.0,), f"1 / (1 + (pow(10, 0.1) - 1) * pow({_t4('x')}, 2))"),
+    ("cheby2", (40.0,), f"1 / (1 + (pow(10, 4.0) - 1) / pow({_t4('(1 / x)')}, 2))"),
+):
+    add(f"response_{_name}", _passed(_name, *_more), f"SELECT i0, {r(_sql)} AS v FROM (SELECT event_id AS i0, tan(pi() * (0.001 + value % 97 / 97 * 0.48)) / tan(pi() * 0.2) AS x FROM events)")
+
+# directions: a rotation by three angles, and harmonics up to the second degree at directions that events give
+
+_ca, _sa, _cb, _sb, _cc, _sc = "cos(0.3)", "sin(0.3)", "cos(-0.2)", "sin(-0.2)", "cos(0.1)", "sin(0.1)"
+_rows = f"[[{_ca} * {_cb}, {_ca} * {_sb} * {_sc} - {_sa} * {_cc}, {_ca} * {_sb} * {_cc} + {_sa} * {_sc}], [{_sa} * {_cb}, {_sa} * {_sb} * {_sc} + {_ca} * {_cc}, {_sa} * {_sb} * {_cc} - {_ca} * {_sc}], [-{_sb}, {_cb} * {_sc}, {_cb} * {_cc}]]"
+add("rotmatypr", QUERIES["rotmatypr"], f"SELECT CAST(i AS BIGINT) AS i0, CAST(j AS BIGINT) AS i1, {r(f'{_rows}[i + 1][j + 1]')} AS v FROM range(3) g(i), range(3) h(j)")
+
+
+def _harmonics(s: SparkSession, d: str) -> DataFrame:
+    from ..operators import windows
+
+    t = views.events(s, d)
+    directions = t.df.select("i0", F.posexplode(F.array(F.col("v") / 50, F.col("v") / 400)).alias("i1", "v")).withColumn("i1", F.col("i1").cast("long"))
+    return shown(windows.sphharmacn(Tensor(directions, 2), 2))
+
+
+_half = "sqrt(3) / 2"
+_nine = f"[1, cos(e) * sin(a), sin(e), cos(e) * cos(a), {_half} * pow(cos(e), 2) * sin(2 * a), {_half} * sin(2 * e) * sin(a), (3 * pow(sin(e), 2) - 1) / 2, {_half} * sin(2 * e) * cos(a), {_half} * pow(cos(e), 2) * cos(2 * a)]"
+add("sphharmacn", _harmonics, f"SELECT CAST(k AS BIGINT) AS i0, i1, {r(f'{_nine}[k + 1]')} AS v FROM (SELECT event_id AS i1, value / 50 AS a, value / 400 AS e FROM events), range(9) g(k)")
+
 # systems of each four neighbouring cells of a vector, and of three
 
 
@@ -226,7 +266,7 @@ add("interp_cubic", QUERIES["interp_cubic"], f"WITH p AS MATERIALIZED (SELECT *
 
 # spectra of the whole matrix, whose columns zeros extend to a power of two
 
-_rows = "(SELECT CAST(pow(2, ceil(log2(max(i0) + 1))) AS BIGINT) AS n FROM emb)"
+_rows_of = "(SELECT CAST(pow(2, ceil(log2(max(i0) + 1))) AS BIGINT) AS n FROM emb)"
 
 
 def _padded(f):
@@ -240,13 +280,13 @@ def _padded(f):
 def _two_steps(bins: int) -> str:
     first = f"a AS (SELECT i0, b, sum(v * cos(2 * pi() * ((b * i1) % 64) / 64)) AS re, -sum(v * sin(2 * pi() * ((b * i1) % 64) / 64)) AS im FROM emb, range({bins}) g(b) GROUP BY i0, b)"
     turned = "cos(2 * pi() * ((k * i0) % n) / n)", "sin(2 * pi() * ((k * i0) % n) / n)"
-    second = f"SELECT k AS i0, CAST(b AS BIGINT) AS i1, {r(f'sum(re * {turned[0]} + im * {turned[1]})', 4)} AS re, {r(f'sum(im * {turned[0]} - re * {turned[1]})', 4)} AS im FROM a, {_rows}, LATERAL (SELECT CAST(unnest(range(n)) AS BIGINT) AS k) GROUP BY ALL"
+    second = f"SELECT k AS i0, CAST(b AS BIGINT) AS i1, {r(f'sum(re * {turned[0]} + im * {turned[1]})', 4)} AS re, {r(f'sum(im * {turned[0]} - re * {turned[1]})', 4)} AS im FROM a, {_rows_of}, LATERAL (SELECT CAST(unnest(range(n)) AS BIGINT) AS k) GROUP BY ALL"
     return f"WITH {views.SQL['emb']}, {first} {second}"
 
 
 add("fft2", _padded(fourier.fft2), _two_steps(64))
 add("rfft2", _padded(fourier.rfft2), _two_steps(33))
-_extended = with_views(f"SELECT k AS i0, CAST(j AS BIGINT) AS i1, {r('coalesce(v, 0)', 4)} AS {{}} FROM {_rows}, LATERAL (SELECT CAST(unnest(range(n)) AS BIGINT) AS k), range(64) g(j) LEFT JOIN emb ON emb.i0 = k AND emb.i1 = j", "emb")
+_extended = with_views(f"SELECT k AS i0, CAST(j AS BIGINT) AS i1, {r('coalesce(v, 0)', 4)} AS {{}} FROM {_rows_of}, LATERAL (SELECT CAST(unnest(range(n)) AS BIGINT) AS k), range(64) g(j) LEFT JOIN emb ON emb.i0 = k AND emb.i1 = j", "emb")
 add("ifft2", lambda s, d: _back2(s, d, fourier.fft2, fourier.ifft2), _extended.format("v"))
 add("irfft2", lambda s, d: _back2(s, d, fourier.rfft2, fourier.irfft2), _extended.format("v"))
 
@@ -262,6 +302,13 @@ _pairs = "FROM emb a JOIN emb b ON a.i0 = b.i0 GROUP BY b.i0, b.i1"
 add("hilbert1d", lambda s, d: shown_complex(fourier.hilbert1d(views.embeddings(s, d))), with_views(f"SELECT b.i0, b.i1, {r('any_value(b.v)')} AS re, {r(_cot)} AS im {_pairs}", "emb"))
 add("hilbert1dr", lambda s, d: shown(fourier.hilbert1dr(views.embeddings(s, d))), with_views(f"SELECT b.i0, b.i1, {r(_cot)} AS v {_pairs}", "emb"))
 
+# both axes: along the rows by the pairs above, then along the columns, whose complex cells turn by a quarter
+_padded_sql = f"p AS MATERIALIZED (SELECT k AS i0, CAST(j AS BIGINT) AS i1, coalesce(v, 0) AS v FROM {_rows_of}, LATERAL (SELECT CAST(unnest(range(n)) AS BIGINT) AS k), range(64) g(j) LEFT JOIN emb ON emb.i0 = k AND emb.i1 = j)"
+_first_axis = f"o AS MATERIALIZED (SELECT b.i0, b.i1, any_value(b.v) AS x, {_cot} AS y FROM p a JOIN p b ON a.i0 = b.i0 GROUP BY b.i0, b.i1)"
+_turn = "CASE WHEN (b.i0 - a.i0) % 2 <> 0 THEN 2 * a.{} / n / tan(pi() * (b.i0 - a.i0) / n) ELSE 0 END"
+_both_axes = f"SELECT b.i0, b.i1, any_value(b.x) - sum({_turn.format('y')}) AS re, any_value(b.y) + sum({_turn.format('x')}) AS im FROM o a JOIN o b ON a.i1 = b.i1, {_rows_of} GROUP BY b.i0, b.i1"
+add("hilbert2", QUERIES["hilbert2"], f"WITH {views.SQL['emb']}, {_padded_sql}, {_first_axis} SELECT i0, i1, {r('re', 5)} AS re, {r('im', 5)} AS im FROM ({_both_axes})")
+
 # frames, mel filters and cepstra
 
 _w = "(0.5 - 0.5 * cos(2 * pi() * j / {}))"
