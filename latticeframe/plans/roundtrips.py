@@ -287,9 +287,27 @@ _stream("next", signals.next_, f"SELECT key, i, {r('v', 4)} AS v FROM sg")
 _stream("snap", lambda x: signals.snap(x, 16, 8), _frame.format("frame", 8), _cells("frame"))
 _stream("fromaudio", lambda x: signals.blocks(x, 16), _frame.format("block", 16), _cells("block"))
 _whole_blocks = "SELECT key, i, {} AS v FROM sg WHERE i < ((SELECT max(i) + 1 FROM sg o WHERE o.key = sg.key) // 16) * 16"
-_stream("toaudio", lambda x: signals.blocks(x, 16), _whole_blocks.format(r("v", 4)), lambda x: signals.unblock(x, 16))
+_stream("toaudio", lambda x: signals.unblock(signals.blocks(x, 16), 16), _whole_blocks.format(r("v", 4)))
 _stream("stream", lambda x: signals.snap(x, 16, 8), "SELECT 1", lambda x: signals.overlap_add(x, 8))
 ORACLES["stream"] = f"WITH {_signals}, fr AS (SELECT key, (max(i) - 15) // 8 AS last FROM sg GROUP BY key) SELECT key, i, {r('v * n', 4)} AS v FROM (SELECT key, i, v, (SELECT count(*) FROM range(last + 1) g(f) WHERE i - 8 * f BETWEEN 0 AND 15) AS n FROM sg JOIN fr USING (key)) WHERE n > 0"
+_ended = "SELECT key, (max(i) - 15) // 8 AS last FROM sg GROUP BY key"
+_stream("overlapped", lambda x: signals.overlapped(x, 16, 8, lambda frame: frame * 0.5), "SELECT 1")
+ORACLES["overlapped"] = f"WITH {_signals}, fr AS ({_ended}) SELECT key, i, {r('v * 0.5 * n', 4)} AS v FROM (SELECT key, i, v, last, (SELECT count(*) FROM range(last + 1) g(f) WHERE i - 8 * f BETWEEN 0 AND 15) AS n FROM sg JOIN fr USING (key)) WHERE i < 8 * (last + 1)"
+
+
+def _lossy(s: SparkSession, d: str) -> DataFrame:
+    """Running sums of the ten signals, of which every 37th event is lost; what waits for it is given up by the event's number as time."""
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    source = s.readStream.schema(schema).parquet(f"{d}/events.parquet*").filter("event_id % 37 <> 5")
+    at = F.timestamp_seconds(F.col("event_id") + 1)
+    samples = source.select(F.pmod("event_id", F.lit(10)).cast("string").alias("key"), F.floor(F.col("event_id") / 10).alias("i"), F.col("value").alias("v"), at.alias("ts"))
+    path = scratch(s)
+    summed = signals.accumulate(signals.patient(samples, "ts", "0 seconds", 0))
+    summed.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start().awaitTermination()
+    return _rounded(s.read.parquet(f"{path}/out"))
+
+
+add("stream_loss", _lossy, f"WITH {_signals} SELECT key, i, {r('sum(CASE WHEN (i * 10 + CAST(key AS BIGINT)) % 37 = 5 THEN 0 ELSE v END) OVER (PARTITION BY key ORDER BY i)', 4)} AS v FROM sg WHERE i <= (SELECT max(o.i) FROM sg o WHERE o.key = sg.key AND (o.i * 10 + CAST(o.key AS BIGINT)) % 37 <> 5)")
 _stream("accumulate", signals.accumulate, f"SELECT key, i, {r('sum(v) OVER (PARTITION BY key ORDER BY i)', 4)} AS v FROM sg")
 for _name, _args, _eps in (("butter", (), "1"), ("cheby1", (1.0,), "sqrt(pow(10, 0.1) - 1)"), ("cheby2", (40.0,), "sqrt(pow(10, 4.0) - 1)"), ("ellip", (1.0, 40.0), "sqrt(pow(10, 0.1) - 1)")):
     _c = f"(2 * tan(pi() * 0.2) / {_eps})"

@@ -1,28 +1,121 @@
 """Samples (key, i, ts, v) as streams: frames, overlap-add, filters with state, cursors and accumulators.
 
 ``i`` is a signal's sample number, gapless from 0. Signals are independent, so state is kept for
-each key; samples that arrive early wait in the state until those before them are there. A sample that
-never comes keeps all later ones of its signal waiting, as nothing says which value it had: fill gaps
-upstream where a source may lose samples.
+each key; samples that arrive early wait in the state until those before them are there. Without a time,
+a sample that never comes keeps all later ones of its signal waiting. With one, see ``patient``, it is
+given up after a while and counts as 0, so state stays bounded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators import filters
 
 SAMPLES = "key string, i long, v double"
 
 
+@dataclass(frozen=True)
+class Patience:
+    """How long later samples wait for a missing one: event time by which the watermark must have passed theirs."""
+
+    column: str
+    millis: int
+
+
+def patient(samples: DataFrame, time: str, delay: str, millis: int) -> DataFrame:
+    """Samples with a column of event time, whose watermark is ``delay`` behind, for operators that give missing ones up after ``millis``.
+
+    Every operator of this module that keeps state takes them. Samples whose time isn't beyond the watermark, or whose numbers
+    have passed, are ignored.
+    """
+    out = samples.withWatermark(time, delay)
+    out._patience = Patience(time, millis)
+    return out
+
+
+class InLine(StatefulProcessor):
+    """Hands samples on in order. Early ones are entries of a map, so a batch writes only those that come and go; the rest of the state is a value.
+
+    The earliest sample that waits has a timer. When it expires, the samples missing before it count as 0.
+    """
+
+    def __init__(self, step: Callable, start: tuple, state: str, columns: list[str], patience: Patience):
+        self.step, self.start, self.state, self.columns, self.patience = step, start, state, columns, patience
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "i long", "v double, at long")
+        self.own = handle.getValueState("own", "next_i long" + (f", {self.state}" if self.state else ""))
+
+    def _advance(self, key: tuple, fresh: dict[int, tuple[float, int]], timers: TimerValues) -> pd.DataFrame:
+        next_i, *own = tuple(self.own.get()) if self.own.exists() else (0, *self.start)
+        own = [list(x) if hasattr(x, "__len__") else x for x in own]
+        held = {k[0]: tuple(v) for k, v in self.waiting.iterator()} if self.waiting.exists() else {}
+        pool = held | {i: x for i, x in fresh.items() if i >= next_i}
+        first, ready, timer, now = next_i, [], None, timers.getCurrentWatermarkInMs()
+        while pool:
+            while next_i in pool:
+                ready.append(pool.pop(next_i)[0])
+                next_i += 1
+            if pool:
+                earliest = min(pool)
+                timer = pool[earliest][1] + self.patience.millis
+                if timer > now:
+                    break
+                ready += [0.0] * (earliest - next_i)
+                next_i = earliest
+        for i in held.keys() - pool.keys():
+            self.waiting.removeKey((i,))
+        for i in pool.keys() - held.keys():
+            self.waiting.updateValue((i,), pool[i])
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if pool:
+            self.handle.registerTimer(timer)
+        made, own = self.step(ready, tuple(own), first)
+        self.own.update((next_i, *own))
+        made.insert(0, "key", key[0])
+        return made[["key", *self.columns]]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        fresh: dict[int, tuple[float, int]] = {}
+        for frame in rows:
+            at = frame["at"].to_numpy().astype("datetime64[ms]").astype(np.int64)
+            fresh.update(zip(frame["i"].tolist(), zip(frame["v"].tolist(), at.tolist(), strict=True), strict=True))
+        yield self._advance(key, fresh, timerValues)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(key, {}, timerValues)
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that keeps entries of maps apart.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _timed(samples: DataFrame, step: Callable, start: tuple, state: str, out: str, patience: Patience) -> DataFrame:
+    samples.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    columns = [c.split()[0] for c in out.split(", ")]
+    rows = samples.select(F.col("key").cast("string").alias("key"), "i", "v", F.col(patience.column).alias("at"))
+    made = InLine(step, start, state, columns, patience)
+    return rows.groupBy("key").transformWithStateInPandas(made, f"key string, {out}", "append", "eventtime")
+
+
 def _stateful(samples: DataFrame, step: Callable[[list[float], tuple], tuple[pd.DataFrame, tuple]], start: tuple, state: str, out: str) -> DataFrame:
     """``step`` of the samples next in line and the state, in order, for each key."""
+    if getattr(samples, "_patience", None):
+        return _timed(samples, step, start, state, out, samples._patience)
     names = ["waiting_i", "waiting_v", "next_i"]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -68,6 +161,25 @@ def overlap_add(frames: DataFrame, hop: int) -> DataFrame:
     return cells.groupBy("key", (F.col("frame") * hop + F.col("at")).alias("i")).agg(F.sum("x").alias("v"))
 
 
+def overlapped(samples: DataFrame, length: int, hop: int, f: Callable[[np.ndarray], np.ndarray] = lambda frame: frame) -> DataFrame:
+    """(key, i, v): the sum of ``f`` of each signal's overlapping frames, in the stream: a sample comes out when no later frame holds it."""
+    if not 0 < hop <= length:
+        raise ValueError(f"hop {hop} of frames of {length}")
+
+    def step(ready: list[float], own: tuple, first: int) -> tuple[pd.DataFrame, tuple]:
+        tail, sums, frame = list(own[0]) + ready, np.array([*own[1], *[0.0] * (length - len(own[1]))]), own[2]
+        begun, out = frame * hop, []
+        while len(tail) >= length:
+            sums = sums + f(np.array(tail[:length], float))
+            out.append(sums[:hop])
+            sums = np.concatenate([sums[hop:], np.zeros(hop)])
+            tail, frame = tail[hop:], frame + 1
+        v = np.concatenate([np.zeros(0), *out])
+        return pd.DataFrame({"i": np.arange(begun, begun + len(v)), "v": v}), (tail, sums.tolist(), frame)
+
+    return _stateful(samples, step, ([], [], 0), "tail array<double>, sums array<double>, frame long", "i long, v double")
+
+
 def blocks(samples: DataFrame, size: int) -> DataFrame:
     """(key, block, data): consecutive blocks of a signal, one for each control period."""
     return snap(samples, size, size).withColumnRenamed("frame", "block")
