@@ -63,14 +63,23 @@ def leaves(tree: Column) -> Column:
     return F.flatten(F.transform(sections(tree), lambda s: F.split(F.substring(s, DIGITS + 2, F.length(s)), ",")))
 
 
+def nodes(tree: Column) -> Column:
+    """Digests of the root, of the sections and of the leaves."""
+    parts = lambda found: F.concat(F.transform(found, lambda s: F.substring(s, 1, DIGITS)), F.flatten(F.transform(found, lambda s: F.split(F.substring(s, DIGITS + 2, F.length(s)), ","))))
+    return F.concat(F.array(root(tree)), let(sections(tree), parts))
+
+
 def likeness(one: Column, other: Column) -> Column:
-    """1 for equal roots, else the Jaccard likeness of the sets of leaves."""
+    """1 for equal roots, else the Jaccard likeness of the sets of nodes: less than 1, as the roots differ.
+
+    A section that differs in one leaf, or in the order of its leaves, has another digest than before.
+    """
 
     def compared(x: Column) -> Column:
         both = F.size(F.array_intersect(x["a"], x["b"]))
         return both / (F.size(F.array_distinct(x["a"])) + F.size(F.array_distinct(x["b"])) - both)
 
-    return F.when(root(one) == root(other), F.lit(1.0)).otherwise(let(F.struct(leaves(one).alias("a"), leaves(other).alias("b")), compared))
+    return F.when(root(one) == root(other), F.lit(1.0)).otherwise(let(F.struct(nodes(one).alias("a"), nodes(other).alias("b")), compared))
 
 
 def edits(one: Column, other: Column) -> Column:
@@ -132,8 +141,10 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of
     the next document. Takes doc_id and text (null: empty), ignores other columns, and returns for
     each row doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next and the number of edited leaves. Repeated rows follow each other; a lone row is its own
-    next, as is one without an id; an empty table gives an empty table.
+    near_next and the number of edited leaves. Rows with equal ids follow each other in the order of
+    their texts; a lone row is its own next, as is one without an id; an empty table gives an empty
+    table. Texts are whole, of any length; the search for edited leaves takes time by the product of
+    both texts' leaves.
     """
     rows = followed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     n = F.length("text")

@@ -132,10 +132,11 @@ l AS (SELECT doc_id, kind, list_transform(string_split(replace(s, chr(10), chr(1
 t AS (SELECT doc_id, kind, list_transform(q, lambda x: {'d': sha256(array_to_string(x, ',')), 'l': list_transform(x, lambda z: z[1:12])}) AS q FROM l),
 f AS (SELECT doc_id, kind, q, sha256(array_to_string(list_transform(q, lambda x: x.d), ',')) AS root,
     array_to_string(list_transform(q, lambda x: x.d[1:12] || ':' || array_to_string(x.l, ',')), '|') AS body,
-    list_distinct(flatten(list_transform(q, lambda x: x.l))) AS leaves FROM t),
+    list_distinct(flatten(list_transform(q, lambda x: x.l))) AS leaves,
+    list_distinct(list_concat(flatten(list_transform(q, lambda x: x.l)), list_transform(q, lambda x: x.d[1:12]), [sha256(array_to_string(list_transform(q, lambda x: x.d), ','))])) AS nodes FROM t),
 p AS (SELECT a.doc_id, a.root || '|' || a.body AS fingerprint, b.root || '|' || b.body AS edited_fingerprint,
-    CASE WHEN a.root = b.root THEN 1.0 ELSE len(list_intersect(a.leaves, b.leaves)) / (len(a.leaves) + len(b.leaves) - len(list_intersect(a.leaves, b.leaves))) END AS near_edited,
-    CASE WHEN a.root = c.root THEN 1.0 ELSE len(list_intersect(a.leaves, c.leaves)) / (len(a.leaves) + len(c.leaves) - len(list_intersect(a.leaves, c.leaves))) END AS near_next,
+    CASE WHEN a.root = b.root THEN 1.0 ELSE len(list_intersect(a.nodes, b.nodes)) / (len(a.nodes) + len(b.nodes) - len(list_intersect(a.nodes, b.nodes))) END AS near_edited,
+    CASE WHEN a.root = c.root THEN 1.0 ELSE len(list_intersect(a.nodes, c.nodes)) / (len(a.nodes) + len(c.nodes) - len(list_intersect(a.nodes, c.nodes))) END AS near_next,
     len(flatten(list_transform(list_filter(b.q, lambda x: NOT list_contains(list_transform(a.q, lambda z: z.d[1:12]), x.d[1:12])), lambda x: list_filter(x.l, lambda y: NOT list_contains(a.leaves, y))))) AS edited_leaves
   FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.kind = 'b' JOIN f c ON a.doc_id = c.doc_id AND c.kind = 'c' WHERE a.kind = 'a')
 SELECT doc_id, length(t) AS n_chars, sha256(ed) AS edited_sha256, fingerprint, edited_fingerprint,

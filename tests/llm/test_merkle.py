@@ -57,6 +57,16 @@ def test_edits_are_located(docs):
     assert [tuple(x) for x in row[0]] == [(20, 0), (20, 1)] and row[1] == [] and 0.9 < row[2] < 1
 
 
+def test_likeness_is_1_for_equal_texts_only(spark):
+    """Other orders of sentences or lines, and repeats of them, are other trees."""
+    texts = ["One. Two. Three", "Two. One. Three", "One. Two. Two. Three", "One. Two.\nThree", "Three\nOne. Two.", "One. Two. Three"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", fingerprint(F.col("t")).alias("f"))
+    pairs = rows.join(rows.select(F.col("k").alias("j"), F.col("f").alias("g")), F.col("k") < F.col("j"))
+    found = {(r.k, r.j): r.v for r in pairs.select("k", "j", likeness(F.col("f"), F.col("g")).alias("v")).collect()}
+    assert len(found) == 15 and all((v == 1.0) == (k == (0, 5)) for k, v in found.items())
+    assert found[0, 1] == 3 / 7  # three leaves stay; a section and a root of each are others
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark, docs):
     rows = spark.createDataFrame([(None, "a. b"), (3, "x"), (3, "y"), (None, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.text, r.next_text) for r in followed(rows).collect()), key=str)
