@@ -1,4 +1,4 @@
-"""Convolution and correlation as joins, their inverses as recursions along lanes, and interpolation."""
+"""Convolution and correlation by products of cells and by blocks, interpolation, and streams of lanes."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import complexes
 from ..tensor import COMPLEX, REAL, Tensor, matched
 from .creation import fromarray
+from .elementwise import literal
 from .shape import _reflat, flatten, with_sizes
 
 #: What of the result is returned: all of it, as much as the input, or where the kernel lies within.
@@ -53,21 +54,25 @@ def _product(t: Tensor, kernel: Tensor) -> tuple[Column, bool]:
 def convolve(t: Tensor, kernel: Tensor, mode: str = FULL, _axes: list[int] | None = None) -> Tensor:
     """Convolution with a kernel of the same rank: each product goes to the sum of the two places.
 
-    The kernel is joined to every cell; sums begin within tasks, so a shuffle moves sums. Kernels of more
-    than ``DIRECT_TAPS`` cells go by transforms of blocks.
+    Of up to ``DIRECT_TAPS`` taps each cell makes its products where it is; sums begin within tasks, so a
+    shuffle moves sums. Up to ``SUMMED_TAPS`` taps are summed over blocks of cells, tap by tap; longer
+    kernels go by transforms of blocks.
     """
-    if math.prod(kernel.shape) > DIRECT_TAPS:
-        return fftconvolve(t, kernel, mode, _axes)
+    taps = math.prod(kernel.shape)
+    if taps > DIRECT_TAPS:
+        return fftconvolve(t, kernel, mode, _axes, taps <= SUMMED_TAPS)
     axes = list(range(t.ndim)) if _axes is None else _axes
     if kernel.ndim != len(axes):
         raise ValueError(f"ranks {t.ndim} and {kernel.ndim}")
     _bounds(0, 0, mode)
     df, own = with_sizes(t)
     spans = {k: _span(own[k], m, mode) for k, m in zip(axes, kernel.shape, strict=True)}
-    taps = kernel.df.select(*(F.col(f"i{j}").alias(f"k{k}") for j, k in enumerate(axes)), F.col("v").alias("h"))
+    h = _taps(kernel)
+    each = [F.struct(*(F.lit(int(i)).cast("long").alias(f"k{k}") for i, k in zip(at, axes, strict=True)), literal(h[tuple(at)].item()).alias("h")) for at in np.argwhere(np.ones(h.shape))]
     index = [(F.col(f"i{k}") + F.col(f"k{k}") - spans[k][0]).alias(f"i{k}") if k in spans else F.col(f"i{k}") for k in range(t.ndim)]
     value, is_complex = _product(t, kernel)
-    placed = df.crossJoin(taps).select(*t.keys, *index, value.alias("v"), *(n.alias(f"_n{k}") for k, (_, n) in spans.items()))
+    rows = df.withColumn("_t", F.explode(F.array(*each))).select("*", "_t.*") if each else df.limit(0).select("*", *(F.lit(0).alias(f"k{k}") for k in axes), F.lit(0.0).alias("h"))
+    placed = rows.select(*t.keys, *index, value.alias("v"), *(n.alias(f"_n{k}") for k, (_, n) in spans.items()))
     for k in spans:
         placed = placed.filter((F.col(f"i{k}") >= 0) & (F.col(f"i{k}") < F.col(f"_n{k}")))
     total = complexes.make(F.sum("v.re"), F.sum("v.im")) if is_complex else F.sum("v")
@@ -98,15 +103,15 @@ def correlate1d(t: Tensor, kernel: Tensor, mode: str = FULL, axis: int | None =
     return convolve1d(t, _turned(kernel), mode, axis)
 
 
-#: Cells of a kernel that is joined to every cell, at most.
-DIRECT_TAPS = 1 << 12
+#: Taps whose products each cell makes by itself, and taps that are summed over blocks one by one, at most.
+DIRECT_TAPS, SUMMED_TAPS = 16, 1 << 12
 #: Cells of a block that is convolved by one transform, and of a kernel for that at most.
 FFT_BLOCK = 1 << 13
 FFT_KERNEL = 1 << 20
 
 
-def _by_blocks(t: Tensor, h: np.ndarray, axes: list[int], is_complex: bool) -> DataFrame:
-    """Cells of the full convolution along some axes: blocks are convolved by transforms, what they overlap in is added."""
+def _by_blocks(t: Tensor, h: np.ndarray, axes: list[int], is_complex: bool, direct: bool = False) -> DataFrame:
+    """Cells of the full convolution along some axes: blocks are convolved by transforms or tap by tap, what they overlap in is added."""
     side = 1 << round(math.log2(FFT_BLOCK) / len(axes))
     sides = [min(side, 1 << max(0, t.shape[k] - 1).bit_length()) for k in axes]
     others = [*t.keys, *(a for k, a in enumerate(t.axes) if k not in axes)]
@@ -128,7 +133,14 @@ def _by_blocks(t: Tensor, h: np.ndarray, axes: list[int], is_complex: bool) -> D
         y = np.fft.ifftn(np.fft.fftn(x, fast, over) * spectrum, fast, over) if is_complex else np.fft.irfftn(np.fft.rfftn(x, fast, over) * spectrum, fast, over)
         return y[(slice(None), *(slice(0, n) for n in out))].reshape(len(x), -1)
 
-    done = _lanes(cut, 0, product, is_complex, math.prod(out)).df
+    def summed(x: np.ndarray) -> np.ndarray:
+        x = np.pad(x, ((0, 0), (0, math.prod(sides) - x.shape[1]))).reshape(-1, *sides)
+        y = np.zeros((len(x), *out), np.result_type(x, h))
+        for place in np.ndindex(*h.shape):
+            y[(slice(None), *(slice(i, i + b) for i, b in zip(place, sides, strict=True)))] += h[place] * x
+        return y.reshape(len(x), -1)
+
+    done = _lanes(cut, 0, summed if direct else product, is_complex, math.prod(out)).df
     at, place = F.col("i0"), {}
     for k, n, b in reversed(list(zip(axes, out, sides, strict=True))):
         place[k] = (F.pmod(at, F.lit(n)) + F.col(f"b{k}") * b).alias(f"i{k}")
@@ -140,14 +152,14 @@ def _by_blocks(t: Tensor, h: np.ndarray, axes: list[int], is_complex: bool) -> D
     return rows.groupBy(*t.places).agg(total.alias("v"))
 
 
-def fftconvolve(t: Tensor, kernel: Tensor, mode: str = FULL, _axes: list[int] | None = None) -> Tensor:
+def fftconvolve(t: Tensor, kernel: Tensor, mode: str = FULL, _axes: list[int] | None = None, _direct: bool = False) -> Tensor:
     """``convolve`` by transforms of blocks, which pays from a dozen taps on; the kernel's spectrum goes to every task."""
     axes = list(range(t.ndim)) if _axes is None else _axes
     if kernel.ndim != len(axes):
         raise ValueError(f"ranks {t.ndim} and {kernel.ndim}")
     if math.prod(kernel.shape) > FFT_KERNEL:
         raise ValueError(f"a kernel of shape {kernel.shape}; at most {FFT_KERNEL} cells")
-    full = _by_blocks(t, _taps(kernel), axes, COMPLEX in (t.kind, kernel.kind))
+    full = _by_blocks(t, _taps(kernel), axes, COMPLEX in (t.kind, kernel.kind), _direct)
     if t.keys:
         own = t.df.groupBy(*t.keys).agg(*((F.max(f"i{k}") + 1).alias(f"_n{k}") for k in axes))
         full = matched(full, own, list(t.keys))

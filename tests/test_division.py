@@ -126,3 +126,15 @@ def test_many_arrays_holes_and_refusals(spark, monkeypatch):
         convolution.deconvolve(two, fromarray(spark, [[0.0, 1.0]]))
     with pytest.raises(ValueError, match="ranks"):
         convolution.deconvolve(two, fromarray(spark, [1.0]))
+
+
+@pytest.mark.parametrize("taps", [3, 16, 17, 40])
+def test_convolution_tap_by_tap(spark, monkeypatch, taps):
+    """By cells or by blocks: a cell that isn't a number touches no more than its own products."""
+    monkeypatch.setattr(convolution, "FFT_BLOCK", 32)
+    x, h = random(100), random(taps, seed=2)
+    x[50] = np.nan
+    for mode in ("full", "same", "valid"):
+        np.testing.assert_allclose(toarray(convolution.convolve1d(fromarray(spark, x), fromarray(spark, h), mode)), np.convolve(x, h, mode), atol=1e-12)
+    z, k = random(6, 20) + 1j * random(6, 20, seed=3), random(3, 7, seed=4) * 1j
+    np.testing.assert_allclose(toarray(convolution.convolve(fromarray(spark, z), fromarray(spark, k))), full(z, k), atol=1e-12)
