@@ -17,7 +17,7 @@ from ..functions import complexes
 from ..tensor import COMPLEX, REAL, Tensor, matched
 from .creation import fromarray
 from .elementwise import literal
-from .shape import _reflat, flatten, with_sizes
+from .shape import flatten, with_sizes
 
 #: What of the result is returned: all of it, as much as the input, or where the kernel lies within.
 FULL, SAME, VALID = "full", "same", "valid"

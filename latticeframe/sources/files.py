@@ -23,7 +23,7 @@ from ..functions import complexes
 from ..operators.creation import toarray
 from ..tensor import COMPLEX, REAL, STRING, Tensor
 from . import flac
-from .layouts import CSN_HEADER, CSN_LENGTH, csn_header, npy_header, wav_header
+from .layouts import CSN_HEADER, csn_header, npy_header, wav_header
 from .ranges import read_arrays, write_ranges
 
 
