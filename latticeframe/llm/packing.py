@@ -7,6 +7,7 @@ from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -15,9 +16,11 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import BYTE_PATTERN, CACHE_WORDS, KEPT_LENGTH, WHITE_SPACE, Encoder
+from .bpe import BYTE_PATTERN, KEPT_LENGTH, WHITE_SPACE, Encoder
 from .shared import bounded, values, written
 
+#: Stretches between spaces that a Python worker keeps with their ids, some 100 MB; when full, the cache is emptied.
+CACHE_UNITS = 500_000
 #: Pieces that one task packs together.
 GROUP_PIECES = 8192
 #: A round that leaves more than this share of its pieces in bins that aren't full is the last.
@@ -39,9 +42,10 @@ class FastEncoder(dict):
         self.own = tiktoken.Encoding("own", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __missing__(self, unit: str) -> bytes:
-        out = np.array(self.own.encode_ordinary(unit), "<u4").tobytes()
+        ids = self.own.encode_ordinary(unit)
+        out = pack(f"<{len(ids)}I", *ids)
         if len(unit) <= KEPT_LENGTH:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= CACHE_UNITS:
                 self.clear()
             self[unit] = out
         return out

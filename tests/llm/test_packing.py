@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from latticeframe.llm.packing import Bins, pack_documents
+from latticeframe.llm.packing import Bins, FastEncoder, pack_documents
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,3 +74,20 @@ def test_small_cases(spark):
     rows = pack_documents(docs, PATH).collect()
     assert sorted(r.length for r in rows) == [1, 1, 2] and len({r.sequence_id for r in rows}) == 1
     assert pack_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_each_of_many_distinct_words_is_encoded_once():
+    code, own = FastEncoder(PATH), Tokenizer.from_file(PATH)
+    plain, calls = code.own, []
+
+    class Counting:
+        def encode_ordinary(self, unit):
+            calls.append(unit)
+            return plain.encode_ordinary(unit)
+
+    code.own = Counting()
+    text = " ".join(f"w{i}" for i in range(300_000))
+    ids = code.encode(text)
+    assert code.encode(text) == ids and len(calls) == 300_000
+    own.no_truncation()
+    assert np.frombuffer(ids, "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
