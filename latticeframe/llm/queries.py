@@ -42,7 +42,7 @@ def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a model of those whose crc32 isn't divisible by 10, see ``score_texts``. A null id is neither learned from nor held out."""
     docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
-    scored = score_texts(docs, docs.filter(~held_out))
+    scored = score_texts(docs, docs.filter(~held_out), F.coalesce(~held_out, F.lit(False)))
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

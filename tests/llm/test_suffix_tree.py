@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from latticeframe.llm.suffix_tree import DEPTH, SYMBOLS, SuffixTree, _stream, byte_scores, corpus_counts, fit_tree, score_texts
 from latticeframe.llm.shingles import mix, word_hashes
+from pyspark.sql import functions as F
 
 
 def tokens(text):
@@ -178,3 +179,16 @@ def test_empty_tables(spark):
     assert len(rows) == 2 and all(r.n_known == r.train_tokens == 0 and r.score < 0 and r.base_score == 0 - 0.0 or r.n_tokens for r in rows)
     assert score_texts(docs.limit(0), docs).count() == 0
     assert isinstance(SuffixTree(np.zeros(256, np.uint8), {}).states, int)
+
+
+def test_one_pass_lists_and_counts_windows(spark, texts):
+    rows = [(i, t, i % 10 != 6 if i % 7 else None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ours boolean").repartition(3)
+    got = {(r.window, r.key): r.n for r in corpus_counts(docs.select("text", "ours")).collect()}
+    counted = {(r.window, r.key): r.n for r in corpus_counts(docs.filter("ours").select("text")).collect()}
+    listed = {(r.window, r.key): 0 for r in corpus_counts(docs.select("text")).filter("window").collect()}
+    assert got == listed | counted and 0 in got.values()
+    apart = sorted(tuple(r) for r in score_texts(docs, docs.filter("ours")).collect())
+    once = sorted(tuple(r) for r in score_texts(docs, docs.filter("ours"), F.coalesce("ours", F.lit(False))).collect())
+    assert len(apart) == len(texts) and [r[:4] for r in apart] == [r[:4] for r in once]
+    assert [r[5] for r in apart] == pytest.approx([r[5] for r in once], rel=1e-6)
