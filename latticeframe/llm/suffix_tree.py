@@ -13,12 +13,13 @@ is built and asked in parts, one for each pair of last symbols; the upper one is
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +39,12 @@ WORD_END, TEXT_END, RARE = 0, 1, 63
 _SPACE, _NEWLINE = 0x20, 0x0A
 #: Bytes of text that are counted or scored at a time; a longer text is handled alone, whole.
 CHUNK = 1 << 20
-#: Bytes of text in a block, whose documents look up word counts together.
+#: Bytes of text in a block, whose documents are counted and look up counts together.
 BLOCK_BYTES = 4 << 20
 #: Bytes of text whose counts a task adds up before it hands them on.
 HELD_BYTES = 64 << 20
-#: The same for grams of words, which hardly repeat.
-GRAM_BYTES = 8 << 20
+#: Shards of keys for each shuffle partition.
+SHARDS = 2
 #: Share of unseen words in the base score.
 SMALL = 0.1
 
@@ -69,10 +70,10 @@ def _stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scored(starts: np.ndarray, n: int) -> np.ndarray:
-    """Places in a stream that aren't the newlines before a text."""
+    """Whether places in a stream aren't the newlines before a text."""
     keep = np.ones(n, bool)
     keep[(starts[:-1, None] + np.arange(DEPTH)).ravel()] = False
-    return np.flatnonzero(keep)
+    return keep
 
 
 def _totals(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -113,10 +114,8 @@ def _raw(column: pa.Array) -> list[bytes]:
 
 def _windows(stream: np.ndarray) -> np.ndarray:
     """At each place of a stream the last DEPTH + 1 bytes as a number."""
-    window = np.zeros(len(stream), U64)
-    for k in range(DEPTH, -1, -1):
-        window[k:] |= stream[: len(stream) - k].astype(U64) << U64(8 * k)
-    return window
+    padded = np.concatenate((np.zeros(7, np.uint8), stream))
+    return np.ndarray(len(stream), ">u8", padded, strides=(1,)).astype(U64) & U64(256 ** (DEPTH + 1) - 1)
 
 
 def corpus_counts(texts: DataFrame) -> DataFrame:
@@ -181,35 +180,295 @@ def grams(words: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np
         before, shorter = longer, before
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """(depth, context, shorter, event, n): how often each token follows each context, over all rows of (text)."""
+def _turned(keys: np.ndarray) -> np.ndarray:
+    """Keys by whose order shards follow one another: the low half first, as the high one begins with a group."""
+    return keys << U64(32) | keys >> U64(32)
+
+
+def _sharded(turned: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard's turned keys, which are sorted, begin and end."""
+    return np.searchsorted((turned >> U64(32)) * U64(shards) >> U64(32), np.arange(shards + 1, dtype=U64))
+
+
+def _compressed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
+
+
+def _plain(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def _shrunk(x: np.ndarray) -> bytes:
+    """Numbers, compressed: all their first bytes, then all second ones, and so on."""
+    return _compressed(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+
+
+def _grown(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(_plain(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(_grown(x, kind) for x in column.to_pylist())])
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, a place of each, and for each place its key's number."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    edge = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=edge[1:])
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(edge) - 1
+    return keys[edge], order[edge], inverse
+
+
+def _set(keys: np.ndarray) -> np.ndarray:
+    return _totals(keys)[0]
+
+
+class Block:
+    """The tokens of a block's texts, and how often the grams that end at them are in training.
+
+    A gram is only asked for if its context is seen ``LEAST_COUNT`` times, which is known of the depth before: a context is a
+    gram, too. Others follow no state. Grams without context, and those of one word, are all asked for.
+    """
+
+    def __init__(self, texts: list[bytes], learned: np.ndarray, depth: int = WORD_DEPTH) -> None:
+        found = [word_hashes(texts[a:b]) for a, b in _pieces(texts)]
+        self.hashes, self.sizes = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U64), np.zeros(0, np.int64))
+        self.stop = np.cumsum(self.sizes + 1)  # ends stand after each text's words
+        self.is_word = np.ones(len(self.hashes) + len(texts), bool)
+        self.is_word[self.stop - 1] = False
+        self.learned = np.repeat(learned, self.sizes + 1)
+        none = np.zeros(len(self.hashes), U64)
+        self.levels = [(np.flatnonzero(self.is_word), none, none, self.hashes), *islice(grams(self.hashes, self.sizes), depth)]
+        self.counts: list[np.ndarray] = []
+        self.owned: list[np.ndarray] = []
+
+    def follows(self, depth: int) -> np.ndarray:
+        """Whether each gram's context is seen often enough."""
+        place = self.levels[depth][0]
+        return self.counts[depth - 1][place - 1] >= LEAST_COUNT
+
+    def _asked(self, depth: int) -> np.ndarray:
+        return np.flatnonzero(self.follows(depth)) if depth > 1 else np.arange(len(self.levels[depth][0]))
+
+    def asks(self, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Turned keys of distinct grams, their counts in the block's training texts, and how many more there are, all seen once."""
+        at = self._asked(depth)
+        place, _, _, event = self.levels[depth]
+        learned = self.learned[place]
+        keys, _, inverse = _distinct(_turned(event[at]))
+        counts = np.bincount(inverse, learned[at], len(keys)).astype(np.uint32)
+        return keys, counts, int(learned.sum() - learned[at].sum())
+
+    def learn(self, depth: int, answer: np.ndarray) -> None:
+        """Takes counts in the order of ``asks``, twice, plus 1 for a gram that is this block's to pass on."""
+        at = self._asked(depth)
+        place, _, _, event = self.levels[depth]
+        _, first, inverse = _distinct(_turned(event[at]))
+        full = np.zeros(len(self.is_word), np.int64)
+        full[place[at]] = (answer >> 1)[inverse]
+        self.counts.append(full)
+        self.owned.append(at[first[(answer & 1 == 1) & (answer > 1)]])
+
+    def contexts(self) -> np.ndarray:
+        """Turned keys of all distinct contexts that are seen often enough."""
+        return _set(np.concatenate([_turned(self.levels[d][1][self.follows(d)]) for d in range(1, WORD_DEPTH + 1)]))
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """(block, ids, learned, wanted, data): the texts of (doc_id, text, learned, wanted) some ``BLOCK_BYTES`` at a time, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[tuple]] = [[] for _ in range(WORD_DEPTH)]
+        number = TaskContext.get().partitionId() << 32
+        rows: list[tuple] = []
         size = 0
 
-        def emit() -> Iterator[pa.RecordBatch]:
-            for k, parts in enumerate(held):
-                if parts:
-                    context, shorter, event = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    event, first, n = np.unique(event, return_index=True, return_counts=True)
-                    keys = [pa.array(x.view(np.int64)) for x in (context[first], shorter[first], event)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k + 1, np.int32)), *keys, pa.array(n)], ["depth", "context", "shorter", "event", "n"])
-                    parts.clear()
+        def emit() -> pa.RecordBatch:
+            ids, texts, learned, wanted = zip(*rows, strict=True)
+            sizes = np.array([len(texts), *map(len, texts)], np.int64).tobytes()
+            data = _compressed(b"".join((sizes, *texts)))
+            flags = [pa.array([np.array(x, bool).tobytes()], pa.binary()) for x in (learned, wanted)]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *flags, pa.array([data], pa.binary())], ["block", "ids", "learned", "wanted", "data"])
 
         for batch in batches:
-            texts = _raw(batch.column(0))
-            for a, b in _pieces(texts):
-                for k, (_, *keys) in enumerate(grams(*word_hashes(texts[a:b]))):
-                    held[k].append(tuple(keys))
-                size += sum(map(len, texts[a:b]))
-                if size >= GRAM_BYTES:
-                    yield from emit()
-                    size = 0
-        yield from emit()
+            for row in zip(batch.column(0).to_pylist(), _raw(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                rows.append(row)
+                size += len(row[1])
+                if size >= BLOCK_BYTES:
+                    yield emit()
+                    number, rows, size = number + 1, [], 0
+        if rows:
+            yield emit()
+
+    return docs.mapInArrow(bounded(run), "block long, ids array<long>, learned binary, wanted binary, data binary")
+
+
+def _opened(own: pa.Table, seen: pa.Table | None = None, depth: int = WORD_DEPTH) -> tuple[list[bytes], Block, dict[int, np.ndarray]]:
+    """A block's texts, its tokens with grams up to a depth and what the counts in ``seen`` say of them, and the other answers by kind."""
+    texts = _unpacked(own.column("data")[0].as_py())
+    block = Block(texts, np.frombuffer(own.column("learned")[0].as_py(), bool), depth)
+    answers = {}
+    if seen is not None and seen.num_rows:
+        seen = seen.sort_by([("kind", "ascending"), ("shard", "ascending")])
+        kinds = seen.column("kind").to_numpy()
+        for kind in np.unique(kinds).tolist():
+            a, b = np.searchsorted(kinds, [kind, kind + 1])
+            answers[kind] = _joined(seen.column("data").slice(a, b - a), np.float32 if kind == WINDOW else np.int64)
+    for k in range(WORD_DEPTH + 1):
+        if k in answers:
+            block.learn(k, answers.pop(k))
+    return texts, block, answers
+
+
+#: Kinds of questions: grams by their depth, then these.
+STATE, WINDOW = WORD_DEPTH + 1, WORD_DEPTH + 2
+_ASKS = "kind int, shard int, block long, keys binary, counts binary, more long"
+_ANSWERS = "block long, kind int, shard int, data binary"
+
+
+def _question(kind: int, block: int, shards: int, keys: np.ndarray, counts: np.ndarray, more: int) -> list[tuple]:
+    edge = _sharded(keys, shards).tolist()
+    return [(kind, s, block, _shrunk(keys[a:b]), _shrunk(counts[a:b]), more * (s == 0)) for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a or s == 0]
+
+
+def _ask_table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+    return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "shard", "block", "keys", "counts", "more"])
+
+
+def _edges(keys: pa.ChunkedArray) -> list[int]:
+    """Where each row's keys begin and end among all."""
+    return np.cumsum([0, *(int.from_bytes(x[:8], "little") // 8 for x in keys.to_pylist())]).tolist()
+
+
+def _counted(asks: DataFrame) -> DataFrame:
+    """Answers to questions for grams: their counts added up over the blocks. In each shard's first row is how many grams are seen once and twice."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        keys, counts = _joined(rows.column("keys"), U64), _joined(rows.column("counts"), np.uint32)
+        distinct, first, inverse = _distinct(keys)
+        total = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
+        answer = 2 * total[inverse]
+        answer[first] += 1
+        edge = _edges(rows.column("keys"))
+        once, twice = np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows, np.int64)
+        once[0], twice[0] = (total == 1).sum() + pc.sum(rows.column("more")).as_py(), (total == 2).sum()
+        data = pa.array([_shrunk(answer[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+        return pa.table({"block": rows.column("block"), "kind": rows.column("kind"), "shard": rows.column("shard"), "data": data, "once": once, "twice": twice})
+
+    return asks.groupBy("kind", "shard").applyInArrow(add, _ANSWERS + ", once long, twice long")
+
+
+def gram_counts(blocks: DataFrame, shards: int) -> DataFrame:
+    """Answers of all depths for each block; a depth's grams are asked for when those of the depth before are counted."""
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = pa.Table.from_batches([batch.slice(i, 1)])
+                block = _opened(own, depth=1)[1]
+                for depth in (0, 1):
+                    yield from _ask_table(_question(depth, own.column("block")[0].as_py(), shards, *block.asks(depth))).to_batches()
+
+    def ask(depth: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        return lambda own, seen: _ask_table(_question(depth, own.column("block")[0].as_py(), shards, *_opened(own, seen, depth)[1].asks(depth)))
+
+    answers = written(_counted(blocks.mapInArrow(bounded(begin), _ASKS)), "grams")
+    for depth in range(2, WORD_DEPTH + 1):
+        asks = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask(depth), _ASKS)
+        answers = answers.unionAll(written(_counted(asks), "grams"))
+    return answers
+
+
+#: What is kept of contexts: by context (its turned key and that without its first word), and by context and group of tokens that follow.
+_BY_CONTEXT = {"context": U64, "depth": np.int8, "shorter": U64, "n": np.int64, "kinds": np.int64, "groups": np.int64}
+_BY_GROUP = {"group": np.uint8, "m": np.int64}
+_PASSED = {"at": np.int64, "group": np.uint8, "m": np.int64, "kinds": np.int64, "named": U64, "shorter": U64}
+
+
+def _binaries(*columns: str) -> str:
+    return "".join(f", {c} binary" for c in columns)
+
+
+def _rows(rows: list[dict], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.Table.from_pylist(rows, pa.schema([(c, kinds[k]) for c, k in (x.split() for x in schema.split(", "))]))
+
+
+_PASSED_ROWS = "shard int, keys binary" + _binaries(*_PASSED)
+_CONTEXT_ROWS = "shard int" + _binaries(*_BY_CONTEXT, *_BY_GROUP)
 
-    rows = texts.mapInArrow(bounded(run), "depth int, context long, shorter long, event long, n long")
-    return rows.groupBy("depth", "context", "shorter", "event").agg(F.sum("n").alias("n"))
+
+def _added(context, group, m, kinds) -> tuple[np.ndarray, ...]:
+    """Sums by context and group, in their order."""
+    order = np.lexsort((group, context))
+    context, group = context[order], group[order]
+    edge = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (group[1:] != group[:-1])))[: len(order)])
+    if not len(edge):
+        return context, group, m, kinds
+    return context[edge], group[edge], np.add.reduceat(m[order], edge), np.add.reduceat(kinds[order], edge)
+
+
+def context_groups(blocks: DataFrame, answers: DataFrame, shards: int, depth: int) -> DataFrame:
+    """Each shard's contexts of a depth that are seen often enough: how many tokens and different ones follow them, and how many by group.
+
+    Each gram is passed on by one block, added up there with others of its context and group; the block of the gram that is a context
+    also passes on the one without its first word.
+    """
+
+    def give(own: pa.Table, seen: pa.Table) -> pa.Table:
+        block = _opened(own, seen, depth)[1]
+        place, context, shorter, event = block.levels[depth]
+        at = block.owned[depth]
+        at = at[block.follows(depth)[at]]
+        group = (event[at] >> U64(58)).astype(np.uint8)
+        parts = _added(_turned(context[at]), group, block.counts[depth][place[at]], np.ones(len(at), np.int64))
+        named = np.zeros(0, np.int64)
+        if depth > 1:
+            ends = block.levels[depth - 1][0][block.owned[depth - 1]]
+            ends = ends[block.is_word[ends] & (block.counts[depth - 1][ends] >= LEAST_COUNT)]
+            named = np.searchsorted(place, ends + 1)
+        names = _turned(context[named])
+        order = np.argsort(names)
+        names, less = names[order], _turned(shorter[named])[order]
+        keys = _set(parts[0])
+        edges = [_sharded(x, shards).tolist() for x in (keys, parts[0], names)]
+        rows = []
+        for s in range(shards):
+            (a, b), (c, d), (e, f) = (x[s : s + 2] for x in edges)
+            if b > a or f > e:
+                passed = (np.searchsorted(keys[a:b], parts[0][c:d]), *(x[c:d] for x in parts[1:]), names[e:f], less[e:f])
+                rows.append({"shard": s, "keys": _shrunk(keys[a:b])} | {x: _shrunk(y) for x, y in zip(_PASSED, passed, strict=True)})
+        return _rows(rows, _PASSED_ROWS)
+
+    def gather(rows: pa.Table) -> pa.Table:
+        context = np.concatenate([_grown(k, U64)[_grown(a, np.int64)] for k, a in zip(rows.column("keys").to_pylist(), rows.column("at").to_pylist(), strict=True)])
+        group, m, kinds, names, less = (_joined(rows.column(c), k) for c, k in list(_PASSED.items())[1:])
+        context, group, m, kinds = _added(context, group, m, kinds)
+        if not len(context):
+            return _rows([], _CONTEXT_ROWS)
+        edge = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+        shorter = less[np.argsort(names)] if depth > 1 else np.zeros(len(edge), U64)
+        columns = (context[edge], np.full(len(edge), depth, np.int8), shorter, np.add.reduceat(m, edge), np.add.reduceat(kinds, edge), np.diff(edge, append=len(context)), group, m)
+        return _rows([{"shard": rows.column("shard")[0].as_py()} | {c: _shrunk(x) for c, x in zip((*_BY_CONTEXT, *_BY_GROUP), columns, strict=True)}], _CONTEXT_ROWS)
+
+    given = blocks.groupBy("block").cogroup(answers.filter(F.col("kind") <= depth).groupBy("block")).applyInArrow(give, _PASSED_ROWS)
+    return given.groupBy("shard").applyInArrow(gather, _CONTEXT_ROWS)
+
+
+def _read(table: pa.Table) -> dict[str, np.ndarray]:
+    """Contexts of all depths in ``table``, in the order of their keys."""
+    x = {c: _joined(table.column(c), k) for c, k in (_BY_CONTEXT | _BY_GROUP).items()}
+    return _picked(x, np.argsort(x["context"]))
+
+
+def _picked(x: dict[str, np.ndarray], order: np.ndarray) -> dict[str, np.ndarray]:
+    first, sizes = (np.cumsum(x["groups"]) - x["groups"])[order], x["groups"][order]
+    inner = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    return {c: x[c][order] for c in _BY_CONTEXT} | {c: x[c][inner] for c in _BY_GROUP}
 
 
 def _discount(once: int, twice: int) -> float:
@@ -217,40 +476,59 @@ def _discount(once: int, twice: int) -> float:
     return min(max((once + 0.5) / (once + 2 * twice + 1), 0.02), 0.98)
 
 
-def word_tree(words: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
-    """(context, n, kinds) of the upper tree's states below the root, (event, n) of what follows them, and the discount by depth.
+def word_tree(words: DataFrame, contexts: DataFrame, shards: int) -> DataFrame:
+    """(shard, keys, found): turned keys of the upper tree's states below the root, and how many different tokens follow them.
 
-    ``words`` (word, c) are all words' counts, ``texts`` the training texts. A state's suffixes are states.
+    ``words`` (word, c) are all words' counts. A context goes to the shard of the one without its first word to be tested. A state's suffixes are states.
     The divergence of 64 groups of tokens is a lower bound of that of tokens, and few counts don't make it large.
     """
-    counted = written(gram_counts(texts), "grams")
     root = np.full(64, 0.5)
     for r in words.groupBy(F.shiftrightunsigned("word", 58).cast("int").alias("g")).agg(F.sum("c").alias("n")).collect():
         root[r.g] += r.n
-    seen = {r.depth: (r.once, r.twice) for r in counted.groupBy("depth").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()}
-    discounts = [_discount(*seen.get(k, (0, 0))) for k in range(1, WORD_DEPTH + 1)]
-    groups = counted.groupBy("depth", "context", "shorter", F.shiftrightunsigned("event", 58).cast("int").alias("g")).agg(F.sum("n").alias("m"), F.count("*").alias("kinds"))
-    contexts = groups.groupBy("depth", "context", "shorter").agg(F.sum("m").alias("n"), F.sum("kinds").alias("kinds"), F.map_from_entries(F.collect_list(F.struct("g", "m"))).alias("own"))
-    contexts = written(contexts.filter(F.col("n") >= LEAST_COUNT), "contexts")
-    base = F.array(*(F.lit(float(x)) for x in root / root.sum()))
-    upper = contexts.select(F.col("context").alias("shorter"), F.col("n").alias("all"), F.col("own").alias("upper"))
-
-    def tested(rows: DataFrame, share) -> DataFrame:
-        terms = F.aggregate(F.map_entries("own"), F.lit(0.0), lambda a, e: a + e["value"] * F.log(e["value"] / F.col("n") / share(e["key"])))
-        return rows.filter(terms > LEAST_DIVERGENCE + F.size("own")).select("context", "shorter")
-
-    level = [tested(contexts.filter("depth = 1"), lambda g: F.get(base, g))]
-    for k in range(2, WORD_DEPTH + 1):
-        level.append(tested(contexts.filter(F.col("depth") == k).join(upper, "shorter"), lambda g: F.col("upper")[g] / F.col("all")))
-    kept = written(level[-1], "kept")
-    states = kept.select("context")
-    for k in range(WORD_DEPTH - 1, 0, -1):
-        longer = kept.select(F.col("shorter").alias("context")).distinct()
-        suffixes = contexts.filter(F.col("depth") == k).select("context", "shorter").join(longer, "context", "left_semi")
-        kept = written(level[k - 1].union(suffixes).distinct(), "kept")
-        states = states.union(kept.select("context"))
-    states = written(contexts.select("context", "n", "kinds").join(states, "context", "left_semi"), "states")
-    return states, counted.join(states.select("context"), "context", "left_semi").select("event", "n"), discounts
+    base = root / root.sum()
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = _read(pa.Table.from_batches([batch.slice(i, 1)]))
+                to = np.where(x["depth"] == 1, x["context"], x["shorter"])
+                order = np.argsort(to)
+                x = _picked(x, order)
+                edge, ends = _sharded(to[order], shards).tolist(), np.cumsum([0, *x["groups"]])
+                rows = []
+                for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+                    if b > a:
+                        rows.append({"shard": s} | {c: _shrunk(x[c][a:b]) for c in _BY_CONTEXT} | {c: _shrunk(x[c][ends[a] : ends[b]]) for c in _BY_GROUP})
+                yield from _rows(rows, _CONTEXT_ROWS).to_batches()
+
+    def test(asked: pa.Table, known: pa.Table) -> pa.Table:
+        x, upper = _read(asked), _read(known)
+        if not len(x["context"]):
+            return _rows([], "shard int, key long")
+        at = np.searchsorted(upper["context"], x["shorter"]) if len(upper["context"]) else np.zeros(len(x["context"]), np.int64)
+        at[x["depth"] == 1] = 0
+        of = np.repeat(np.arange(len(at)), x["groups"])
+        pairs = np.repeat(np.arange(len(upper["context"])), upper["groups"]) * 64 + upper["group"]
+        deep = x["depth"][of] > 1
+        share = base[x["group"]]
+        share[deep] = upper["m"][np.searchsorted(pairs, at[of[deep]] * 64 + x["group"][deep])] / upper["n"][at[of[deep]]]
+        terms = np.bincount(of, x["m"] * np.log(x["m"] / x["n"][of] / share), len(at))
+        kept = terms > LEAST_DIVERGENCE + x["groups"]
+        longest = kept & (x["depth"] > 2)
+        keys = _set(np.concatenate((x["context"][kept], x["shorter"][kept & (x["depth"] > 1)], upper["shorter"][at[longest]])))
+        edge = _sharded(keys, shards)
+        return pa.table({"shard": np.repeat(np.arange(shards, dtype=np.int32), np.diff(edge)), "key": keys.view(np.int64)})
+
+    def number(known: pa.Table, kept: pa.Table) -> pa.Table:
+        states = _set(kept.column("key").to_numpy().view(U64))
+        if not len(states):
+            return _rows([], "shard int, keys binary, found binary")
+        x = _read(known)
+        kinds = x["kinds"][np.searchsorted(x["context"], states)]
+        return _rows([{"shard": kept.column("shard")[0].as_py(), "keys": _shrunk(states), "found": _shrunk(kinds)}], "shard int, keys binary, found binary")
+
+    kept = contexts.mapInArrow(bounded(send), _CONTEXT_ROWS).groupBy("shard").cogroup(contexts.groupBy("shard")).applyInArrow(test, "shard int, key long")
+    return contexts.groupBy("shard").cogroup(kept.groupBy("shard")).applyInArrow(number, "shard int, keys binary, found binary")
 
 
 class SuffixTree:
@@ -394,158 +672,138 @@ def byte_scores(windows: DataFrame, asked: DataFrame) -> DataFrame:
     return own.groupBy("pair").cogroup(questions.groupBy("pair")).applyInArrow(answer, "word long, logp double")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """(block, ids, data): the texts of (block, doc_id, text) that one task has of a block, compressed together for the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
-        size = 0
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            for block, (ids, texts) in held.items():
-                sizes = np.array([len(texts), *map(len, texts)], np.int64).tobytes()
-                data = zlib.compress(b"".join((sizes, *texts)), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["block", "ids", "data"])
-
-        for batch in batches:
-            for block, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _raw(batch.column(2)), strict=True):
-                ids, texts = held.setdefault(block, ([], []))
-                ids.append(doc)
-                texts.append(text)
-                size += len(text)
-                if size >= HELD_BYTES:
-                    yield from emit()
-                    held, size = {}, 0
-        yield from emit()
-
-    return docs.mapInArrow(bounded(run), "block long, ids array<long>, data binary")
-
-
 def _unpacked(data: bytes) -> list[bytes]:
-    raw = zlib.decompress(data)
+    raw = _plain(data)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     ends = np.cumsum(np.frombuffer(raw, np.int64, n + 1)) - n + 8 * (n + 1)
     return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+def _scored_windows(texts: list[bytes]) -> list[np.ndarray]:
+    out = []
+    for a, b in _pieces(texts):
+        stream, starts = _stream(texts[a:b])
+        out.append(_windows(stream)[_scored(starts, len(stream))])
+    return out
+
+
+def _window_keys(windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows and the turned keys by which they are sorted."""
+    windows = _set(np.concatenate([_set(x) for x in windows]))
+    keys = _turned(mix(windows))
+    order = np.argsort(keys)
+    return windows[order], keys[order]
+
+
 def score_texts(docs: DataFrame, train: DataFrame, learned: Column | None = None) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``, learned from ``train``'s texts.
 
     Both have doc_id and text (null: empty); other columns are ignored. Where ``train`` is rows of ``docs``, ``learned`` says
-    which: then windows are counted and listed in one pass over ``docs``, with the same results. A-Z count as small letters;
+    which: then everything is counted and listed in one pass over ``docs``, with the same results. A-Z count as small letters;
     tokens are words between white space, then one end. ``base_score`` is the smoothed unigram
     score. ``score`` is the model's log10 probability of the whole text: a token's count in training
     less an absolute discount (Ney's estimate from words seen once and twice), whose sum goes to
     words by the suffix tree's probability of their symbols; after words that are a context, the same
-    with what was counted there, the rest going to the shorter context's. Words are known by 64-bit hashes. To look up counts and states,
-    documents are dealt into blocks of about 4 MB by a hash; a block's distinct words, grams and windows are joined with the tables
-    and come back to it, so a word in every document is one row for each block. Repeated rows and null ids are scored like any other;
+    with what was counted there, the rest going to the shorter context's. Words are known by 64-bit hashes. Documents are put into
+    blocks of about 4 MB. A block asks for its distinct words, grams, contexts and windows, by shards of their keys, with its own
+    counts; a shard adds up the blocks' counts and answers in the order of the keys, so a gram is one key for each block that
+    has it and no table of grams is kept. Repeated rows and null ids are scored like any other;
     with no training rows everything is unseen; an empty table gives an empty table.
     """
+    row = lambda rows, ours, wanted: rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", ours.alias("learned"), F.lit(wanted).alias("wanted"))
     if learned is None:
-        marked = train.select("text", F.lit(True).alias("learned")).unionAll(docs.select("text", F.lit(False).alias("learned")))
+        rows = row(train, F.lit(True), False).unionAll(row(docs, F.lit(False), True))
     else:
-        marked = docs.select("text", learned.alias("learned"))
-    counts = written(corpus_counts(marked), "counts")
+        rows = row(docs, F.coalesce(learned, F.lit(False)), True)
+    counts = written(corpus_counts(rows.select("text", "learned")), "counts")
     words = counts.filter("NOT window").select(F.col("key").alias("word"), F.col("n").alias("c"))
     windows = counts.filter("window")
     spelled = written(byte_scores(windows.filter("n > 0").select("key", "n"), windows.select("key")), "spelled")
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("word") == 0, F.col("c"))), F.lit(0)).alias("ends"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     n, v, ends = int(sums.n), int(sums.v), int(sums.ends)
     discount = _discount(int(sums.once), int(sums.twice))
-    states, events, discounts = word_tree(words, train.select("text"))
+    shards = SHARDS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = written(_blocks(rows), "blocks")
+    answers = gram_counts(blocks, shards)
+    seen_by = {r.kind: (r.once, r.twice) for r in answers.groupBy("kind").agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).collect()}
+    discounts = [_discount(*seen_by.get(k, (0, 0))) for k in range(1, WORD_DEPTH + 1)]
+    answers = answers.drop("once", "twice")
+    contexts = written(context_groups(blocks, answers, shards, 1), "contexts")
+    for depth in range(2, WORD_DEPTH + 1):
+        contexts = contexts.unionAll(written(context_groups(blocks, answers, shards, depth), "contexts"))
+    states = written(word_tree(words, contexts, shards), "states")
     whole = np.log10(n + SMALL * (v + 1))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(size) // BLOCK_BYTES))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
-    dealt = _packed(docs.select(block, F.col("doc_id").cast("long").alias("doc_id"), "text")).repartition(parts, "block")
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Sums] = {}
-        size_now = 0
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            for block, sums in held.items():
-                keys = sums.total()[0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys.view(np.int64))], ["block", "word"])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _turned(batch.column(0).to_numpy().view(U64))
+            order = np.argsort(keys)
+            edge = _sharded(keys[order], shards).tolist()
+            values = batch.column(1).to_numpy()[order].astype(np.float32)
+            rows = [{"shard": s, "keys": _shrunk(keys[order[a:b]]), "found": _shrunk(values[a:b])} for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+            yield from _rows(rows, "shard int, keys binary, found binary").to_batches()
+
+    def key_rows(block: int, keys: np.ndarray) -> pa.Table:
+        edge = _sharded(keys, shards).tolist()
+        return _rows([{"shard": s, "block": block, "keys": _shrunk(keys[a:b])} for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a], "shard int, block long, keys binary")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                texts = _unpacked(data.as_py())
-                for a, b in _pieces(texts):
-                    hashes, sizes = word_hashes(texts[a:b])
-                    stream, starts = _stream(texts[a:b])
-                    own = held.setdefault(block, Sums())
-                    for keys in (hashes, mix(_windows(stream)[_scored(starts, len(stream))]), *(x[3] for x in grams(hashes, sizes))):
-                        own.add(*_totals(keys))
-                size_now += sum(map(len, texts))
-                if size_now >= GRAM_BYTES:
-                    yield from emit()
-                    held, size_now = {}, 0
-        yield from emit()
+                yield from key_rows(block, _window_keys(_scored_windows(_unpacked(data.as_py())))[1]).to_batches()
+
+    def replies(asked: DataFrame, table: DataFrame, number: int) -> DataFrame:
+        kind = np.float32 if number == WINDOW else np.int64
+
+        def reply(asked: pa.Table, known: pa.Table) -> pa.Table:
+            keys, found = _joined(known.column("keys"), U64), _joined(known.column("found"), kind)
+            order = np.argsort(keys)
+            keys, found = np.append(keys[order], U64(2**64 - 1)), np.append(found[order], kind(0))
+            rows = []
+            for shard, block, x in zip(*(asked.column(c).to_pylist() for c in ("shard", "block", "keys")), strict=True):
+                wanted = _grown(x, U64)
+                at = np.searchsorted(keys[:-1], wanted)
+                rows.append({"block": block, "kind": number, "shard": shard, "data": _shrunk(np.where(keys[at] == wanted, found[at], kind(0)))})
+            return _rows(rows, _ANSWERS)
+
+        return asked.groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(reply, _ANSWERS)
 
-    asked = dealt.select("block", "data").mapInArrow(bounded(distinct), "block long, word long")
-    columns = lambda part, c="0", total="0", kinds="0", logp="0.0": [f"{part} AS part", f"cast({c} as long) AS c", f"cast({total} as long) AS total", f"cast({kinds} as long) AS kinds", f"cast({logp} as double) AS logp"]
-    everything = words.selectExpr("word", *columns(0, "c")).unionAll(events.selectExpr("event AS word", *columns(0, "n")))
-    everything = everything.unionAll(states.selectExpr("context AS word", *columns(1, "0", "n", "kinds"))).unionAll(spelled.selectExpr("word", *columns(2, logp="logp")))
-    known = asked.join(everything, "word").select("block", "word", "part", "c", "total", "kinds", "logp")
+    def ask_states(own: pa.Table, seen: pa.Table) -> pa.Table:
+        return key_rows(own.column("block")[0].as_py(), _opened(own, seen)[1].contexts())
 
-    def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, keys[at] == wanted
+    asked = blocks.groupBy("block").cogroup(answers.filter(F.col("kind") < WORD_DEPTH).groupBy("block")).applyInArrow(ask_states, "shard int, block long, keys binary")
+    answers = answers.unionAll(written(replies(asked, states, STATE), "replies"))
+    spellings = spelled.select("word", "logp").mapInArrow(bounded(pack), "shard int, keys binary, found binary")
+    asked = blocks.select("block", "data").mapInArrow(bounded(ask), "shard int, block long, keys binary")
+    answers = answers.unionAll(written(replies(asked, spellings, WINDOW), "replies"))
 
     def score(own: pa.Table, seen: pa.Table) -> pa.Table:
-        part, keys = seen.column("part").to_numpy(), seen.column("word").to_numpy().view(U64)
-        order = np.lexsort((keys, part))
-        first, second = np.searchsorted(part[order], [1, 2])
-        of = lambda name, a, b: seen.column(name).to_numpy()[order[a:b]]
-        state, window = keys[order[first:second]], keys[order[second:]]
-        totals, kinds_of, spelling = of("total", first, second), of("kinds", first, second), of("logp", second, None)
-        keys = np.append(keys[order[:first]], U64(2**64 - 1))
-        logs = np.append(np.log10(of("c", 0, first) + SMALL), 0.0) - whole
-        found = np.append(of("c", 0, first), 0)
-        unseen = np.log10(SMALL) - whole
-        end = np.log10(ends + SMALL) - whole
-        ids = [x for part in own.column("ids").to_pylist() for x in part]
-        texts = [t for data in own.column("data") for t in _unpacked(data.as_py())]
-        columns: list[list] = [[], [], [], []]
-        for a, b in _pieces(texts):
-            hashes, sizes = word_hashes(texts[a:b])
-            at = np.searchsorted(keys[:-1], hashes)
-            hit = keys[at] == hashes
-            hit &= at < len(keys) - 1
-            document = np.repeat(np.arange(b - a), sizes)
-            columns[0] += (sizes + 1).tolist()
-            columns[1] += (np.bincount(document, hit, b - a).astype(np.int64) + (ends > 0)).tolist()
-            columns[2] += (np.bincount(document, np.where(hit, logs[at], unseen), b - a) + end).tolist()
-            stop = np.cumsum(sizes + 1)  # ends stand after each text's words
-            token_counts = np.full(len(hashes) + b - a, float(ends))
-            is_word = np.ones(len(token_counts), bool)
-            is_word[stop - 1] = False
-            token_counts[is_word] = np.where(hit, found[at], 0)
-            stream, starts = _stream(texts[a:b])
-            windows = _windows(stream)[_scored(starts, len(stream))]
-            # many places of few windows: found by a hash table in half the time of a search
-            at = pc.index_in(pa.array(mix(windows).view(np.int64)), value_set=pa.array(window.view(np.int64))).to_numpy()
-            own_scores = _token_sums(windows, spelling[at])
-            if n:
-                share = (np.maximum(token_counts - discount, 0) + discount * v * 10.0**own_scores) / n
-                for d, (place, context, _, event) in zip(discounts, grams(hashes, sizes), strict=True):
-                    at, hit = find(state, context)
-                    at, place, event = at[hit], place[hit], event[hit]
-                    where, hit = find(keys[:-1], event)
-                    count = np.where(hit, found[where], 0)
-                    share[place] = (np.maximum(count - d, 0) + d * kinds_of[at] * share[place]) / totals[at]
-                own_scores = np.log10(share)
-            columns[3] += np.add.reduceat(own_scores, stop - sizes - 1).tolist()
-        numbers = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([n] * len(ids), pa.int64())]
-        return pa.Table.from_arrays([pa.array(ids, pa.int64()), *numbers, pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64())], names=SCORED)
+        texts, block, found = _opened(own, seen)
+        wanted = np.frombuffer(own.column("wanted")[0].as_py(), bool)
+        ids, sizes, stop = own.column("ids")[0].as_py(), block.sizes, block.stop
+        windows = _scored_windows(texts)
+        listed = _window_keys(windows)[0]
+        # many places of few windows: found by a hash table in half the time of a search
+        own_scores = np.concatenate([_token_sums(x, found[WINDOW][pc.index_in(pa.array(x), value_set=pa.array(listed)).to_numpy()].astype(np.float64)) for x in windows])
+        token_counts = np.where(block.is_word, block.counts[0], ends)
+        base = np.log10(token_counts + SMALL) - whole
+        columns = [sizes + 1, np.add.reduceat(token_counts > 0, stop - sizes - 1, dtype=np.int64), np.full(len(sizes), n), np.add.reduceat(base, stop - sizes - 1)]
+        if n:
+            share = (np.maximum(token_counts - discount, 0) + discount * v * 10.0**own_scores) / n
+            contexts = block.contexts()
+            for depth, d in enumerate(discounts, 1):
+                often = np.flatnonzero(block.follows(depth))
+                place, context = block.levels[depth][0][often], block.levels[depth][1][often]
+                kinds = found.get(STATE, contexts)[np.searchsorted(contexts, _turned(context))]  # no contexts, no answer
+                place, kinds = place[kinds > 0], kinds[kinds > 0]
+                share[place] = (np.maximum(block.counts[depth][place] - d, 0) + d * kinds * share[place]) / block.counts[depth - 1][place - 1]
+            own_scores = np.log10(share)
+        columns.append(np.add.reduceat(own_scores, stop - sizes - 1))
+        kept = [pa.array(x[wanted]) for x in columns]
+        return pa.Table.from_arrays([pa.array([x for x, w in zip(ids, wanted.tolist(), strict=True) if w], pa.int64()), *kept], names=SCORED)
 
     kinds = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, kinds)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, kinds)
 
 
 SCORED = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
