@@ -43,6 +43,8 @@ CHUNK = 1 << 20
 BLOCK_BYTES = 4 << 20
 #: Bytes of text whose counts a task adds up before it hands them on.
 HELD_BYTES = 64 << 20
+#: Rounds in which blocks are scored.
+ROUNDS = 4
 #: Shards of keys for each shuffle partition.
 SHARDS = 2
 #: Share of unseen words in the base score.
@@ -325,64 +327,6 @@ def _opened(own: pa.Table, seen: pa.Table | None = None, depth: int = WORD_DEPTH
 
 #: Kinds of questions: grams by their depth, then these.
 STATE, WINDOW = WORD_DEPTH + 1, WORD_DEPTH + 2
-_ASKS = "kind int, shard int, block long, keys binary, counts binary, more long"
-_ANSWERS = "block long, kind int, shard int, data binary"
-
-
-def _question(kind: int, block: int, shards: int, keys: np.ndarray, counts: np.ndarray, more: int) -> list[tuple]:
-    edge = _sharded(keys, shards).tolist()
-    return [(kind, s, block, _shrunk(keys[a:b]), _shrunk(counts[a:b]), more * (s == 0)) for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a or s == 0]
-
-
-def _ask_table(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
-    return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "shard", "block", "keys", "counts", "more"])
-
-
-def _edges(keys: pa.ChunkedArray) -> list[int]:
-    """Where each row's keys begin and end among all."""
-    return np.cumsum([0, *(int.from_bytes(x[:8], "little") // 8 for x in keys.to_pylist())]).tolist()
-
-
-def _counted(asks: DataFrame) -> DataFrame:
-    """Answers to questions for grams: their counts added up over the blocks. In each shard's first row is how many grams are seen once and twice."""
-
-    def add(rows: pa.Table) -> pa.Table:
-        keys, counts = _joined(rows.column("keys"), U64), _joined(rows.column("counts"), np.uint32)
-        distinct, first, inverse = _distinct(keys)
-        total = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
-        answer = 2 * total[inverse]
-        answer[first] += 1
-        edge = _edges(rows.column("keys"))
-        once, twice = np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows, np.int64)
-        once[0], twice[0] = (total == 1).sum() + pc.sum(rows.column("more")).as_py(), (total == 2).sum()
-        data = pa.array([_shrunk(answer[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
-        return pa.table({"block": rows.column("block"), "kind": rows.column("kind"), "shard": rows.column("shard"), "data": data, "once": once, "twice": twice})
-
-    return asks.groupBy("kind", "shard").applyInArrow(add, _ANSWERS + ", once long, twice long")
-
-
-def gram_counts(blocks: DataFrame, shards: int) -> DataFrame:
-    """Answers of all depths for each block; a depth's grams are asked for when those of the depth before are counted."""
-
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                own = pa.Table.from_batches([batch.slice(i, 1)])
-                block = _opened(own, depth=1)[1]
-                for depth in (0, 1):
-                    yield from _ask_table(_question(depth, own.column("block")[0].as_py(), shards, *block.asks(depth))).to_batches()
-
-    def ask(depth: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-        return lambda own, seen: _ask_table(_question(depth, own.column("block")[0].as_py(), shards, *_opened(own, seen, depth)[1].asks(depth)))
-
-    answers = written(_counted(blocks.mapInArrow(bounded(begin), _ASKS)), "grams")
-    for depth in range(2, WORD_DEPTH + 1):
-        asks = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask(depth), _ASKS)
-        answers = answers.unionAll(written(_counted(asks), "grams"))
-    return answers
-
-
 #: What is kept of contexts: by context (its turned key and that without its first word), and by context and group of tokens that follow.
 _BY_CONTEXT = {"context": U64, "depth": np.int8, "shorter": U64, "n": np.int64, "kinds": np.int64, "groups": np.int64}
 _BY_GROUP = {"group": np.uint8, "m": np.int64}
@@ -398,8 +342,30 @@ def _rows(rows: list[dict], schema: str) -> pa.Table:
     return pa.Table.from_pylist(rows, pa.schema([(c, kinds[k]) for c, k in (x.split() for x in schema.split(", "))]))
 
 
-_PASSED_ROWS = "shard int, keys binary" + _binaries(*_PASSED)
 _CONTEXT_ROWS = "shard int" + _binaries(*_BY_CONTEXT, *_BY_GROUP)
+_ANSWERS = "block long, kind int, shard int, data binary"
+_SENT = "kind int, shard int, block long, keys binary, counts binary, more long" + _binaries(*_PASSED)
+_KEPT = _ANSWERS + ", once long, twice long" + _binaries(*_BY_CONTEXT, *_BY_GROUP)
+
+
+def _question(kind: int, block: int, shards: int, keys: np.ndarray, counts: np.ndarray, more: int) -> list[dict]:
+    edge = _sharded(keys, shards).tolist()
+    return [{"kind": kind, "shard": s, "block": block, "keys": _shrunk(keys[a:b]), "counts": _shrunk(counts[a:b]), "more": more * (s == 0)} for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a or s == 0]
+
+
+def _answers(rows: pa.Table) -> list[dict]:
+    """The blocks' counts of a shard's grams, added up. In the first row is how many grams are seen once and twice."""
+    keys, counts = _joined(rows.column("keys"), U64), _joined(rows.column("counts"), np.uint32)
+    distinct, first, inverse = _distinct(keys)
+    total = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
+    answer = 2 * total[inverse]
+    answer[first] += 1
+    edge = np.cumsum([0, *(int.from_bytes(x[:8], "little") // 8 for x in rows.column("keys").to_pylist())]).tolist()
+    out = [{"block": b, "kind": k, "shard": s} for b, k, s in zip(*(rows.column(c).to_pylist() for c in ("block", "kind", "shard")), strict=True)]
+    for x, a, b in zip(out, edge[:-1], edge[1:], strict=True):
+        x |= {"data": _shrunk(answer[a:b]), "once": 0, "twice": 0}
+    out[0] |= {"once": int((total == 1).sum()) + pc.sum(rows.column("more")).as_py(), "twice": int((total == 2).sum())}
+    return out
 
 
 def _added(context, group, m, kinds) -> tuple[np.ndarray, ...]:
@@ -412,51 +378,81 @@ def _added(context, group, m, kinds) -> tuple[np.ndarray, ...]:
     return context[edge], group[edge], np.add.reduceat(m[order], edge), np.add.reduceat(kinds[order], edge)
 
 
-def context_groups(blocks: DataFrame, answers: DataFrame, shards: int, depth: int) -> DataFrame:
-    """Each shard's contexts of a depth that are seen often enough: how many tokens and different ones follow them, and how many by group.
+def _passed(block: Block, number: int, shards: int, depth: int) -> list[dict]:
+    """What follows the contexts of a depth that are seen often enough, by shard.
 
     Each gram is passed on by one block, added up there with others of its context and group; the block of the gram that is a context
     also passes on the one without its first word.
     """
+    place, context, shorter, event = block.levels[depth]
+    at = block.owned[depth]
+    at = at[block.follows(depth)[at]]
+    group = (event[at] >> U64(58)).astype(np.uint8)
+    parts = _added(_turned(context[at]), group, block.counts[depth][place[at]], np.ones(len(at), np.int64))
+    named = np.zeros(0, np.int64)
+    if depth > 1:
+        ends = block.levels[depth - 1][0][block.owned[depth - 1]]
+        ends = ends[block.is_word[ends] & (block.counts[depth - 1][ends] >= LEAST_COUNT)]
+        named = np.searchsorted(place, ends + 1)
+    names = _turned(context[named])
+    order = np.argsort(names)
+    names, less = names[order], _turned(shorter[named])[order]
+    keys = _set(parts[0])
+    edges = [_sharded(x, shards).tolist() for x in (keys, parts[0], names)]
+    rows = []
+    for s in range(shards):
+        (a, b), (c, d), (e, f) = (x[s : s + 2] for x in edges)
+        if b > a or f > e:
+            passed = (np.searchsorted(keys[a:b], parts[0][c:d]), *(x[c:d] for x in parts[1:]), names[e:f], less[e:f])
+            rows.append({"kind": -depth, "shard": s, "block": number, "keys": _shrunk(keys[a:b])} | {x: _shrunk(y) for x, y in zip(_PASSED, passed, strict=True)})
+    return rows
+
+
+def _contexts(rows: pa.Table, depth: int) -> list[dict]:
+    """A shard's contexts of a depth: how many tokens and different ones follow them, and how many by group."""
+    context = np.concatenate([_grown(k, U64)[_grown(a, np.int64)] for k, a in zip(rows.column("keys").to_pylist(), rows.column("at").to_pylist(), strict=True)])
+    group, m, kinds, names, less = (_joined(rows.column(c), k) for c, k in list(_PASSED.items())[1:])
+    context, group, m, kinds = _added(context, group, m, kinds)
+    if not len(context):
+        return []
+    edge = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+    shorter = less[np.argsort(names)] if depth > 1 else np.zeros(len(edge), U64)
+    columns = (context[edge], np.full(len(edge), depth, np.int8), shorter, np.add.reduceat(m, edge), np.add.reduceat(kinds, edge), np.diff(edge, append=len(context)), group, m)
+    return [{"kind": -depth, "shard": rows.column("shard")[0].as_py()} | {c: _shrunk(x) for c, x in zip((*_BY_CONTEXT, *_BY_GROUP), columns, strict=True)}]
+
+
+def gram_counts(blocks: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """Counts of grams of all depths as answers for each block, and all shards' contexts.
+
+    A depth's grams are asked for when those of the depth before are counted; with them goes what follows that depth's contexts.
+    """
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = pa.Table.from_batches([batch.slice(i, 1)])
+                block, number = _opened(own, depth=1)[1], own.column("block")[0].as_py()
+                for depth in (0, 1):
+                    yield from _rows(_question(depth, number, shards, *block.asks(depth)), _SENT).to_batches()
+
+    def step(depth: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        def send(own: pa.Table, seen: pa.Table) -> pa.Table:
+            block, number = _opened(own, seen, min(depth, WORD_DEPTH))[1], own.column("block")[0].as_py()
+            asks = _question(depth, number, shards, *block.asks(depth)) if depth <= WORD_DEPTH else []
+            return _rows(asks + _passed(block, number, shards, depth - 1), _SENT)
+
+        return send
+
+    def add(rows: pa.Table) -> pa.Table:
+        kind = rows.column("kind")[0].as_py()
+        return _rows(_answers(rows) if kind >= 0 else _contexts(rows, -kind), _KEPT)
 
-    def give(own: pa.Table, seen: pa.Table) -> pa.Table:
-        block = _opened(own, seen, depth)[1]
-        place, context, shorter, event = block.levels[depth]
-        at = block.owned[depth]
-        at = at[block.follows(depth)[at]]
-        group = (event[at] >> U64(58)).astype(np.uint8)
-        parts = _added(_turned(context[at]), group, block.counts[depth][place[at]], np.ones(len(at), np.int64))
-        named = np.zeros(0, np.int64)
-        if depth > 1:
-            ends = block.levels[depth - 1][0][block.owned[depth - 1]]
-            ends = ends[block.is_word[ends] & (block.counts[depth - 1][ends] >= LEAST_COUNT)]
-            named = np.searchsorted(place, ends + 1)
-        names = _turned(context[named])
-        order = np.argsort(names)
-        names, less = names[order], _turned(shorter[named])[order]
-        keys = _set(parts[0])
-        edges = [_sharded(x, shards).tolist() for x in (keys, parts[0], names)]
-        rows = []
-        for s in range(shards):
-            (a, b), (c, d), (e, f) = (x[s : s + 2] for x in edges)
-            if b > a or f > e:
-                passed = (np.searchsorted(keys[a:b], parts[0][c:d]), *(x[c:d] for x in parts[1:]), names[e:f], less[e:f])
-                rows.append({"shard": s, "keys": _shrunk(keys[a:b])} | {x: _shrunk(y) for x, y in zip(_PASSED, passed, strict=True)})
-        return _rows(rows, _PASSED_ROWS)
-
-    def gather(rows: pa.Table) -> pa.Table:
-        context = np.concatenate([_grown(k, U64)[_grown(a, np.int64)] for k, a in zip(rows.column("keys").to_pylist(), rows.column("at").to_pylist(), strict=True)])
-        group, m, kinds, names, less = (_joined(rows.column(c), k) for c, k in list(_PASSED.items())[1:])
-        context, group, m, kinds = _added(context, group, m, kinds)
-        if not len(context):
-            return _rows([], _CONTEXT_ROWS)
-        edge = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-        shorter = less[np.argsort(names)] if depth > 1 else np.zeros(len(edge), U64)
-        columns = (context[edge], np.full(len(edge), depth, np.int8), shorter, np.add.reduceat(m, edge), np.add.reduceat(kinds, edge), np.diff(edge, append=len(context)), group, m)
-        return _rows([{"shard": rows.column("shard")[0].as_py()} | {c: _shrunk(x) for c, x in zip((*_BY_CONTEXT, *_BY_GROUP), columns, strict=True)}], _CONTEXT_ROWS)
-
-    given = blocks.groupBy("block").cogroup(answers.filter(F.col("kind") <= depth).groupBy("block")).applyInArrow(give, _PASSED_ROWS)
-    return given.groupBy("shard").applyInArrow(gather, _CONTEXT_ROWS)
+    added = lambda sent: written(sent.groupBy("kind", "shard").applyInArrow(add, _KEPT), "grams")
+    found = added(blocks.mapInArrow(bounded(begin), _SENT))
+    for depth in range(2, WORD_DEPTH + 2):
+        seen = found.filter("kind >= 0").select("block", "kind", "shard", "data")
+        found = found.unionAll(added(blocks.groupBy("block").cogroup(seen.groupBy("block")).applyInArrow(step(depth), _SENT)))
+    return found.filter("kind >= 0").select("block", "kind", "shard", "data", "once", "twice"), found.filter("kind < 0").select("shard", *_BY_CONTEXT, *_BY_GROUP)
 
 
 def _read(table: pa.Table) -> dict[str, np.ndarray]:
@@ -724,13 +720,10 @@ def score_texts(docs: DataFrame, train: DataFrame, learned: Column | None = None
     discount = _discount(int(sums.once), int(sums.twice))
     shards = SHARDS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = written(_blocks(rows), "blocks")
-    answers = gram_counts(blocks, shards)
+    answers, contexts = gram_counts(blocks, shards)
     seen_by = {r.kind: (r.once, r.twice) for r in answers.groupBy("kind").agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).collect()}
     discounts = [_discount(*seen_by.get(k, (0, 0))) for k in range(1, WORD_DEPTH + 1)]
     answers = answers.drop("once", "twice")
-    contexts = written(context_groups(blocks, answers, shards, 1), "contexts")
-    for depth in range(2, WORD_DEPTH + 1):
-        contexts = contexts.unionAll(written(context_groups(blocks, answers, shards, depth), "contexts"))
     states = written(word_tree(words, contexts, shards), "states")
     whole = np.log10(n + SMALL * (v + 1))
 
@@ -771,11 +764,7 @@ def score_texts(docs: DataFrame, train: DataFrame, learned: Column | None = None
     def ask_states(own: pa.Table, seen: pa.Table) -> pa.Table:
         return key_rows(own.column("block")[0].as_py(), _opened(own, seen)[1].contexts())
 
-    asked = blocks.groupBy("block").cogroup(answers.filter(F.col("kind") < WORD_DEPTH).groupBy("block")).applyInArrow(ask_states, "shard int, block long, keys binary")
-    answers = answers.unionAll(written(replies(asked, states, STATE), "replies"))
-    spellings = spelled.select("word", "logp").mapInArrow(bounded(pack), "shard int, keys binary, found binary")
-    asked = blocks.select("block", "data").mapInArrow(bounded(ask), "shard int, block long, keys binary")
-    answers = answers.unionAll(written(replies(asked, spellings, WINDOW), "replies"))
+    spellings = written(spelled.select("word", "logp").mapInArrow(bounded(pack), "shard int, keys binary, found binary"), "spellings")
 
     def score(own: pa.Table, seen: pa.Table) -> pa.Table:
         texts, block, found = _opened(own, seen)
@@ -803,7 +792,17 @@ def score_texts(docs: DataFrame, train: DataFrame, learned: Column | None = None
         return pa.Table.from_arrays([pa.array([x for x, w in zip(ids, wanted.tolist(), strict=True) if w], pa.int64()), *kept], names=SCORED)
 
     kinds = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, kinds)
+    key_table = "shard int, block long, keys binary"
+    scored = None
+    for turn in range(ROUNDS):  # what a round shuffles goes before the next one
+        mine = lambda rows, turn=turn: rows.filter(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == turn)
+        some, counted = mine(blocks), mine(answers)
+        asked = some.groupBy("block").cogroup(counted.filter(F.col("kind") < WORD_DEPTH).groupBy("block")).applyInArrow(ask_states, key_table)
+        counted = counted.unionAll(written(replies(asked, states, STATE), "replies"))
+        counted = counted.unionAll(replies(some.select("block", "data").mapInArrow(bounded(ask), key_table), spellings, WINDOW))
+        part = written(some.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(score, kinds), "scores")
+        scored = part if scored is None else scored.unionAll(part)
+    return scored
 
 
 SCORED = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]

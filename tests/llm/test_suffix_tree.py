@@ -192,3 +192,14 @@ def test_one_pass_lists_and_counts_windows(spark, texts):
     once = sorted(tuple(r) for r in score_texts(docs, docs.filter("ours"), F.coalesce("ours", F.lit(False))).collect())
     assert len(apart) == len(texts) and [r[:4] for r in apart] == [r[:4] for r in once]
     assert [r[5] for r in apart] == pytest.approx([r[5] for r in once], rel=1e-6)
+
+
+def test_tables_of_hardly_repeated_grams_stay_near_the_size_of_the_texts(spark, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(400)) for _ in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr("latticeframe.llm.shared.shared_folder", lambda spark: f"file://{tmp_path}")
+    assert score_texts(docs, docs).count() == len(texts)
+    # in a table of grams, three hashes for each of three a word took over ten times the texts' size
+    size = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert size < 5 * sum(map(len, texts))
