@@ -140,11 +140,20 @@ def legendre(x: Column, n: int, m: int) -> Column:
 
 
 def sphharm(n: int, m: int, azimuth: Column, elevation: Column) -> Column:
-    """One real spherical harmonic, SN3D."""
+    """One real spherical harmonic, SN3D, by a recurrence that carries the factor.
+
+    The cosine of the elevation keeps its sign, so an elevation past the pole is the direction on the other side.
+    """
     a = abs(m)
-    factor = math.sqrt((2 if m else 1) * math.factorial(n - a) / math.factorial(n + a))
-    around = F.cos(a * azimuth) if m >= 0 else F.sin(a * azimuth)
-    return factor * legendre(F.sin(elevation), n, a) * around
+    if a > n:
+        raise ValueError(f"degree {n}, order {m}")
+    up, out = F.sin(elevation), F.cos(elevation)
+    before, now = F.lit(0.0), F.lit(1.0)
+    for k in range(1, a + 1):
+        now = now * out * (math.sqrt((2 * k - 1) / (2 * k)) if k > 1 else 1.0)
+    for k in range(a + 1, n + 1):
+        before, now = now, ((2 * k - 1) * up * now - math.sqrt((k - 1) ** 2 - a * a) * before) / math.sqrt(k * k - a * a) if k > a + 1 else math.sqrt(2 * a + 1) * up * now
+    return now * (F.cos(a * azimuth) if m >= 0 else F.sin(a * azimuth))
 
 
 def sphharmacn(directions: Tensor, order: int) -> Tensor:

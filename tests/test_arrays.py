@@ -336,6 +336,15 @@ def test_closed_forms(spark):
     close(windows.every_pair(fromarray(spark, [100.0, 200]), fromarray(spark, [0.5, 1]), windows.rt60absp), [[32.2, 16.1], [64.4, 32.2]])
 
 
+def test_harmonics_past_the_pole(spark):
+    """An elevation beyond a right angle is the direction on the other side; all of a degree's squares add up to 1."""
+    az, el = 0.3, 1.9
+    close(windows.sphharmacn(fromarray(spark, [[az, el]]), 3), toarray(windows.sphharmacn(fromarray(spark, [[az + np.pi, np.pi - el]]), 3)))
+    both = toarray(windows.sphharmacn(fromarray(spark, [[az, el]]), 3))[:, 0]
+    close(fromarray(spark, both[:4]), [1, np.cos(el) * np.sin(az), np.sin(el), np.cos(el) * np.cos(az)])
+    np.testing.assert_allclose([(both[n * n : (n + 1) ** 2] ** 2).sum() for n in range(4)], np.ones(4), atol=1e-12)
+
+
 def test_strings(spark):
     words = ["1st héLLo-wORLD", "  ab\t", "", "x=y=z", "-1.5e3", "inf", "1d"]
     t = fromarray(spark, np.array(words, dtype=object))
