@@ -21,6 +21,8 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 from ..operators import filters
 
 SAMPLES = "key string, i long, v double"
+#: Samples that a step takes at once, so that what it makes is bounded however large a batch is.
+CHUNK = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -42,8 +44,12 @@ def patient(samples: DataFrame, time: str, delay: str, millis: int) -> DataFrame
     return out
 
 
+#: A sample that waits: its number, value and event time. Numbers of one map entry, of which a batch writes those that change.
+HELD, HELD_NUMBERS = np.dtype([("i", "<i8"), ("v", "<f8"), ("at", "<i8")]), 1 << 12
+
+
 class InLine(StatefulProcessor):
-    """Hands samples on in order. Early ones are entries of a map, so a batch writes only those that come and go; the rest of the state is a value.
+    """Hands samples on in order. Early ones wait in a map, an entry for each stretch of ``HELD_NUMBERS`` numbers, so a batch writes only stretches that change.
 
     The earliest sample that waits has a timer. When it expires, the samples missing before it count as 0.
     """
@@ -53,48 +59,52 @@ class InLine(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "i long", "v double, at long")
+        self.waiting = handle.getMapState("waiting", "stretch long", "samples binary")
         self.own = handle.getValueState("own", "next_i long" + (f", {self.state}" if self.state else ""))
 
-    def _advance(self, key: tuple, fresh: dict[int, tuple[float, int]], timers: TimerValues) -> pd.DataFrame:
+    def _advance(self, key: tuple, fresh: list[np.ndarray], timers: TimerValues) -> Iterator[pd.DataFrame]:
         next_i, *own = tuple(self.own.get()) if self.own.exists() else (0, *self.start)
-        own = [list(x) if hasattr(x, "__len__") else x for x in own]
-        held = {k[0]: tuple(v) for k, v in self.waiting.iterator()} if self.waiting.exists() else {}
-        pool = held | {i: x for i, x in fresh.items() if i >= next_i}
-        first, ready, timer, now = next_i, [], None, timers.getCurrentWatermarkInMs()
-        while pool:
-            while next_i in pool:
-                ready.append(pool.pop(next_i)[0])
-                next_i += 1
-            if pool:
-                earliest = min(pool)
-                timer = pool[earliest][1] + self.patience.millis
-                if timer > now:
-                    break
-                ready += [0.0] * (earliest - next_i)
-                next_i = earliest
-        for i in held.keys() - pool.keys():
-            self.waiting.removeKey((i,))
-        for i in pool.keys() - held.keys():
-            self.waiting.updateValue((i,), pool[i])
+        own = tuple(list(x) if hasattr(x, "__len__") else x for x in own)
+        held = {k[0]: bytes(v[0]) for k, v in self.waiting.iterator()} if self.waiting.exists() else {}
+        pool = np.concatenate([np.zeros(0, HELD), *(np.frombuffer(x, HELD) for x in held.values()), *fresh])
+        pool = pool[_in_order(pool["i"], next_i)]
+        timer = pool["at"] + self.patience.millis
+        early = np.diff(pool["i"], prepend=next_i - 1) != 1  # samples before it are missing
+        stays = np.flatnonzero(early & (timer > timers.getCurrentWatermarkInMs()))
+        count = int(stays[0]) if len(stays) else len(pool)
+        i, v, rest = pool["i"][:count], pool["v"][:count], pool[count:]
+        end = int(i[-1]) + 1 if count else next_i
+        for at in range(next_i, max(end, next_i + 1), CHUNK):
+            ready = np.zeros(min(end - at, CHUNK))
+            lo, hi = np.searchsorted(i, [at, at + len(ready)])
+            ready[i[lo:hi] - at] = v[lo:hi]
+            made, own = self.step(ready, own, at)
+            made.insert(0, "key", key[0])
+            yield made[["key", *self.columns]]
+        self.own.update((end, *own))
+        stretches = np.split(rest, np.flatnonzero(np.diff(rest["i"] // HELD_NUMBERS)) + 1) if len(rest) else []
+        kept = {int(x["i"][0]) // HELD_NUMBERS: x.tobytes() for x in stretches}
+        for k in held.keys() - kept.keys():
+            self.waiting.removeKey((k,))
+        for k, x in kept.items():
+            if held.get(k) != x:
+                self.waiting.updateValue((k,), (x,))
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        if pool:
-            self.handle.registerTimer(timer)
-        made, own = self.step(ready, tuple(own), first)
-        self.own.update((next_i, *own))
-        made.insert(0, "key", key[0])
-        return made[["key", *self.columns]]
+        if len(rest):
+            self.handle.registerTimer(int(timer[count]))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        fresh: dict[int, tuple[float, int]] = {}
+        fresh = []
         for frame in rows:
-            at = frame["at"].to_numpy().astype("datetime64[ms]").astype(np.int64)
-            fresh.update(zip(frame["i"].tolist(), zip(frame["v"].tolist(), at.tolist(), strict=True), strict=True))
-        yield self._advance(key, fresh, timerValues)
+            part = np.empty(len(frame), HELD)
+            part["i"], part["v"] = frame["i"].to_numpy(), frame["v"].to_numpy()
+            part["at"] = frame["at"].to_numpy().astype("datetime64[ms]").astype(np.int64)
+            fresh.append(part)
+        yield from self._advance(key, fresh, timerValues)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, {}, timerValues)
+        yield from self._advance(key, [], timerValues)
 
     def close(self) -> None:
         pass
@@ -112,7 +122,22 @@ def _timed(samples: DataFrame, step: Callable, start: tuple, state: str, out: st
     return rows.groupBy("key").transformWithStateInPandas(made, f"key string, {out}", "append", "eventtime")
 
 
-def _stateful(samples: DataFrame, step: Callable[[list[float], tuple], tuple[pd.DataFrame, tuple]], start: tuple, state: str, out: str) -> DataFrame:
+def _in_order(i: np.ndarray, first: int) -> np.ndarray:
+    """Places of the sample numbers from ``first`` on, ascending; of equal numbers the last."""
+    order = np.argsort(i, kind="stable")
+    i = i[order]
+    kept = i >= first
+    kept[:-1] &= i[1:] != i[:-1]
+    return order[kept]
+
+
+def _gapless(i: np.ndarray, first: int) -> int:
+    """How many of the ascending numbers follow each other from ``first`` on."""
+    astray = np.flatnonzero(i != first + np.arange(len(i)))
+    return int(astray[0]) if len(astray) else len(i)
+
+
+def _stateful(samples: DataFrame, step: Callable[[np.ndarray, tuple, int], tuple[pd.DataFrame, tuple]], start: tuple, state: str, out: str) -> DataFrame:
     """``step`` of the samples next in line and the state, in order, for each key."""
     if getattr(samples, "_patience", None):
         return _timed(samples, step, start, state, out, samples._patience)
@@ -120,37 +145,38 @@ def _stateful(samples: DataFrame, step: Callable[[list[float], tuple], tuple[pd.
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         waiting_i, waiting_v, next_i, *own = held.get if held.exists else ([], [], 0, *start)
-        waiting = dict(zip(waiting_i, waiting_v, strict=True))
-        for frame in frames:
-            waiting.update(zip(frame["i"].tolist(), frame["v"].tolist(), strict=True))
-        for late in [i for i in waiting if i < next_i]:
-            del waiting[late]
-        ready = []
-        first = next_i
-        while next_i in waiting:
-            ready.append(waiting.pop(next_i))
-            next_i += 1
-        made, own = step(ready, tuple(own), first)
-        held.update((list(waiting), list(waiting.values()), next_i, *own))
-        made.insert(0, "key", key[0])
-        yield made
+        parts = [(np.array(waiting_i, np.int64), np.array(waiting_v, float))]
+        parts += [(frame["i"].to_numpy(np.int64), frame["v"].to_numpy(float)) for frame in frames]
+        i, v = (np.concatenate(columns) for columns in zip(*parts, strict=True))
+        order = _in_order(i, next_i)
+        i, v = i[order], v[order]
+        count = _gapless(i, next_i)
+        own = tuple(own)
+        for at in range(0, max(count, 1), CHUNK):
+            made, own = step(v[at : min(at + CHUNK, count)], own, next_i + at)
+            made.insert(0, "key", key[0])
+            yield made
+        held.update((i[count:].tolist(), v[count:].tolist(), next_i + count, *own))
 
     schema = ", ".join([f"{names[0]} array<long>", f"{names[1]} array<double>", f"{names[2]} long", *([state] if state else [])])
     return samples.select(F.col("key").cast("string").alias("key"), "i", "v").groupBy("key").applyInPandasWithState(run, f"key string, {out}", schema, "append", GroupStateTimeout.NoTimeout)
 
 
+def _frames(x: np.ndarray, length: int, hop: int) -> np.ndarray:
+    """The full frames of x in rows."""
+    return np.lib.stride_tricks.sliding_window_view(x, length)[::hop] if len(x) >= length else np.empty((0, length))
+
+
 def snap(samples: DataFrame, length: int, hop: int) -> DataFrame:
     """(key, frame, data): overlapping frames of each signal, as soon as they are full."""
     if not 0 < hop <= length:
         raise ValueError(f"hop {hop} of frames of {length}")
 
-    def step(ready: list[float], own: tuple, first: int) -> tuple[pd.DataFrame, tuple]:
-        tail, frame = list(own[0]) + ready, own[1]
-        rows = []
-        while len(tail) >= length:
-            rows.append((frame, tail[:length]))
-            tail, frame = tail[hop:], frame + 1
-        return pd.DataFrame(rows, columns=["frame", "data"]), (tail, frame)
+    def step(ready: np.ndarray, own: tuple, first: int) -> tuple[pd.DataFrame, tuple]:
+        tail, frame = np.concatenate([np.array(own[0], float), ready]), own[1]
+        found = _frames(tail, length, hop)
+        made = pd.DataFrame({"frame": frame + np.arange(len(found)), "data": pd.Series(list(found), dtype=object)})
+        return made, (tail[len(found) * hop :].tolist(), frame + len(found))
 
     return _stateful(samples, step, ([], 0), "tail array<double>, frame long", "frame long, data array<double>")
 
@@ -166,16 +192,16 @@ def overlapped(samples: DataFrame, length: int, hop: int, f: Callable[[np.ndarra
     if not 0 < hop <= length:
         raise ValueError(f"hop {hop} of frames of {length}")
 
-    def step(ready: list[float], own: tuple, first: int) -> tuple[pd.DataFrame, tuple]:
-        tail, sums, frame = list(own[0]) + ready, np.array([*own[1], *[0.0] * (length - len(own[1]))]), own[2]
-        begun, out = frame * hop, []
-        while len(tail) >= length:
-            sums = sums + f(np.array(tail[:length], float))
-            out.append(sums[:hop])
-            sums = np.concatenate([sums[hop:], np.zeros(hop)])
-            tail, frame = tail[hop:], frame + 1
-        v = np.concatenate([np.zeros(0), *out])
-        return pd.DataFrame({"i": np.arange(begun, begun + len(v)), "v": v}), (tail, sums.tolist(), frame)
+    def step(ready: np.ndarray, own: tuple, first: int) -> tuple[pd.DataFrame, tuple]:
+        tail, frame = np.concatenate([np.array(own[0], float), ready]), own[2]
+        found = _frames(tail, length, hop)
+        done = len(found) * hop
+        sums = np.zeros(done + length)
+        sums[: len(own[1])] = own[1]
+        for k, data in enumerate(found):
+            sums[k * hop : k * hop + length] += f(data.copy())
+        made = pd.DataFrame({"i": frame * hop + np.arange(done), "v": sums[:done]})
+        return made, (tail[done:].tolist(), sums[done:].tolist(), frame + len(found))
 
     return _stateful(samples, step, ([], [], 0), "tail array<double>, sums array<double>, frame long", "i long, v double")
 
@@ -206,8 +232,8 @@ def sosfilter(samples: DataFrame, sos: np.ndarray) -> DataFrame:
     """Second-order sections whose state goes on from batch to batch, for each key."""
     sos = np.atleast_2d(sos)
 
-    def step(ready: list[float], own: tuple, first: int) -> tuple[pd.DataFrame, tuple]:
-        y, z = filters.filtered_sos(sos, np.array(ready, float), np.array(own[0], float).reshape(len(sos), 2))
+    def step(ready: np.ndarray, own: tuple, first: int) -> tuple[pd.DataFrame, tuple]:
+        y, z = filters.filtered_sos(sos, ready, np.array(own[0], float).reshape(len(sos), 2))
         return pd.DataFrame({"i": np.arange(first, first + len(y)), "v": np.asarray(y, float)}), (z.ravel().tolist(),)
 
     return _stateful(samples, step, ([0.0] * 2 * len(sos),), "z array<double>", "i long, v double")
@@ -216,8 +242,8 @@ def sosfilter(samples: DataFrame, sos: np.ndarray) -> DataFrame:
 def lfilter(samples: DataFrame, b, a) -> DataFrame:
     n = max(len(a), len(b)) - 1
 
-    def step(ready: list[float], own: tuple, first: int) -> tuple[pd.DataFrame, tuple]:
-        y, z = filters.filtered(np.asarray(b, float), np.asarray(a, float), np.array(ready, float), np.array(own[0], float))
+    def step(ready: np.ndarray, own: tuple, first: int) -> tuple[pd.DataFrame, tuple]:
+        y, z = filters.filtered(np.asarray(b, float), np.asarray(a, float), ready, np.array(own[0], float))
         return pd.DataFrame({"i": np.arange(first, first + len(y)), "v": np.asarray(y, float)}), (z.tolist(),)
 
     return _stateful(samples, step, ([0.0] * n,), "z array<double>", "i long, v double")
@@ -230,15 +256,15 @@ def rt(name: str, samples: DataFrame, n: int, band: str, cutoff, *args: float, r
 
 def next_(samples: DataFrame) -> DataFrame:
     """(key, i, v): each signal's samples one after the other, in order, however they arrive."""
-    step = lambda ready, own, first: (pd.DataFrame({"i": np.arange(first, first + len(ready)), "v": np.array(ready, float)}), own)
+    step = lambda ready, own, first: (pd.DataFrame({"i": np.arange(first, first + len(ready)), "v": ready}), own)
     return _stateful(samples, step, (), "", "i long, v double")
 
 
 def accumulate(samples: DataFrame) -> DataFrame:
     """(key, i, v): the running sum of each signal, kept from batch to batch."""
 
-    def step(ready: list[float], own: tuple, first: int) -> tuple[pd.DataFrame, tuple]:
-        sums = own[0] + np.cumsum(np.array(ready, float))
+    def step(ready: np.ndarray, own: tuple, first: int) -> tuple[pd.DataFrame, tuple]:
+        sums = own[0] + np.cumsum(ready)
         return pd.DataFrame({"i": np.arange(first, first + len(ready)), "v": sums}), (float(sums[-1]) if len(ready) else own[0],)
 
     return _stateful(samples, step, (0.0,), "total double", "i long, v double")
