@@ -1,9 +1,10 @@
-"""Inverses of full convolutions: power series by Newton's doubling, lanes in blocks, arrays in waves of tiles."""
+"""Inverses of full convolutions: power series by Newton's doubling, lanes and narrow arrays in blocks, others in waves of tiles."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
@@ -22,6 +23,8 @@ SERIES, GROWTH = 1 << 12, 1e4
 FEW_TAPS = 32
 #: Cells of a tile's side in one, two, three and more dimensions.
 SIDES = (1 << 14, 1 << 8, 1 << 5, 1 << 3)
+#: Waves from which a narrow array goes by blocks along its longest axis instead; cells that one block hands to the next, and cells of a block.
+MOST_WAVES, NARROW, BLOCK = 8, 1 << 10, 1 << 16
 
 
 def _convolved(a: np.ndarray, b: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
@@ -139,13 +142,75 @@ def divided1d(t: Tensor, h: np.ndarray, axis: int | None = None) -> Tensor:
     return t.cells(matched(y.df, own, list(t.keys)).filter(here < F.col("_n")))
 
 
+@dataclass
+class _Blocks:
+    """Blocks of whole rows along an array's longest axis, and how what a block gets moves what it adds to the next."""
+
+    h: np.ndarray
+    g: np.ndarray
+    sides: tuple[int, ...]
+    axis: int
+    move: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, h: np.ndarray, shape: tuple[int, ...]) -> _Blocks | None:
+        """For a kernel and the quotient's shape; None if a block hands on too much, or the series grows."""
+        axis = max(range(len(shape)), key=shape.__getitem__)
+        across, less = math.prod(shape) // shape[axis], h.shape[axis] - 1
+        if less * across > NARROW:
+            return None
+        sides = tuple(max(1, less, BLOCK // across) if k == axis else m for k, m in enumerate(shape))
+        h = h[tuple(slice(0, None if k == axis else m) for k, m in enumerate(shape))]
+        g = series(h, sides)
+        if not _steady(h, g):
+            return None
+        out = cls(h, g, sides, axis)
+        out.move = out._moves()
+        return out
+
+    def _along(self, start: int | None, stop: int | None) -> tuple[slice, ...]:
+        return tuple(slice(start, stop) if k == self.axis else slice(None) for k in range(len(self.sides)))
+
+    def _handed(self) -> tuple[int, ...]:
+        return tuple(self.h.shape[k] - 1 if k == self.axis else m for k, m in enumerate(self.sides))
+
+    def divided(self, y: np.ndarray, z: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """A block's quotient and what that adds to the next block's first rows, given what earlier ones add to its own."""
+        handed, rows = self._handed(), self.sides[self.axis]
+        if z is not None:
+            y = y.astype(np.result_type(y, z))
+            y[self._along(0, handed[self.axis])] += z.reshape(handed)
+        x = _convolved(y, self.g, self.sides)
+        longer = tuple(m + handed[k] if k == self.axis else m for k, m in enumerate(self.sides))
+        return x, -_times(x, self.h, longer)[self._along(rows, None)]
+
+    def _moves(self) -> np.ndarray:
+        """A row for each cell that a block gets. Cells of a row of the array differ by a shift only."""
+        handed, nothing = self._handed(), np.zeros(self.sides)
+        first = []
+        for p in range(handed[self.axis]):
+            z = np.zeros(handed)
+            z[tuple(p if k == self.axis else 0 for k in range(len(handed)))] = 1
+            first.append(self.divided(nothing, z)[1])
+        move = np.zeros((math.prod(handed), *handed), np.result_type(self.g, self.h))
+        for row, at in enumerate(np.ndindex(*handed)):
+            to = tuple(slice(None) if k == self.axis else slice(i, None) for k, i in enumerate(at))
+            of = tuple(slice(None) if k == self.axis else slice(0, m - i) for k, (i, m) in enumerate(zip(at, handed, strict=True)))
+            move[row][to] = first[at[self.axis]][of]
+        return move.reshape(len(move), -1)
+
+
 def divided(t: Tensor, h: np.ndarray) -> Tensor:
-    """x of y = h * x in full along all axes, in waves of tiles.
+    """x of y = h * x in full along all axes, in waves of tiles, or in blocks of a long narrow array.
 
     A tile of x is what is left of y's tile, when the products of earlier tiles of x are taken out,
     times the series of 1 / h. Tiles whose numbers add up to the same are a wave: one after the other, waves are
     divided by as many tasks as they have tiles, and leave their x and what it adds to later tiles in
     the shared folder.
+
+    A long narrow array would have a wave for each tile. Its blocks of whole rows are divided from nothing
+    at first, to know what each adds to the next; that goes from block to block by a matrix, and blocks
+    are divided again, each with what it gets.
     """
     h = _begun(h)
     if t.ndim != h.ndim:
@@ -158,11 +223,15 @@ def divided(t: Tensor, h: np.ndarray) -> Tensor:
     is_complex = t.kind == COMPLEX or np.iscomplexobj(h)
     dtype, n, keys = complex if is_complex else float, t.ndim, t.keys
     side = SIDES[min(n, len(SIDES)) - 1]
+    sides = (side,) * n
     counts = [-(-a // side) for a in shape]
-    g = series(h, (side,) * n)
+    g = series(h, sides)
     steady = _steady(h, g)
+    blocks = _Blocks.of(h, shape) if steady and sum(c - 1 for c in counts) >= MOST_WAVES else None
+    if blocks:
+        sides, counts = blocks.sides, [-(-a // b) for a, b in zip(shape, blocks.sides, strict=True)]
     reach = [range(-(-(m - 1) // side) + 1) for m in h.shape]  # tiles from one's own on that it adds to
-    cells = _cells_of_tiles(t, shape, counts, side)
+    cells = _cells_of_tiles(t, shape, counts, sides)
     places = [f"b{k}" for k in range(n)]
     schema = StructType([*(cells.schema[c] for c in (*keys, *places)), StructField("wave", LongType()), StructField("done", BooleanType()), StructField("x", BinaryType())])
 
@@ -174,9 +243,24 @@ def divided(t: Tensor, h: np.ndarray) -> Tensor:
         return pa.Table.from_arrays([*own, *at, *rest], [f.name for f in schema.fields])
 
     def gathered(key: tuple, table: pa.Table) -> pa.Table:
-        x = np.zeros(side**n, dtype)
+        x = np.zeros(math.prod(sides), dtype)
         np.add.at(x, table["at"].to_numpy(), table["re"].to_numpy() + (1j * table["im"].to_numpy() if is_complex else 0))
-        return rows(key, [(tuple(k.as_py() for k in key[-n:]), False, x)])
+        at = tuple(k.as_py() for k in key[-n:])
+        own = [(at, True, blocks.divided(x.reshape(sides))[1])] if blocks else []
+        return rows(key, [(at, False, x), *own])
+
+    def carried(key: tuple, table: pa.Table) -> pa.Table:
+        """What each of an array's blocks gets, of what each adds to the next from nothing."""
+        order = np.argsort(table["wave"].to_numpy())
+        z, found = np.zeros(len(blocks.move), dtype), []
+        for place, added in zip(table.select(places).take(order).to_pylist(), table["x"].take(order).to_pylist(), strict=True):
+            found.append((tuple(place.values()), True, z))
+            z = z @ blocks.move + np.frombuffer(added, dtype)
+        return rows((*key, *places), found)
+
+    def divide_block(key: tuple, table: pa.Table) -> pa.Table:
+        y, z = (np.frombuffer(x, dtype) for _, x in sorted(zip(table["done"].to_pylist(), table["x"].to_pylist(), strict=True), key=lambda row: row[0]))
+        return rows(key, [(tuple(k.as_py() for k in key[-n:]), True, blocks.divided(y.reshape(sides), z)[0])])
 
     def divide(key: tuple, table: pa.Table) -> pa.Table:
         """A tile of y, and what earlier tiles of x take from it, divided; then what that takes from later tiles."""
@@ -192,17 +276,23 @@ def divided(t: Tensor, h: np.ndarray) -> Tensor:
                 found.append((to, False, -adds[tuple(slice(b * side, (b + 1) * side) for b in step)]))
         return rows(key, found)
 
-    start = written(cells.groupBy(*keys, *places).applyInArrow(gathered, schema), "wave")
-    waves: list[DataFrame] = []
-    furthest = sum(len(r) - 1 for r in reach)
-    for number in range(sum(c - 1 for c in counts) + 1):
-        due = start.filter(F.col("wave") == number)
-        for earlier in waves[max(0, number - furthest) :]:
-            due = due.unionByName(earlier.filter((F.col("wave") == number) & ~F.col("done")))
-        waves.append(written(due.groupBy(*keys, *places).applyInArrow(divide, schema), "wave"))
-    found = waves[0].filter("done")
-    for other in waves[1:]:
-        found = found.unionByName(other.filter("done"))
+    gathering = cells.groupBy(*keys, *places).applyInArrow(gathered, schema)
+    if blocks:
+        start = written(gathering, "done")
+        gets = start.filter("done").groupBy(*keys).applyInArrow(carried, schema)
+        found = start.filter("NOT done").unionByName(gets).groupBy(*keys, *places).applyInArrow(divide_block, schema)
+    else:
+        start = written(gathering, "wave")
+        waves: list[DataFrame] = []
+        furthest = sum(len(r) - 1 for r in reach)
+        for number in range(sum(c - 1 for c in counts) + 1):
+            due = start.filter(F.col("wave") == number)
+            for earlier in waves[max(0, number - furthest) :]:
+                due = due.unionByName(earlier.filter((F.col("wave") == number) & ~F.col("done")))
+            waves.append(written(due.groupBy(*keys, *places).applyInArrow(divide, schema), "wave"))
+        found = waves[0].filter("done")
+        for other in waves[1:]:
+            found = found.unionByName(other.filter("done"))
     found = found.select(*keys, *places, "x")
     out = StructType([*(cells.schema[c] for c in keys), *(StructField(f"i{k}", LongType()) for k in range(n)), StructField("re", DoubleType()), StructField("im", DoubleType())])
 
@@ -211,23 +301,23 @@ def divided(t: Tensor, h: np.ndarray) -> Tensor:
             for row in range(batch.num_rows):
                 own = [c[row] for c in batch.columns[: len(keys)]]
                 *at, data = (c[row].as_py() for c in batch.columns[len(keys) :])
-                x = np.frombuffer(data, dtype).reshape((side,) * n)[tuple(slice(0, a - b * side) for a, b in zip(shape, at, strict=True))]
-                index = [i.ravel() + b * side for i, b in zip(np.indices(x.shape), at, strict=True)]
+                x = np.frombuffer(data, dtype).reshape(sides)[tuple(slice(0, a - b * m) for a, b, m in zip(shape, at, sides, strict=True))]
+                index = [i.ravel() + b * m for i, b, m in zip(np.indices(x.shape), at, sides, strict=True)]
                 parts = [np.ascontiguousarray(f(x).ravel(), float) for f in (np.real, np.imag)]
                 yield pa.RecordBatch.from_arrays([*(pa.array([o.as_py()] * x.size, o.type) for o in own), *map(pa.array, index), *map(pa.array, parts)], [f.name for f in out.fields])
 
     return t.cells(found.mapInArrow(spread, out).withColumn("v", F.struct("re", "im") if is_complex else F.col("re")), extents=shape)
 
 
-def _cells_of_tiles(t: Tensor, shape: tuple[int, ...], counts: list[int], side: int) -> DataFrame:
+def _cells_of_tiles(t: Tensor, shape: tuple[int, ...], counts: list[int], sides: tuple[int, ...]) -> DataFrame:
     """(keys..., b0, ..., at, re, im): cells by tile and place there, and a zero in each tile of each array, so that none lacks a tile."""
     n = t.ndim
     inside, at = F.lit(True), F.lit(0).cast("long")
     for k in range(n):
         inside = inside & (F.col(f"i{k}") < shape[k])
-        at = at * side + F.pmod(f"i{k}", F.lit(side))
+        at = at * sides[k] + F.pmod(f"i{k}", F.lit(sides[k]))
     value = (F.col("v.re").alias("re"), F.col("v.im").alias("im")) if t.kind == COMPLEX else (F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im"))
-    cells = t.df.filter(inside).select(*t.keys, *(F.floor(F.col(f"i{k}") / side).cast("long").alias(f"b{k}") for k in range(n)), at.alias("at"), *value)
+    cells = t.df.filter(inside).select(*t.keys, *(F.floor(F.col(f"i{k}") / sides[k]).cast("long").alias(f"b{k}") for k in range(n)), at.alias("at"), *value)
     arrays = t.df.select(*t.keys).distinct() if t.keys else t.df.sparkSession.range(1).select()
     every = arrays.select(*t.keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(math.prod(counts) - 1).cast("long"))).alias("id"))
     stride, tile = 1, []

@@ -111,6 +111,30 @@ def test_arrays_in_waves(spark, monkeypatch, side):
     np.testing.assert_allclose(toarray(convolution.deconvolve(fromarray(spark, full(z, h)), fromarray(spark, h))), z, atol=1e-9)
 
 
+def test_long_narrow_arrays_in_blocks(spark, monkeypatch):
+    """By two jobs instead of one for each tile, with the same results as in waves, also where y is no convolution."""
+    h = np.array([[4.0, 1.0], [0.5, -0.5], [0.25, 1.0]])
+    monkeypatch.setattr(division, "BLOCK", 40)
+    x, steps, written = random(90, 5), [], division.written
+    monkeypatch.setattr(division, "written", lambda df, *a: steps.append(1) or written(df, *a))
+    monkeypatch.setattr(division, "SIDES", (4,) * 4)
+    for turned in (False, True):
+        own, y = (h.T, full(x, h).T) if turned else (h, full(x, h))
+        np.testing.assert_allclose(toarray(convolution.deconvolve(fromarray(spark, y), fromarray(spark, own))), x.T if turned else x, atol=1e-9)
+    assert len(steps) == 2
+    z = random(4, 50, 3) + 1j * random(4, 50, 3, seed=2)
+    k = np.array([[[4.0, 1j]], [[0.5, -0.5]], [[0.25, 0.0]]]).swapaxes(0, 1)
+    np.testing.assert_allclose(toarray(convolution.deconvolve(fromarray(spark, full(z, k)), fromarray(spark, k))), z, atol=1e-9)
+    odd = [(key, i, j, float(v)) for key in ("a", None) for (i, j), v in np.ndenumerate(random(92, 6, seed=len(key or ""))) if (i // 9) % 3]
+    t = Tensor(spark.createDataFrame(odd, "key string, i0 long, i1 long, v double"), 2, ("key",), (92, 6))
+    both = []
+    for most in (8, 1000):
+        monkeypatch.setattr(division, "MOST_WAVES", most)
+        both.append({(r.key, r.i0, r.i1): r.v for r in convolution.deconvolve(t, fromarray(spark, h)).df.collect()})
+    assert both[0].keys() == both[1].keys() and len(both[0]) == 2 * 90 * 5
+    assert max(abs(both[0][k] - both[1][k]) for k in both[0]) < 1e-9
+
+
 def test_many_arrays_holes_and_refusals(spark, monkeypatch):
     monkeypatch.setattr(division, "SIDES", (3,) * 4)
     h = np.array([[4.0, 1.0], [0.5, -0.5]])
