@@ -122,6 +122,8 @@ def test_long_narrow_arrays_in_blocks(spark, monkeypatch):
         own, y = (h.T, full(x, h).T) if turned else (h, full(x, h))
         np.testing.assert_allclose(toarray(convolution.deconvolve(fromarray(spark, y), fromarray(spark, own))), x.T if turned else x, atol=1e-9)
     assert len(steps) == 2
+    np.testing.assert_allclose(toarray(convolution.decorrelate(fromarray(spark, full(x, h)), fromarray(spark, h[::-1, ::-1].copy()))), x, atol=1e-9)
+    assert len(steps) == 3
     z = random(4, 50, 3) + 1j * random(4, 50, 3, seed=2)
     k = np.array([[[4.0, 1j]], [[0.5, -0.5]], [[0.25, 0.0]]]).swapaxes(0, 1)
     np.testing.assert_allclose(toarray(convolution.deconvolve(fromarray(spark, full(z, k)), fromarray(spark, k))), z, atol=1e-9)
