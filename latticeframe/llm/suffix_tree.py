@@ -225,6 +225,19 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[edge], order[edge], inverse
 
 
+def _distinct_few(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_distinct``, of keys that repeat often: only distinct ones are sorted."""
+    coded = pa.array(keys).dictionary_encode()
+    found = coded.dictionary.to_numpy()
+    order = np.argsort(found)
+    rank = np.empty(len(found), np.int64)
+    rank[order] = np.arange(len(found))
+    inverse = rank[coded.indices.to_numpy()]
+    place = np.empty(len(found), np.int64)
+    place[inverse] = np.arange(len(keys))
+    return found[order], place, inverse
+
+
 def _set(keys: np.ndarray) -> np.ndarray:
     return _totals(keys)[0]
 
@@ -261,7 +274,7 @@ class Block:
         at = self._asked(depth)
         place, _, _, event = self.levels[depth]
         learned = self.learned[place]
-        keys, _, inverse = _distinct(_turned(event[at]))
+        keys, _, inverse = (_distinct if depth else _distinct_few)(_turned(event[at]))
         counts = np.bincount(inverse, learned[at], len(keys)).astype(np.uint32)
         return keys, counts, int(learned.sum() - learned[at].sum())
 
@@ -269,7 +282,7 @@ class Block:
         """Takes counts in the order of ``asks``, twice, plus 1 for a gram that is this block's to pass on."""
         at = self._asked(depth)
         place, _, _, event = self.levels[depth]
-        _, first, inverse = _distinct(_turned(event[at]))
+        _, first, inverse = (_distinct if depth else _distinct_few)(_turned(event[at]))
         full = np.zeros(len(self.is_word), np.int64)
         full[place[at]] = (answer >> 1)[inverse]
         self.counts.append(full)
@@ -484,18 +497,17 @@ def word_tree(words: DataFrame, contexts: DataFrame, shards: int) -> DataFrame:
     base = root / root.sum()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                x = _read(pa.Table.from_batches([batch.slice(i, 1)]))
-                to = np.where(x["depth"] == 1, x["context"], x["shorter"])
-                order = np.argsort(to)
-                x = _picked(x, order)
-                edge, ends = _sharded(to[order], shards).tolist(), np.cumsum([0, *x["groups"]])
-                rows = []
-                for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-                    if b > a:
-                        rows.append({"shard": s} | {c: _shrunk(x[c][a:b]) for c in _BY_CONTEXT} | {c: _shrunk(x[c][ends[a] : ends[b]]) for c in _BY_GROUP})
-                yield from _rows(rows, _CONTEXT_ROWS).to_batches()
+        for batch in batches:  # of many shards, so that rows sent don't grow with the square of the shards
+            x = _read(pa.Table.from_batches([batch]))
+            to = np.where(x["depth"] == 1, x["context"], x["shorter"])
+            order = np.argsort(to)
+            x = _picked(x, order)
+            edge, ends = _sharded(to[order], shards).tolist(), np.cumsum([0, *x["groups"]])
+            rows = []
+            for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+                if b > a:
+                    rows.append({"shard": s} | {c: _shrunk(x[c][a:b]) for c in _BY_CONTEXT} | {c: _shrunk(x[c][ends[a] : ends[b]]) for c in _BY_GROUP})
+            yield from _rows(rows, _CONTEXT_ROWS).to_batches()
 
     def test(asked: pa.Table, known: pa.Table) -> pa.Table:
         x, upper = _read(asked), _read(known)
@@ -691,6 +703,27 @@ def _window_keys(windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return windows[order], keys[order]
 
 
+def _finder(listed: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A function of numbers that are all listed to their places in the list.
+
+    A table has a place by hash, with eight slots or more for each number; those whose slot another one has are searched for.
+    """
+    shift = U64(64 - max(8, len(listed).bit_length() + 3))
+    slot = lambda x: (x * U64(0x9E3779B97F4A7C15) >> shift).astype(np.int64)
+    table = np.zeros(1 << 64 - int(shift), np.int32)
+    table[slot(listed)] = np.arange(len(listed))
+    order = np.argsort(listed)
+    ascending = listed[order]
+
+    def find(x: np.ndarray) -> np.ndarray:
+        at = table[slot(x)]
+        other = np.flatnonzero(listed[at] != x)
+        at[other] = order[np.searchsorted(ascending, x[other])]
+        return at
+
+    return find
+
+
 def score_texts(docs: DataFrame, train: DataFrame, learned: Column | None = None) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``, learned from ``train``'s texts.
 
@@ -772,8 +805,8 @@ def score_texts(docs: DataFrame, train: DataFrame, learned: Column | None = None
         ids, sizes, stop = own.column("ids")[0].as_py(), block.sizes, block.stop
         windows = _scored_windows(texts)
         listed = _window_keys(windows)[0]
-        # many places of few windows: found by a hash table in half the time of a search
-        own_scores = np.concatenate([_token_sums(x, found[WINDOW][pc.index_in(pa.array(x), value_set=pa.array(listed)).to_numpy()].astype(np.float64)) for x in windows])
+        place_of = _finder(listed)
+        own_scores = np.concatenate([_token_sums(x, found[WINDOW][place_of(x)].astype(np.float64)) for x in windows])
         token_counts = np.where(block.is_word, block.counts[0], ends)
         base = np.log10(token_counts + SMALL) - whole
         columns = [sizes + 1, np.add.reduceat(token_counts > 0, stop - sizes - 1, dtype=np.int64), np.full(len(sizes), n), np.add.reduceat(base, stop - sizes - 1)]

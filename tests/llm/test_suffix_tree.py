@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from latticeframe.llm import suffix_tree
 from latticeframe.llm.suffix_tree import DEPTH, SYMBOLS, SuffixTree, _stream, byte_scores, corpus_counts, fit_tree, score_texts
 from latticeframe.llm.shingles import mix, word_hashes
 from pyspark.sql import functions as F
@@ -203,3 +204,17 @@ def test_tables_of_hardly_repeated_grams_stay_near_the_size_of_the_texts(spark,
     # in a table of grams, three hashes for each of three a word took over ten times the texts' size
     size = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
     assert size < 5 * sum(map(len, texts))
+
+
+def test_numbers_are_found_in_a_list():
+    """Those whose slot of the table another one has, too, and with few or many numbers listed."""
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 5, 20_000):
+        listed = np.unique(rng.integers(0, 2**48, n).astype(np.uint64))
+        rng.shuffle(listed)
+        x = rng.choice(listed, 5 * n) if n else listed
+        np.testing.assert_array_equal(listed[suffix_tree._finder(listed)(x)], x)
+    few = rng.choice(listed[:50], 3000)
+    for a, b in zip(suffix_tree._distinct(few)[::2], suffix_tree._distinct_few(few)[::2], strict=True):
+        np.testing.assert_array_equal(a, b)
+    assert (few[suffix_tree._distinct_few(few)[1]] == np.unique(few)).all()
